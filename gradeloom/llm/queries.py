@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid
+from . import bpe, langid, mixing, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op7_language_id": langid.op7,
+    "op8_sharding": sharding.op8,
     "op9_bpe": bpe.op9,
+    "op10_mixing": mixing.op10,
 }
 
 ORACLES: dict[str, str] = {}
