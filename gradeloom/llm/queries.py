@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding
+from . import bpe, langid, mixing, sharding, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op3_topk": topk.op3,
     "op7_language_id": langid.op7,
     "op8_sharding": sharding.op8,
     "op9_bpe": bpe.op9,
     "op10_mixing": mixing.op10,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_topk": topk.OP3_SQL,
+}
