@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, sharding, topk
+from . import bpe, langid, mixing, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op3_topk": topk.op3,
+    "op5_toxicity": toxicity.op5,
     "op7_language_id": langid.op7,
     "op8_sharding": sharding.op8,
     "op9_bpe": bpe.op9,
