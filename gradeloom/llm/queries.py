@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, mixing, sharding, topk, toxicity
+from . import bpe, fingerprints, html_extract, langid, mixing, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_html_extract": html_extract.op1,
+    "op2_fingerprints": fingerprints.op2,
     "op3_topk": topk.op3,
     "op5_toxicity": toxicity.op5,
     "op7_language_id": langid.op7,
