@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, schema, texts, words
+from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, schema, small_batches, texts
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 8, 20_240_601
 
@@ -95,7 +95,7 @@ def sized(docs: DataFrame) -> DataFrame:
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(size=LONG).fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 4 << 20):
             yield batch_of(kinds, {c: b.column(c) for c in ("__row", "doc_id", "source")} | {"size": pa.array(word_counts(b.column("text")))})
 
     return chosen.mapInArrow(rows, kinds)

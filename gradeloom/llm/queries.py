@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, html_extract, langid, mixing, sharding, topk, toxicity
+from . import bpe, brown_lm, fingerprints, html_extract, langid, mixing, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,7 @@ QUERIES: dict[str, Query] = {
     "op2_fingerprints": fingerprints.op2,
     "op3_topk": topk.op3,
     "op5_toxicity": toxicity.op5,
+    "op6_brown_lm": brown_lm.op6,
     "op7_language_id": langid.op7,
     "op8_sharding": sharding.op8,
     "op9_bpe": bpe.op9,
