@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, fingerprints, html_extract, langid, mixing, sharding, topk, toxicity
+from . import bpe, brown_lm, fingerprints, html_extract, jaccard, langid, mixing, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,7 @@ QUERIES: dict[str, Query] = {
     "op1_html_extract": html_extract.op1,
     "op2_fingerprints": fingerprints.op2,
     "op3_topk": topk.op3,
+    "op4_jaccard_join": jaccard.op4,
     "op5_toxicity": toxicity.op5,
     "op6_brown_lm": brown_lm.op6,
     "op7_language_id": langid.op7,
