@@ -20,7 +20,7 @@ GAP = r"^[\s,\$\.\;\:\-\&\\]*$"
 
 def boxes(c: Column) -> Column:
     """Contents of all boxes that aren't empty, trimmed."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(BOX), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(BOX), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def last_box(c: Column) -> Column:
@@ -92,7 +92,7 @@ def letter(c: Column, options: Column | None = None, phrases: str = BROAD) -> Co
         return F.coalesce(boxed, said, F.get(capitals, F.size(capitals) - 1), none)
     group = last_box_group(tail)
     content = F.trim(F.get(group, F.size(group) - 1))
-    at = F.array_position(F.transform(options, F.trim), content)
+    at = F.array_position(F.transform(options, lambda x: F.trim(x)), content)
     by_value = F.when(at > 0, F.char(at + 64))
     n = F.coalesce(F.size(options), F.lit(0))
     capitals = F.filter(capitals, lambda x: (n <= 0) | (F.ascii(x) - 65 < n))
