@@ -230,9 +230,9 @@ def joined(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall
             sides = []
             for block_ in (i, j):
                 own = [r for r in group if r[0] == block_]
-                sides.append({"keys": [r[1] for r in own], "weights": [r[2] for r in own], "bands": np.array([r[3] for r in own], np.int64).reshape(len(own), -1), "sets": [np.frombuffer(r[4], np.uint64) for r in own]})
-            if not sides[0]["keys"] or not sides[1]["keys"]:
-                return []
+                if not own:  # hashing left one of the blocks empty
+                    return []
+                sides.append({"keys": [r[1] for r in own], "weights": [r[2] for r in own], "bands": np.array([r[3] for r in own], np.int64), "sets": [np.frombuffer(r[4], np.uint64) for r in own]})
             return verified(sides[0], None if i == j else sides[1], bucket, threshold)
 
         key, group, found = None, [], []
