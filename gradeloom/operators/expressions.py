@@ -226,7 +226,7 @@ def same_equation(a: str, b: str) -> bool:
         return False
     if all(close(x, y) for x, y in pairs):
         return True
-    for one, two in (pairs, [(y, x) for x, y in pairs]):
+    for one in (pairs, [(y, x) for x, y in pairs]):
         if all(abs(y) > 1e-12 for _, y in one):
             ratios = [x / y for x, y in one]
             whole = round(ratios[0].real)
