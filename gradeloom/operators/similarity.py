@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cutting import cut
+
 
 def word_grams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
     """Character n-grams of each word between single spaces, lower case; a padded word shorter than n counts once, whole."""
@@ -25,7 +27,9 @@ def word_grams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
 def tfidf(texts: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """key, gram, w: (1 + ln count) * (ln((1 + n) / (1 + df)) + 1), each text's vector of length 1."""
     n = texts.count()
-    counts = texts.select(key, F.explode(word_grams(F.col(text), sizes)).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("tf"))
+    # Grams are made of each distinct word of a text once, then weighed by the word's count.
+    words = texts.select(key, F.explode(F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    counts = cut(words.select(key, "n", F.explode(word_grams(F.col("word"), sizes)).alias("gram")).groupBy(key, "gram").agg(F.sum("n").alias("tf")))
     df = counts.groupBy("gram").agg(F.count("*").alias("df"))
     idf = F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0
     raw = counts.join(df, "gram").select(key, "gram", ((1.0 + F.log("tf")) * idf).alias("raw"))
@@ -39,7 +43,7 @@ def most_similar(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple
     Similarities are rounded before they are ranked; ties go to the smaller candidate id.
     """
     both = queries.select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("doc"), "text").unionByName(candidates.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("doc"), "text"))
-    w = tfidf(both, "doc", "text", sizes)
+    w = cut(tfidf(both, "doc", "text", sizes))
     side = lambda p, name: w.filter(F.col("doc").startswith(p)).select(F.substring("doc", 2, 20).cast("long").alias(name), "gram", F.col("w").alias(f"w_{name}"))
     score = side("q", "query_id").join(side("c", "candidate_id"), "gram").groupBy("query_id", "candidate_id").agg(F.round(F.sum(F.col("w_query_id") * F.col("w_candidate_id")), digits).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
