@@ -29,6 +29,9 @@ from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, schema, s
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 8, 20_240_601
 
+#: Bytes of text whose words are counted at a time; counting takes about twenty times as many.
+SLICE = 4 << 20
+
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
     """Words to take of each source, in order: ``share`` of all words by repeating weights, none above ``most`` times its size."""
@@ -95,7 +98,7 @@ def sized(docs: DataFrame) -> DataFrame:
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(size=LONG).fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 4 << 20):
+        for b in small_batches(batches, SLICE):
             yield batch_of(kinds, {c: b.column(c) for c in ("__row", "doc_id", "source")} | {"size": pa.array(word_counts(b.column("text")))})
 
     return chosen.mapInArrow(rows, kinds)
