@@ -43,10 +43,21 @@ def durable(df: DataFrame) -> DataFrame:
     Rows and values are kept; their partitioning isn't.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``durable`` has written in this process; for callers whose results are safely written elsewhere."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` after ``checkpoint()``: rows stay in the partitions, and in the order, that they have now."""
     shared_folder(df.sparkSession)
