@@ -308,3 +308,23 @@ def test_draws_are_multinomial_over_shards(spark, edge_docs):
     by = collections.Counter(r.out_shard for r in slots.collect())
     n = sum(by.values())
     assert all(abs(by[s] - n / 8) < 6 * math.sqrt(n / 8) for s in range(8))
+
+
+def test_release_deletes_what_was_written(spark):
+    import os
+
+    from gradeloom.llm import shared
+
+    kept = shared.durable(spark.range(3))
+    assert kept.count() == 3
+    paths = list(shared._written)
+    shared.release(spark)
+    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+
+
+def test_hot_copies_are_one_row_of_a_sample(spark):
+    from gradeloom.llm import langid
+
+    rows = [(1, "der und mit", "de", "s")] * 400 + [(i, f"the and with {i}", "en", "s") for i in range(2, 30)]
+    model = langid.train(documents(spark, rows), F.lit(True), sample=20)
+    assert "en" in model.languages
