@@ -51,7 +51,11 @@ def top_level_split(c: Column) -> Column:
         depth = acc["depth"] + F.when(ch.isin("(", "[", "<"), 1).when(ch.isin(")", "]", ">"), -1).otherwise(0)
         return F.struct(depth.alias("depth"), F.when(cut, F.concat(acc["items"], F.array(F.lit("")))).otherwise(F.concat(rest, F.array(F.concat(last, ch)))).alias("items"))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda x: x != ""), start, step, lambda acc: F.transform(acc["items"], lambda x: strip(F.regexp_replace(strip(x), r"^\$+|\$+$", ""))))
+    scanned = F.aggregate(F.filter(F.split(text, ""), lambda x: x != ""), start, step, lambda acc: acc["items"])
+    # Without brackets in brackets, a comma stands in one exactly if the next bracket closes.
+    flat = text.rlike(r"^(?:[^()\[\]<>]|[(\[<][^()\[\]<>]*[)\]>])*$")
+    items = F.when(flat, F.split(text, r",(?![^(\[<]*[)\]>])", -1)).otherwise(scanned)
+    return F.transform(items, lambda x: strip(F.regexp_replace(strip(x), r"^\$+|\$+$", "")))
 
 
 def explicit_answer(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x1C-\x1F\x85]"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once a row, however often f names it."""
+    return F.get(F.transform(F.array(c), lambda x: f(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Unicode-aware trim of both ends."""
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
