@@ -4,7 +4,7 @@ Character 1- to 3-grams of the lower-cased text are hashed into a fixed number o
 log(1 + count) * idf, scaled to length 1. Weights are trained by follow-the-regularised-leader (per-coordinate steps, L1 and L2
 penalties), so that most stay exactly 0; a temperature fitted on documents that training didn't see calibrates the probabilities.
 
-Training takes a bounded sample: up to ``sample`` labelled documents (those with the smallest hashes of id and text), a parameter.
+Training takes a bounded sample: up to ``sample`` labelled documents (those with the smallest hashes of id and text, copies counting once), a parameter.
 Their sparse vectors, not their texts, come to the driver; the model has a fixed size whatever the input.
 Prediction is one pass over the texts where they lie; nothing is shuffled.
 
@@ -123,7 +123,8 @@ def train(docs: DataFrame, keep, sample: int = 2000, buckets: int = BUCKETS, **p
     # The order key has no text in it beyond a hash, so the sample's top-k moves few bytes until the rows are chosen.
     order = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
     labelled = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", order.alias("h"))
-    cut = labelled.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    # Distinct hashes, so copies of one row, however many, are one row of the sample.
+    cut = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     if cut is None:
         return Model([], np.zeros(buckets), np.zeros((buckets, 0)), np.zeros(0), 1.0)
     kinds = schema(h=LONG, lang=STRING, at=T.ArrayType(T.IntegerType()), n=T.ArrayType(T.IntegerType()))
@@ -133,8 +134,9 @@ def train(docs: DataFrame, keep, sample: int = 2000, buckets: int = BUCKETS, **p
             rows = [(h, lang, *features(t, buckets)) for lang, t, h in zip(*(c.to_pylist() for c in b.columns), strict=True) if has_letter(t)]
             yield batch_of(kinds, dict(zip(("h", "lang", "at", "n"), map(list, zip(*rows, strict=True)) if rows else ([],) * 4, strict=True)))
 
-    got = labelled.filter(F.col("h") <= cut).mapInArrow(vectors, kinds).toArrow()
-    rows = sorted(zip(*(got[c].to_pylist() for c in ("h", "lang", "at", "n")), strict=True), key=lambda r: r[:2])[: 2 * sample]
+    chosen = labelled.filter(F.col("h") <= cut).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).select("lang", "text", "h")
+    got = chosen.mapInArrow(vectors, kinds).toArrow()  # at most ``sample`` rows
+    rows = sorted(zip(*(got[c].to_pylist() for c in ("h", "lang", "at", "n")), strict=True), key=lambda r: r[:2])
     return fit([(lang, np.array(at, np.int64), np.array(n, np.int64)) for _, lang, at, n in rows], buckets, **parameters)
 
 

@@ -15,7 +15,7 @@ Learning takes a bounded sample of labelled rows: ``sample``, a parameter, those
 fixed size; scoring is one pass over the texts where they lie.
 
 Defined cases: null and empty texts have no neighbour. A label that is null doesn't count; of repeated labels of an id the largest counts;
-of repeated documents with one id the sample takes one. Without labelled rows every score is 0.0. Equal cosines: the smaller id is nearer.
+of repeated documents with one id the sample takes the smallest text. Without labelled rows every score is 0.0. Equal cosines: the smaller id is nearer.
 """
 
 from __future__ import annotations
@@ -177,8 +177,8 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms:
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     labelled = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = labelled.withColumn("__h", order).orderBy("__h", "doc_id").limit(sample).drop("__h")
-    pairs = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])  # at most ``sample`` rows are broadcast
-    pairs = durable(pairs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "__toxic"))
+    pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows are broadcast
+    pairs = durable(pairs.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "__toxic"))
     kinds = schema(term=STRING, toxic=LONG, clean=LONG)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
