@@ -176,11 +176,12 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Large star: each node's larger neighbours go to the smallest of its neighbours and itself.
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # The minima are written first: the join that follows then has a shuffle of its own, which adaptive execution can split at a hub.
+        low = durable(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = durable(large)
         # Small star: each node's smaller neighbours, and itself, go to the smallest of them.
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = durable(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
         edges = durable(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
