@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import LONG, STRING, batch_of, schema, small_batches, texts
+from .shared import LONG, STRING, batch_of, few_rows_a_batch, schema, small_batches, texts
 
 CHUNK_CHARS, OVERLAP_CHARS, LONG_CHARS = 32_768, 256, 65_536
 #: Pre-tokens whose ids a worker remembers.
@@ -148,6 +148,7 @@ def _sha(data: bytes) -> str:
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None = None, long_chars: int = LONG_CHARS, chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``keep`` of documents (text: string) with n_tokens, ids (little-endian unsigned 32-bit integers), decoded_sha256 and ids_sha256."""
+    few_rows_a_batch(docs.sparkSession)
     ranks_path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
     names = [f.name for f in kept.schema.fields[:-1]]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import LONG, STRING, batch_of, schema, small_batches
+from .shared import LONG, STRING, batch_of, few_rows_a_batch, schema, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select")}
@@ -210,6 +210,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
 
 def main_text(pages: DataFrame, weights: dict[str, float] | None = None, carry: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Columns ``carry`` of pages (html) with text and n_chars."""
+    few_rows_a_batch(pages.sparkSession)
     weights = weights or default_weights()
     chosen = pages.select(*carry, "html")
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(text=STRING, n_chars=LONG).fields])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import INT, LONG, batch_of, durable, mix64, schema, small_batches, texts, word_hashes
+from .shared import INT, LONG, batch_of, durable, few_rows_a_batch, mix64, schema, small_batches, texts, word_hashes
 
 WORDS, THRESHOLD, RECALL, ROWS, BLOCK = 5, 0.8, 0.9999, 4, 256
 #: Bytes of keys that may be broadcast.
@@ -192,6 +192,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def joined(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """Documents (__row, doc_id, s) and nodes (s, rep, weight, links, root)."""
+    few_rows_a_batch(docs.sparkSession)
     signs = durable(signed(docs, n, threshold, recall, rows))
     nodes = signs.filter("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("__row").alias("at"), F.max("bands").alias("bands"))
     nodes = durable(nodes)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BOOL, DOUBLE, LONG, STRING, batch_of, crc_fold, schema, small_batches
+from .shared import BOOL, DOUBLE, LONG, STRING, batch_of, crc_fold, few_rows_a_batch, schema, small_batches
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
@@ -121,6 +121,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
 def train(docs: DataFrame, keep, sample: int = 2000, buckets: int = BUCKETS, **parameters: float) -> Model:
     """A model from documents (doc_id, text, lang) where ``keep`` holds and lang is there."""
     # The order key has no text in it beyond a hash, so the sample's top-k moves few bytes until the rows are chosen.
+    few_rows_a_batch(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
     labelled = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", order.alias("h"))
     # Distinct hashes, so copies of one row, however many, are one row of the sample.
@@ -151,6 +152,7 @@ def predictor(model: Model, kinds: T.StructType, carry: tuple[str, ...], text: s
 
 def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``carry`` with lang_pred and score."""
+    few_rows_a_batch(docs.sparkSession)
     chosen = docs.select(*carry, "text")
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(lang_pred=STRING, score=DOUBLE).fields])
     return chosen.mapInArrow(predictor(model, kinds, carry), kinds)
@@ -164,6 +166,7 @@ def accepted(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
             out = [model.predict(t) for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([lang != UNKNOWN and p >= least for lang, p in out], pa.bool_()))
 
+    few_rows_a_batch(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)
 
 

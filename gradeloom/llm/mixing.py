@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, schema, small_batches, texts
+from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, few_rows_a_batch, schema, small_batches, texts
 
 WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 8, 20_240_601
 
 #: Bytes of text whose words are counted at a time; counting takes about twenty times as many.
-SLICE = 4 << 20
+SLICE = 1 << 20
 
 
 def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
@@ -112,6 +112,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     slots: __source, __block, out_shard, slot.
     """
     spark = docs.sparkSession
+    few_rows_a_batch(spark)
     keys = (F.col("source").asc_nulls_last(), "doc_id", "size", "__row")
     ordered = checkpointed(sized(docs).repartitionByRange(*keys).sortWithinPartitions(*keys))
     parts = ordered.select(F.spark_partition_id().alias("p"), "source", "size").groupBy("p", "source").agg(F.sum("size").alias("words")).collect()
@@ -196,7 +197,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     keyed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), F.monotonically_increasing_id().alias("__row"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 8 << 20):
             which, out = [], []
             for i, (text, runs_) in enumerate(zip(texts(b.column(own["text"])), b.column("__runs").to_pylist(), strict=True)):
                 for e in range(max(r["__times"] for r in runs_)):

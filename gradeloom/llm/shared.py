@@ -6,6 +6,9 @@ whatever their names, never meet an operator's own columns.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import uuid
 import zlib
@@ -79,12 +82,33 @@ def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+#: Rows of a batch of texts that goes between the JVM and Python; a batch of whole documents takes megabytes, not tens of them, on both sides.
+BATCH_ROWS = 1_000
+
+
+def few_rows_a_batch(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold ``BATCH_ROWS`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], size: int = 64 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches, so that a batch of very long texts doesn't grow Python copies beyond ``size`` bytes or so."""
     for b in batches:
         n = max(1, min(b.num_rows, int(b.num_rows * size / max(1, b.nbytes))))
         for i in range(0, b.num_rows, n):
             yield b.slice(i, n)
+    tidy()
+
+
+def tidy() -> None:
+    """Gives memory that a task has freed back to the machine: a worker lives on between tasks, and idle ones would add up."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BOOL, DOUBLE, INT, LONG, STRING, batch_of, crc_fold, durable, schema, small_batches, texts
+from .shared import BOOL, DOUBLE, INT, LONG, STRING, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, texts
 
 SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 1_024, 15, 64
 #: A full neighbourhood at this cosine counts as much as what is known of texts without any neighbour.
@@ -100,7 +100,7 @@ class Index:
         for word in _LETTERS.findall(text.lower()):
             has = words.get(word)
             if has is None:
-                if len(words) > 500_000:
+                if len(words) > 100_000:
                     words.clear()
                 has = words[word] = tuple(t for t in terms_of(word) if t in vocabulary or any(f"{t}#{m}" in vocabulary for m in OFTEN))
             for t in has:
@@ -174,6 +174,7 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = 4) -> Index:
     """An index of labelled documents (doc_id, text; doc_id, toxic) whose doc_id fulfils ``keep``."""
+    few_rows_a_batch(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
     labelled = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     chosen = labelled.withColumn("__h", order).orderBy("__h", "doc_id").limit(sample).drop("__h")
@@ -223,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms:
 
 def score(docs: DataFrame, index: Index, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Columns ``carry`` with score, predicted and evidence (ids of the nearest examples)."""
+    few_rows_a_batch(docs.sparkSession)
     chosen = docs.select(*carry, "text")
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(score=DOUBLE, predicted=INT, evidence=T.ArrayType(LONG)).fields])
 
@@ -241,6 +243,7 @@ def accepted(docs: DataFrame, index: Index) -> DataFrame:
         for b in small_batches(batches):
             yield b.filter(pa.array([index.score(t)[0] < 0.5 for t in texts(b.column("text"))], pa.bool_()))
 
+    few_rows_a_batch(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)
 
 
