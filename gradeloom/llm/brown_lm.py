@@ -1,16 +1,20 @@
 """Language-model scores from Brown class-based bigrams.
 
-Units are the ``own`` most frequent words of the training texts, each alone, and groups of all other words by a hash of their last two bytes,
-and the end of a text. Exchange clustering assigns units to classes: units move, one at a time, to the class that most raises the likelihood
-of the training texts' class bigrams, until a sweep moves none or ``sweeps`` have passed. The probability of a word after another is
+Every word of the training texts has a class of its own choice, however rare it is. Exchange clustering first assigns the ``own`` most frequent
+words, each alone, the end of a text, and groups of the other words by a hash of their last two bytes: they move, one at a time, to the class that
+most raises the likelihood of the training texts' class bigrams, until a sweep moves none or ``sweeps`` have passed. Then each of the other words
+leaves its group for the class that most raises that likelihood, from its own counts of the classes before and after it; all of these words choose
+at once, against the class bigrams of the first step. The probability of a word after another is
 
-    P(class | class before) * P(unit | class) * P(word | unit)
+    P(class | class before) * P(word | class)
 
-with class transitions smoothed towards class frequencies, units and words by half counts; each group keeps half a count for words not seen.
+with class transitions smoothed towards class frequencies and words by half counts; each class keeps half a count for words not seen, and a word
+not seen has the class of its group.
 
 Counts cover all training texts: one pass counts all words (combined in each task, then shuffled by a 64-bit hash of the word), one counts
-bigrams of units, whose number is bounded by the units' square. Scoring is a third pass: the ``head`` most frequent words, a fixed number, are looked
-up in place; the others' counts come by a join on the word's hash. The same sums of log(count + 0.5) serve the unigram base score.
+bigrams of the first step's units, whose number is bounded by the units' square, one the neighbours' classes of each other word, and one the
+bigrams of the final classes. The ``head`` most frequent words, a fixed number, are looked up in place; the others' counts and classes come by a
+join on the word's hash, and their neighbours by the place in the text. The same sums of log(count + 0.5) serve the unigram base score.
 
 Two words with one 64-bit hash would count as one: with n distinct words the chance of any is about n*n / 2**65.
 
@@ -25,10 +29,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import BOOL, DOUBLE, INT, LONG, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, word_hashes, word_spans
+from .shared import BOOL, DOUBLE, INT, LONG, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, tidy, word_hashes, word_spans
 
 OWN, GROUPS, CLASSES, SWEEPS, HEAD, KAPPA = 1_000, 256, 64, 12, 65_536, 8.0
 #: Bytes of text hashed at a time.
@@ -159,14 +165,109 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
+def choices(found: np.ndarray, now: np.ndarray, big: np.ndarray) -> np.ndarray:
+    """The best class of each word, from its counts of the classes before and after it (words x twice the classes), its class and the class bigrams.
+
+    Each word is taken out of its class and put where the likelihood gains most, the other words staying where they are. Its own class wins ties.
+    """
+    k, i = len(big), np.arange(len(now))
+    before, after = found[:, :k].astype(float), found[:, k:].astype(float)
+
+    def change(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What n more adds to x log x; counts of a word beside itself are on both sides, so x can fall below 0."""
+        x = np.maximum(x, 0)
+        return xlogx(x + n) - xlogx(x)
+
+    # By class: the cells that the word's pairs fall into if it is put there, without what the word has in them now.
+    gain = np.zeros((len(now), k))
+    word, slot = np.nonzero(found)
+    cells = np.concatenate([big, big.T])
+    for at in range(0, len(word), 1 << 14):
+        w, s = word[at : at + (1 << 14)], slot[at : at + (1 << 14)]
+        n, cell = found[w, s].astype(float), cells[s]
+        cell[np.arange(len(w)), now[w]] -= n
+        x, y = np.flatnonzero(s == now[w]), np.flatnonzero(s == now[w] + k)
+        cell[x] -= after[w[x]]
+        cell[y] -= before[w[y]]
+        first = np.flatnonzero(np.diff(w, prepend=-1))
+        gain[w[first]] += np.add.reduceat(change(cell, n[:, None]), first)
+    # The diagonal cell takes both sides at once.
+    w, b = np.nonzero((before > 0) & (after > 0))
+    x, y = before[w, b], after[w, b]
+    d = np.diag(big)[b] - np.where(b == now[w], x + y, 0.0)
+    gain[w, b] += change(d, x + y) - change(d, x) - change(d, y)
+    for total, n in ((big.sum(1), after.sum(1)), (big.sum(0), before.sum(1))):
+        rest = np.repeat(total[None, :], len(now), 0)
+        rest[i, now] -= n
+        gain -= change(rest, n[:, None])
+    best = gain.argmax(1)
+    return np.where(gain[i, best] > gain[i, now] + 1e-9, best, now)
+
+
 @dataclass
-class Model:
-    units: Units
+class Lookup:
+    """Classes of the most frequent words (sorted hashes) and of the groups; other words' classes come by joins."""
+
+    words: np.ndarray
     class_of: np.ndarray
+    group: np.ndarray
+    end: int
+
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's place among the most frequent ones, and whether it is one."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+        i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        return i, self.words[i] == h
+
+    def sequence(self, h: np.ndarray, number: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes with an end after each text's (-1: not known in place), each token's text, and the words' places."""
+        i, is_head = self.of(h)
+        sizes = np.bincount(number, minlength=texts)
+        out, which = np.full(len(h) + texts, self.end), np.repeat(np.arange(texts), sizes + 1)
+        at = np.arange(len(h)) + number
+        out[at] = np.where(is_head, self.class_of[i] if len(self.words) else -1, -1)
+        return out, which, at
+
+    def far(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+        """The words of rows (__row, text) that are joined: __row, place, class before and after (-1: such a word too), class, count."""
+        kinds = schema(__row=LONG, __at=LONG, __w=LONG, __before=INT, __after=INT, __group=INT)
+
+        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in small_batches(batches, 4 << 20):
+                h, g, number = tokens_of(b.column("text").to_pylist())
+                cls, _, at = self.sequence(h, number, b.num_rows)
+                where = cls[at] < 0
+                at = at[where]
+                before = np.where(at > 0, cls[at - 1], self.end)
+                yield batch_of(kinds, {"__row": pa.array(b.column("__row").to_numpy()[number[where]]), "__at": pa.array(at), "__w": pa.array(h[where]), "__before": pa.array(before), "__after": pa.array(cls[at + 1]), "__group": pa.array(self.group[g[where]])})
+
+        return rows.select("text", "__row").mapInArrow(find, kinds).join(counts.select(F.col("w").alias("__w"), "c", "k"), "__w", "left").select("__row", "__at", "__before", "__after", F.coalesce("k", "__group").alias("__class"), "c")
+
+    @staticmethod
+    def chained(far: DataFrame) -> DataFrame:
+        """Rows of ``far`` by text and place, so that neighbours follow each other."""
+        return far.repartition("__row").sortWithinPartitions("__row", "__at")
+
+
+class Chain:
+    """Class before each row of a partition of ``Lookup.chained``, batch after batch."""
+
+    def __init__(self) -> None:
+        self.last = -1
+
+    def before(self, b: pa.RecordBatch) -> np.ndarray:
+        given, cls = b.column("__before").to_numpy(), b.column("__class").to_numpy()
+        out = np.where(given < 0, np.concatenate([[self.last], cls[:-1]]), given)
+        self.last = cls[-1] if len(cls) else self.last
+        return out
+
+
+@dataclass
+class Model:
+    lookup: Lookup
     transition: np.ndarray  # log10, classes x classes
-    emission: np.ndarray  # log10 P(unit | class), by unit
-    spread: np.ndarray  # log10 (words of a group + half counts), by group
-    head: np.ndarray  # sorted hashes of the most frequent words
+    spread: np.ndarray  # log10 (words of a class + half counts), by class
     head_log: np.ndarray  # log10 (count + 0.5)
     end_log: float
     base: float  # log10 (N + 0.5 (V + 1))
@@ -174,7 +275,7 @@ class Model:
 
 
 def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps: int = SWEEPS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """A model of documents (doc_id, text) where ``keep`` holds, and the counts (w, c, g) of all their words."""
+    """A model of documents (doc_id, text) where ``keep`` holds, and the counts (w, g, c) of all their words with their classes (k)."""
     few_rows_a_batch(docs.sparkSession)
     texts = docs.filter(keep).select(F.coalesce("text", F.lit("")).alias("text"))
     kinds = schema(w=LONG, g=INT, c=LONG)
@@ -197,15 +298,11 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
     ends = texts.count()
     words, kinds_seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, seen = words + ends, kinds_seen + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "w").limit(head).toArrow()
+    top = counts.orderBy(F.desc("c"), "w").limit(own).toArrow()
     top_w, top_c = top["w"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
-    lone = min(own, len(top_w))
-    by_hash = np.argsort(top_w[:lone], kind="stable")
-    units = Units(top_w[:lone][by_hash], by_hash.astype(np.int64))
-    in_group = np.zeros((GROUPS, 2))
-    for g, c, n in counts.groupBy("g").agg(F.sum("c"), F.count("*")).collect():
-        in_group[g] = c, n
-    np.subtract.at(in_group, top["g"].to_numpy()[:lone], np.stack([top_c[:lone], np.ones(lone)], 1))
+    lone = len(top_w)
+    by_hash = np.argsort(top_w, kind="stable")
+    units = Units(top_w[by_hash], by_hash.astype(np.int64))
 
     pair_kinds = schema(p=LONG, n=LONG)
     side = units.count
@@ -228,58 +325,136 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
     k = int(of.max()) + 1
     hot = np.zeros((side, k))
     hot[np.arange(side), of] = 1
-    big, unit_n = hot.T @ pairs @ hot, pairs.sum(0)
-    class_n = hot.T @ unit_n
-    share = (class_n + 0.5) / (class_n.sum() + 0.5 * k)
-    transition = np.log10((big + KAPPA * share[None, :]) / (big.sum(1, keepdims=True) + KAPPA))
-    emission = np.log10((unit_n + 0.5) / (class_n + 0.5 * hot.sum(0))[of])
-    order = np.argsort(top_w, kind="stable")
-    model = Model(units, of, transition, emission, np.log10(in_group[:, 0] + 0.5 * (in_group[:, 1] + 1)), top_w[order], np.log10(top_c[order] + 0.5), float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (seen + 1))), int(total))
-    return model, counts
+    first = hot.T @ pairs @ hot
+    group = of[lone : lone + GROUPS]
 
+    # Each word without a unit of its own: the classes before it (0 to k - 1) and after it (k to 2 k - 1), as slot + 2 k * count.
+    seen_kinds = T.StructType([*schema(w=LONG, g=INT).fields, T.StructField("s", T.ArrayType(LONG, False))])
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` with n_tokens, n_known, train_tokens, base_score and score of every document (text)."""
-    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("__row"))
-    kinds = schema(__row=LONG, __w=LONG)
-    lone = len(model.units.words)
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            h, g, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+            w, at, of_word = np.unique(h, return_index=True, return_inverse=True)
+            key, n = np.unique(np.concatenate([of_word * 2 * k + before, of_word * 2 * k + k + after]), return_counts=True)
+            slots = pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(w) + 1) * 2 * k), pa.int32()), pa.array(key % (2 * k) + 2 * k * n))
+            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(g[at].astype(np.int32)), slots], ["w", "g", "s"])
 
-    def known(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(model.head):
-            return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-        i = np.minimum(np.searchsorted(model.head, h), len(model.head) - 1)
-        return i, model.head[i] == h
+        parts: list[tuple[np.ndarray, ...]] = []
+        for b in small_batches(batches, 4 << 20):
+            h, g, number = tokens_of(b.column(0).to_pylist())
+            u, _ = units.sequence(units.of(h, g), number, b.num_rows)
+            cls, at = of[u], np.arange(len(h)) + number
+            far = u[at] >= lone
+            at = at[far]
+            parts.append((h[far], g[far], np.where(at > 0, cls[at - 1], of[units.end]), cls[at + 1]))
+            if sum(len(p[0]) for p in parts) > 2_000_000:
+                yield combined(parts)
+                parts = []
+        if parts:
+            yield combined(parts)
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    class_kinds = schema(w=LONG, k=INT)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Parts of a word follow each other; the last word of a batch may go on in the next.
+        def chosen(h: np.ndarray, g: np.ndarray, word: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
+            w, at, of_word = np.unique(h, return_index=True, return_inverse=True)
+            found = np.zeros((len(w), 2 * k), np.int64)
+            np.add.at(found, (of_word[word], s % (2 * k)), s // (2 * k))
+            return batch_of(class_kinds, {"w": pa.array(w), "k": pa.array(choices(found, group[g[at]], first))})
+
+        none = np.zeros(0, np.int64)
+        held = (none, none, none, none)
+        for b in batches:
+            lists = b.column("s")
+            h, g, word = b.column("w").to_numpy(), b.column("g").to_numpy(), np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy())
+            h, g, word, s = np.concatenate([held[0], h]), np.concatenate([held[1], g]), np.concatenate([held[2], word + len(held[0])]), np.concatenate([held[3], lists.flatten().to_numpy()])
+            cut = int(np.flatnonzero(h == h[-1])[0]) if len(h) else 0
+            ready = word < cut
+            if cut:
+                yield chosen(h[:cut], g[:cut], word[ready], s[ready])
+            held = (h[cut:], g[cut:], word[~ready] - cut, s[~ready])
+        if len(held[0]):
+            yield chosen(*held)
+        tidy()
+
+    moved = texts.mapInArrow(neighbours, seen_kinds).repartition("w").sortWithinPartitions("w").mapInArrow(choose, class_kinds)
+    counts = durable(counts.join(moved, "w", "left"))
+    top = counts.orderBy(F.desc("c"), "w").limit(max(head, lone)).toArrow()
+    top_w, top_c = top["w"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
+    top_k = np.concatenate([of[:lone], top["k"].to_numpy(zero_copy_only=False)[lone:].astype(np.int64)])
+    in_class = np.zeros((k, 2))
+    for b, c, n in counts.filter("k IS NOT NULL").groupBy("k").agg(F.sum("c"), F.count("*")).collect():
+        in_class[b] = c, n
+    np.add.at(in_class, np.append(of[:lone], of[units.end]), np.stack([np.append(top_c[:lone], ends), np.append(np.ones(lone), ends > 0)], 1))
+    order = np.argsort(top_w, kind="stable")
+    lookup = Lookup(top_w[order], top_k[order], group, int(of[units.end]))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big = np.zeros(k * k, np.int64)
         for b in small_batches(batches, 4 << 20):
-            h, _, number = tokens_of(b.column("text").to_pylist())
-            far = ~known(h)[1]
-            yield batch_of(kinds, {"__row": pa.array(b.column("__row").to_numpy()[number[far]]), "__w": pa.array(h[far])})
+            h, _, number = tokens_of(b.column(0).to_pylist())
+            cls, _, _ = lookup.sequence(h, number, b.num_rows)
+            before = np.concatenate([[lookup.end], cls[:-1]])
+            both = (before >= 0) & (cls >= 0)
+            big += np.bincount(before[both] * k + cls[both], minlength=k * k)
+        yield batch_of(pair_kinds, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        big, chain = np.zeros(k * k, np.int64), Chain()
+        for b in batches:
+            cls, after = b.column("__class").to_numpy(), b.column("__after").to_numpy()
+            last = after >= 0
+            big += np.bincount(chain.before(b) * k + cls, minlength=k * k) + np.bincount(cls[last] * k + after[last], minlength=k * k)
+        yield batch_of(pair_kinds, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
+
+    far = lookup.far(texts.withColumn("__row", F.monotonically_increasing_id()), counts)
+    sums = texts.mapInArrow(known, pair_kinds).unionAll(lookup.chained(far).mapInArrow(linked, pair_kinds)).groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+    big = np.zeros(k * k)
+    big[sums["p"].to_numpy()] = sums["n"].to_numpy()
+    big = big.reshape(k, k)
+    share = (in_class[:, 0] + 0.5) / (in_class[:, 0].sum() + 0.5 * k)
+    transition = np.log10((big + KAPPA * share[None, :]) / (big.sum(1, keepdims=True) + KAPPA))
+    spread = np.log10(in_class[:, 0] + 0.5 * (in_class[:, 1] + 1))
+    return Model(lookup, transition, spread, np.log10(top_c[order] + 0.5), float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (seen + 1))), int(total)), counts
+
 
+def score(docs: DataFrame, model: Model, counts: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``carry`` with n_tokens, n_known, train_tokens, base_score and score of every document (text)."""
+    rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("__row"))
+    lookup = model.lookup
     part_kinds = rows.drop("text").schema.add("n_tokens", LONG).add("__known", LONG).add("__base", DOUBLE).add("__score", DOUBLE)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4 << 20):
-            h, g, number = tokens_of(b.column("text").to_pylist())
+            h, _, number = tokens_of(b.column("text").to_pylist())
             d = b.num_rows
-            i, is_head = known(h)
-            logs = np.where(is_head, model.head_log[i] if len(model.head) else 0.0, 0.0)
-            u = model.units.of(h, g)
-            sequence, which = model.units.sequence(u, number, d)
-            cls = model.class_of[sequence]
-            path = model.transition[np.concatenate([[model.class_of[model.units.end]], cls[:-1]]), cls] + model.emission[sequence]
-            within = np.where(u < lone, 0.0, logs - model.spread[g])
+            i, is_head = lookup.of(h)
+            logs = np.where(is_head, model.head_log[i] if len(lookup.words) else 0.0, 0.0)
+            cls, which, _ = lookup.sequence(h, number, d)
+            before = np.concatenate([[lookup.end], cls[:-1]])
+            path = np.where((before >= 0) & (cls >= 0), model.transition[before, cls], 0.0) - np.where(cls >= 0, model.spread[cls], 0.0)
             add = lambda w, n: np.bincount(n, w, d)
-            made = {"n_tokens": np.bincount(number, minlength=d) + 1, "__known": np.bincount(number[is_head], minlength=d) + (model.total > 0), "__base": add(logs, number) + model.end_log, "__score": add(path, which) + add(within, number)}
+            made = {"n_tokens": np.bincount(number, minlength=d) + 1, "__known": np.bincount(number[is_head], minlength=d) + (model.total > 0), "__base": add(logs, number) + model.end_log, "__score": add(path, which)}
             yield batch_of(part_kinds, {c: b.column(c) for c in (*carry, "__row")} | {k: pa.array(v) for k, v in made.items()})
 
-    each = rows.select("text", "__row").mapInArrow(rare, kinds).join(counts.select(F.col("w").alias("__w"), "c"), "__w", "left")
-    c = F.coalesce("c", F.lit(0))
-    tails = each.groupBy("__row").agg(F.sum(F.log10(c + 0.5)).alias("__log"), F.count("c").alias("__more"))
+    far_kinds = schema(__row=LONG, __path=DOUBLE, __log=DOUBLE, __more=LONG)
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain = Chain()
+        for b in batches:
+            cls, after, c = b.column("__class").to_numpy(), b.column("__after").to_numpy(), b.column("c").fill_null(0).to_numpy()
+            path = model.transition[chain.before(b), cls] - model.spread[cls] + np.where(after >= 0, model.transition[cls, after], 0.0)
+            row, at = np.unique(b.column("__row").to_numpy(), return_inverse=True)
+            yield batch_of(far_kinds, {"__row": pa.array(row), "__path": pa.array(np.bincount(at, path, len(row))), "__log": pa.array(np.bincount(at, np.log10(c + 0.5), len(row))), "__more": pa.array(np.bincount(at[c > 0], minlength=len(row)))})
+
+    each = lookup.chained(lookup.far(rows, counts)).mapInArrow(paths, far_kinds)
+    tails = each.groupBy("__row").agg(*(F.sum(x).alias(x) for x in ("__path", "__log", "__more")))
     joined = rows.mapInArrow(parts, part_kinds).join(tails, "__row", "left")
     log = F.coalesce("__log", F.lit(0.0))
     base = F.col("__base") + log - F.col("n_tokens") * model.base
-    whole = F.col("__score") + log if model.total else base
+    # The end's own log is in __base.
+    whole = F.col("__score") + F.coalesce("__path", F.lit(0.0)) + F.col("__base") + log if model.total else base
     return joined.select(*carry, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).cast(LONG).alias("n_known"), F.lit(model.total).cast(LONG).alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
 
 

@@ -219,6 +219,39 @@ def test_exchange_raises_the_likelihood():
     assert likelihood(got) > max(likelihood(rng.integers(0, 4, 12)) for _ in range(20))
 
 
+def test_words_beyond_the_own_ones_choose_their_classes(spark):
+    texts = [f"a x{i}on b" for i in range(8)] * 4 + [f"c y{i}on d" for i in range(8)] * 4 + ["a p b", "c q d"] * 20
+    asked = spark.createDataFrame([(0, "a x1on b"), (1, "a y1on b")], "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    for head in (6, 65_536):
+        model, counts = brown_lm.train(docs, F.lit(True), own=6, classes=8, head=head)
+        of = {r.w: r.k for r in counts.collect()}
+        x, y = ({of[int(h)] for h in word_hashes(" ".join(f"{c}{i}on" for i in range(8))).view(np.int64)} for c in "xy")
+        assert len(x) == len(y) == 1 and x != y
+        like, unlike = brown_lm.score(asked, model, counts).orderBy("doc_id").collect()
+        assert like.base_score == unlike.base_score and like.score > unlike.score + 0.5
+
+
+def test_choices_equal_brute_force():
+    rng = np.random.default_rng(1)
+    k, n = 5, 30
+    now, between = rng.integers(0, k, n), rng.integers(0, 40, (k, k)).astype(float)
+    found = rng.integers(0, 9, (n, 2 * k)) * (rng.random((n, 2 * k)) < 0.6)
+
+    def with_word(big, w, b):
+        out = big.copy()
+        out[:, b] += found[w, :k]
+        out[b, :] += found[w, k:]
+        return out
+
+    def likelihood(big):
+        return brown_lm.xlogx(big).sum() - brown_lm.xlogx(big.sum(0)).sum() - brown_lm.xlogx(big.sum(1)).sum()
+
+    for w in range(n):
+        want = [likelihood(with_word(between, w, b)) for b in range(k)]
+        assert brown_lm.choices(found[w : w + 1], now[w : w + 1], with_word(between, w, now[w]))[0] == np.argmax(want)
+
+
 # Shards
 
 
