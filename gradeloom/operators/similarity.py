@@ -60,17 +60,28 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, digits: int = 5) -> DataFrame:
-    """The k nearest rows (vec_id, embedding) of each query by cosine, the query itself left out. Queries are a set that is stated, in broadcast blocks.
+#: Query vectors that are broadcast at a time.
+BLOCK = 1_000
 
+
+def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, digits: int = 5, block: int = BLOCK) -> DataFrame:
+    """The k nearest rows (vec_id, embedding) of each query by cosine, the query itself left out.
+
+    Queries are counted first and dealt by a hash of their ids into broadcast blocks of about ``block``; beyond one, each block's result is cut before the next.
     For exact search over many queries use an index; this compares each query with each row.
     """
     unit = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).filter("norm > 0")
     asked = unit.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
-    pairs = unit.join(F.broadcast(asked), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", F.col("vec_id").alias("candidate_id"), F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), digits).alias("cosine"))
+    blocks = max(1, -(-asked.count() // block))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "candidate_id")
-    return scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "cosine")
+    done = None
+    for i in range(blocks):
+        pairs = unit.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), F.col("vec_id") != F.col("query_id"))
+        scored = pairs.select("query_id", F.col("vec_id").alias("candidate_id"), F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), digits).alias("cosine"))
+        found = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "cosine")
+        found = cut(found) if blocks > 1 else found
+        done = found if done is None else done.unionAll(found)
+    return done
 
 
 def array_stats(rows: DataFrame, by: str, values: str, digits: int = 5) -> DataFrame:

@@ -91,6 +91,16 @@ def embedding_cosine_topk(spark, d):
     return M.cosine_top_k(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") < 10, 3)
 
 
+@query("embedding_cosine_topk_hundredth", """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, round(list_dot_product(q.v, c.v) / (q.n * c.n), 5) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, candidate_id) AS rank, candidate_id, cosine FROM s QUALIFY rank <= 3""")
+def embedding_cosine_topk_hundredth(spark, d):
+    # The query set of searches: rows with ids divisible by 100, which grows with the table.
+    return M.cosine_top_k(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 3)
+
+
 @query("systematic_sample", """
 SELECT vec_id, round(list_sum(list_filter(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x, i: (i - 1) % 8 = 0)), 5) AS sampled_sum FROM embeddings""")
 def systematic_sample(spark, d):

@@ -11,8 +11,9 @@ from gradeloom.functions import answers as A
 from gradeloom.functions import prompts as P
 from gradeloom.functions import text as X
 from gradeloom.operators import expressions as E
-from gradeloom.operators import grading, joining, judging, repairing, reporting, scoring, splitting
+from gradeloom.operators import grading, joining, judging, repairing, reporting, scoring, similarity, splitting
 from gradeloom.operators import energy
+from gradeloom.plans import catalogue
 
 CASES = [("3", ["3"], True), ("yes", ["1"], True), ("(1,2)", ["(2,1)"], True), ("BC", ["CB"], True), ("abc", [""], True), ("1,2", ["1"], False), ("[2,3)", ["[2,4)"], False), ("0.333333333", ["1/3"], True), ("Paris", ["paris"], True), ("x^2+2x+1", ["(x+1)^2"], True), ("\\frac12", ["0.5"], True), ("2x", ["3x"], False), ("\\sqrt{8}", ["2\\sqrt{2}"], True), ("-3", ["3"], False), ("(-\\infty,2)\\cup(3,4]", ["(-\\infty,2)\\cup(3,4]"], True), ("1.0", ["yes"], False), ("Tue", ["Tuesday"], True), ("3,4", ["3", "4"], True), ("4,3", ["3", "4"], False), ("\\sin^2x+\\cos^2x+1", ["2"], True), ("2.5\\times10^{3}", ["2500"], True)]
 
@@ -162,3 +163,24 @@ def test_budgets_double():
 def test_reports(spark):
     rows = spark.createDataFrame([("b", 2), ("a", 1)], "k string, n long")
     assert reporting.markdown_table(rows, ["k"]).first()[0] == "| k | n |\n| --- | --- |\n| a | 1 |\n| b | 2 |"
+
+
+def test_cosine_queries_in_blocks(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    want = []
+    for q, v in rows[::10]:
+        near = sorted((-round(sum(a * b for a, b in zip(v, w, strict=True)) / length(v) / length(w), 5), c) for c, w in rows if c != q)[:3]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(near)]
+    for block in (7, 1_000):
+        got = similarity.cosine_top_k(vectors, F.col("vec_id") % 10 == 0, 3, block=block)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_cosine_search_takes_every_hundredth_id(spark):
+    folder = "/root/testdata/sf0.01"
+    ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
+    got = catalogue.QUERIES["embedding_cosine_topk_hundredth"](spark, folder).select("query_id").distinct().collect()
+    assert {r[0] for r in got} == {i for i in ids if i % 100 == 0}
