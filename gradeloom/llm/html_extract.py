@@ -9,7 +9,7 @@ tag's its name), and its weight is log P(feature | main) - log P(feature | rest)
 layouts by rule, in the manner of hand-labelled examples; other pages can be given to ``fit``.
 
 Within the region, elements that never hold main text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-are left out. Blocks are joined by one line feed; white space inside a block becomes one space; character references are decoded.
+are left out. Where they stand inside an article or the like, they count nothing in the scan, so that the region can span them. Blocks are joined by one line feed; white space inside a block becomes one space; character references are decoded.
 
 Whole pages are read, in one pass where they lie; nothing is shuffled. Defined cases: null or empty html, or no word outside left-out elements: "".
 Markup that is cut off or nested wrongly ends elements as a browser would, roughly: an unknown end tag is ignored, a missing one ends with its parent.
@@ -42,6 +42,8 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 OUT = frozenset("script style noscript template svg math iframe object select textarea head title nav footer aside form button input label option menu dialog canvas audio video".split())
 #: Words in class, id or role that mark boilerplate.
 OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent cookie cookies copyright disqus footer form login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion promos reaction reactions reader recommended related replies reply responses search share sharing sidebar signup site-footer site-header skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo alert".split())
+#: Words in class, id, role or itemprop of elements that hold the main text, as article and main do.
+CONTENT_WORDS = frozenset("article articlebody content entry entry-content main post post-content story".split())
 #: Elements that an opening tag of a block closes, if they are open.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -60,12 +62,22 @@ def left_out(tag: str, attributes: str, inside: tuple[str, ...]) -> bool:
     return False
 
 
+def holds_content(tag: str, attributes: str) -> bool:
+    if tag in ("article", "main"):
+        return True
+    return bool(attributes) and tag in ("div", "section", "td") and any(not CONTENT_WORDS.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in _HINT.finditer(attributes))
+
+
 class Page:
     """The tokens of a page: tags with their names, runs of text with feature, block and content."""
 
     def __init__(self, page: str) -> None:
         self.items: list[tuple[bool, str, int, str]] = []  # is text, feature, block, text
+        #: Items in left-out elements that stand inside the main text's.
+        self.spanned: set[int] = set()
         stack: list[tuple[str, bool]] = []
+        holders: list[int] = []  # depths of the open elements that hold main text
+        spans = False  # whether the left-out element that is open stands in one
         out_depth = links = block = 0
         at, n = 0, len(page)
 
@@ -73,6 +85,8 @@ class Page:
             if not piece:
                 return
             feature = "out" if out_depth else "link" if links else kind()
+            if out_depth and spans:
+                self.spanned.add(len(self.items))
             self.items.append((True, feature, block, piece))
 
         def kind() -> str:
@@ -87,6 +101,8 @@ class Page:
                 tag, is_out = stack.pop()
                 out_depth -= is_out
                 links -= tag == "a"
+            while holders and holders[-1] >= len(stack):
+                holders.pop()
 
         while at < n:
             m = _TOKEN.search(page, at)
@@ -100,6 +116,9 @@ class Page:
             tag = m[2].lower()
             if tag in BLOCKS or tag in ("hr",):
                 block += 1
+            item = len(self.items)
+            if out_depth and spans:
+                self.spanned.add(item)
             if m[1]:
                 self.items.append((False, tag, block, ""))
                 places = [i for i, (t, _) in enumerate(stack) if t == tag]
@@ -108,7 +127,11 @@ class Page:
                 continue
             self.items.append((False, tag, block, ""))
             if tag == "br":
+                if item in self.spanned:
+                    self.spanned.add(item + 1)
                 self.items.append((True, "out" if out_depth else kind(), block, " "))
+            if (tag in _RAW_END or tag in VOID) and holders and not out_depth and left_out(tag, m[3] or "", tuple(t for t, _ in stack)):
+                self.spanned.add(item)
             if tag in _RAW_END:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else n
@@ -124,6 +147,12 @@ class Page:
                     if stack[i][0] in BLOCKS:
                         break
             is_out = left_out(tag, m[3] or "", tuple(t for t, _ in stack)) if not out_depth else False
+            if is_out:
+                spans = bool(holders)
+                if spans:
+                    self.spanned.add(item)
+            elif not out_depth and holds_content(tag, m[3] or ""):
+                holders.append(len(stack))
             stack.append((tag, is_out))
             out_depth += is_out
             links += tag == "a"
@@ -193,7 +222,7 @@ def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
         return ""
     weights = weights or default_weights()
     items = Page(page)
-    scores = [weights.get(f, 0.5 if f[0] == "w" else -1.0) * n for f, n in features(items)]
+    scores = [0.0 if i in items.spanned else weights.get(f, 0.5 if f[0] == "w" else -1.0) * n for i, (f, n) in enumerate(features(items))]
     a, z = region(scores)
     parts: dict[int, list[str]] = {}
     inside: Counter = Counter()

@@ -34,6 +34,14 @@ def test_region_is_the_best_contiguous_run():
         assert sum(s[a:z]) == best
 
 
+@pytest.mark.parametrize("shell", ["article", 'div class="content"'])
+@pytest.mark.parametrize("inner", ["<aside><p>{}</p></aside>", '<div class="ad">{}</div>', "<form><label>{}</label><input name=q></form>"])
+def test_html_long_adverts_inside_an_article_cut_nothing(shell, inner):
+    first, last = " ".join(["first"] * 25), " ".join(["last"] * 60)
+    page = f"<body><nav>menu here</nav><{shell}><h1>Some heading</h1><p>{first}</p>{inner.format('advert ' * 90)}<p>{last}</p></{shell.split()[0]}><footer>end</footer></body>"
+    assert html_extract.extract(page) == f"Some heading\n{first}\n{last}"
+
+
 def test_html_table(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a b</p>"), (1, "u", "<p>a b</p>"), (2, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.main_text(rows).collect())
