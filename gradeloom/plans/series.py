@@ -24,6 +24,12 @@ def energy_trapezoid(spark, d):
     return _intervals(spark, d).groupBy("user_id").agg(F.count("*").alias("intervals"), F.round(F.sum("seconds"), 3).alias("seconds"), F.round(F.sum("joules"), 1).alias("joules"))
 
 
+def _priced(spark, d):
+    """Intervals at the prices of the days they lie in; the calendar has every year from the first event's to the last one's."""
+    first, last = table(spark, d, "events").agg(F.min(F.year("ts")), F.max(F.year("ts"))).first()
+    return E.priced(_intervals(spark, d), E.holidays(spark, first, last) if first else E.holidays(spark, 1, 0))
+
+
 _DAYS = """
 y AS (SELECT unnest(range({0}, {1})) AS y),
 h AS (
@@ -41,12 +47,12 @@ r AS (SELECT *, CAST(CASE season || period WHEN 'summersuper_off' THEN 0.38773 W
 
 @query("energy_tou_cost", _STEPS.rstrip() + _PRICES + "SELECT user_id, season, period, count(*) AS intervals, round(sum(joules), 1) AS joules, round(sum(joules / 3.6e6::DOUBLE * rate), 6) AS cost_usd, max(rate) AS rate FROM r GROUP BY ALL")
 def energy_tou_cost(spark, d):
-    return E.breakdown(E.priced(_intervals(spark, d), E.holidays(spark, 2024, 2024)), "user_id")
+    return E.breakdown(_priced(spark, d), "user_id")
 
 
 @query("energy_summary", _STEPS.rstrip() + _PRICES + "SELECT user_id, round(sum(seconds), 3) AS seconds, round(sum(joules / 3.6e6::DOUBLE), 6) AS kwh, round(sum(joules / 3.6e6::DOUBLE * rate), 6) AS cost_usd, round(coalesce(sum(joules) / nullif(sum(seconds), 0), 0), 3) AS average_watts FROM r GROUP BY ALL")
 def energy_summary(spark, d):
-    return E.summary(E.priced(_intervals(spark, d), E.holidays(spark, 2024, 2024)), "user_id")
+    return E.summary(_priced(spark, d), "user_id")
 
 
 @query("counter_wrap", """

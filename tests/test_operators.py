@@ -184,3 +184,14 @@ def test_cosine_search_takes_every_hundredth_id(spark):
     ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
     got = catalogue.QUERIES["embedding_cosine_topk_hundredth"](spark, folder).select("query_id").distinct().collect()
     assert {r[0] for r in got} == {i for i in ids if i % 100 == 0}
+
+
+@pytest.mark.parametrize("name", ["energy_tou_cost", "energy_summary"])
+def test_holidays_of_every_year_of_the_events(spark, tmp_path, name):
+    # Independence Day of 2025 and Christmas Day of 2026, a Friday each, from 8 to 9 in the morning: super_off as on weekends.
+    events = spark.sql("SELECT * FROM VALUES (1L, 1L, timestamp_ntz'2025-07-04 08:00:00', 1000D), (1L, 2L, timestamp_ntz'2025-07-04 09:00:00', 1000D), (2L, 3L, timestamp_ntz'2026-12-25 08:00:00', 1000D), (2L, 4L, timestamp_ntz'2026-12-25 09:00:00', 1000D) t(user_id, event_id, ts, value)")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.cost_usd for r in catalogue.QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {1: energy.RATES["summer"]["super_off"], 2: energy.RATES["winter"]["super_off"]}
+    spark.read.parquet(f"{tmp_path}/events.parquet").filter("false").write.parquet(f"{tmp_path}/none/events.parquet")
+    assert catalogue.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
