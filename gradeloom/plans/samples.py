@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import similarity as M
 from ..operators import splitting as P
-from .registry import query, table
+from .registry import ORACLES, query, table
 
 
 @query("stratified_largest_remainder", """
@@ -146,3 +146,23 @@ def topk_similarity(spark, d):
 def similarity_metrics(spark, d):
     queries, candidates = _sides(spark, d)
     return M.best_metrics(queries, M.most_similar(queries, candidates, 1))
+
+
+#: The same over documents, the candidates that the survey plans.
+_DOCUMENT_GRAMS = _GRAMS.replace("SELECT 'c', conv_id * 1000 + turn, lower(text) FROM conversations", "SELECT 'c', doc_id, lower(text) FROM documents")
+
+
+def _document_sides(spark, d):
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
+    return queries, table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("topk_similarity_documents", _DOCUMENT_GRAMS + "SELECT * FROM k")
+def topk_similarity_documents(spark, d):
+    return M.most_similar(*_document_sides(spark, d), 3)
+
+
+@query("similarity_metrics_documents", ORACLES["similarity_metrics"].replace(_GRAMS, _DOCUMENT_GRAMS))
+def similarity_metrics_documents(spark, d):
+    queries, candidates = _document_sides(spark, d)
+    return M.best_metrics(queries, M.most_similar(queries, candidates, 1))

@@ -1,5 +1,7 @@
 """Operators on small tables, edge cases and properties."""
 
+import collections
+import math
 import random
 
 import pytest
@@ -195,3 +197,32 @@ def test_holidays_of_every_year_of_the_events(spark, tmp_path, name):
     assert got == {1: energy.RATES["summer"]["super_off"], 2: energy.RATES["winter"]["super_off"]}
     spark.read.parquet(f"{tmp_path}/events.parquet").filter("false").write.parquet(f"{tmp_path}/none/events.parquet")
     assert catalogue.QUERIES[name](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_benchmark_passages_in_documents_are_found(spark, tmp_path):
+    passages = ["the quick brown fox jumps over the lazy dog", "numbers and letters make a sum"]
+    texts = ["nothing of it", f"before {passages[1]} after", passages[0], "the dog is lazy"]
+    spark.createDataFrame([*enumerate(passages)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(10 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def grams(text):
+        words = [f" {w} " for w in text.lower().split()]
+        return collections.Counter(g for w in words for n in (3, 4, 5) for g in ([w] if n == 3 and len(w) < 3 else [w[i : i + n] for i in range(len(w) - n + 1)]))
+
+    every = [grams(t) for t in passages + texts]
+    df = collections.Counter(g for c in every for g in c)
+
+    def vector(c):
+        raw = {g: (1 + math.log(n)) * (math.log((1 + len(every)) / (1 + df[g])) + 1) for g, n in c.items()}
+        size = math.sqrt(sum(x * x for x in raw.values()))
+        return {g: x / size for g, x in raw.items()}
+
+    vectors = [vector(c) for c in every]
+    want = []
+    for q in (0, 1):
+        near = sorted((-round(s, 6), 10 + i) for i, v in enumerate(vectors[2:]) if (s := sum(x * v.get(g, 0) for g, x in vectors[q].items())))[:3]
+        want += [(q, n + 1, c, pytest.approx(-s, abs=2e-6)) for n, (s, c) in enumerate(near)]
+    got = catalogue.QUERIES["topk_similarity_documents"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "candidate_id", "similarity").collect()) == want
+    best = catalogue.QUERIES["similarity_metrics_documents"](spark, str(tmp_path)).first()
+    assert best.queries == 2 and best.at_least_50 == 2
