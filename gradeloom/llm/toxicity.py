@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibration.
 
 Terms are words (runs of letters, lower-cased), their first 4, 5 and 6 letters, and, for a term that stands 2 or 4 times in a text, a term
-that says so (a cosine alone can't tell one mention from many). The vocabulary is chosen from the labelled sample: terms that go with
-the label by a chi-squared test, at most ``terms`` of them, the strongest first. A text's vector is
+that says so (a cosine alone can't tell one mention from many). The vocabulary is chosen from the labelled sample: of the terms in at least
+``least_docs`` examples those that go with the label most by chi-squared, at most ``terms`` of them, the strongest first; ``least_chi``, a parameter,
+can ask for a least statistic and is 0 if not given, so that small samples have a vocabulary too. A text's vector is
 (1 + log count) * idf over that vocabulary, scaled to length 1, from its whole text.
 
 The index has a posting list a term, cut into blocks of examples with the largest weight of each block. A query adds up its terms' block
@@ -172,7 +173,7 @@ def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (float(max(w[0], 0.0)), float(w[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = 4) -> Index:
+def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = 4, least_chi: float = 0.0) -> Index:
     """An index of labelled documents (doc_id, text; doc_id, toxic) whose doc_id fulfils ``keep``."""
     few_rows_a_batch(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms:
     n, df = float(n1 + n0), a + b
     chi = n * F.pow(a * n0 - b * n1, F.lit(2.0)) / (df * (n - df) * max(1, n1) * max(1, n0))
     # Digits of the statistic beyond 1e-6 don't decide, so the choice doesn't hang on the order of sums.
-    strong = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter((df >= least_docs) & (df < n)).withColumn("chi", F.round(chi, 6)).filter("chi > 25").orderBy(F.desc("chi"), "term").limit(terms).collect()
+    strong = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter((df >= least_docs) & (df < n)).withColumn("chi", F.round(chi, 6)).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(terms).collect()
     strong.sort(key=lambda r: r.term)
     index = Index({r.term: i for i, r in enumerate(strong)}, np.log(n / np.array([r.toxic + r.clean for r in strong], float)) if strong else np.zeros(0))
     vocabulary = index.vocabulary

@@ -143,6 +143,13 @@ def test_toxicity_scores(spark, index, edge_docs):
     assert toxicity.accepted(edge_docs, model).columns == edge_docs.columns
 
 
+def test_toxic_words_of_few_examples_count(spark):
+    rows = [(i, f"plain words{i % 4} here " + ("zork" if i < 5 else "calm"), "en", "a") for i in range(20)]
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame([(i, int(i < 5)) for i in range(20)], "doc_id long, toxic int"), F.lit(True))
+    assert {"zork", "calm"} <= model.vocabulary.keys()
+    assert model.score("such a zork")[0] > 0.5 > model.score("such a calm")[0]
+
+
 def test_toxicity_without_labels(spark, edge_docs, no_docs):
     none = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.train(edge_docs, none, F.lit(True))
