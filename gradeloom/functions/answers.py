@@ -1,6 +1,6 @@
 """Finding final answers in generated text: boxes, letters, markers, option routing. Column expressions, in the JVM.
 
-``boxes`` and its kin follow braces to a depth of four, which is what answers have; ``gradeloom.operators.judging`` has the scan of any depth.
+Boxes may hold braces of any depth: those that a pattern of four levels can't close are found by a scan over the text's braces (``closed``).
 """
 
 from __future__ import annotations
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import after_think, occurrences, strip
+from .text import after_think, occurrences, once, strip
 
 _NEST = r"[^{}]"
 for _ in range(4):
@@ -18,9 +18,47 @@ BOX = rf"\\boxed\{{({_NEST}*)\}}"
 GAP = r"^[\s,\$\.\;\:\-\&\\]*$"
 
 
+#: Stand-ins for braces inside deep boxes, from the private use area.
+_LEFT, _RIGHT = "\ue000", "\ue001"
+
+
+def _masked(c: Column) -> Column:
+    """A text in which braces inside boxes that are closed are stand-ins, whatever their depth; one scan over the pieces that end in a brace."""
+    frame = "array<struct<text:string,box:boolean>>"
+    start = F.array(F.struct(F.lit("").alias("text"), F.lit(False).alias("box"))).cast(frame)
+
+    def step(stack: Column, piece: Column) -> Column:
+        top, rest = F.element_at(stack, -1), F.slice(stack, F.lit(1), F.size(stack) - 1)
+        with_ = lambda below, frame_, text: F.concat(below, F.array(F.struct(F.concat(frame_["text"], text).alias("text"), frame_["box"].alias("box"))))
+        body = F.left(piece, F.length(piece) - 1)
+        opened = F.concat(with_(rest, top, body), F.array(F.struct(F.lit("").alias("text"), piece.endswith("\\boxed{").alias("box"))))
+        content = F.concat(top["text"], body)
+        inside = F.when(top["box"], F.translate(content, "{}", _LEFT + _RIGHT)).otherwise(content)
+        shut = with_(F.slice(stack, F.lit(1), F.size(stack) - 2), F.element_at(stack, -2), F.concat(F.lit("{"), inside, F.lit("}")))
+        return F.when(piece.endswith("{"), opened).when(piece.endswith("}") & (F.size(stack) > 1), shut).otherwise(with_(rest, top, piece))
+
+    return F.aggregate(F.split(c, r"(?<=[{}])", -1), start, step, lambda stack: F.array_join(F.transform(stack, lambda f: f["text"]), "{"))
+
+
+def closed(c: Column) -> Column:
+    """A text of which ``BOX`` finds every closed box: the text itself, or one with stand-ins in boxes too deep for the pattern."""
+    return F.when(occurrences(c, "\\boxed{") > F.regexp_count(c, F.lit(BOX)), _masked(c)).otherwise(c)
+
+
+def opened(c: Column) -> Column:
+    """Stand-ins as braces again."""
+    return F.translate(c, _LEFT + _RIGHT, "{}")
+
+
+def unboxed(c: Column) -> Column:
+    """Boxes replaced by their contents, boxes in boxes too."""
+    deep = once(closed(c), lambda t: opened(F.regexp_replace(t, BOX, "$1")))
+    return once(once(deep, lambda t: F.when(t.contains("\\boxed{"), opened(F.regexp_replace(closed(t), BOX, "$1"))).otherwise(t)), lambda t: F.when(t.contains("\\boxed{"), opened(F.regexp_replace(closed(t), BOX, "$1"))).otherwise(t))
+
+
 def boxes(c: Column) -> Column:
     """Contents of all boxes that aren't empty, trimmed."""
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(BOX), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(closed(c), F.lit(BOX), F.lit(1)), lambda x: F.trim(opened(x))), lambda x: x != "")
 
 
 def last_box(c: Column) -> Column:
@@ -31,11 +69,21 @@ def last_box(c: Column) -> Column:
 
 def last_box_group(c: Column) -> Column:
     """Contents of the last run of boxes with nothing but separators between them."""
+    return once(closed(c), _last_group)
+
+
+def _last_group(c: Column) -> Column:
     contents, gaps = F.regexp_extract_all(c, F.lit(BOX), F.lit(1)), F.split(c, BOX, -1)
     n = F.size(contents)
     breaks = F.filter(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: ~F.get(gaps, i).rlike(GAP))
     first = F.coalesce(F.array_max(breaks), F.lit(0))
-    return F.when(n > 0, F.slice(contents, first + 1, n - first)).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.when(n > 0, F.slice(contents, first + 1, n - first)).otherwise(F.array().cast("array<string>")), opened)
+
+
+def open_box(c: Column) -> Column:
+    """What stands behind the last box that is never closed, to the end of the text; "" if every box is closed."""
+    rest = F.substring_index(once(closed(c), lambda t: F.regexp_replace(t, BOX, "")), "\\boxed{", -1)
+    return F.when(occurrences(once(closed(c), lambda t: F.regexp_replace(t, BOX, "")), "\\boxed{") > 0, F.trim(opened(rest))).otherwise("")
 
 
 def top_level_split(c: Column) -> Column:

@@ -59,14 +59,17 @@ def solution_reasoning(spark, d):
     return table(spark, d, "documents").select("doc_id", C.solution_reasoning(solution, n).alias("reasoning"))
 
 
-@query("inline_options", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'one|two ' || doc_id || '|three' WHEN 1 THEN 'x|y' ELSE '' END AS options, CASE doc_id % 4 WHEN 3 THEN '' ELSE 'Pick' END AS stem FROM documents")
+@query("inline_options", r"""
+WITH q AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Pick [ANS] A. one B. two ' || doc_id || ' C) three' WHEN 1 THEN 'Pick A) x' || doc_id || ' B) y D) z' WHEN 2 THEN 'Pick A. only C. this A. p B. q ' || doc_id WHEN 3 THEN 'xA. no ' || doc_id ELSE 'A. lone ' || doc_id END AS q FROM documents),
+m AS (SELECT doc_id, q, regexp_replace(q, '(^|[^A-Za-z0-9])([A-Z])[.)]\s+', '\1' || chr(1) || '\2' || chr(2), 'g') AS t FROM q),
+c AS (SELECT doc_id, regexp_extract(t, '^(.*?)\x01A\x02[^\x01]*\x01B\x02', 1) AS stem, regexp_extract(t, '\x01A\x02([^\x01]*)\x01B\x02', 1) AS a, regexp_extract(t, '\x01A\x02[^\x01]*\x01B\x02(.*)$', 1) AS rest FROM m),
+o AS (SELECT doc_id, replace(regexp_replace(stem, '\x01([A-Z])\x02', '\1. ', 'g'), '[ANS]', '') AS stem, rest, CASE WHEN rest = '' THEN '' WHEN contains(rest, chr(1) || 'C' || chr(2)) THEN trim(a) || '|' || trim(split_part(rest, chr(1), 1)) || '|' || trim(split_part(rest, chr(2), 2)) ELSE trim(a) || '|' || trim(regexp_replace(rest, '\x01([A-Z])\x02', '\1) ', 'g')) END AS options FROM c)
+SELECT doc_id, options, CASE WHEN rest <> '' THEN trim(stem) END AS stem FROM o""")
 def inline_options(spark, d):
-    k, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
-    question = F.when(k == 0, F.concat(F.lit("Pick [ANS] A. one B. two "), n, F.lit(" C) three"))).when(k == 1, "Pick A) x B) y D) z").when(k == 2, "Pick A. only C. this").otherwise("None here")
+    k, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    question = F.when(k == 0, F.concat(F.lit("Pick [ANS] A. one B. two "), n, F.lit(" C) three"))).when(k == 1, F.concat(F.lit("Pick A) x"), n, F.lit(" B) y D) z"))).when(k == 2, F.concat(F.lit("Pick A. only C. this A. p B. q "), n)).when(k == 3, F.concat(F.lit("xA. no "), n)).otherwise(F.concat(F.lit("A. lone "), n))
     q = table(spark, d, "documents").select("doc_id", question.alias("q"))
-    options = C.inline_options(F.col("q"))
-    first_two = F.when(F.col("doc_id") % 4 == 1, F.transform(options, lambda o: F.regexp_replace(o, r" D\).*", ""))).otherwise(options)
-    return q.select("doc_id", F.array_join(first_two, "|").alias("options"), C.stem(F.col("q")).alias("stem"))
+    return q.select("doc_id", F.array_join(C.inline_options(F.col("q")), "|").alias("options"), C.stem(F.col("q")).alias("stem"))
 
 
 @query("wrong_answers", """
