@@ -1,24 +1,30 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is a sequence of tokens: words, and tags. Words score positive where main text usually stands, tags (and words in the likes of menus
-and adverts) negative; one linear scan finds the contiguous run of tokens with the largest sum, which is the content region. Blocks that
-the region cuts are taken whole if most of their words lie in it.
+A page is a sequence of tokens: words, and tags. Each has a score: the log-odds of its features, learned by counting on labelled pages. Words score
+positive where main text stands and negative where boilerplate does; tags score negative. One linear scan finds the contiguous run of tokens
+with the largest sum: the content region. What lies outside it is dropped for no other reason than that.
 
-The weights are log-odds, learned by counting on labelled pages: each token has a feature (a word's is the kind of element it stands in, a
-tag's its name), and its weight is log P(feature | main) - log P(feature | rest), smoothed. ``labelled_pages`` writes such pages from a few
-layouts by rule, in the manner of hand-labelled examples; other pages can be given to ``fit``.
+A word's features are the kind of element it stands in (paragraph, heading, item, cell, link in one of these, bare text, and whether an element that
+holds main text is around it) and, if an element around it is marked as boilerplate by its name, class, id or role, that mark, whose log-odds
+are added. Names of classes only shift weights: a class counts as a mark if all of its parts are words of boilerplate or of layout, at least one
+of boilerplate, so "form-factor" and "has-sidebar" are none.
 
-Within the region, elements that never hold main text (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-are left out. Where they stand inside an article or the like, they count nothing in the scan, so that the region can span them. Blocks are joined by one line feed; white space inside a block becomes one space; character references are decoded.
+Gaps: an element so marked whose own sum is below 0 and that stands within an element that holds main text (an article, a main part, a class of
+content, or the element with the most words in paragraphs of its own) is an island in the run: its tokens count 0 in the scan, so that the
+run can span it, and its words are left out of the region. Blocks that the region cuts are taken whole if most of their words lie in it.
 
-Whole pages are read, in one pass where they lie; nothing is shuffled. Defined cases: null or empty html, or no word outside left-out elements: "".
-Markup that is cut off or nested wrongly ends elements as a browser would, roughly: an unknown end tag is ignored, a missing one ends with its parent.
-Repeated rows give repeated results.
+``labelled_pages`` writes labelled pages from layouts by rule; other pages can be given to ``fit``. Blocks are joined by one line feed; white space
+inside a block becomes one space; character references are decoded. Whole pages are read, in one pass where they lie, in time linear in their
+length; nothing is shuffled.
+
+Defined cases: null or empty html, or no run with a positive sum: "". Markup that is cut off or nested wrongly ends elements as a browser would,
+roughly: an unknown end tag is ignored, a missing one ends with its parent. Repeated rows give repeated results. Extra columns aren't read.
 """
 
 from __future__ import annotations
 
 import html as entities
+import itertools
 import math
 import re
 from collections import Counter
@@ -31,78 +37,118 @@ from pyspark.sql import types as T
 from .shared import LONG, STRING, batch_of, few_rows_a_batch, schema, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "noscript", "template", "svg", "math", "iframe", "object", "select")}
+#: Elements whose content is no text of the page.
+RAW = ("script", "style", "textarea", "noscript", "template", "svg", "iframe", "object", "select")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 _HINT = re.compile(r"\b(?:class|id|role|itemprop|aria-label|data-role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that start and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose content is never main text.
-OUT = frozenset("script style noscript template svg math iframe object select textarea head title nav footer aside form button input label option menu dialog canvas audio video".split())
-#: Words in class, id or role that mark boilerplate.
-OUT_WORDS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent cookie cookies copyright disqus footer form login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion promos reaction reactions reader recommended related replies reply responses search share sharing sidebar signup site-footer site-header skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo alert".split())
+#: Kinds of the blocks that hold words of their own.
+KINDS = {"p": "flow", "pre": "flow", "blockquote": "flow", "figcaption": "flow", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "caption": "cell"}
+#: Elements whose names mark boilerplate.
+MARKED = frozenset("head title nav footer aside form button input label option menu dialog canvas audio video".split())
+#: Words of a class, id or role that mark boilerplate, and words of layout that may stand beside them.
+MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent cookie cookies copyright disqus footer form login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion promos reaction reactions reader recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo alert".split())
+LAYOUT = frozenset("area bar block body bottom box button buttons center col column container content fixed global group header holder inner item items label left line link links list main module outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
 #: Words in class, id, role or itemprop of elements that hold the main text, as article and main do.
 CONTENT_WORDS = frozenset("article articlebody content entry entry-content main post post-content story".split())
-#: Elements that an opening tag of a block closes, if they are open.
-CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+#: Elements that an opening tag of a block closes, if the nearest open block is one of them.
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
+
+
+def names(attributes: str) -> list[str]:
+    """Classes, ids and roles, lower-cased."""
+    return [w for m in _HINT.finditer(attributes) for w in (m[1] or m[2] or m[3] or "").lower().split()]
+
 
+def marks(name: str) -> bool:
+    """Whether a class is one of boilerplate: all its parts are words of boilerplate or layout (or numbers), at least one of boilerplate."""
+    parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT for p in parts)
 
-def left_out(tag: str, attributes: str, inside: tuple[str, ...]) -> bool:
-    if tag in OUT or (tag == "header" and "article" not in inside and "main" not in inside):
+
+def marked(tag: str, attributes: str, in_main: bool) -> bool:
+    """Whether an element's name or attributes mark it as boilerplate; a header is one outside an article or a main part."""
+    if tag in MARKED or (tag == "header" and not in_main):
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
-    if _HIDDEN.search(attributes):
-        return True
-    for m in _HINT.finditer(attributes):
-        words = re.split(r"[\s_]+", (m[1] or m[2] or m[3] or "").lower())
-        if any(w in OUT_WORDS or not OUT_WORDS.isdisjoint(w.split("-")) for w in words):
-            return True
-    return False
+    return bool(_HIDDEN.search(attributes)) or any(marks(n) for n in names(attributes))
 
 
 def holds_content(tag: str, attributes: str) -> bool:
-    if tag in ("article", "main"):
-        return True
-    return bool(attributes) and tag in ("div", "section", "td") and any(not CONTENT_WORDS.isdisjoint((m[1] or m[2] or m[3] or "").lower().split()) for m in _HINT.finditer(attributes))
+    return tag in ("article", "main") or (bool(attributes) and tag in ("div", "section", "td") and not CONTENT_WORDS.isdisjoint(names(attributes)))
 
 
 class Page:
-    """The tokens of a page: tags with their names, runs of text with feature, block and content."""
+    """The tokens of a page in order, one list an attribute: whether text, feature, whether marked, block, number of words, and the text."""
 
     def __init__(self, page: str) -> None:
-        self.items: list[tuple[bool, str, int, str]] = []  # is text, feature, block, text
-        #: Items in left-out elements that stand inside the main text's.
-        self.spanned: set[int] = set()
-        stack: list[tuple[str, bool]] = []
-        holders: list[int] = []  # depths of the open elements that hold main text
-        spans = False  # whether the left-out element that is open stands in one
-        out_depth = links = block = 0
-        at, n = 0, len(page)
+        self.is_text: list[bool] = []
+        self.feature: list[str] = []
+        self.out: list[bool] = []
+        self.block: list[int] = []
+        self.words: list[int] = []
+        self.text: list[str] = []
+        #: Marked elements that stand in no other: first item, end, whether in an element that holds main text, and the element around it.
+        self.islands: list[tuple[int, int, bool, int]] = []
+        #: Words in paragraphs and headings, and bare words, by the element around them.
+        self.flow: Counter[int] = Counter()
+        self.bare: Counter[int] = Counter()
+        self.around: list[int] = []
+        self.read(page)
+        most = self.flow or self.bare
+        #: The element with the most words in paragraphs of its own; on a page without paragraphs, with the most bare words.
+        self.holder = max(most, key=lambda e: (most[e], -e)) if most else None
+        for i, f in enumerate(self.feature):
+            if self.is_text[i] and self.around[i] == self.holder and not f.endswith("-in"):
+                self.feature[i] = f + "-in"
+
+    def add(self, is_text: bool, feature: str, out: bool, block: int, text: str = "", around: int = -1) -> None:
+        self.around.append(around)
+        self.is_text.append(is_text)
+        self.feature.append(feature)
+        self.out.append(out)
+        self.block.append(block)
+        self.words.append(len(text.split()) if is_text else 1)
+        self.text.append(text)
+
+    def read(self, page: str) -> None:
+        # Of each open element: tag, number, kind of block, element around that block, whether it marks, holds main text, is a link.
+        stack: list[tuple[str, int, str, int, bool, bool, bool]] = [("", 0, "bare", 0, False, False, False)]
+        places: dict[str, list[int]] = {}
+        blocks: list[int] = [0]
+        number = itertools.count(1)
+        out = holders = links = mains = block = at = 0
+        island = None
+        n = len(page)
 
         def text(piece: str) -> None:
-            if not piece:
-                return
-            feature = "out" if out_depth else "link" if links else kind()
-            if out_depth and spans:
-                self.spanned.add(len(self.items))
-            self.items.append((True, feature, block, piece))
-
-        def kind() -> str:
-            for tag, _ in reversed(stack):
-                if tag in BLOCKS:
-                    return "heading" if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else "item" if tag in ("li", "td", "th", "dt", "dd") else "flow" if tag in ("p", "pre", "blockquote", "figcaption") else "bare"
-            return "bare"
+            if piece:
+                kind, around = stack[-1][2:4]
+                before = len(self.text)
+                self.add(True, ("link-" if links else "") + kind + ("-in" if holders else ""), out > 0, block, piece, around)
+                if not out and not links and kind in ("flow", "heading", "bare"):
+                    (self.bare if kind == "bare" else self.flow)[around] += self.words[before]
 
         def close(to: int) -> None:
-            nonlocal out_depth, links
+            nonlocal out, holders, links, mains, island
             while len(stack) > to:
-                tag, is_out = stack.pop()
-                out_depth -= is_out
-                links -= tag == "a"
-            while holders and holders[-1] >= len(stack):
-                holders.pop()
+                tag, _, _, _, marks_, holds, link = stack.pop()
+                places[tag].pop()
+                if blocks[-1] == len(stack):
+                    blocks.pop()
+                holders -= holds
+                links -= link
+                mains -= tag in ("article", "main")
+                if marks_:
+                    out -= 1
+                    if not out and island is not None:
+                        self.islands.append((island[0], len(self.text), island[1], island[2]))
+                        island = None
 
         while at < n:
             m = _TOKEN.search(page, at)
@@ -113,85 +159,114 @@ class Page:
             at = max(m.end(), at + 1)
             if not m[2]:
                 continue
-            tag = m[2].lower()
-            if tag in BLOCKS or tag in ("hr",):
+            tag, attributes = m[2].lower(), m[3] or ""
+            if tag in BLOCKS or tag == "hr":
                 block += 1
-            item = len(self.items)
-            if out_depth and spans:
-                self.spanned.add(item)
             if m[1]:
-                self.items.append((False, tag, block, ""))
-                places = [i for i, (t, _) in enumerate(stack) if t == tag]
-                if places:
-                    close(places[-1])
+                self.add(False, tag, out > 0, block)
+                if places.get(tag):
+                    close(places[tag][-1])
                 continue
-            self.items.append((False, tag, block, ""))
+            if tag in CLOSES or tag in BLOCKS:
+                shut = CLOSES.get(tag, {"p"})
+                top = len(stack) - 1 if tag == "option" else blocks[-1]
+                if stack[top][0] in shut:
+                    close(top)
+            item = len(self.text)
+            mark = marked(tag, attributes, mains > 0)
+            # A page inside one large form, as some servers write them: an article or main part of its own ends the mark.
+            if tag in ("article", "main") and out and not mark and all(e[0] == "form" for e in stack if e[4]):
+                out, island = 0, None
+                for i, e in enumerate(stack):
+                    if e[4]:
+                        stack[i] = (*e[:4], False, *e[5:])
+            self.add(False, tag, out > 0 or mark, block)
             if tag == "br":
-                if item in self.spanned:
-                    self.spanned.add(item + 1)
-                self.items.append((True, "out" if out_depth else kind(), block, " "))
-            if (tag in _RAW_END or tag in VOID) and holders and not out_depth and left_out(tag, m[3] or "", tuple(t for t, _ in stack)):
-                self.spanned.add(item)
+                self.add(True, stack[-1][2] + ("-in" if holders else ""), out > 0, block, " ", stack[-1][3])
             if tag in _RAW_END:
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else n
                 continue
             if tag in VOID:
+                if mark and not out:
+                    self.islands.append((item, len(self.text), holders > 0, stack[-1][1]))
                 continue
-            if tag in CLOSES or tag in BLOCKS:
-                shut = CLOSES.get(tag, {"p"} if tag not in ("li", "td", "th", "tr") else set())
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in shut:
-                        close(i)
-                        break
-                    if stack[i][0] in BLOCKS:
-                        break
-            is_out = left_out(tag, m[3] or "", tuple(t for t, _ in stack)) if not out_depth else False
-            if is_out:
-                spans = bool(holders)
-                if spans:
-                    self.spanned.add(item)
-            elif not out_depth and holds_content(tag, m[3] or ""):
-                holders.append(len(stack))
-            stack.append((tag, is_out))
-            out_depth += is_out
+            if mark and not out:
+                island = (item, holders > 0, stack[-1][1])
+            holds = not out and not mark and holds_content(tag, attributes)
+            me = next(number)
+            kind, around = (KINDS[tag], stack[-1][1]) if tag in KINDS else ("bare", me) if tag in BLOCKS else stack[-1][2:4]
+            if tag in BLOCKS:
+                blocks.append(len(stack))
+            places.setdefault(tag, []).append(len(stack))
+            stack.append((tag, me, kind, around, mark, holds, tag == "a"))
+            out += mark
+            holders += holds
             links += tag == "a"
+            mains += tag in ("article", "main")
+        close(1)
 
 
-def features(page: Page) -> list[tuple[str, int]]:
-    """Feature and number of words (1 for a tag) of each item."""
-    return [(f"w:{f}", len(t.split())) if is_text else (f"t:{f}", 1) for is_text, f, _, t in page.items]
+def features(page: Page) -> Iterator[tuple[list[str], int]]:
+    """Features of each item, and how often they count: a word's kind and mark, a tag's name."""
+    for is_text, feature, out, n in zip(page.is_text, page.feature, page.out, page.words, strict=True):
+        yield ([f"w:{feature}", "w:out" if out else "w:clear"] if is_text else [f"t:{feature}"]), n
 
 
 def fit(pages: Iterable[tuple[str, str, str]]) -> dict[str, float]:
-    """Weights from labelled pages: the markup before the main part, the main part's, and what comes after it."""
+    """Weights from labelled pages: the markup before the main part, the main part's, and what comes after it.
+
+    Smoothed log-odds of words' kinds, of words' marks and of tags, each among its own. Tags score negative, as the method has it: -0.02 at least.
+    A kind of word that no page has scores as its like outside elements that hold main text, or 0.
+    """
     inside, outside = Counter(), Counter()
     for before, main, after in pages:
         page = Page(before + main + after)
-        a, z = len(Page(before).items), len(Page(before + main).items)
-        for i, (f, n) in enumerate(features(page)):
-            (inside if a <= i < z else outside)[f] += n
-    names = inside.keys() | outside.keys()
-    total_in, total_out = sum(inside.values()), sum(outside.values())
-    odds = {f: math.log((inside[f] + 0.5) / (total_in + 0.5 * len(names))) - math.log((outside[f] + 0.5) / (total_out + 0.5 * len(names))) for f in names}
-    # Words score positive and tags negative; what the log-odds say moves each within its side, but for words in boilerplate.
-    words = {f: (max(0.1, w) if f not in ("w:out", "w:link") else min(-0.3, w)) for f, w in odds.items() if f[0] == "w"}
-    tags = {f: max(-4.0, min(-0.3, w - 1.5)) for f, w in odds.items() if f[0] == "t"}
-    return words | tags
+        a, z = len(Page(before).text), len(Page(before + main).text)
+        for i, (own, n) in enumerate(features(page)):
+            for f in own:
+                (inside if a <= i < z else outside)[f] += n
+    families = {"kind": lambda f: f[0] == "w" and f not in ("w:out", "w:clear"), "mark": lambda f: f in ("w:out", "w:clear"), "tag": lambda f: f[0] == "t"}
+    weights = {}
+    for family, own in families.items():
+        known = [f for f in inside.keys() | outside.keys() if own(f)]
+        total_in, total_out = (sum(c[f] for f in known) for c in (inside, outside))
+        for f in known:
+            odds = math.log((inside[f] + 0.5) / (total_in + 0.5 * len(known))) - math.log((outside[f] + 0.5) / (total_out + 0.5 * len(known)))
+            weights[f] = min(-0.02, odds) if family == "tag" else odds
+    return weights
 
 
 def labelled_pages() -> list[tuple[str, str, str]]:
-    """Pages in three parts by rule: layouts of menus, adverts, asides, comments around articles of several shapes and lengths."""
+    """Pages in three parts by rule: layouts of menus, headers, adverts, notices, asides, forms, comments, footers, marked by class, by element or not
+    at all, around articles of several shapes: paragraphs, lists, tables, quotations, formulas, links in paragraphs, bare text with line breaks."""
     say = lambda n, k: " ".join(f"w{(k * 7 + i * 13) % 97}" for i in range(n))
     menu = lambda k: "<ul>" + "".join(f'<li><a href="/{i}">{say(1 + i % 2, k + i)}</a></li>' for i in range(4 + k % 4)) + "</ul>"
+
+    def body(k: int) -> str:
+        parts = [f"<h1>{say(4 + k % 6, k)}</h1>"]
+        for i in range(1 + k % 6):
+            inner = say(3 + 17 * (i + k) % 90, k + i) + (f" <b>{say(2, i)}</b>" if i % 3 == 0 else "") + (f' <a href="/x">{say(2, i)}</a> {say(9, i)}' if i % 2 else "")
+            parts.append(f"<p>{inner}</p>" if (k + i) % 7 else f"{inner}<br><br>")
+        if k % 3 == 2:
+            parts.append(f"<h2>{say(4, k)}</h2><ul>" + "".join(f"<li>{say(7 + i, k + i)}</li>" for i in range(3)) + f"</ul><blockquote>{say(15, k)}</blockquote>")
+        if k % 5 == 1:
+            parts.append("<table>" + "".join(f"<tr><td>{say(1, i)}</td><td>{say(2, k + i)}</td></tr>" for i in range(5 + k % 9)) + f"</table><p>{say(12, k)}</p>")
+        if k % 7 == 3:
+            parts.append(f"<p>{say(5, k)} <math><mi>{say(1, k)}</mi><mo>=</mo><mn>{k}</mn></math> {say(4, k)}</p>")
+        return "".join(parts)
+
     out = []
-    for k in range(12):
-        body = f"<h1>{say(7, k)}</h1>" + "".join(f"<p>{say(20 + 17 * (i + k) % 90, k + i)}{'<b>' + say(2, i) + '</b>' if i % 3 == 0 else ''}{'<br>' if i % 4 == 1 else ''}</p>" for i in range(2 + k % 5))
-        body += f"<h2>{say(4, k)}</h2><ul><li>{say(9, k)}</li><li>{say(8, k)}</li></ul><blockquote>{say(15, k)}</blockquote>" if k % 3 == 2 else ""
-        top = f"<!DOCTYPE html><html><head><title>{say(6, k)}</title></head><body><nav>{menu(k)}</nav>" + (f'<div class="ad">{say(6, k)}</div>' if k % 2 else f"<header>{say(5, k)}</header>")
-        end = (f'<section class="comments"><p>{say(12, k)}</p><p>{say(9, k)}</p></section>' if k % 3 == 0 else f"<aside>{menu(k + 1)}</aside>") + f"<footer>&copy; {say(9, k)}</footer></body></html>"
-        shell = ("<article>", "</article>") if k % 3 else ('<div class="content">', "</div>")
-        out.append((top, shell[0] + body + shell[1], end))
+    for k in range(60):
+        marked_ = k % 4 != 3
+        ad = f'<div class="ad">{say(8 + k % 9, k)}</div>' if marked_ else f"<div>{say(8 + k % 9, k)}</div>"
+        top = f"<!DOCTYPE html><html><head><title>{say(6, k)}</title></head><body>" + (f"<nav>{menu(k)}</nav>" if marked_ else f"<div>{menu(k)}</div>")
+        top += (f"<header>{say(5, k)}</header>" if k % 3 else "") + (ad if k % 2 else "") + (f'<div class="cookie-notice"><p>{say(11, k)}</p><button>{say(1, k)}</button></div>' if k % 5 == 2 else "")
+        end = (f'<section class="comments"><h3>{say(2, k)}</h3><p>{say(12, k)}</p><p>{say(9, k)}</p></section>' if k % 3 == 0 else f"<aside>{menu(k + 1)}</aside>" if marked_ else f"<div>{menu(k + 2)}</div>")
+        end += (f'<form><label>{say(2, k)}</label><input name="q"><button>{say(1, k)}</button></form>' if k % 4 == 1 else "") + (f"<footer>&copy; {say(9, k)}</footer>" if k % 5 else f"<div>&copy; {say(9, k)}</div>") + "</body></html>"
+        shell = (("<article>", "</article>"), ('<div class="content">', "</div>"), ("<main>", "</main>"), ("<div>", "</div>"))[k % 4 if k % 8 else 3]
+        main = "".join(f"<div>{body(k + j)}</div>" for j in range(2)) if k % 8 == 0 else body(k)  # some articles stand in sections without names
+        out.append((top, shell[0] + main + shell[1], end))
     return out
 
 
@@ -216,21 +291,32 @@ def region(scores: list[float]) -> tuple[int, int]:
     return where
 
 
-def extract(page: str | None, weights: dict[str, float] | None = None) -> str:
-    """The main text of a page."""
+def score(page: Page, weights: dict[str, float]) -> list[float]:
+    """The score of each item: the sum of its features' weights times its words."""
+    of = lambda f: weights.get(f, weights.get(f.removesuffix("-in"), 0.0 if f[0] == "w" else -0.02))
+    known = {f: of(f) for f in {"w:out", "w:clear", *(("w:" if t else "t:") + f for t, f in zip(page.is_text, page.feature, strict=True))}}
+    return [(known["w:" + f] + known["w:out" if out else "w:clear"]) * n if is_text else known["t:" + f] for is_text, f, out, n in zip(page.is_text, page.feature, page.out, page.words, strict=True)]
+
+
+def extract(page: str | None, weights: dict[str, float] | None = None, choose=region) -> str:
+    """The main text of a page. ``choose``: finds the region from the scores."""
     if not page:
         return ""
     weights = weights or default_weights()
     items = Page(page)
-    scores = [0.0 if i in items.spanned else weights.get(f, 0.5 if f[0] == "w" else -1.0) * n for i, (f, n) in enumerate(features(items))]
-    a, z = region(scores)
+    scores = score(items, weights)
+    gap = [False] * len(scores)
+    for start, end, held, around in items.islands:
+        if (held or around == items.holder) and sum(scores[start:end]) < 0:
+            gap[start:end] = [True] * (end - start)
+            scores[start:end] = [0.0] * (end - start)
+    a, z = choose(scores)
     parts: dict[int, list[str]] = {}
-    inside: Counter = Counter()
-    every: Counter = Counter()
-    for i, (is_text, feature, block, text) in enumerate(items.items):
-        if is_text and feature != "out":
+    inside: Counter[int] = Counter()
+    every: Counter[int] = Counter()
+    for i, (is_text, block, n, text) in enumerate(zip(items.is_text, items.block, items.words, items.text, strict=True)):
+        if is_text and not gap[i]:
             parts.setdefault(block, []).append(text)
-            n = len(text.split())
             every[block] += n
             inside[block] += n * (a <= i < z)
     lines = (" ".join(entities.unescape("".join(t)).split()) for b, t in parts.items() if 2 * inside[b] > every[b])
