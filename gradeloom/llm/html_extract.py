@@ -261,6 +261,7 @@ def labelled_pages() -> list[tuple[str, str, str]]:
         marked_ = k % 4 != 3
         ad = f'<div class="ad">{say(8 + k % 9, k)}</div>' if marked_ else f"<div>{say(8 + k % 9, k)}</div>"
         top = f"<!DOCTYPE html><html><head><title>{say(6, k)}</title></head><body>" + (f"<nav>{menu(k)}</nav>" if marked_ else f"<div>{menu(k)}</div>")
+        top += f'<div><a href="/a">{say(1, k)}</a> | <a href="/b">{say(2, k)}</a></div>' if k % 6 == 1 else ""
         top += (f"<header>{say(5, k)}</header>" if k % 3 else "") + (ad if k % 2 else "") + (f'<div class="cookie-notice"><p>{say(11, k)}</p><button>{say(1, k)}</button></div>' if k % 5 == 2 else "")
         end = (f'<section class="comments"><h3>{say(2, k)}</h3><p>{say(12, k)}</p><p>{say(9, k)}</p></section>' if k % 3 == 0 else f"<aside>{menu(k + 1)}</aside>" if marked_ else f"<div>{menu(k + 2)}</div>")
         end += (f'<form><label>{say(2, k)}</label><input name="q"><button>{say(1, k)}</button></form>' if k % 4 == 1 else "") + (f"<footer>&copy; {say(9, k)}</footer>" if k % 5 else f"<div>&copy; {say(9, k)}</div>") + "</body></html>"
