@@ -1,19 +1,22 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibration.
 
 Terms are words (runs of letters, lower-cased), their first 4, 5 and 6 letters, and, for a term that stands 2 or 4 times in a text, a term
-that says so (a cosine alone can't tell one mention from many). The vocabulary is chosen from the labelled sample: of the terms in at least
-``least_docs`` examples those that go with the label most by chi-squared, at most ``terms`` of them, the strongest first; ``least_chi``, a parameter,
-can ask for a least statistic and is 0 if not given, so that small samples have a vocabulary too. A text's vector is
-(1 + log count) * idf over that vocabulary, scaled to length 1, from its whole text.
+that says so (a cosine alone can't tell one mention from many). Every term of the labelled sample is in the vocabulary; none is cut. A term weighs
+idf times its correlation with the label in the sample (the square root of chi-squared over the number of examples), so that words which say nothing
+of toxicity count little, though not nothing. A text's vector is (1 + log count) times that weight over its whole text, scaled to length 1.
 
-The index has a posting list a term, cut into blocks of examples with the largest weight of each block. A query adds up its terms' block
-maxima, visits blocks by falling bound, scores their examples exactly, and stops when no block can reach the kth cosine: the neighbours are
-those of a full scan. Votes weigh 1 / (0.05 + distance) squared, distance being 1 - cosine; a logistic curve fitted on leave-one-out votes of the examples makes them
-probabilities. Texts with no neighbour get the share of toxic examples among those with no term;
-that share also votes, with a fixed weight, so that a few distant neighbours decide nothing. The neighbours' ids are the evidence.
+The index has a posting list a term. Lists of rare terms are short and are added up whole. Lists of frequent terms (in over an eighth of the examples) are
+cut into blocks of examples with the largest weight of each block: a block's bound is what its frequent terms can add at most plus the best sum
+of rare terms in it. Blocks are visited by falling bound, their examples scored exactly, and a query leaves when no block can reach its kth cosine:
+the neighbours are those of a full scan. Queries go through the blocks together, in batches.
 
-Learning takes a bounded sample of labelled rows: ``sample``, a parameter, those with the smallest hashes of their id. The model has a
-fixed size; scoring is one pass over the texts where they lie.
+Votes weigh 1 / (0.05 + distance) squared, distance being 1 - cosine; a logistic curve fitted on leave-one-out votes of the examples makes them
+probabilities. Texts with no neighbour get the share of toxic examples; that share also votes, with a fixed weight, so that a few distant neighbours
+decide nothing. The neighbours' ids are the evidence.
+
+Learning takes a bounded sample of labelled rows: ``sample``, a parameter, those with the smallest hashes of their id; of each label an eighth of it at
+least, as far as there are such rows, so that a rare label isn't missed; the curve and the share weigh labels as often as they really are. The model's
+size is bounded by the sample's texts; scoring is one pass over the texts where they lie.
 
 Defined cases: null and empty texts have no neighbour. A label that is null doesn't count; of repeated labels of an id the largest counts;
 of repeated documents with one id the sample takes the smallest text. Without labelled rows every score is 0.0. Equal cosines: the smaller id is nearer.
@@ -21,6 +24,7 @@ of repeated documents with one id the sample takes the smallest text. Without la
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,21 +38,24 @@ from pyspark.sql import types as T
 
 from .shared import BOOL, DOUBLE, INT, LONG, STRING, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, texts
 
-SAMPLE, TERMS, NEIGHBOURS, BLOCK = 8_000, 1_024, 15, 64
+SAMPLE, NEIGHBOURS, BLOCK, BATCH = 2_500, 15, 64, 64
+#: The least share of a label in the sample, and the share of examples over which a term is frequent.
+LEAST_SHARE, FREQUENT = 0.125, 0.125
 #: A full neighbourhood at this cosine counts as much as what is known of texts without any neighbour.
 FAR = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: A term that stands so often in a text counts as another term as well.
+OFTEN = (2, 4)
+#: Words and texts that a worker remembers.
+KEEP_WORDS, KEEP_TEXTS = 200_000, 20_000
 
 
 def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)]
 
 
-#: A term that stands so often in a text counts as another term as well.
-OFTEN = (2, 4)
-
-
 def term_counts(text: str) -> Counter:
+    """A text's terms and their counts; the marks of frequent terms count 1."""
     out: Counter = Counter()
     for word, n in Counter(_LETTERS.findall(text.lower())).items():
         for t in terms_of(word):
@@ -57,82 +64,139 @@ def term_counts(text: str) -> Counter:
     return out
 
 
+Vector = tuple[np.ndarray, np.ndarray]
+
+
 @dataclass
 class Index:
-    """Examples (id, label, vector over the vocabulary), in blocks."""
+    """Terms (places in the vocabulary) with their weights, and examples (ids, labels) with their postings by term."""
 
     vocabulary: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    who: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    posted: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
     k: int = NEIGHBOURS
     block: int = BLOCK
     curve: tuple[float, float] = (1.0, 0.0)
     alone: float = 0.0
 
-    def build(self, examples: list[tuple[int, int, dict[int, float]]]) -> None:
+    def build(self, ids: np.ndarray, labels: np.ndarray, vectors: list[Vector]) -> list[int]:
+        """Takes the examples that have a vector; returns their places in the input."""
         # Examples that share their strongest term stand together, so block maxima are tight.
-        examples = sorted((e for e in examples if e[2]), key=lambda e: (max(e[2], key=lambda t: (e[2][t], -t)), e[0]))
-        self.ids, self.labels = np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], float)
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for i, (_, _, v) in enumerate(examples):
-            for t, w in v.items():
-                lists[t].append((i, w))
-        self.postings = [(np.array([i for i, _ in x], np.int64), np.array([w for _, w in x])) for x in lists]
+        kept = sorted((i for i, (t, _) in enumerate(vectors) if len(t)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]), int(ids[i])))
+        self.ids, self.labels = ids[kept].astype(np.int64), labels[kept].astype(float)
+        term = np.concatenate([vectors[i][0] for i in kept]) if kept else np.zeros(0, np.int64)
+        who = np.repeat(np.arange(len(kept), dtype=np.int32), [len(vectors[i][0]) for i in kept]) if kept else np.zeros(0, np.int32)
+        order = np.argsort(term, kind="stable")
+        self.who, self.posted = who[order], (np.concatenate([vectors[i][1] for i in kept])[order] if kept else np.zeros(0)).astype(np.float32)
+        self.start = np.searchsorted(term[order], np.arange(len(self.vocabulary) + 1))
+        return kept
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
 
     def prepared(self) -> None:
-        """Block maxima and the words met so far; made once a process."""
-        if "_maxima" not in self.__dict__:
-            n = -(-len(self.ids) // self.block)
-            self._maxima, self._weights = np.zeros((len(self.vocabulary), n)), np.zeros((len(self.vocabulary), n * self.block))
-            for t, (at, w) in enumerate(self.postings):
-                np.maximum.at(self._maxima[t], at // self.block, w)
-                self._weights[t, at] = w
-            self._words: dict[str, tuple[str, ...]] = {}
-            self._known: dict[tuple, tuple[float, list[int]]] = {}
-
-    def vector(self, text: str) -> dict[int, float]:
+        """Blocks of the frequent terms' lists with their maxima; made once a process."""
+        if "_blocks" in self.__dict__:
+            return
+        df = np.diff(self.start)
+        frequent = np.flatnonzero(df > FREQUENT * max(1, len(self.ids)))
+        self._column = np.full(len(self.vocabulary), -1)
+        self._column[frequent] = np.arange(len(frequent))
+        n = max(1, -(-len(self.ids) // self.block))
+        whole = np.zeros((len(frequent), n * self.block))
+        for j, t in enumerate(frequent):
+            whole[j, self.who[self.start[t] : self.start[t + 1]]] = self.posted[self.start[t] : self.start[t + 1]]
+        cut = whole.reshape(len(frequent), n, self.block)
+        self._blocks, self._maxima = np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(2)
+        self._ids = np.concatenate([self.ids, np.full(n * self.block - len(self.ids), np.iinfo(np.int64).max)])
+        self._known: dict[bytes, tuple[float, list[int]]] = {}
+        self._words: dict[str, list[int]] = {}
+        self._marks = [np.full(len(self.vocabulary), -1) for _ in OFTEN]
+        for t, i in self.vocabulary.items():
+            for m, marks in zip(OFTEN, self._marks, strict=True):
+                if t.endswith(f"#{m}"):
+                    marks[self.vocabulary[t.rpartition("#")[0]]] = i
+
+    def vector(self, text: str) -> Vector:
+        """Places of a text's terms in the vocabulary, and their weights, scaled."""
         self.prepared()
-        words, vocabulary, counts = self._words, self.vocabulary, Counter()
-        for word in _LETTERS.findall(text.lower()):
+        words, vocabulary = self._words, self.vocabulary
+        places, times = [], []
+        for word, n in Counter(_LETTERS.findall(text.lower())).items():
             has = words.get(word)
             if has is None:
-                if len(words) > 100_000:
+                if len(words) > KEEP_WORDS:
                     words.clear()
-                has = words[word] = tuple(t for t in terms_of(word) if t in vocabulary or any(f"{t}#{m}" in vocabulary for m in OFTEN))
-            for t in has:
-                counts[t] += 1
-        all_ = counts | {f"{t}#{m}": 1 for t, n in counts.items() for m in OFTEN if n >= m}
-        return self.scaled({vocabulary[t]: n for t, n in all_.items() if t in vocabulary})
-
-    def scaled(self, counts: dict[int, int]) -> dict[int, float]:
-        v = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        length = sum(w * w for w in v.values()) ** 0.5
-        return {t: float(w / length) for t, w in v.items()} if length else {}
-
-    def nearest(self, v: dict[int, float], without: int | None = None) -> list[tuple[float, int]]:
-        """Cosine and place of the k nearest examples with a cosine over 0."""
+                has = words[word] = [vocabulary[t] for t in terms_of(word) if t in vocabulary]
+            places += has
+            times += [n] * len(has)
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0)
+        place, n = np.array(places), np.array(times)
+        order = np.argsort(place, kind="stable")
+        place = place[order]
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        place, n = place[first], np.add.reduceat(n[order], first)
+        marked = [m[place[n >= least]] for least, m in zip(OFTEN, self._marks, strict=True)]
+        marked = [m[m >= 0] for m in marked]
+        return self.scaled(np.concatenate([place, *marked]), np.concatenate([n, *(np.ones(len(m), np.int64) for m in marked)]))
+
+    def scaled(self, places: np.ndarray, counts: np.ndarray) -> Vector:
+        some = self.weight[places] > 0
+        places = places[some]
+        v = (1 + np.log(counts[some])) * self.weight[places]
+        # Weights go into the index with 24 bits; texts have the same, so a text and its copy have a cosine of 1.
+        return places, (v / max(1e-300, float(np.sqrt(v @ v)))).astype(np.float32).astype(float)
+
+    def nearest(self, vectors: list[Vector], without: list[int] | None = None) -> list[list[tuple[float, int]]]:
+        """For each vector, cosine and place of its k nearest examples with a cosine over 0. ``without``: a place that each leaves out."""
         self.prepared()
-        if not v or not len(self.ids):
-            return []
-        t, q = np.fromiter(v, np.int64), np.fromiter(v.values(), float)
-        bounds = q @ self._maxima[t]
-        found: list[tuple[float, int, int]] = []
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found) == self.k and bounds[b] < -found[-1][0] - 1e-12):
-                break
-            at = slice(b * self.block, (b + 1) * self.block)
-            cosines = q @ self._weights[t, at]
-            for j in np.flatnonzero(cosines > 0):
-                i = int(b) * self.block + int(j)
-                if i < len(self.ids) and i != without:
-                    found.append((-round(float(cosines[j]), 12), int(self.ids[i]), i))
-            found = sorted(found)[: self.k]
-        return [(-c, i) for c, _, i in found]
+        if not len(self.ids):
+            return [[] for _ in vectors]
+        m, n, size = len(vectors), len(self._blocks), self.block
+        rare, asked = np.zeros((m, n * size)), np.zeros((m, len(self._maxima)))
+        for i, (t, v) in enumerate(vectors):
+            column = self._column[t]
+            asked[i, column[column >= 0]] = v[column >= 0]
+            some, own = t[column < 0], v[column < 0]
+            first, end = self.start[some].tolist(), self.start[some + 1].tolist()
+            if first:
+                at = np.concatenate([self.who[x:y] for x, y in zip(first, end, strict=True)])
+                add = np.concatenate([self.posted[x:y] for x, y in zip(first, end, strict=True)]) * np.repeat(own, self.start[some + 1] - self.start[some])
+                rare[i] = np.bincount(at, add, n * size)
+        if without is not None:
+            skip = np.array(without)
+            rare[np.flatnonzero(skip >= 0), skip[skip >= 0]] = -np.inf
+        bounds = asked @ self._maxima + rare.reshape(m, n, size).max(2)
+        best, who = np.zeros((m, self.k)), np.full((m, self.k), n * size)
+        ids = np.append(self._ids, np.iinfo(np.int64).max)
+        order, at, step = np.argsort(-bounds.max(0), kind="stable"), 0, 4
+        while at < n:
+            # The next blocks in falling order of the batch's bound; the first few give kth cosines, then more go at once.
+            part = order[at : at + step]
+            at, step = at + step, 2 * step
+            open_ = (bounds[:, part] > 0) & (bounds[:, part] >= best[:, -1:] - 1e-9)
+            part, active = part[open_.any(0)], np.flatnonzero(open_.any(1))
+            if not len(active):
+                continue
+            places = (part[:, None] * size + np.arange(size)).ravel()
+            found = np.concatenate([asked[active] @ self._blocks[b] for b in part], 1) + rare[np.ix_(active, places)]
+            found = np.round(np.where(found > 0, found, 0.0), 9)
+            # Cosines below the kth among those at hand can't be needed; equal ones can, for a smaller id.
+            least = np.maximum(best[active, -1], np.partition(found, -self.k, 1)[:, -self.k] if found.shape[1] > self.k else 0.0)
+            row, column = np.nonzero((found >= least[:, None]) & (found > 0))
+            rows = np.concatenate([np.repeat(np.arange(len(active)), self.k), row])
+            scores = np.concatenate([best[active].ravel(), found[row, column]])
+            places = np.concatenate([who[active].ravel(), places[column]])
+            ranked = np.lexsort((ids[places], -scores, rows))
+            starts = np.searchsorted(rows[ranked], np.arange(len(active)))
+            first = ranked[starts[:, None] + np.arange(self.k)]
+            best[active], who[active] = scores[first], places[first]
+        return [[(float(c), int(i)) for c, i in zip(best[j], who[j], strict=True) if c > 0] for j in range(m)]
 
     def vote(self, near: list[tuple[float, int]]) -> float | None:
         if not near:
@@ -141,44 +205,79 @@ class Index:
         rest = self.k * (0.05 + 1 - FAR) ** -2
         return float((w @ self.labels[[i for _, i in near]] + rest * self.alone) / (w.sum() + rest))
 
+    def scores(self, texts_: list[str]) -> list[tuple[float, list[int]]]:
+        """Probability and the neighbours' ids of each text."""
+        self.prepared()
+        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts_]
+        if len(self._known) > KEEP_TEXTS:
+            self._known.clear()
+        new = list({k: t for k, t in zip(keys, texts_, strict=True) if k not in self._known}.items())
+        for i in range(0, len(new), BATCH):
+            part = new[i : i + BATCH]
+            for (key, _), near in zip(part, self.nearest([self.vector(t) for _, t in part]), strict=True):
+                vote = self.vote(near)
+                self._known[key] = (self.alone if vote is None else calibrated(vote, self.curve), [int(self.ids[i]) for _, i in near])
+        return [self._known[k] for k in keys]
+
     def score(self, text: str) -> tuple[float, list[int]]:
-        """Probability and the neighbours' ids."""
-        v = self.vector(text)
-        key = tuple(v.items())
-        got = self._known.get(key)
-        if got is None:
-            near = self.nearest(v)
-            vote = self.vote(near)
-            got = (self.alone if vote is None else calibrated(vote, self.curve), [int(self.ids[i]) for _, i in near])
-            if len(self._known) > 20_000:
-                self._known.clear()
-            self._known[key] = got
-        return got
+        return self.scores([text])[0]
 
 
 def calibrated(vote: float, curve: tuple[float, float]) -> float:
     return float(1 / (1 + np.exp(-(curve[0] * (vote - 0.5) + curve[1]))))
 
 
-def fitted_curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+def fitted_curve(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
     """Logistic regression of labels on votes, lightly held to a slope of 8, by Newton steps."""
     w, hold = np.array([8.0, 0.0]), np.array([0.02, 0.02])
     x = np.stack([votes - 0.5, np.ones(len(votes))], 1)
+    often = np.ones(len(votes)) if weights is None else weights
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (p - labels) + hold * (w - [8.0, 0.0]))
+        step = np.linalg.solve((x * (often * p * (1 - p))[:, None]).T @ x + np.diag(hold), x.T @ (often * (p - labels)) + hold * (w - [8.0, 0.0]))
         w = w - step
         if np.abs(step).max() < 1e-9:
             break
     return (float(max(w[0], 0.0)), float(w[1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms: int = TERMS, least_docs: int = 4, least_chi: float = 0.0) -> Index:
+def weights_of(toxic: np.ndarray, clean: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """idf times the correlation with the label, of terms in so many toxic and clean examples."""
+    n, df = n1 + n0, toxic + clean
+    phi = np.abs(toxic * n0 - clean * n1) / np.sqrt(np.maximum(df * (n - df) * max(1, n1) * max(1, n0), 1e-12))
+    return np.round(np.log(n / df) * (np.minimum(1.0, phi) if n1 and n0 else 1.0), 12)
+
+
+def learned(index: Index, ids: np.ndarray, toxic: np.ndarray, counted: list[tuple[np.ndarray, np.ndarray]], real: float) -> Index:
+    """``index`` with examples: ids, labels, places of terms with counts. ``real``: the share of toxic rows, which examples may have in another."""
+    n, n1 = len(ids), int(toxic.sum())
+    vectors = [index.scaled(*c) for c in counted]
+    kept = index.build(ids, toxic, vectors)
+    index.alone = float((real * n + 0.1) / (n + 1.0)) if n1 else 0.0
+    votes = []
+    for i in range(0, len(kept), BATCH):
+        votes += [index.vote(x) for x in index.nearest([vectors[j] for j in kept[i : i + BATCH]], list(range(i, min(i + BATCH, len(kept)))))]
+    some = np.array([v is not None for v in votes], bool)
+    if some.any():
+        y = index.labels[some]
+        often = np.where(y == 1, real * n / max(1, n1), (1 - real) * n / max(1, n - n1))
+        index.curve = fitted_curve(np.array([v for v in votes if v is not None]), y, often)
+    return index
+
+
+def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Index:
     """An index of labelled documents (doc_id, text; doc_id, toxic) whose doc_id fulfils ``keep``."""
     few_rows_a_batch(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.lit(17))
-    labelled = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
-    chosen = labelled.withColumn("__h", order).orderBy("__h", "doc_id").limit(sample).drop("__h")
+    labelled = labels.select("doc_id", "toxic").filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & keep).groupBy("doc_id").agg((F.max("toxic") == 1).cast(INT).alias("__toxic"))
+    labelled = labelled.withColumn("__h", order)
+    total = {r[0]: r[1] for r in labelled.groupBy("__toxic").count().collect()}
+    share = total.get(1, 0) / max(1, sum(total.values()))
+    least = int(sample * LEAST_SHARE)
+    toxic = min(total.get(1, 0), max(least, min(round(sample * share), sample - least)))
+    take = {1: toxic, 0: min(total.get(0, 0), sample - toxic)}
+    parts = [labelled.filter(F.col("__toxic") == y).orderBy("__h", "doc_id").limit(n) for y, n in take.items()]
+    chosen = parts[0].unionAll(parts[1]).drop("__h")
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows are broadcast
     pairs = durable(pairs.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "__toxic"))
     kinds = schema(term=STRING, toxic=LONG, clean=LONG)
@@ -187,40 +286,28 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE, terms:
         for b in small_batches(batches):
             both: tuple[Counter, Counter] = (Counter(), Counter())
             for t, y in zip(texts(b.column("text")), b.column("__toxic").to_pylist(), strict=True):
-                both[int(y == 1)].update(term_counts(t).keys())
+                both[y].update(term_counts(t).keys())
             names = list(both[0].keys() | both[1].keys())
             yield batch_of(kinds, {"term": names, "toxic": [both[1][t] for t in names], "clean": [both[0][t] for t in names]})
 
-    size = {r[0]: r[1] for r in pairs.groupBy((F.col("__toxic") == 1).alias("y")).count().collect()}
-    n1, n0 = size.get(True, 0), size.get(False, 0)
+    seen = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow().sort_by("term")  # the sample's terms
+    size = {r[0]: r[1] for r in pairs.groupBy("__toxic").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 + n0:
         return Index({}, np.zeros(0))
-    a, b = F.col("toxic").cast(DOUBLE), F.col("clean").cast(DOUBLE)
-    n, df = float(n1 + n0), a + b
-    chi = n * F.pow(a * n0 - b * n1, F.lit(2.0)) / (df * (n - df) * max(1, n1) * max(1, n0))
-    # Digits of the statistic beyond 1e-6 don't decide, so the choice doesn't hang on the order of sums.
-    strong = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).filter((df >= least_docs) & (df < n)).withColumn("chi", F.round(chi, 6)).filter(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(terms).collect()
-    strong.sort(key=lambda r: r.term)
-    index = Index({r.term: i for i, r in enumerate(strong)}, np.log(n / np.array([r.toxic + r.clean for r in strong], float)) if strong else np.zeros(0))
-    vocabulary = index.vocabulary
-    vector_kinds = schema(doc_id=LONG, toxic=INT, t=T.ArrayType(INT), n=T.ArrayType(INT))
+    vocabulary = {t: i for i, t in enumerate(seen["term"].to_pylist())}
+    index = Index(vocabulary, weights_of(seen["toxic"].to_numpy().astype(float), seen["clean"].to_numpy().astype(float), n1, n0))
+    vector_kinds = schema(doc_id=LONG, toxic=INT, t=T.BinaryType(), n=T.BinaryType())
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            rows = [{vocabulary[t]: n for t, n in term_counts(x).items() if t in vocabulary} for x in texts(b.column("text"))]
-            yield batch_of(vector_kinds, {"doc_id": b.column("doc_id"), "toxic": [int(y == 1) for y in b.column("__toxic").to_pylist()], "t": [list(r) for r in rows], "n": [list(r.values()) for r in rows]})
-
-    rows = sorted(pairs.mapInArrow(counts, vector_kinds).collect(), key=lambda r: r.doc_id)
-    examples = [(r.doc_id, r.toxic, index.scaled(dict(zip(r.t, r.n, strict=True)))) for r in rows]
-    index.build(examples)
-    vectors = {e[0]: e[2] for e in examples}
-    lonely = [e[1] for e in examples if not e[2]]
-    index.alone = float((sum(lonely) + 0.1) / (len(lonely) + 1.0)) if n1 else 0.0
-    votes = [index.vote(index.nearest(vectors[int(d)], i)) for i, d in enumerate(index.ids)]
-    some = np.array([v is not None for v in votes], bool)
-    if some.any():
-        index.curve = fitted_curve(np.array([v for v in votes if v is not None]), index.labels[some])
-    return index
+            rows = [term_counts(x) for x in texts(b.column("text"))]
+            places = [np.array([vocabulary[t] for t in r], np.int32) for r in rows]
+            yield batch_of(vector_kinds, {"doc_id": b.column("doc_id"), "toxic": b.column("__toxic"), "t": [p.tobytes() for p in places], "n": [np.array(list(r.values()), np.int32).tobytes() for r in rows]})
+
+    got = pairs.mapInArrow(counts, vector_kinds).toArrow().sort_by("doc_id")  # at most ``sample`` rows
+    counted = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(n, np.int32)) for t, n in zip(got["t"].to_pylist(), got["n"].to_pylist(), strict=True)]
+    return learned(index, got["doc_id"].to_numpy(), got["toxic"].to_numpy().astype(np.int64), counted, share)
 
 
 def score(docs: DataFrame, index: Index, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -231,7 +318,7 @@ def score(docs: DataFrame, index: Index, carry: tuple[str, ...] = ("doc_id",)) -
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            out = [index.score(t) for t in texts(b.column("text"))]
+            out = index.scores(texts(b.column("text")))
             yield batch_of(kinds, {c: b.column(c) for c in carry} | {"score": [s for s, _ in out], "predicted": [int(s >= 0.5) for s, _ in out], "evidence": [e for _, e in out]})
 
     return chosen.mapInArrow(rows, kinds)
@@ -242,7 +329,7 @@ def accepted(docs: DataFrame, index: Index) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            yield b.filter(pa.array([index.score(t)[0] < 0.5 for t in texts(b.column("text"))], pa.bool_()))
+            yield b.filter(pa.array([s < 0.5 for s, _ in index.scores(texts(b.column("text")))], pa.bool_()))
 
     few_rows_a_batch(docs.sparkSession)
     return docs.mapInArrow(rows, docs.schema)

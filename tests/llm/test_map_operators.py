@@ -122,16 +122,56 @@ def index(spark):
     return toxicity.train(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(True)), dict(rows and [(r[0], r[1]) for r in rows])
 
 
-def test_toxic_neighbours_are_those_of_a_full_scan(index):
+def dense(model, text):
+    out = np.zeros(len(model.vocabulary))
+    at, v = model.vector(text)
+    out[at] = v
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 64])
+def test_toxic_neighbours_are_those_of_a_full_scan(index, block):
+    import copy
+
+    model, texts = copy.copy(index[0]), index[1]
+    model.__dict__ = {k: v for k, v in model.__dict__.items() if k[0] != "_"} | {"block": block}
+    every = np.stack([dense(model, texts[int(i)]) for i in model.ids])
+    asked = [*list(texts.values())[:80], "vile", "nothing known", "", "suna suna raina"]
+    for text, got in zip(asked, model.nearest([model.vector(t) for t in asked]), strict=True):
+        cosines = np.round(every @ dense(model, text), 9)
+        want = sorted((-c, int(i)) for c, i in zip(cosines, model.ids, strict=True) if c > 0)[: model.k]
+        assert [(-c, int(model.ids[i])) for c, i in got] == [(pytest.approx(c), i) for c, i in want]
+
+
+def test_vocabulary_has_every_term_and_votes_are_weighted(index):
     model, texts = index
-    vectors = {int(i): model.vector(texts[int(i)]) for i in model.ids}
-    for text in list(texts.values())[:80]:
-        v = model.vector(text)
-        every = sorted((-round(sum(w * vectors[int(i)].get(t, 0.0) for t, w in v.items()), 12), int(i)) for i in model.ids)
-        want = [(c, i) for c, i in every if c < 0][: model.k]
-        got = [(-c, int(model.ids[i])) for c, i in model.nearest(v)]
-        assert [i for _, i in got] == [i for _, i in want]
-        assert np.allclose([c for c, _ in got], [c for c, _ in want])
+    assert set().union(*(toxicity.term_counts(t) for t in texts.values())) == model.vocabulary.keys()
+    near = model.nearest([model.vector("vile road")])[0]
+    w = [(1.05 - c) ** -2 for c, _ in near]
+    rest = model.k * (1.05 - toxicity.FAR) ** -2
+    want = (sum(x * model.labels[i] for x, (_, i) in zip(w, near, strict=True)) + rest * model.alone) / (sum(w) + rest)
+    assert model.vote(near) == pytest.approx(want)
+    assert model.score("vile road")[0] == pytest.approx(toxicity.calibrated(want, model.curve))
+
+
+def test_registered_toxicity_is_held_out_accurate(spark):
+    from gradeloom.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = queries.QUERIES["op5_toxicity"](spark, sf).collect()
+    held = [r for r in rows if r.held_out and r.doc_id in labels]
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and len(held) > 50
+    assert np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.9
+    loss = -np.mean([np.log(max(1e-9, r.score if labels[r.doc_id] else 1 - r.score)) for r in held])
+    share = np.mean([labels[r.doc_id] for r in held])
+    assert loss < -(share * np.log(share) + (1 - share) * np.log(1 - share))  # better than the share alone
+
+
+def test_rare_labels_are_sampled(spark):
+    rows = [(i, "zork here" if i < 3 else f"calm words{i % 7}", "en", "a") for i in range(400)]
+    model = toxicity.train(documents(spark, rows), spark.createDataFrame([(i, int(i < 3)) for i in range(400)] * 2, "doc_id long, toxic int"), F.lit(True), sample=40)
+    assert {0, 1, 2} <= set(model.ids.tolist()) and len(model.ids) <= 40 and model.alone < 0.05
 
 
 def test_toxicity_scores(spark, index, edge_docs):
