@@ -1,25 +1,26 @@
 """Language-model scores from Brown class-based bigrams.
 
-Every word of the training texts has a class of its own choice, however rare it is. Exchange clustering first assigns the ``own`` most frequent
-words, each alone, the end of a text, and groups of the other words by a hash of their last two bytes: they move, one at a time, to the class that
-most raises the likelihood of the training texts' class bigrams, until a sweep moves none or ``sweeps`` have passed. Then each of the other words
-leaves its group for the class that most raises that likelihood, from its own counts of the classes before and after it; all of these words choose
-at once, against the class bigrams of the first step. The probability of a word after another is
+Every word that stands ``least`` times or more in the training texts has a class of its own choice; words below that, and words not seen, have the class of
+a group. Exchange clustering first assigns the ``own`` most frequent words, each alone, the end of a text, and groups of the other words by a
+hash of their last two bytes: they move, one at a time, to the class that most raises the likelihood of the training texts' class bigrams, until
+a sweep moves none or ``sweeps`` have passed. Then each of the other words of ``least`` or more leaves its group for the class that most raises that
+likelihood, from its own counts of the classes before and after it; all of these words choose at once, against the class bigrams of the first
+step. The clustered vocabulary so grows with the training texts. The probability of a word after another is
 
     P(class | class before) * P(word | class)
 
-with class transitions smoothed towards class frequencies and words by half counts; each class keeps half a count for words not seen, and a word
-not seen has the class of its group.
+with class transitions smoothed towards class frequencies and words by half counts; each class keeps half a count for words not seen.
 
 Counts cover all training texts: one pass counts all words (combined in each task, then shuffled by a 64-bit hash of the word), one counts
-bigrams of the first step's units, whose number is bounded by the units' square, one the neighbours' classes of each other word, and one the
-bigrams of the final classes. The ``head`` most frequent words, a fixed number, are looked up in place; the others' counts and classes come by a
-join on the word's hash, and their neighbours by the place in the text. The same sums of log(count + 0.5) serve the unigram base score.
+bigrams of the first step's units, whose number is bounded by the units' square, one the neighbours' classes of the words that choose, packed by
+buckets of words, and one the bigrams of the final classes. The ``head`` most frequent words, a fixed number, are looked up in place. Whether a word
+beyond them is one that chooses is told by a filter of fixed size, which may say yes too often, never no: only those words' classes come by a
+join on the hash, and their neighbours by the place in the text. Counts of all words beyond the head come by a join for the base score.
 
 Two words with one 64-bit hash would count as one: with n distinct words the chance of any is about n*n / 2**65.
 
 Defined cases: null and empty texts have one token, the end. Without training texts every count is 0 and scores equal base scores.
-Repeated rows are scored, and counted, one by one.
+Repeated rows are scored, and counted, one by one; extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BOOL, DOUBLE, INT, LONG, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, tidy, word_hashes, word_spans
+from .shared import BOOL, DOUBLE, INT, LONG, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, word_hashes, word_spans
 
-OWN, GROUPS, CLASSES, SWEEPS, HEAD, KAPPA = 1_000, 256, 64, 12, 65_536, 8.0
+OWN, GROUPS, CLASSES, SWEEPS, HEAD, KAPPA, LEAST = 1_000, 256, 64, 12, 1 << 19, 8.0, 3
+#: Bits of the filter of words beyond the head that choose a class, and words that choose in one bucket.
+BITS, BUCKET = 1 << 26, 20_000
 #: Bytes of text hashed at a time.
 SLICE = 1 << 20
 
@@ -204,14 +206,47 @@ def choices(found: np.ndarray, now: np.ndarray, big: np.ndarray) -> np.ndarray:
     return np.where(gain[i, best] > gain[i, now] + 1e-9, best, now)
 
 
+@dataclass
+class Filter:
+    """A Bloom filter with two probes over 64-bit hashes; None: empty."""
+
+    bits: np.ndarray | None = None
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.zeros(len(h), bool)
+        out = np.ones(len(h), bool)
+        for p in probes(h, 64 * len(self.bits)):
+            out &= (self.bits[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1
+        return out
+
+
+def probes(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits of a filter of a size (a power of two)."""
+    return h & (size - 1), (h >> 32) & (size - 1)
+
+
+def filter_of(words: DataFrame) -> Filter:
+    """A filter of the words (w); its longs, ``BITS`` / 64 at most, come to the driver."""
+    bit = [F.col("w").bitwiseAND(F.lit(BITS - 1)), F.shiftright("w", 32).bitwiseAND(F.lit(BITS - 1))]
+    at = words.select(F.explode(F.array(*bit)).alias("p"))
+    got = at.groupBy(F.shiftright("p", 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("x")).toArrow()
+    if not got.num_rows:
+        return Filter()
+    bits = np.zeros(BITS >> 6, np.int64)
+    bits[got["i"].to_numpy()] = got["x"].to_numpy()
+    return Filter(bits.view(np.uint64))
+
+
 @dataclass
 class Lookup:
-    """Classes of the most frequent words (sorted hashes) and of the groups; other words' classes come by joins."""
+    """Classes of the most frequent words (sorted hashes) and of the groups, and the filter of other words that have a class of their own choice."""
 
     words: np.ndarray
     class_of: np.ndarray
     group: np.ndarray
     end: int
+    others: Filter
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each word's place among the most frequent ones, and whether it is one."""
@@ -220,38 +255,33 @@ class Lookup:
         i = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         return i, self.words[i] == h
 
-    def sequence(self, h: np.ndarray, number: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Classes with an end after each text's (-1: not known in place), each token's text, and the words' places."""
+    def sequence(self, h: np.ndarray, g: np.ndarray, number: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Classes with an end after each text's (-1: comes by a join), each token's text, and the words' places."""
         i, is_head = self.of(h)
+        cls = np.where(is_head, self.class_of[i], -1) if len(self.words) else np.full(len(h), -1)
+        rest = np.flatnonzero(~is_head)
+        cls[rest] = np.where(self.others.has(h[rest]), -1, self.group[g[rest]])
         sizes = np.bincount(number, minlength=texts)
         out, which = np.full(len(h) + texts, self.end), np.repeat(np.arange(texts), sizes + 1)
         at = np.arange(len(h)) + number
-        out[at] = np.where(is_head, self.class_of[i] if len(self.words) else -1, -1)
+        out[at] = cls
         return out, which, at
 
-    def far(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
-        """The words of rows (__row, text) that are joined: __row, place, class before and after (-1: such a word too), class, count."""
-        kinds = schema(__row=LONG, __at=LONG, __w=LONG, __before=INT, __after=INT, __group=INT)
-
-        def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in small_batches(batches, 4 << 20):
-                h, g, number = tokens_of(b.column("text").to_pylist())
-                cls, _, at = self.sequence(h, number, b.num_rows)
-                where = cls[at] < 0
-                at = at[where]
-                before = np.where(at > 0, cls[at - 1], self.end)
-                yield batch_of(kinds, {"__row": pa.array(b.column("__row").to_numpy()[number[where]]), "__at": pa.array(at), "__w": pa.array(h[where]), "__before": pa.array(before), "__after": pa.array(cls[at + 1]), "__group": pa.array(self.group[g[where]])})
+    def far(self, h: np.ndarray, g: np.ndarray, cls: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of the words whose classes are joined: which they are, places, hashes, classes before and after (-1: such a word too), and groups' classes."""
+        where = np.flatnonzero(cls[at] < 0)
+        place = at[where]
+        return where, place, h[where], np.where(place > 0, cls[place - 1], self.end), cls[place + 1], self.group[g[where]]
 
-        return rows.select("text", "__row").mapInArrow(find, kinds).join(counts.select(F.col("w").alias("__w"), "c", "k"), "__w", "left").select("__row", "__at", "__before", "__after", F.coalesce("k", "__group").alias("__class"), "c")
 
-    @staticmethod
-    def chained(far: DataFrame) -> DataFrame:
-        """Rows of ``far`` by text and place, so that neighbours follow each other."""
-        return far.repartition("__row").sortWithinPartitions("__row", "__at")
+def joined(far: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows __row, __at, __w, __before, __after, __group with __class, in order of text and place, so that neighbours follow each other."""
+    with_class = far.join(classes.select(F.col("w").alias("__w"), "k"), "__w", "left").select("__row", "__at", "__before", "__after", F.coalesce("k", "__group").alias("__class"))
+    return with_class.repartition("__row").sortWithinPartitions("__row", "__at")
 
 
 class Chain:
-    """Class before each row of a partition of ``Lookup.chained``, batch after batch."""
+    """Class before each row of a partition of ``joined``, batch after batch."""
 
     def __init__(self) -> None:
         self.last = -1
@@ -274,8 +304,20 @@ class Model:
     total: int
 
 
-def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps: int = SWEEPS, head: int = HEAD) -> tuple[Model, DataFrame]:
-    """A model of documents (doc_id, text) where ``keep`` holds, and the counts (w, g, c) of all their words with their classes (k)."""
+@dataclass
+class Words:
+    """Counts (w, g, c) of all words of the training texts, and classes (w, k) of those that chose one."""
+
+    counts: DataFrame
+    classes: DataFrame
+
+
+FAR = schema(__row=LONG, __at=LONG, __w=LONG, __before=INT, __after=INT, __group=INT)
+PAIRS = schema(p=LONG, n=LONG)
+
+
+def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps: int = SWEEPS, head: int = HEAD, least: int = LEAST) -> tuple[Model, Words]:
+    """A model of documents (doc_id, text) where ``keep`` holds, and their words."""
     few_rows_a_batch(docs.sparkSession)
     texts = docs.filter(keep).select(F.coalesce("text", F.lit("")).alias("text"))
     kinds = schema(w=LONG, g=INT, c=LONG)
@@ -296,15 +338,15 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
 
     counts = durable(texts.mapInArrow(count, kinds).groupBy("w").agg(F.min("g").alias("g"), F.sum("c").alias("c")))
     ends = texts.count()
-    words, kinds_seen = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    words, kinds_seen, choosing = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") >= least)).first()
     total, seen = words + ends, kinds_seen + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "w").limit(own).toArrow()
-    top_w, top_c = top["w"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
-    lone = len(top_w)
-    by_hash = np.argsort(top_w, kind="stable")
-    units = Units(top_w[by_hash], by_hash.astype(np.int64))
-
-    pair_kinds = schema(p=LONG, n=LONG)
+    top = counts.orderBy(F.desc("c"), "w").limit(max(head, own)).toArrow()
+    top_w, top_g, top_c = (top[x].to_numpy().astype(np.int64) for x in ("w", "g", "c"))
+    lone = min(own, len(top_w))
+    by_hash = np.argsort(top_w[:lone], kind="stable")
+    units = Units(top_w[:lone][by_hash], by_hash.astype(np.int64))
+    beyond = (F.col("c") < int(top_c[-1])) | ((F.col("c") == int(top_c[-1])) & (F.col("w") > int(top_w[-1]))) if len(top_w) else F.lit(True)
+    others = filter_of(counts.filter(beyond & (F.col("c") >= least)))
     side = units.count
 
     def bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,9 +357,9 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
             at, n = np.unique(np.concatenate([[units.end], u[:-1]]) * side + u, return_counts=True)
             found[at] += n
         at = np.flatnonzero(found)
-        yield batch_of(pair_kinds, {"p": pa.array(at), "n": pa.array(found[at])})
+        yield batch_of(PAIRS, {"p": pa.array(at), "n": pa.array(found[at])})
 
-    got = texts.mapInArrow(bigrams, pair_kinds).groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+    got = texts.mapInArrow(bigrams, PAIRS).groupBy("p").agg(F.sum("n").alias("n")).toArrow()
     pairs = np.zeros(side * side)
     pairs[got["p"].to_numpy()] = got["n"].to_numpy()
     pairs = pairs.reshape(side, side)
@@ -328,77 +370,93 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
     first = hot.T @ pairs @ hot
     group = of[lone : lone + GROUPS]
 
-    # Each word without a unit of its own: the classes before it (0 to k - 1) and after it (k to 2 k - 1), as slot + 2 k * count.
-    seen_kinds = T.StructType([*schema(w=LONG, g=INT).fields, T.StructField("s", T.ArrayType(LONG, False))])
+    # The words that choose: those of the head that stand often enough, and what the filter lets through.
+    some = np.sort(top_w[lone:][top_c[lone:] >= least])
+    buckets = max(64, -(-choosing // BUCKET))
+    packed = T.StructType([T.StructField("bucket", INT), T.StructField("w", T.BinaryType()), T.StructField("x", T.BinaryType())])
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Of each word and neighbouring class (before: 0 to k - 1, after: k to 2 k - 1) its hash, and slot, group and count in one long.
         def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
             h, g, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
             w, at, of_word = np.unique(h, return_index=True, return_inverse=True)
             key, n = np.unique(np.concatenate([of_word * 2 * k + before, of_word * 2 * k + k + after]), return_counts=True)
-            slots = pa.ListArray.from_arrays(pa.array(np.searchsorted(key, np.arange(len(w) + 1) * 2 * k), pa.int32()), pa.array(key % (2 * k) + 2 * k * n))
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(g[at].astype(np.int32)), slots], ["w", "g", "s"])
+            word = key // (2 * k)
+            bucket = (w[word].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            hashes, x = w[word][order], (key % (2 * k) + (g[at][word] << 16) + (n << 32))[order]
+            there = np.flatnonzero(np.diff(cut))
+            return batch_of(packed, {"bucket": pa.array(there.astype(np.int32)), "w": [hashes[cut[i] : cut[i + 1]].tobytes() for i in there], "x": [x[cut[i] : cut[i + 1]].tobytes() for i in there]})
 
         parts: list[tuple[np.ndarray, ...]] = []
         for b in small_batches(batches, 4 << 20):
             h, g, number = tokens_of(b.column(0).to_pylist())
             u, _ = units.sequence(units.of(h, g), number, b.num_rows)
             cls, at = of[u], np.arange(len(h)) + number
-            far = u[at] >= lone
+            far = np.flatnonzero(u[at] >= lone)
+            in_head = some[np.minimum(np.searchsorted(some, h[far]), len(some) - 1)] == h[far] if len(some) else np.zeros(len(far), bool)
+            far = far[in_head | others.has(h[far])]
             at = at[far]
             parts.append((h[far], g[far], np.where(at > 0, cls[at - 1], of[units.end]), cls[at + 1]))
             if sum(len(p[0]) for p in parts) > 2_000_000:
                 yield combined(parts)
                 parts = []
-        if parts:
+        if parts and sum(len(p[0]) for p in parts):
             yield combined(parts)
 
-    class_kinds = schema(w=LONG, k=INT)
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Parts of a word follow each other; the last word of a batch may go on in the next.
-        def chosen(h: np.ndarray, g: np.ndarray, word: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-            w, at, of_word = np.unique(h, return_index=True, return_inverse=True)
-            found = np.zeros((len(w), 2 * k), np.int64)
-            np.add.at(found, (of_word[word], s % (2 * k)), s // (2 * k))
-            return batch_of(class_kinds, {"w": pa.array(w), "k": pa.array(choices(found, group[g[at]], first))})
-
-        none = np.zeros(0, np.int64)
-        held = (none, none, none, none)
-        for b in batches:
-            lists = b.column("s")
-            h, g, word = b.column("w").to_numpy(), b.column("g").to_numpy(), np.repeat(np.arange(b.num_rows), pa.compute.list_value_length(lists).to_numpy())
-            h, g, word, s = np.concatenate([held[0], h]), np.concatenate([held[1], g]), np.concatenate([held[2], word + len(held[0])]), np.concatenate([held[3], lists.flatten().to_numpy()])
-            cut = int(np.flatnonzero(h == h[-1])[0]) if len(h) else 0
-            ready = word < cut
-            if cut:
-                yield chosen(h[:cut], g[:cut], word[ready], s[ready])
-            held = (h[cut:], g[cut:], word[~ready] - cut, s[~ready])
-        if len(held[0]):
-            yield chosen(*held)
-        tidy()
-
-    moved = texts.mapInArrow(neighbours, seen_kinds).repartition("w").sortWithinPartitions("w").mapInArrow(choose, class_kinds)
-    counts = durable(counts.join(moved, "w", "left"))
-    top = counts.orderBy(F.desc("c"), "w").limit(max(head, lone)).toArrow()
-    top_w, top_c = top["w"].to_numpy().astype(np.int64), top["c"].to_numpy().astype(np.int64)
-    top_k = np.concatenate([of[:lone], top["k"].to_numpy(zero_copy_only=False)[lone:].astype(np.int64)])
+    class_kinds = schema(w=LONG, k=INT, c=LONG)
+
+    def choose(bucket: pa.Table) -> pa.Table:
+        h, x = (np.frombuffer(b"".join(bucket[c].to_pylist()), np.int64) for c in ("w", "x"))
+        w, at, of_word = np.unique(h, return_index=True, return_inverse=True)
+        out = []
+        for i in range(0, len(w), BUCKET):  # a filter that lets too much through makes larger buckets
+            mine = (of_word >= i) & (of_word < i + BUCKET)
+            found = np.zeros((len(w[i : i + BUCKET]), 2 * k), np.int64)
+            np.add.at(found, (of_word[mine] - i, x[mine] & 0xFFFF), x[mine] >> 32)
+            now = group[(x[at[i : i + BUCKET]] >> 16) & 0xFFFF]
+            times = found[:, :k].sum(1)
+            keeps = times >= least  # what only the filter let through stays in its group
+            out.append(batch_of(class_kinds, {"w": pa.array(w[i : i + BUCKET][keeps]), "k": pa.array(choices(found, now, first)[keeps]), "c": pa.array(times[keeps])}))
+        return pa.Table.from_batches(out) if out else pa.Table.from_batches([batch_of(class_kinds, {"w": [], "k": [], "c": []})])
+
+    moved = durable(texts.mapInArrow(neighbours, packed).groupBy("bucket").applyInArrow(choose, class_kinds))
+    # Classes of the head: its own, those chosen, the groups'. Those beyond stay a table.
+    top_k = np.concatenate([of[:lone], group[top_g[lone:]]]).astype(np.int64)
+    chosen = moved.filter(~beyond).select("w", "k").toArrow()  # words of the head
+    by_word = np.argsort(top_w, kind="stable")
+    if chosen.num_rows:
+        top_k[by_word[np.searchsorted(top_w[by_word], chosen["w"].to_numpy())]] = chosen["k"].to_numpy()
+    rest = moved.filter(beyond).select("w", "k", "c")
     in_class = np.zeros((k, 2))
-    for b, c, n in counts.filter("k IS NOT NULL").groupBy("k").agg(F.sum("c"), F.count("*")).collect():
-        in_class[b] = c, n
-    np.add.at(in_class, np.append(of[:lone], of[units.end]), np.stack([np.append(top_c[:lone], ends), np.append(np.ones(lone), ends > 0)], 1))
-    order = np.argsort(top_w, kind="stable")
-    lookup = Lookup(top_w[order], top_k[order], group, int(of[units.end]))
+    np.add.at(in_class, top_k, np.stack([top_c, np.ones(len(top_c))], 1))
+    in_class[of[units.end]] += (ends, ends > 0)
+    for g, c, n in counts.filter(beyond).groupBy("g").agg(F.sum("c"), F.count("*")).collect():
+        in_class[group[g]] += (c, n)
+    if others.bits is not None:  # those that left their groups
+        for a, b, c, n in rest.drop("c").join(counts, "w").groupBy("g", "k").agg(F.sum("c"), F.count("*")).collect():
+            in_class[group[a]] -= (c, n)
+            in_class[b] += (c, n)
+    lookup = Lookup(top_w[by_word], top_k[by_word], group, int(of[units.end]), others)
+    classes_ = rest.select("w", "k")
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big = np.zeros(k * k, np.int64)
         for b in small_batches(batches, 4 << 20):
-            h, _, number = tokens_of(b.column(0).to_pylist())
-            cls, _, _ = lookup.sequence(h, number, b.num_rows)
+            h, g, number = tokens_of(b.column(0).to_pylist())
+            cls, _, _ = lookup.sequence(h, g, number, b.num_rows)
             before = np.concatenate([[lookup.end], cls[:-1]])
             both = (before >= 0) & (cls >= 0)
             big += np.bincount(before[both] * k + cls[both], minlength=k * k)
-        yield batch_of(pair_kinds, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
+        yield batch_of(PAIRS, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4 << 20):
+            h, g, number = tokens_of(b.column("text").to_pylist())
+            cls, _, at = lookup.sequence(h, g, number, b.num_rows)
+            where, place, w, before, after, own_group = lookup.far(h, g, cls, at)
+            yield batch_of(FAR, {"__row": pa.array(b.column("__row").to_numpy()[number[where]]), "__at": pa.array(place), "__w": pa.array(w), "__before": pa.array(before), "__after": pa.array(after), "__group": pa.array(own_group)})
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         big, chain = np.zeros(k * k, np.int64), Chain()
@@ -406,56 +464,77 @@ def train(docs: DataFrame, keep, own: int = OWN, classes: int = CLASSES, sweeps:
             cls, after = b.column("__class").to_numpy(), b.column("__after").to_numpy()
             last = after >= 0
             big += np.bincount(chain.before(b) * k + cls, minlength=k * k) + np.bincount(cls[last] * k + after[last], minlength=k * k)
-        yield batch_of(pair_kinds, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
-
-    far = lookup.far(texts.withColumn("__row", F.monotonically_increasing_id()), counts)
-    sums = texts.mapInArrow(known, pair_kinds).unionAll(lookup.chained(far).mapInArrow(linked, pair_kinds)).groupBy("p").agg(F.sum("n").alias("n")).toArrow()
+        yield batch_of(PAIRS, {"p": pa.array(np.arange(k * k)), "n": pa.array(big)})
+
+    sums = texts.mapInArrow(known, PAIRS)
+    if others.bits is not None:
+        # Rows are numbered for this one scan, to bring a text's words together.
+        far = texts.withColumn("__row", F.monotonically_increasing_id()).mapInArrow(find, FAR)
+        sums = sums.unionAll(joined(far, classes_).mapInArrow(linked, PAIRS))
+    sums = sums.groupBy("p").agg(F.sum("n").alias("n")).toArrow()
     big = np.zeros(k * k)
     big[sums["p"].to_numpy()] = sums["n"].to_numpy()
     big = big.reshape(k, k)
     share = (in_class[:, 0] + 0.5) / (in_class[:, 0].sum() + 0.5 * k)
     transition = np.log10((big + KAPPA * share[None, :]) / (big.sum(1, keepdims=True) + KAPPA))
     spread = np.log10(in_class[:, 0] + 0.5 * (in_class[:, 1] + 1))
-    return Model(lookup, transition, spread, np.log10(top_c[order] + 0.5), float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (seen + 1))), int(total)), counts
+    model = Model(lookup, transition, spread, np.log10(top_c[by_word] + 0.5), float(np.log10(ends + 0.5)), float(np.log10(total + 0.5 * (seen + 1))), int(total))
+    return model, Words(counts, moved.select("w", "k"))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Columns ``carry`` with n_tokens, n_known, train_tokens, base_score and score of every document (text)."""
+def score(docs: DataFrame, model: Model, words: Words, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``carry`` with n_tokens, n_known, train_tokens, base_score and score of every document (text).
+
+    One scan writes each text's sums over its words in place, with the hashes of the others; these find their counts, and some their classes, by joins.
+    """
     rows = docs.select(*carry, F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("__row"))
     lookup = model.lookup
-    part_kinds = rows.drop("text").schema.add("n_tokens", LONG).add("__known", LONG).add("__base", DOUBLE).add("__score", DOUBLE)
+    far_type = T.ArrayType(T.StructType([f for f in FAR.fields if f.name != "__row"]), False)
+    part_kinds = rows.drop("text").schema.add("n_tokens", LONG).add("__known", LONG).add("__base", DOUBLE).add("__score", DOUBLE).add("__tail", T.ArrayType(LONG)).add("__far", far_type)
+
+    def lists(values: np.ndarray | pa.Array, owner: np.ndarray, d: int) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(d + 1)).astype(np.int32)), values if isinstance(values, pa.Array) else pa.array(values))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4 << 20):
-            h, _, number = tokens_of(b.column("text").to_pylist())
+            h, g, number = tokens_of(b.column("text").to_pylist())
             d = b.num_rows
             i, is_head = lookup.of(h)
             logs = np.where(is_head, model.head_log[i] if len(lookup.words) else 0.0, 0.0)
-            cls, which, _ = lookup.sequence(h, number, d)
+            cls, which, at = lookup.sequence(h, g, number, d)
             before = np.concatenate([[lookup.end], cls[:-1]])
             path = np.where((before >= 0) & (cls >= 0), model.transition[before, cls], 0.0) - np.where(cls >= 0, model.spread[cls], 0.0)
             add = lambda w, n: np.bincount(n, w, d)
+            where, *far = lookup.far(h, g, cls, at)
+            inner = pa.StructArray.from_arrays([pa.array(x.astype(np.int64 if f.dataType == LONG else np.int32)) for x, f in zip(far, far_type.elementType.fields, strict=True)], [f.name for f in far_type.elementType.fields])
             made = {"n_tokens": np.bincount(number, minlength=d) + 1, "__known": np.bincount(number[is_head], minlength=d) + (model.total > 0), "__base": add(logs, number) + model.end_log, "__score": add(path, which)}
-            yield batch_of(part_kinds, {c: b.column(c) for c in (*carry, "__row")} | {k: pa.array(v) for k, v in made.items()})
-
-    far_kinds = schema(__row=LONG, __path=DOUBLE, __log=DOUBLE, __more=LONG)
-
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chain = Chain()
-        for b in batches:
-            cls, after, c = b.column("__class").to_numpy(), b.column("__after").to_numpy(), b.column("c").fill_null(0).to_numpy()
-            path = model.transition[chain.before(b), cls] - model.spread[cls] + np.where(after >= 0, model.transition[cls, after], 0.0)
-            row, at = np.unique(b.column("__row").to_numpy(), return_inverse=True)
-            yield batch_of(far_kinds, {"__row": pa.array(row), "__path": pa.array(np.bincount(at, path, len(row))), "__log": pa.array(np.bincount(at, np.log10(c + 0.5), len(row))), "__more": pa.array(np.bincount(at[c > 0], minlength=len(row)))})
-
-    each = lookup.chained(lookup.far(rows, counts)).mapInArrow(paths, far_kinds)
-    tails = each.groupBy("__row").agg(*(F.sum(x).alias(x) for x in ("__path", "__log", "__more")))
-    joined = rows.mapInArrow(parts, part_kinds).join(tails, "__row", "left")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*carry, "__row")), *(pa.array(v) for v in made.values()), lists(h[~is_head], number[~is_head], d), lists(inner, number[where], d)], part_kinds.names)
+
+    each = durable(rows.mapInArrow(parts, part_kinds))
+    tail = each.select("__row", F.explode("__tail").alias("w")).groupBy("__row", "w").agg(F.count("*").alias("n")).join(words.counts.select("w", "c"), "w", "left")
+    c = F.coalesce("c", F.lit(0))
+    tails = tail.groupBy("__row").agg(F.sum(F.col("n") * F.log10(c + F.lit(0.5))).alias("__log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("__more"))
+    whole = each.drop("__tail", "__far").join(tails, "__row", "left")
+    path = F.lit(0.0)
+    if lookup.others.bits is not None:
+        far_kinds = schema(__row=LONG, __path=DOUBLE)
+
+        def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chain = Chain()
+            for b in batches:
+                cls, after = b.column("__class").to_numpy(), b.column("__after").to_numpy()
+                steps = model.transition[chain.before(b), cls] - model.spread[cls] + np.where(after >= 0, model.transition[cls, after], 0.0)
+                row, at = np.unique(b.column("__row").to_numpy(), return_inverse=True)
+                yield batch_of(far_kinds, {"__row": pa.array(row), "__path": pa.array(np.bincount(at, steps, len(row)))})
+
+        far = each.select("__row", F.explode("__far").alias("f")).select("__row", "f.*")
+        steps = joined(far, words.classes).mapInArrow(paths, far_kinds).groupBy("__row").agg(F.sum("__path").alias("__path"))
+        whole, path = whole.join(steps, "__row", "left"), F.coalesce("__path", F.lit(0.0))
     log = F.coalesce("__log", F.lit(0.0))
     base = F.col("__base") + log - F.col("n_tokens") * model.base
     # The end's own log is in __base.
-    whole = F.col("__score") + F.coalesce("__path", F.lit(0.0)) + F.col("__base") + log if model.total else base
-    return joined.select(*carry, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).cast(LONG).alias("n_known"), F.lit(model.total).cast(LONG).alias("train_tokens"), base.alias("base_score"), whole.alias("score"))
+    score_ = F.col("__score") + path + F.col("__base") + log if model.total else base
+    return whole.select(*carry, "n_tokens", (F.col("__known") + F.coalesce("__more", F.lit(0))).cast(LONG).alias("n_known"), F.lit(model.total).cast(LONG).alias("train_tokens"), base.alias("base_score"), score_.alias("score"))
 
 
 #: Learning leaves this fold of 5 out.

@@ -7,8 +7,10 @@ after its digest, so equal fingerprints mean equal canonical forms. Likeness is
 
 Everything is DataFrame functions; normalisation and folding are static methods of the ICU classes that Spark ships, by ``java_method``.
 
-The next document in falling order of id comes from one shuffle of the texts: rows are dealt by ranges of ids (borders from quantiles,
-subdivided evenly), ordered within each range, and the first row of each range is copied to the end of the range before it.
+Each text is folded once and written with its digest; what follows reads that. The next document in falling order of id comes from one shuffle of the
+texts: rows are dealt by ranges of ids (borders from quantiles, subdivided evenly), ordered within each range, and the first row of each range is copied to
+the end of the range before it. An id with more than a share of the rows (``HOT``), null too, is a range of its own, cut by the texts' hashes; a text
+that stands so often with one id is cut by row numbers, its rows being alike.
 
 Defined cases: a null text counts as empty; null ids come last; rows with one id go by a hash of their text, and identical rows in any order,
 which shows in no column; a table of one row has itself as next; an empty table gives no rows.
@@ -19,8 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import DOUBLE, LONG, STRING, schema
+from .shared import DOUBLE, LONG, STRING, durable, schema
 
+#: An id or text is hot that has more than one row in so many.
+HOT = 128
 #: Ranges of ids at most, and rows that each should hold; the rows of range borders are broadcast.
 RANGES, RANGE_ROWS = 1 << 16, 5_000
 #: Bytes of bucket keys that may be broadcast.
@@ -44,21 +48,22 @@ def digits(a: Column, b: Column) -> Column:
     return F.lower(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-def with_next(docs: DataFrame, add, carry: tuple[str, ...]) -> DataFrame:
-    """doc_id, text and ``carry`` with next_<column> of text and carry: the next row's in falling order of doc_id, the last's the first's.
-
-    ``add`` adds the columns ``carry`` to rows of doc_id and text.
-    """
-    spark = docs.sparkSession
-    rows = docs.withColumn("__h", F.xxhash64("text"))
+def with_next(rows: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """rows (doc_id, text, __h: hash of the text, and ``carry``) with next_<column> of text and carry: the next row's in falling order of doc_id, the last's the first's."""
+    spark = rows.sparkSession
     n, low, high = rows.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
+    alike = rows.groupBy("doc_id", "__h").agg(F.count("*").alias("n"))
+    least = max(RANGE_ROWS, n // HOT)
+    # At most ``HOT`` ids, and as many texts, with the pieces that they are cut into.
+    ids = {r[0]: -(-r[1] // least) for r in alike.groupBy("doc_id").agg(F.sum("n").alias("n")).filter(F.col("n") > least).collect()}
+    same = {(r[0], r[1]): -(-r[2] // least) for r in alike.filter(F.col("n") > least).collect()}
     if low is None:
         rows, borders = rows.withColumn("__range", F.lit(-1).cast(LONG)), []
     else:
         ranges = max(1, min(RANGES, n // RANGE_ROWS))
         coarse = min(ranges, 256)
         got = rows.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)], 10_000)).first()[0] if coarse > 1 else []
-        borders = sorted({low, *got})
+        borders = sorted({low, *got, *(i for i in ids if i is not None), *(i + 1 for i in ids if i is not None and i < high)})
         ends = [*borders[1:], high + 1]
         fine = -(-ranges // len(borders))
 
@@ -70,17 +75,27 @@ def with_next(docs: DataFrame, add, carry: tuple[str, ...]) -> DataFrame:
             return F.when(F.col("doc_id") < F.lit(borders[m]), tree(i, m)).otherwise(tree(m, j))
 
         rows = rows.withColumn("__range", F.when(F.col("doc_id").isNull(), F.lit(-1).cast(LONG)).otherwise(tree(0, len(borders))))
-    # First rows of the ranges: highest id, then lowest hash. At most RANGES + 1 of them.
-    firsts = rows.groupBy("__range").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.shiftright(F.col("__h"), 1), -F.col("__h").bitwiseAND(1))).alias("m")).collect()
-    firsts = sorted(((r[0], r[1][0], -(2 * r[1][1] + r[1][2])) for r in firsts), reverse=True)
-    copies = [(a[0], b[0], b[1] if b[0] >= 0 else None, b[2]) for a, b in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
-    heads = spark.createDataFrame(copies, schema(__to=LONG, __of=LONG, __id=LONG, __hash=LONG))
-    ghosts = rows.join(F.broadcast(heads), (F.col("__of") == F.col("__range")) & F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__h"))).dropDuplicates(["__to"])
-    ghosts = ghosts.withColumn("__range", F.col("__to")).drop("__to", "__of", "__id", "__hash")
-    both = add(rows).withColumn("__ghost", F.lit(False)).unionByName(add(ghosts).withColumn("__ghost", F.lit(True)))
-    order = Window.partitionBy("__range").orderBy("__ghost", F.col("doc_id").desc_nulls_last(), "__h")
+    piece = salt = F.lit(0).cast(LONG)
+    for i, k in ids.items():  # hashes in order, cut evenly
+        piece = F.when(F.col("doc_id").eqNullSafe(F.lit(i)), F.floor((F.col("__h") / F.lit(2.0**64) + 0.5) * k).cast(LONG)).otherwise(piece)
+    for (i, h), k in same.items():
+        salt = F.when(F.col("doc_id").eqNullSafe(F.lit(i)) & (F.col("__h") == h), F.pmod(F.monotonically_increasing_id(), F.lit(k))).otherwise(salt)
+    rows = rows.withColumns({"__piece": piece, "__salt": salt})
+    own = ("__range", "__piece", "__salt")
+    # First rows of the ranges: highest id, then lowest hash. A few times ``RANGES`` of them at most.
+    firsts = rows.groupBy(*own).agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), -F.shiftright(F.col("__h"), 1), -F.col("__h").bitwiseAND(1))).alias("m")).collect()
+    firsts = sorted(((-r[0], r[1], r[2], r[3][0] if r[0] >= 0 else None, -(2 * r[3][1] + r[3][2])) for r in firsts))
+    copies = [(-a[0], a[1], a[2], b[3], b[4]) for a, b in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
+    heads = spark.createDataFrame(copies, schema(__to0=LONG, __to1=LONG, __to2=LONG, __id=LONG, __hash=LONG))
+    # The copied rows, by id and hash: one of those that are alike, for each range that it follows.
+    is_head = F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__h"))
+    some = rows.drop(*own).join(F.broadcast(heads.select("__id", "__hash").distinct()), is_head, "left_semi").dropDuplicates(["doc_id", "__h"])
+    ghosts = some.join(F.broadcast(heads), is_head)
+    ghosts = ghosts.withColumns({c: F.col(f"__to{i}") for i, c in enumerate(own)}).drop("__to0", "__to1", "__to2", "__id", "__hash")
+    both = rows.withColumn("__ghost", F.lit(False)).unionByName(ghosts.withColumn("__ghost", F.lit(True)))
+    order = Window.partitionBy(*own).orderBy("__ghost", F.col("doc_id").desc_nulls_last(), "__h")
     leads = {f"next_{c}": F.lead(c).over(order) for c in ("text", *carry)}
-    return both.withColumns(leads).filter(~F.col("__ghost")).drop("__range", "__ghost", "__h")
+    return both.withColumns(leads).filter(~F.col("__ghost")).drop(*own, "__ghost", "__h")
 
 
 def whole(docs: DataFrame) -> DataFrame:
@@ -127,9 +142,9 @@ def settled(rows: DataFrame, extra: DataFrame, a: str, b: str, form: str, name:
 
 def compared(docs: DataFrame, bits: int = 64) -> DataFrame:
     """The contract query: each document beside its edited text and the next document."""
-    texts = whole(docs)
-    extra = clashes(digested(texts, bits))
-    rows = with_next(texts, lambda rows: digested(rows, bits), ("__a", "__b")).withColumn("n_chars", F.length("text").cast(LONG))
+    folded = durable(digested(whole(docs), bits).withColumn("__h", F.xxhash64("text")))
+    extra = clashes(folded)
+    rows = with_next(folded, ("__a", "__b")).withColumn("n_chars", F.length("text").cast(LONG))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("__edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third)))
     rows = rows.withColumn("__edited_form", canonical(F.col("__edited")))
@@ -150,10 +165,5 @@ def compared(docs: DataFrame, bits: int = 64) -> DataFrame:
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """fingerprint, first doc_id and number of rows of each group of equal canonical texts."""
-    return fingerprinted(docs).groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("rows"))
-
-
 def op2(spark, sf_dir: str) -> DataFrame:
     return compared(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -7,15 +7,16 @@ more surely. What meets is verified on the full sets (64-bit hashes of n-grams),
 
 How it runs:
 
-1. One pass makes each document's set digest (16 bytes) and band hashes. Documents with equal sets are one node with a weight; a group
-   of copies of any size is combined in each task before it is shuffled.
+1. One pass writes each document's set digest (16 bytes), band hashes and a 128-bit hash of id and text. Documents with equal sets are one node
+   with a weight; a group of copies of any size is combined in each task before it is shuffled.
 2. Nodes are shuffled on band hashes. Buckets with one node go; of buckets with the same nodes one stays.
 3. Each remaining bucket is verified in blocks of nodes against blocks of nodes by matrix products over shared n-grams. A pair that
    meets in several buckets is counted in that of its first common band only. A task returns counts of links and edges of a spanning forest,
    so its output is linear in its nodes, and pairs are never rows.
 4. Connected components by alternating large and small stars, written to the shared folder each round.
 
-The n-grams of nodes that meet others are read again from the texts. Nothing of a document is sent to the driver.
+The n-grams of nodes that meet others are read again from the texts, which are found by their hashes, never by their place in a scan: each task
+gives each text once, however many copies it has. Nothing of a document is sent to the driver.
 
 Result, one row a document: class_id (smallest doc_id of the connected component), n_links (documents with similarity at or above the threshold, copies
 counted one by one). Defined cases: null and empty texts, and texts of white space, have no links and are classes of their own; repeated rows link
@@ -83,10 +84,22 @@ def band_hashes(g: np.ndarray, a: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
+def text_hash() -> list:
+    """128 bits of a text; null and empty are one."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(F.lit(i), text).alias(f"t{i}") for i in (1, 2)]
+
+
+def row_key() -> list:
+    """128 bits of a row's id and text, which tell it from all rows but its own repetitions; a null id is one of its own."""
+    return [F.xxhash64(F.lit(i), F.coalesce("doc_id", F.lit(0)), F.col("doc_id").isNull(), F.coalesce("text", F.lit(""))).alias(f"k{i}") for i in (1, 2)]
+
+
 def signed(docs: DataFrame, n: int, threshold: float, recall: float, rows: int) -> DataFrame:
-    """__row, doc_id, s (digest; null without words) and bands of each document."""
-    chosen = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "text")
-    kinds = T.StructType([*chosen.schema.fields[:2], T.StructField("s", T.BinaryType()), T.StructField("bands", T.ArrayType(LONG))])
+    """doc_id, t1, t2 (text hash), k1, k2 (row key), s (digest; null without words) and bands of each document."""
+    chosen = docs.select("doc_id", *text_hash(), *row_key(), "text")
+    names = chosen.columns[:-1]
+    kinds = T.StructType([*chosen.schema.fields[:-1], T.StructField("s", T.BinaryType()), T.StructField("bands", T.ArrayType(LONG))])
     a = multipliers(bands_for(threshold, recall, rows) * rows)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +109,7 @@ def signed(docs: DataFrame, n: int, threshold: float, recall: float, rows: int)
                 g = grams(t, n)
                 s.append(digest(g) if len(g) else None)
                 bands.append(band_hashes(g, a, rows).view(np.int64) if len(g) else None)
-            yield batch_of(kinds, {c: b.column(c) for c in ("__row", "doc_id")} | {"s": s, "bands": bands})
+            yield batch_of(kinds, {c: b.column(c) for c in names} | {"s": s, "bands": bands})
 
     return chosen.mapInArrow(sign, kinds)
 
@@ -191,10 +204,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def joined(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Documents (__row, doc_id, s) and nodes (s, rep, weight, links, root)."""
+    """Documents (doc_id, k1, k2, s) and nodes (s, rep, weight, links, root)."""
     few_rows_a_batch(docs.sparkSession)
     signs = durable(signed(docs, n, threshold, recall, rows))
-    nodes = signs.filter("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("__row").alias("at"), F.max("bands").alias("bands"))
+    nodes = signs.filter("s IS NOT NULL").groupBy("s").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min(F.struct("t1", "t2")).alias("at"), F.max("bands").alias("bands"))
     nodes = durable(nodes)
     spread = nodes.select("s", F.posexplode("bands").alias("band", "bucket"))
     # Buckets with more than one node; of those with the same nodes, the smallest stands for all.
@@ -207,16 +220,24 @@ def joined(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall
     by_band = members.groupBy("s").agg(F.collect_list(F.struct("band", "keeps")).alias("in"))  # at most a row a band
     meeting = by_band.join(nodes.select("s", "weight", "at"), "s")
     meeting = durable(meeting.select("s", "weight", "at", "in"))
-    wanted = meeting.select("at", F.col("s").alias("__s"))
-    small = meeting.count() * 32 <= BROADCAST_BYTES
-    source = docs.select(F.monotonically_increasing_id().alias("at"), "text").join(F.broadcast(wanted) if small else wanted, "at").select("__s", "text")
+    wanted = meeting.select("at.t1", "at.t2", F.col("s").alias("__s"))
+    small = meeting.count() * 40 <= BROADCAST_BYTES
+    source = docs.select("text", *text_hash()).join(F.broadcast(wanted) if small else wanted, ["t1", "t2"]).select("__s", "text")
     kinds = T.StructType([T.StructField("__s", T.BinaryType()), T.StructField("grams", T.BinaryType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()  # 16 bytes a text that others meet, of those that this task reads
         for b in small_batches(batches, 4 << 20):
-            yield batch_of(kinds, {"__s": b.column("__s"), "grams": [grams(t, n).tobytes() for t in texts(b.column("text"))]})
-
-    full = meeting.join(source.mapInArrow(read, kinds), F.col("s") == F.col("__s")).select("s", "weight", "in", "grams")
+            s_, g = [], []
+            for key, t in zip(b.column("__s").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    s_.append(key)
+                    g.append(grams(t or "", n).tobytes())
+            yield batch_of(kinds, {"__s": s_, "grams": g})
+
+    once = source.mapInArrow(read, kinds).groupBy("__s").agg(F.min("grams").alias("grams"))
+    full = meeting.join(once, F.col("s") == F.col("__s")).select("s", "weight", "in", "grams")
     full = full.withColumn("bands", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda k: F.coalesce(F.element_at(F.map_from_entries("in"), k), F.lit(0))))
     full = durable(full.select("s", "weight", "bands", "grams"))
     # A row for each bucket, pair of blocks and node.
@@ -258,7 +279,7 @@ def joined(docs: DataFrame, n: int = WORDS, threshold: float = THRESHOLD, recall
     total = links.groupBy("s").agg(F.sum("links").alias("links"))
     whole = nodes.join(total, "s", "left").join(roots.withColumnRenamed("node", "s"), "s", "left")
     whole = whole.select("s", "rep", "weight", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("root", "s").alias("root"))
-    return signs.select("__row", "doc_id", "s"), durable(whole)
+    return signs.select("doc_id", "k1", "k2", "s"), durable(whole)
 
 
 def classes(docs: DataFrame, **parameters) -> DataFrame:
@@ -271,16 +292,25 @@ def classes(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def one_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay when of each class the row with the smallest doc_id (then the first) stays."""
+    """The rows of ``docs``, all columns, that stay when of each class one row with the smallest doc_id stays (of several, that with the smallest key).
+
+    Rows are found again by the hash of id and text. Of a row that stands several times, its id and text being the same, any one stays.
+    """
     rows, nodes = joined(docs, **parameters)
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "__row")
-    by_node = rows.filter("s IS NOT NULL").groupBy("s").agg(F.min(first).alias("f"))
-    stays = by_node.join(nodes.select("s", "root"), "s").groupBy("root").agg(F.min("f").alias("f")).select(F.col("f.__row").alias("__keep"))
-    gone = durable(rows.filter("s IS NOT NULL").select("__row").join(stays, F.col("__row") == F.col("__keep"), "left_anti"))
-    gone = F.broadcast(gone) if gone.count() * 8 <= BROADCAST_BYTES else gone
+    some = rows.filter("s IS NOT NULL").groupBy("s", "doc_id", "k1", "k2").agg(F.count("*").alias("n"))
+    some = durable(some.join(nodes.select("s", "root"), "s").select("root", "doc_id", "k1", "k2", "n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k1", "k2", "n")).alias("f")
+    stays = durable(some.groupBy("root").agg(first).select("f.k1", "f.k2", "f.n"))
+    # What goes: rows whose key isn't one that stays, and rows that repeat one that does, of which one comes back.
+    gone = durable(some.select("k1", "k2").join(stays.filter("n = 1"), ["k1", "k2"], "left_anti").distinct())
     own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    keyed = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), F.monotonically_increasing_id().alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(*(F.col(x).alias(c) for c, x in own.items()))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(x) for c, x in own.items()), *row_key())
+    small = lambda keys: F.broadcast(keys) if keys.count() * 16 <= BROADCAST_BYTES else keys
+    kept = keyed.join(small(gone), ["k1", "k2"], "left_anti")
+    repeated = stays.filter("n > 1").select("k1", "k2")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(small(repeated), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+    return kept.select(*(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

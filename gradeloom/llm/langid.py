@@ -4,8 +4,9 @@ Character 1- to 3-grams of the lower-cased text are hashed into a fixed number o
 log(1 + count) * idf, scaled to length 1. Weights are trained by follow-the-regularised-leader (per-coordinate steps, L1 and L2
 penalties), so that most stay exactly 0; a temperature fitted on documents that training didn't see calibrates the probabilities.
 
-Training takes a bounded sample: up to ``sample`` labelled documents (those with the smallest hashes of id and text, copies counting once), a parameter.
-Their sparse vectors, not their texts, come to the driver; the model has a fixed size whatever the input.
+Training takes a bounded sample of labelled documents, about ``sample`` of them by each language's share and about ``least`` of each language at least (both
+parameters), so that a rare language is learned too: those whose hash of id and text is small enough, copies counting once. Their sparse vectors, not
+their texts, come to the driver; the model has a fixed size a language whatever the input.
 Prediction is one pass over the texts where they lie; nothing is shuffled.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 1.0. If no labelled document has a letter,
@@ -118,16 +119,19 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], buckets: int = BUCKETS,
     return model
 
 
-def train(docs: DataFrame, keep, sample: int = 2000, buckets: int = BUCKETS, **parameters: float) -> Model:
+def train(docs: DataFrame, keep, sample: int = 2000, least: int = 100, buckets: int = BUCKETS, **parameters: float) -> Model:
     """A model from documents (doc_id, text, lang) where ``keep`` holds and lang is there."""
-    # The order key has no text in it beyond a hash, so the sample's top-k moves few bytes until the rows are chosen.
     few_rows_a_batch(docs.sparkSession)
     order = F.xxhash64(F.col("doc_id"), F.col("text"), F.lit(11))
     labelled = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", order.alias("h"))
-    # Distinct hashes, so copies of one row, however many, are one row of the sample.
-    cut = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if cut is None:
+    # Distinct hashes, so copies of one row, however many, are one row of the sample. A row a language comes to the driver.
+    sizes = {r[0]: r[1] for r in labelled.select("lang", "h").distinct().groupBy("lang").count().collect()}
+    if not sizes:
         return Model([], np.zeros(buckets), np.zeros((buckets, 0)), np.zeros(0), 1.0)
+    total = sum(sizes.values())
+    # Hashes are spread evenly over the longs: so many of a language lie under its cut, give or take the square root.
+    cuts = {lang: min((1 << 63) - 1, -(1 << 63) + (1 << 64) * max(least, round(sample * n / total)) // n) for lang, n in sizes.items()}
+    cut = F.try_element_at(F.create_map(*(F.lit(x) for pair in sorted(cuts.items()) for x in pair)), F.col("lang"))
     kinds = schema(h=LONG, lang=STRING, at=T.ArrayType(T.IntegerType()), n=T.ArrayType(T.IntegerType()))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,7 @@ def train(docs: DataFrame, keep, sample: int = 2000, buckets: int = BUCKETS, **p
             yield batch_of(kinds, dict(zip(("h", "lang", "at", "n"), map(list, zip(*rows, strict=True)) if rows else ([],) * 4, strict=True)))
 
     chosen = labelled.filter(F.col("h") <= cut).groupBy("h").agg(F.min("lang").alias("lang"), F.min("text").alias("text")).select("lang", "text", "h")
-    got = chosen.mapInArrow(vectors, kinds).toArrow()  # at most ``sample`` rows
+    got = chosen.mapInArrow(vectors, kinds).toArrow()  # about ``sample`` rows, and ``least`` a language
     rows = sorted(zip(*(got[c].to_pylist() for c in ("h", "lang", "at", "n")), strict=True), key=lambda r: r[:2])
     return fit([(lang, np.array(at, np.int64), np.array(n, np.int64)) for _, lang, at, n in rows], buckets, **parameters)
 

@@ -1,16 +1,19 @@
 """Mixing sources to target weights, by blocks.
 
-A source's words are one line, its documents in order of doc_id, cut into blocks of ``block`` words (the last may be shorter).
-A source's target gives its number of block slots; a multinomial draw deals these over the output shards. Slot j of a source with n
-blocks takes block perm(j mod n), where perm is a keyed pseudorandom permutation (a Feistel network) of that source and round j div n.
-Slots and the documents' pieces of blocks are then joined by source and block.
+A source's words are one line, its documents in order of doc_id, cut into blocks of one length: ``block`` words, or fewer in a source of fewer than
+``least`` such blocks, so that small sources meet their targets too (the last block may be shorter). A source's target gives its number of block
+slots; how many of them each output shard takes is a multinomial draw. Slot j of a source with n blocks takes block perm(j mod n), where perm is
+a keyed pseudorandom permutation (a Feistel network) of that source and round j div n; a shard takes the next so many slots. Slots and the
+documents' pieces of blocks are then joined by source and block.
 
 So each block of a source is taken equally often, give or take one, a target of at most ``most`` times the source takes no block more often
 than that, and taken words differ from the target by about a block. Everything follows from ids, sizes and a seed: reruns agree.
-Sizes and ids move; texts don't. The driver holds a row a source and a number a partition and source. A hot source is spread by its block numbers.
+Sizes and ids move; texts move once, to their pieces, where the mix is asked for as documents. Sources are rows of a table: the driver holds a number a
+partition, and the level to which targets are filled. A hot source is spread by its block numbers; the table of sources is broadcast if it is small by
+count, otherwise joined, where adaptive execution splits a hot source.
 
 Defined cases: a null text has size 0 and takes part with no words; sources order by code point, null last; a source without words has target 0;
-repeated rows are documents of their own, each with its own place; an empty table gives no rows.
+repeated rows are documents of their own, each with its own place; an empty table gives no rows; extra columns are carried by ``mixed``, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,35 +23,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import DOUBLE, INT, LONG, STRING, batch_of, checkpointed, few_rows_a_batch, schema, small_batches, texts
+from .sharding import running
+from .shared import _WORD, INT, LONG, batch_of, checkpointed, durable, few_rows_a_batch, schema, small_batches, texts
 
-WEIGHTS, SHARE, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 8, 20_240_601
+WEIGHTS, SHARE, MOST, BLOCK, LEAST, SHARDS, SEED = (5, 2, 1), 1.5, 2.0, 128, 256, 8, 20_240_601
 
 #: Bytes of text whose words are counted at a time; counting takes about twenty times as many.
 SLICE = 1 << 20
+#: Sources that may be broadcast, and slots that one row of the plan stands for.
+FEW_SOURCES, CHUNK = 50_000, 200_000
 
 
-def targets(sizes: list[int], weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[float]:
-    """Words to take of each source, in order: ``share`` of all words by repeating weights, none above ``most`` times its size."""
-    w = np.array([weights[i % len(weights)] for i in range(len(sizes))], float)
-    size = np.array(sizes, float)
-    out, open_ = np.zeros(len(sizes)), np.ones(len(sizes), bool)
-    left = share * size.sum()
-    while open_.any():
-        part = np.where(open_, left * w / w[open_].sum(), 0.0)
-        over = open_ & (part > most * size)
-        if not over.any():
-            out[open_] = part[open_]
-            break
-        out[over] = most * size[over]
-        left -= out[over].sum()
-        open_ &= ~over
-    return out.tolist()
+def filled(sources: DataFrame, share: float = SHARE, most: float = MOST) -> float:
+    """The level L at which targets least(L * weight, most * size) add up to ``share`` of all words.
+
+    sources: source_size and weight. Starting from equal shares, sources that are full stop and the rest share the excess by weight, until none is above.
+    Each round is one aggregate of the table; the level only rises.
+    """
+    level, full = 0.0, -1
+    while True:
+        above = F.col("weight") * F.lit(level) > F.col("source_size") * F.lit(most)
+        total, kept, open_, count = sources.agg(F.sum("source_size"), F.sum(F.when(above, F.col("source_size") * F.lit(most)).otherwise(0.0)), F.sum(F.when(~above, F.col("weight"))), F.count_if(above)).first()
+        if not total or not open_ or count == full:
+            return level
+        level, full = (share * total - kept) / open_, count
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -93,8 +95,8 @@ def word_counts(column: pa.Array) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """__row (stable for a stable scan), doc_id, source and size of each document."""
-    chosen = docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "source", "text")
+    """__row, doc_id, source and size of each document (__row, doc_id, source, text)."""
+    chosen = docs.select("__row", "doc_id", "source", "text")
     kinds = T.StructType([*chosen.schema.fields[:-1], *schema(size=LONG).fields])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,105 +106,97 @@ def sized(docs: DataFrame) -> DataFrame:
     return chosen.mapInArrow(rows, kinds)
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Placed documents, pieces and slots.
+def key_of(source: str | None, seed: int) -> int:
+    return zlib.crc32(f"{seed}:{source is None}:{source or ''}".encode())
+
 
-    documents: __row, doc_id, source, size, source_size, target, __source (number), __start (words of the source before it).
-    pieces: __row, __source, __block, first and words (of the document, in the block), one row for each document and block that meet.
-    slots: __source, __block, out_shard, slot.
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK, least: int = LEAST, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Pieces and slots of documents (__row, doc_id, source, text).
+
+    pieces: __row, doc_id, size, source_size, target, __source (number), __block, first and words (of the document, in the block), one row for each
+    document and block that meet; a document without words has one with block -1. slots: __source, __block, out_shard, slot.
     """
-    spark = docs.sparkSession
-    few_rows_a_batch(spark)
+    few_rows_a_batch(docs.sparkSession)
     keys = (F.col("source").asc_nulls_last(), "doc_id", "size", "__row")
-    ordered = checkpointed(sized(docs).repartitionByRange(*keys).sortWithinPartitions(*keys))
-    parts = ordered.select(F.spark_partition_id().alias("p"), "source", "size").groupBy("p", "source").agg(F.sum("size").alias("words")).collect()
-    total: dict[str | None, int] = {}
-    before: dict[tuple[int, str | None], int] = {}
-    for r in sorted(parts, key=lambda r: r.p):
-        before[r.p, r.source] = total.get(r.source, 0)
-        total[r.source] = before[r.p, r.source] + r.words
-    sources = sorted(total, key=lambda s: (s is None, s or ""))
-    number = {s: i for i, s in enumerate(sources)}
-    sizes = [total[s] for s in sources]
-    goal = targets(sizes, weights, share, most)
-    kinds = T.StructType([*ordered.schema.fields, *schema(source_size=LONG, target=DOUBLE, __source=INT, __start=LONG).fields])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, at = TaskContext.get().partitionId(), {}
+    line, _ = running(checkpointed(sized(docs).repartitionByRange(*keys).sortWithinPartitions(*keys)), "size")
+    by_source = line.groupBy("source").agg(F.sum("size").alias("source_size"), F.min("__start").alias("__first"))
+    order = F.col("source").asc_nulls_last()
+    numbered, _ = running(checkpointed(by_source.repartitionByRange(order).sortWithinPartitions(order)), "source_size")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("__index") % len(weights) + 1).cast(INT))
+    sources = numbered.select("source", "source_size", "__first", F.col("__index").alias("__source"), weight.alias("weight"))
+    level = filled(sources, share, most)
+    size = F.least(F.lit(block).cast(LONG), F.greatest(F.lit(1).cast(LONG), F.floor(F.col("source_size") / least)))
+    sources = sources.withColumns({"target": F.least(F.col("weight") * F.lit(level), F.col("source_size") * F.lit(most)), "__size": size}).withColumn("__blocks", F.ceil(F.col("source_size") / F.col("__size")))
+    wanted = F.least(F.floor(F.col("__blocks") * F.lit(most)), F.round(F.col("target") * F.col("__blocks") / F.col("source_size")).cast(LONG))
+    sources = durable(sources.withColumn("__slots", F.when(F.col("source_size") > 0, wanted).otherwise(0)))
+
+    some = sources.select(F.col("source").alias("__s"), "source_size", "target", "__first", "__source", "__size")
+    some = F.broadcast(some) if sources.count() <= FEW_SOURCES else some
+    placed = line.join(some, F.col("source").eqNullSafe(F.col("__s"))).withColumn("__at", F.col("__start") - F.col("__first"))
+    ends = F.col("__at") + F.col("size")
+    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("__at") / F.col("__size")), F.floor((ends - 1) / F.col("__size")))).otherwise(F.array(F.lit(-1).cast(LONG)))
+    begin, end = F.greatest("__at", F.col("__block") * F.col("__size")), F.least(ends, (F.col("__block") + 1) * F.col("__size"))
+    pieces = placed.withColumn("__block", F.explode(numbers)).withColumns({"first": F.when(F.col("__block") >= 0, begin - F.col("__at")).otherwise(0), "words": F.when(F.col("__block") >= 0, end - begin).otherwise(0)})
+    pieces = pieces.select("__row", "doc_id", "size", "source_size", "target", "__source", "__block", "first", "words")
+
+    # How many of a source's slots each output shard takes: one multinomial draw a source, as running ends.
+    dealt_kinds = T.StructType([*schema(__source=LONG, __blocks=LONG, __key=LONG, __slots=LONG).fields, T.StructField("__cuts", T.ArrayType(LONG))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            size = b.column("size").to_numpy(zero_copy_only=False)
-            no = np.array([number[s] for s in b.column("source").to_pylist()], np.int64)
-            start = np.zeros(len(no), np.int64)
-            for i in np.unique(no):
-                own = no == i
-                a = at.get(i, before[p, sources[i]])
-                ends = a + np.cumsum(size[own])
-                start[own] = ends - size[own]
-                at[i] = int(ends[-1])
-            made = {"source_size": pa.array(np.array(sizes, np.int64)[no]), "target": pa.array(np.array(goal, float)[no]), "__source": pa.array(no.astype(np.int32)), "__start": pa.array(start)}
-            yield batch_of(kinds, {c: b.column(c) for c in ("__row", "doc_id", "source", "size")} | made)
-
-    placed = ordered.mapInArrow(place, kinds)
-
-    # A row for each document and block that meet; a document without words has one with no block.
-    numbers = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("__start") / block), F.floor((F.col("__start") + F.col("size") - 1) / block))).otherwise(F.array(F.lit(-1).cast(LONG)))
-    begin, end = F.greatest("__start", F.col("__block") * block), F.least(F.col("__start") + F.col("size"), (F.col("__block") + 1) * block)
-    pieces = placed.withColumn("__block", F.explode(numbers)).withColumns({"first": F.when(F.col("__block") >= 0, begin - F.col("__start")).otherwise(0), "words": F.when(F.col("__block") >= 0, end - begin).otherwise(0)})
-
-    blocks = [-(-s // block) for s in sizes]
-    slots_of = [min(int(most * n), round(t * n / s)) if s else 0 for s, n, t in zip(sizes, blocks, goal, strict=True)]
-    key_of = [zlib.crc32(f"{seed}:{s is None}:{s or ''}".encode()) for s in sources]
-    dealt = [np.cumsum(np.random.default_rng([seed, k]).multinomial(n, [1 / shards] * shards)) for n, k in zip(slots_of, key_of, strict=True)]
-    base = np.concatenate([[0], np.cumsum(slots_of)]).astype(np.int64)
-    slot_kinds = schema(__source=INT, __block=LONG, out_shard=INT, slot=LONG)
+            keys_ = [key_of(s, seed) for s in b.column("source").to_pylist()]
+            cuts = [np.cumsum(np.random.default_rng([seed, k]).multinomial(n, [1 / shards] * shards)).tolist() for k, n in zip(keys_, b.column("__slots").to_pylist(), strict=True)]
+            yield batch_of(dealt_kinds, {c: b.column(c) for c in ("__source", "__blocks", "__slots")} | {"__key": keys_, "__cuts": cuts})
+
+    dealt = sources.select("source", "__source", "__blocks", "__slots").mapInArrow(deal, dealt_kinds)
+    runs = dealt.filter("__slots > 0").withColumn("__from", F.explode(F.sequence(F.lit(0).cast(LONG), F.col("__slots") - 1, F.lit(CHUNK).cast(LONG)))).repartition("__source", "__from")
+    slot_kinds = schema(__source=LONG, __block=LONG, out_shard=INT, slot=LONG)
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            g = b.column(0).to_numpy()
-            no = np.searchsorted(base, g, "right") - 1
-            taken, shard = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-            for i in np.unique(no):
-                own = no == i
-                j = g[own] - base[i]
-                shard[own] = np.searchsorted(dealt[i], j, "right")
-                for e in np.unique(j // blocks[i]):
-                    now = j // blocks[i] == e
-                    taken[np.flatnonzero(own)[now]] = permuted(j[now] % blocks[i], blocks[i], key_of[i] + 7919 * int(e))
-            yield batch_of(slot_kinds, {"__source": pa.array(no.astype(np.int32)), "__block": pa.array(taken), "out_shard": pa.array(shard.astype(np.int32)), "slot": pa.array(g)})
-
-    slots = spark.range(0, int(base[-1]), 1, max(1, min(10_000, int(base[-1]) // 200_000 + 1))).mapInArrow(draw, slot_kinds)
-    return placed, pieces, slots
-
-
-def taken(docs: DataFrame, **parameters) -> DataFrame:
-    """doc_id, size, source_size, target and taken of each document, and its output shards' number."""
-    _, pieces, slots = mix(docs, **parameters)
-    times = slots.groupBy("__source", "__block").agg(F.count("*").alias("__times"))
-    joined = pieces.join(times, ["__source", "__block"], "left")
-    return joined.groupBy("__row", "doc_id", "size", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce("__times", F.lit(0))).cast(LONG).alias("taken")).drop("__row")
+            for source, n, key, slots, cuts, start in zip(*(b.column(c).to_pylist() for c in ("__source", "__blocks", "__key", "__slots", "__cuts", "__from")), strict=True):
+                j = np.arange(start, min(start + CHUNK, slots))
+                taken_ = np.zeros(len(j), np.int64)
+                for e in np.unique(j // n):
+                    now = j // n == e
+                    taken_[now] = permuted(j[now] % n, n, key + 7919 * int(e))
+                shard = np.searchsorted(np.array(cuts), j, "right").astype(np.int32)
+                yield batch_of(slot_kinds, {"__source": pa.array(np.full(len(j), source)), "__block": pa.array(taken_), "out_shard": pa.array(shard), "slot": pa.array(j)})
+
+    return pieces, runs.mapInArrow(draw, slot_kinds)
+
+
+def taken(docs: DataFrame, shards: int = SHARDS, **parameters) -> DataFrame:
+    """doc_id, size, source_size, target and taken of each document, and shard_words: the words of it that each output shard takes."""
+    pieces, slots = mix(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "source", "text"), shards=shards, **parameters)
+    joined = pieces.join(slots, ["__source", "__block"], "left")
+    share = [F.coalesce(F.sum(F.when(F.col("out_shard") == k, F.col("words"))), F.lit(0)).cast(LONG) for k in range(shards)]
+    whole = joined.groupBy("__row", "doc_id", "size", "source_size", "target").agg(F.array(*share).alias("shard_words"))
+    return whole.select("doc_id", "size", "source_size", "target", F.aggregate("shard_words", F.lit(0).cast(LONG), lambda a, x: a + x).alias("taken"), "shard_words")
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """The mix as documents: all columns of ``docs``, text and n_chars replaced by the words taken.
+    """The mix as documents: all columns of ``docs``, text and n_chars replaced by the words that an output shard takes of a document.
 
-    A document's first row has the blocks taken at least once, its second row those taken twice; runs of neighbouring blocks keep
-    their text as it was and are joined by a line break. Documents of which nothing is taken have no row.
+    A row for each document and output shard that takes words of it, two if the shard takes a block twice. Neighbouring blocks keep their text as
+    it was; runs that don't touch are joined by a line break. Documents of which nothing is taken have no row. The documents are written once with
+    their row's number, so that their pieces find them whatever is computed again.
     """
-    _, pieces, slots = mix(docs, **parameters)
-    times = slots.groupBy("__source", "__block").agg(F.count("*").alias("__times"))
-    runs = pieces.join(times, ["__source", "__block"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("first", "words", "__times"))).alias("__runs"))
     names = docs.columns
     kinds = docs.schema
     own = {c: f"c{i}" for i, c in enumerate(names)}
-    keyed = docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), F.monotonically_increasing_id().alias("__row"))
+    keyed = durable(docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), F.monotonically_increasing_id().alias("__row")))
+    pieces, slots = mix(keyed.select("__row", *(F.col(own[c]).alias(c) for c in ("doc_id", "source", "text"))), **parameters)
+    runs = pieces.join(slots, ["__source", "__block"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("out_shard", "first", "words"))).alias("__runs"))  # a row a block of one document
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8 << 20):
             which, out = [], []
             for i, (text, runs_) in enumerate(zip(texts(b.column(own["text"])), b.column("__runs").to_pylist(), strict=True)):
-                for e in range(max(r["__times"] for r in runs_)):
-                    which.append(i)
-                    out.append(selected(text, [(r["first"], r["first"] + r["words"]) for r in runs_ if r["__times"] > e]))
+                spans = [m.span() for m in _WORD.finditer(text)]
+                new = [selected(text, spans, piece) for piece in shares([(r["out_shard"], r["first"], r["words"]) for r in runs_])]
+                which += [i] * len(new)
+                out += new
             at = pa.array(which, pa.int64())
             made = {c: b.column(own[c]).take(at) for c in names} | {"text": out}
             if "n_chars" in made:
@@ -212,11 +206,19 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     return keyed.join(runs, "__row").drop("__row").mapInArrow(rows, kinds)
 
 
-def selected(text: str, runs: list[tuple[int, int]]) -> str:
-    """The words from .. to of a text, with what stands between them; runs that don't touch are joined by a line break."""
-    from .shared import _WORD
+def shares(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Runs of words (from, to) of each row that a document gives: one a shard, a second if the shard has a block twice. runs: shard, first word, words."""
+    rows: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    seen: dict[tuple[int, int], int] = {}
+    for shard, first, words in sorted(runs):
+        nth = seen.get((shard, first), 0)
+        seen[shard, first] = nth + 1
+        rows.setdefault((shard, nth), []).append((first, first + words))
+    return [rows[k] for k in sorted(rows)]
 
-    spans = [m.span() for m in _WORD.finditer(text)]
+
+def selected(text: str, spans: list[tuple[int, int]], runs: list[tuple[int, int]]) -> str:
+    """The words from .. to of a text, with what stands between them; runs that don't touch are joined by a line break."""
     merged: list[list[int]] = []
     for a, z in sorted(runs):
         if merged and merged[-1][1] == a:

@@ -10,6 +10,7 @@ import contextlib
 import ctypes
 import gc
 import re
+import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,13 +31,23 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+class NoSharedFolder(RuntimeError):
+    """Neither spark.checkpoint.dir nor a checkpoint folder of the context is set."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the one that the context was given; without any, a local session
+    takes a temporary folder of this machine, and a cluster gets an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if not folder:
+        folder = context.getCheckpointDir()
     if not folder:
-        folder = "/tmp/gradeloom-checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not context.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -54,13 +65,18 @@ def durable(df: DataFrame) -> DataFrame:
 _written: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what ``durable`` has written in this process; for callers whose results are safely written elsewhere."""
-    while _written:
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes what ``durable`` has written in this process, from the ``since``-th table on; for callers whose results are safely written elsewhere."""
+    while len(_written) > since:
         path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written() -> int:
+    """How many tables ``durable`` has written that aren't deleted yet."""
+    return len(_written)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` after ``checkpoint()``: rows stay in the partitions, and in the order, that they have now."""
     shared_folder(df.sparkSession)
@@ -119,20 +135,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+#: Random odd multipliers by a byte's place in its word, and random values of the bytes.
+_places = np.zeros(0, np.uint64)
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _power(name: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        with np.errstate(over="ignore"):
-            have = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base)]))
-        if size <= 1 << 22:
-            _powers[name] = have
-    return have[:n]
+def _multipliers(n: int) -> np.ndarray:
+    global _places
+    if len(_places) >= n:
+        return _places[:n]
+    size = max(1 << 12, 1 << int(n - 1).bit_length())
+    with np.errstate(over="ignore"):
+        made = mix64((np.arange(size, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
+    if size <= 1 << 20:
+        _places = made
+    return made[:n]
 
 
 _SPACE = np.zeros(256, bool)
@@ -147,20 +164,25 @@ def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
 
 
+_HASHED = _VALUES.copy()
+_HASHED[65:91] = _VALUES[97:123]
+_HASHED[_SPACE] = 0
+
+
 def word_hashes(text: str | bytes) -> np.ndarray:
     """A 64-bit hash of each word, in order; A-Z count as a-z.
 
-    Polynomial prefix sums modulo 2**64 over bytes, so one pass of numpy hashes all words of a text.
-    Different words collide with a chance near n*n / 2**65.
+    Sums of random values of bytes, each times a random odd number for its place in the word, finalised: one pass of numpy hashes all words of a text, and no
+    family of words collides by its form. Of n different words any two share a hash with a chance near n*n / 2**65.
     """
     raw = np.frombuffer(text.encode() if isinstance(text, str) else text, np.uint8)
-    if not len(raw):
-        return np.empty(0, np.uint64)
     starts, ends = word_spans(raw)
-    raw = _LOWER[raw].astype(np.uint64)
+    if not len(starts):
+        return np.empty(0, np.uint64)
+    bounds = np.append(starts, len(raw))
+    place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(bounds))
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * _power("base", _BASE, len(raw)))])
-        h = (sums[ends] - sums[starts]) * _power("inverse", _INVERSE, len(raw))[starts]
+        h = np.add.reduceat(_HASHED[raw[starts[0] :]] * _multipliers(int(place.max()) + 1)[place], starts - starts[0])
         return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 

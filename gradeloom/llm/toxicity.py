@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes, calibration.
 
-Terms are words (runs of letters, lower-cased), their first 4, 5 and 6 letters, and, for a term that stands 2 or 4 times in a text, a term
+Terms are words (runs of letters, lower-cased), their first five letters, and, for a term that stands 2 or 4 times in a text, a term
 that says so (a cosine alone can't tell one mention from many). Every term of the labelled sample is in the vocabulary; none is cut. A term weighs
 idf times its correlation with the label in the sample (the square root of chi-squared over the number of examples), so that words which say nothing
 of toxicity count little, though not nothing. A text's vector is (1 + log count) times that weight over its whole text, scaled to length 1.
@@ -25,6 +25,7 @@ of repeated documents with one id the sample takes the smallest text. Without la
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ from pyspark.sql import types as T
 
 from .shared import BOOL, DOUBLE, INT, LONG, STRING, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, texts
 
-SAMPLE, NEIGHBOURS, BLOCK, BATCH = 2_500, 15, 64, 64
+SAMPLE, NEIGHBOURS, BLOCK, BATCH = 2_000, 15, 64, 64
 #: The least share of a label in the sample, and the share of examples over which a term is frequent.
 LEAST_SHARE, FREQUENT = 0.125, 0.125
 #: A full neighbourhood at this cosine counts as much as what is known of texts without any neighbour.
@@ -46,20 +47,23 @@ FAR = 0.3
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: A term that stands so often in a text counts as another term as well.
 OFTEN = (2, 4)
+#: Letters of a word's beginning that are a term too.
+STEM = 5
 #: Words and texts that a worker remembers.
 KEEP_WORDS, KEEP_TEXTS = 200_000, 20_000
 
 
-def terms_of(word: str) -> list[str]:
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)]
+def stem_of(word: str) -> str:
+    return word[:STEM] + "*"
 
 
 def term_counts(text: str) -> Counter:
     """A text's terms and their counts; the marks of frequent terms count 1."""
     out: Counter = Counter()
     for word, n in Counter(_LETTERS.findall(text.lower())).items():
-        for t in terms_of(word):
-            out[t] += n
+        out[word] += n
+        if len(word) >= STEM:
+            out[stem_of(word)] += n
     out.update({f"{t}#{m}": 1 for t, n in out.items() for m in OFTEN if n >= m})
     return out
 
@@ -102,7 +106,7 @@ class Index:
         """Blocks of the frequent terms' lists with their maxima; made once a process."""
         if "_blocks" in self.__dict__:
             return
-        df = np.diff(self.start)
+        df = self._df = np.diff(self.start)
         frequent = np.flatnonzero(df > FREQUENT * max(1, len(self.ids)))
         self._column = np.full(len(self.vocabulary), -1)
         self._column[frequent] = np.arange(len(frequent))
@@ -114,7 +118,7 @@ class Index:
         self._blocks, self._maxima = np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(2)
         self._ids = np.concatenate([self.ids, np.full(n * self.block - len(self.ids), np.iinfo(np.int64).max)])
         self._known: dict[bytes, tuple[float, list[int]]] = {}
-        self._words: dict[str, list[int]] = {}
+        self._words: dict[str, int] = {}
         self._marks = [np.full(len(self.vocabulary), -1) for _ in OFTEN]
         for t, i in self.vocabulary.items():
             for m, marks in zip(OFTEN, self._marks, strict=True):
@@ -124,26 +128,27 @@ class Index:
     def vector(self, text: str) -> Vector:
         """Places of a text's terms in the vocabulary, and their weights, scaled."""
         self.prepared()
-        words, vocabulary = self._words, self.vocabulary
-        places, times = [], []
-        for word, n in Counter(_LETTERS.findall(text.lower())).items():
-            has = words.get(word)
-            if has is None:
-                if len(words) > KEEP_WORDS:
-                    words.clear()
-                has = words[word] = [vocabulary[t] for t in terms_of(word) if t in vocabulary]
-            places += has
-            times += [n] * len(has)
-        if not places:
+        counts = Counter(_LETTERS.findall(text.lower()))
+        if not counts or not self.vocabulary:
             return np.zeros(0, np.int64), np.zeros(0)
-        place, n = np.array(places), np.array(times)
-        order = np.argsort(place, kind="stable")
-        place = place[order]
-        first = np.flatnonzero(np.diff(place, prepend=-1))
-        place, n = place[first], np.add.reduceat(n[order], first)
-        marked = [m[place[n >= least]] for least, m in zip(OFTEN, self._marks, strict=True)]
-        marked = [m[m >= 0] for m in marked]
-        return self.scaled(np.concatenate([place, *marked]), np.concatenate([n, *(np.ones(len(m), np.int64) for m in marked)]))
+        if len(self._words) > KEEP_WORDS:
+            self._words.clear()
+        known, none = self._words, len(self.vocabulary)
+        for word in [w for w in counts if w not in known]:
+            known[word] = self.vocabulary.get(stem_of(word), none) if len(word) >= STEM else none
+        times = np.fromiter(counts.values(), np.int64, len(counts))
+        place = np.fromiter(map(self.vocabulary.get, counts, itertools.repeat(none)), np.int64, len(counts))
+        stems = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+        order = np.argsort(stems, kind="stable")
+        stems = stems[order]
+        first = np.flatnonzero(np.diff(stems, prepend=-1))
+        place, n = np.concatenate([place, stems[first]]), np.concatenate([times, np.add.reduceat(times[order], first)])
+        there = place < none
+        place, n = place[there], n[there]
+        often = [m[place[n >= least]] for least, m in zip(OFTEN, self._marks, strict=True)]
+        often = np.concatenate(often)
+        often = often[often >= 0]
+        return self.scaled(np.concatenate([place, often]), np.concatenate([n, np.ones(len(often), np.int64)]))
 
     def scaled(self, places: np.ndarray, counts: np.ndarray) -> Vector:
         some = self.weight[places] > 0
@@ -163,11 +168,11 @@ class Index:
             column = self._column[t]
             asked[i, column[column >= 0]] = v[column >= 0]
             some, own = t[column < 0], v[column < 0]
-            first, end = self.start[some].tolist(), self.start[some + 1].tolist()
-            if first:
-                at = np.concatenate([self.who[x:y] for x, y in zip(first, end, strict=True)])
-                add = np.concatenate([self.posted[x:y] for x, y in zip(first, end, strict=True)]) * np.repeat(own, self.start[some + 1] - self.start[some])
-                rare[i] = np.bincount(at, add, n * size)
+            first, length = self.start[some], self._df[some]
+            ends = np.cumsum(length)
+            if len(ends):
+                at = np.arange(ends[-1]) + np.repeat(first - (ends - length), length)
+                rare[i] = np.bincount(self.who[at], self.posted[at] * np.repeat(own, length), n * size)
         if without is not None:
             skip = np.array(without)
             rare[np.flatnonzero(skip >= 0), skip[skip >= 0]] = -np.inf
