@@ -10,7 +10,7 @@ A shard is one task's sequence of rows: its candidates, once, and after them the
 the table's size. Rows are written once with a number of their own, which tells a query's own row from every other one.
 
 Components are floor(scale * x), scores integers. Numbers are floats while all products of a batch stay exact in them, and Python integers in the same
-search where they don't; a score beyond a long's range is returned as the end of that range.
+search where they don't; a score beyond a long's range counts as the end of that range.
 
 Defined cases: vectors that are null, hold null or a non-finite component, or have a null id take no part. Every row is a candidate for every query
 but its own row: rows with one id, identical ones too, are candidates for each other, and each is a query if the id is a query's. Vectors of different
@@ -114,7 +114,7 @@ class Tree:
                 for i, s in zip(q[hit], scores[hit], strict=True):
                     fit = np.flatnonzero((s >= floor[i]) & (self.rows[rows] != own[i]))
                     if len(fit):
-                        best[i] = sorted([*best[i], *((-int(s[j]), int(self.ids[rows[j]])) for j in fit)])[:k]
+                        best[i] = sorted([*best[i], *((-max(_LEAST, min(_MOST, int(s[j]))), int(self.ids[rows[j]])) for j in fit)])[:k]
                         if len(best[i]) == k:
                             floor[i] = max(floor[i], -best[i][-1][0])
         return [[(-s, i) for s, i in b] for b in best]
@@ -145,7 +145,7 @@ def answers(tree: Tree, rows: np.ndarray, ids: np.ndarray, vectors: pa.Array | p
     for i in range(0, len(rows), BATCH):
         part = slice(i, i + BATCH)
         for r, q, found in zip(rows[part].tolist(), ids[part].tolist(), tree.search(asked[part], rows[part], kth[part], k), strict=True):
-            out += [(r, q, vec, max(_LEAST, min(_MOST, score))) for score, vec in found]
+            out += [(r, q, vec, score) for score, vec in found]
     return batch_of(FOUND, dict(zip(("__row", "query_id", "vec_id", "score"), map(list, zip(*out, strict=True)) if out else ([],) * 4, strict=True)))
 
 

@@ -148,8 +148,8 @@ def test_components_beyond_floats_are_exact(spark):
     whole = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v in rows]
     for q in (0, 20):
         mine = dict(whole)[q]
-        want = sorted((-sum(a * b for a, b in zip(mine, v, strict=True)), i) for i, v in whole if i != q)[:3]
-        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, min((1 << 63) - 1, -s)) for s, i in want]
+        want = sorted((-min((1 << 63) - 1, sum(a * b for a, b in zip(mine, v, strict=True))), i) for i, v in whole if i != q)[:3]
+        assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(i, -s) for s, i in want]
 
 
 def test_traversal_starts_at_the_root_and_skips_subtrees():
