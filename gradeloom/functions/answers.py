@@ -106,14 +106,33 @@ def top_level_split(c: Column) -> Column:
     return F.transform(items, lambda x: strip(F.regexp_replace(strip(x), r"^\$+|\$+$", "")))
 
 
+#: What announces an answer that follows, and one that stands before.
+AHEAD, BEHIND = ("answer is", "answer:", "answer :"), ("is the ans", "is our ans")
+
+
 def explicit_answer(c: Column) -> Column:
-    """The answer that a text announces: after "herefore", after a #### marker, then a box or a phrase; null if none."""
+    """The answer that a text announces: after "herefore", after a marker, then a box, what stands before "is the ans", or after a phrase; null if none."""
     text = F.substring_index(F.regexp_replace(c, r"[\s,.:;!?=\\]+$", ""), "herefore", -1)
-    text = F.trim(F.substring_index(F.trim(text), "#### ", -1))
-    phrase = F.when(text.contains("answer is"), F.substring_index(text, "answer is", -1)).when(text.contains("answer:"), F.substring_index(text, "answer:", -1)).when(text.contains("answer :"), F.substring_index(text, "answer :", -1))
+    text = F.substring_index(F.substring_index(text, "#### ", -1), "# Answer\n\n", -1)
+    return once(F.trim(text), _explicit_answer)
+
+
+def _explicit_answer(text: Column) -> Column:
     group = last_box_group(after_think(text))
     boxed = F.when(F.size(group) > 0, F.array_join(group, ", ")).otherwise(F.coalesce(F.nullif(last_box(text), F.lit("")), text))
-    return F.when(text.contains("oxed{"), boxed).otherwise(F.regexp_replace(F.trim(phrase), r"^\$(.*)\$$", "$1"))
+    out = F.when(text.contains("oxed{"), boxed)
+    for phrase in BEHIND:
+        before = F.trim(F.element_at(F.split(text, phrase, -1), -2))
+        out = out.when(text.contains(phrase), F.trim(F.regexp_extract(before, r"([^,.]*)$", 1)))
+    for phrase in AHEAD:
+        out = out.when(text.contains(phrase), F.regexp_replace(F.trim(F.substring_index(text, phrase, -1)), r"^\$(.*)\$$", "$1"))
+    return out
+
+
+def last_formula(c: Column) -> Column:
+    """What the last pair of formula marks encloses; "" if there is none."""
+    found = F.regexp_extract_all(c, F.lit(r"(?s)(?:\$|\\\(|\\\[)([^$]+?)(?:\$|\\\)|\\\])"), F.lit(1))
+    return F.coalesce(F.get(found, F.size(found) - 1), F.lit(""))
 
 
 def last_number(c: Column) -> Column:
@@ -123,8 +142,8 @@ def last_number(c: Column) -> Column:
 
 
 def extracted_answer(c: Column) -> Column:
-    """The announced answer, else the last number."""
-    return F.coalesce(explicit_answer(c), last_number(c))
+    """The announced answer, else the last formula, else the last number."""
+    return F.coalesce(explicit_answer(c), F.nullif(last_formula(c), F.lit("")), last_number(c))
 
 
 #: What announces a letter, broadly and narrowly.

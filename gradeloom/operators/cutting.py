@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """Neither spark.checkpoint.dir nor a checkpoint folder of the context is set."""
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a folder of our own only where it is unset, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/gradeloom-checkpoints"
+    """``spark.checkpoint.dir``, else the folder that the context was given; without any, a local session, as in tests, takes a temporary folder
+    of this machine, and a cluster gets an error."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise NoSharedFolder("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+_written: list[str] = []
 
 
 def cut(rows: DataFrame) -> DataFrame:
     """``rows`` as Parquet in the shared folder. Lost executors cost nothing that was written."""
     path = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
+    _written.append(path)
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``cut`` has written in this process; for callers whose results are safely written elsewhere."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

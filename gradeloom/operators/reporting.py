@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import html_escape
+from .splitting import quantiles
 
 
 def markdown_table(rows: DataFrame, order: list[str]) -> DataFrame:
@@ -26,7 +27,7 @@ def html_index(rows: DataFrame, label: str, count: str, ranks: Column) -> DataFr
 
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """Counts of equal bins between the 1st and the 99th percentile, values beyond clipped to them."""
-    low, high = rows.agg(F.percentile(value, F.array(F.lit(0.01), F.lit(0.99)))).first()[0]
+    low, high = quantiles(rows, [], value, [0.01, 0.99]).first()[0]
     x = F.least(F.greatest(F.col(value).cast("double"), F.lit(low)), F.lit(high))
     step = (high - low) / bins or 1.0
     at = F.least(F.floor((x - F.lit(low)) / F.lit(step)), F.lit(bins - 1)).cast("long")

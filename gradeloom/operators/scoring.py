@@ -43,12 +43,9 @@ def transitions(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     return every.join(counts, "group", "left").select("group", F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
-def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key in an order; give an order without ties."""
-    columns = [c for c in rows.columns if c not in keys]
-    from pyspark.sql import Window
-
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").select(*keys, *columns)
+def counted(rows: DataFrame, values: str, name: str) -> DataFrame:
+    """How often each element of an array column stands in it, over all rows."""
+    return rows.select(F.explode(values).alias(name)).groupBy(name).agg(F.count("*").alias("n"))
 
 
 def majority(votes: DataFrame, key: str, choice: str, position: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cutting import cut
+from .splitting import quantiles
 
 
 def word_grams(text: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
@@ -52,8 +53,9 @@ def most_similar(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple
 
 def best_metrics(queries: DataFrame, nearest: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5)) -> DataFrame:
     """Mean, median and counts over thresholds of each query's best similarity; queries without any count as 0."""
-    best = queries.select(F.col("id").alias("query_id")).join(nearest.filter("rank = 1").select("query_id", "similarity"), "query_id", "left").select(F.coalesce("similarity", F.lit(0.0)).alias("s"))
-    return best.agg(F.count("*").alias("queries"), F.round(F.avg("s"), 5).alias("mean_best"), F.round(F.percentile("s", F.lit(0.5)), 5).alias("median_best"), *(F.count_if(F.col("s") >= t).alias(f"at_least_{int(100 * t)}") for t in thresholds))
+    best = cut(queries.select(F.col("id").alias("query_id")).join(nearest.filter("rank = 1").select("query_id", "similarity"), "query_id", "left").select(F.coalesce("similarity", F.lit(0.0)).alias("s")))
+    median = quantiles(best, [], "s", [0.5]).select(F.round(F.get("quantiles", F.lit(0)), 5).alias("median_best"))
+    return best.agg(F.count("*").alias("queries"), F.round(F.avg("s"), 5).alias("mean_best"), *(F.count_if(F.col("s") >= t).alias(f"at_least_{int(100 * t)}") for t in thresholds)).join(F.broadcast(median))  # one row is broadcast
 
 
 def dot(a: Column, b: Column) -> Column:

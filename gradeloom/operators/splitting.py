@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cutting import cut
+
 
 def shuffle_key(seed: int | str, key: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
@@ -18,9 +20,61 @@ def sampled(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
     return out
 
 
+#: Rows up to which a window may order them in a task a group.
+ONE_TASK = 500_000
+
+
+def running(rows: DataFrame, by: list[str], order: list[str], amount: Column | None = None, name: str = "before") -> DataFrame:
+    """``rows`` with the sum of ``amount`` (1, if not given) of the rows before each one in its group (columns ``by``; none: all rows), by ``order``, which has no ties.
+
+    Rows are dealt by ranges of group and order and written so; each range's total gives the next one its start, and a second pass its rows. A
+    hot group fills as many ranges as it needs, so no task holds it. Tables of few rows are ordered in a window a group.
+    """
+    keyed = rows.withColumn("__amount", F.lit(1).cast("long") if amount is None else amount)
+    before = lambda w: F.coalesce(F.sum("__amount").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if rows.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return keyed.withColumn(name, before(Window.partitionBy(*by).orderBy(*order)).cast("long")).drop("__amount")
+    ranged = cut(keyed.repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
+    totals = ranged.groupBy("__p").agg(F.sum("__amount").alias("__n"))
+    starts = totals.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))  # one row a range
+    placed = ranged.join(F.broadcast(starts), F.col("__p") == F.col("__q")).withColumn(name, (F.col("__start") + before(Window.partitionBy("__p").orderBy(*by, *order))).cast("long"))
+    placed = placed.drop("__p", "__q", "__start", "__amount")
+    if not by:
+        return placed
+    placed = cut(placed)
+    first = placed.groupBy(*by).agg(F.min(name).alias("__first")).select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), "__first")
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return placed.join(first, same).withColumn(name, F.col(name) - F.col("__first")).drop("__first", *(f"__g{i}" for i in range(len(by))))
+
+
 def numbered(rows: DataFrame, stratum: list[str], key: str, seed: int, name: str = "position") -> DataFrame:
-    """Each row's place, from 1, in its stratum's order."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*stratum).orderBy(shuffle_key(seed, key), key)))
+    """Each row's place, from 1, in its stratum's order; strata may hold any share of the rows."""
+    ordered = running(rows.withColumn("__o", shuffle_key(seed, key)), stratum, ["__o", key], name=name)
+    return ordered.withColumn(name, F.col(name) + 1).drop("__o")
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """``by`` and ``quantiles``: for each share the value at that share of a group's order, between two values in proportion. Exact, over counts of distinct values."""
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    counts = cut(counts)
+    groups = counts.groupBy(*by).agg(F.sum("__n").alias("__all")) if by else counts.agg(F.sum("__n").alias("__all"))
+    placed = running(counts, by, [value], F.col("__n"), "__before")
+    at = [F.lit(float(p)) * (F.col("__all") - 1) for p in shares]
+    names = [(f"__{end}{i}", f(x)) for i, x in enumerate(at) for end, f in (("low", F.floor), ("high", F.ceil))]
+    if by:
+        other = groups.select(*(F.col(c).alias(f"__g{i}") for i, c in enumerate(by)), "__all")
+        same = F.lit(True)
+        for i, c in enumerate(by):
+            same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+        placed = placed.join(other, same)
+    else:
+        placed = placed.join(F.broadcast(groups))  # one row is broadcast
+    held = lambda rank: F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n")), F.col(value).cast("double")))
+    found = placed.groupBy(*by).agg(F.max("__all").alias("__all"), *(held(rank).alias(name) for name, rank in names))
+    between = [F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (x - F.floor(x)) for i, x in enumerate(at)]
+    return found.select(*by, F.array(*between).alias("quantiles"))
 
 
 def quotas(rows: DataFrame, stratum: list[str], size: int) -> DataFrame:
@@ -82,14 +136,5 @@ def by_source(rows: DataFrame, source: str, key: str, quota: dict[str, int], see
 
 
 def part_numbers(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``part``: consecutive parts of ``size`` rows in the order of a unique integer key.
-
-    Keys are counted by range first, so each row's place is its range's start plus its place within the range, and no task sorts all rows.
-    """
-    spread = max(1, size)
-    keyed = rows.withColumn("__r", F.floor(F.col(key) / spread))
-    counts = keyed.groupBy("__r").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a range
-    starts = counts.select("__r", before.alias("__before"))
-    place = F.row_number().over(Window.partitionBy("__r").orderBy(key)) - 1 + F.col("__before")
-    return keyed.join(starts, "__r").withColumn("part", F.floor(place / size).cast("long")).drop("__r", "__before")
+    """``part``: consecutive parts of ``size`` rows in the order of a unique key, however its values lie."""
+    return running(rows, [], [key], name="part").withColumn("part", F.floor(F.col("part") / size).cast("long"))

@@ -4,59 +4,85 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import answers as A
 from ..functions import corpus as C
 from ..functions import prompts as P
 from ..functions import style as S
 from ..operators import diagnosing as D
+from . import recipes as R
 from .registry import query, table
 
 
-@query("expression_style", """
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '(' || p_partkey || ')/(7)' WHEN 1 THEN p_partkey || '*x**(2)+3' WHEN 2 THEN 'sin(x)**2+' || p_partkey WHEN 3 THEN 'sqrt(' || p_partkey || ')' WHEN 4 THEN p_partkey || '*e**(k*t)' ELSE 'origin' END AS styled FROM part""")
+_EXPRESSION = R.case("p_partkey % 7", "chr(92) || 'frac{' || p_partkey || '}{' || (p_partkey + 1) || '}'", "p_partkey || 'x^2 + ' || p_partkey", "chr(92) || 'sin^2(x) + ' || p_partkey", "' ' || chr(92) || 'sqrt{' || p_partkey || '} '", "p_partkey || 'e^{kt}'", "'origin'", "p_partkey || '(x+' || p_partkey || ')(x - 2)'")
+_STYLE_SQL = r"""
+WITH q AS (SELECT p_partkey, {recipe} AS a FROM part),
+p AS (SELECT p_partkey, regexp_replace(regexp_replace(trim(a), '\\frac\{{([^{{}}]+)\}}\{{([^{{}}]+)\}}', '(\1)/(\2)', 'g'), '\\sqrt\{{([^{{}}]+)\}}', 'sqrt(\1)', 'g') AS a FROM q),
+w AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(a, '\\?(sin)\^(\d)\(([^()]*)\)', '\1(\3)**\2'), '\^\{{([a-z])([a-z])\}}', '**(\1*\2)'), '\^(\d+)', '**(\1)') AS a FROM p),
+m AS (SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(a, '(\d)([a-z(])', '\1*\2', 'g'), '\)\(', ')*(', 'g'), '\s*([-+=/,])\s*', '\1', 'g') AS a FROM w)
+"""
+
+
+@query("expression_style", _STYLE_SQL.format(recipe=_EXPRESSION) + "SELECT p_partkey, a AS styled FROM m")
 def expression_style(spark, d):
-    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 6
-    answer = F.when(k == 0, F.concat(F.lit("\\frac{"), n, F.lit("}{7}"))).when(k == 1, F.concat(n, F.lit("x^2 + 3"))).when(k == 2, F.concat(F.lit("\\sin^2(x) + "), n)).when(k == 3, F.concat(F.lit(" \\sqrt{"), n, F.lit("} "))).when(k == 4, F.concat(n, F.lit("e^{kt}"))).otherwise("origin")
-    return table(spark, d, "part").select("p_partkey", S.expression_style(answer, F.lit("")).alias("styled"))
+    return table(spark, d, "part").select("p_partkey", S.expression_style(F.expr(_EXPRESSION), F.lit("")).alias("styled"))
+
 
+_FIRST, _SECOND = "CASE WHEN p_partkey % 2 = 0 THEN 'Answer: ' ELSE 'ans = ' END || p_partkey || '.'", "CASE WHEN p_partkey % 3 = 0 THEN chr(92) || 'boxed{' || chr(92) || 'sqrt{' || p_partkey || '}}' ELSE chr(92) || 'dfrac{1}{' || p_partkey || '}' END"
 
-@query("final_response", """
-SELECT p_partkey, 'FINAL_ANSWERS:' || chr(10) || '\\boxed{' || CASE WHEN p_partkey % 2 = 0 THEN p_partkey || ', \\sqrt{' || p_partkey || '}' ELSE '(1)/(' || p_partkey || ')' END || '}' AS response FROM part""")
+
+@query("final_response", rf"""
+WITH q AS (SELECT p_partkey, {_FIRST} AS one, {_SECOND} AS two FROM part),
+c AS (SELECT p_partkey, regexp_replace(regexp_replace(one, '(?i)^(?:answer|ans)\s*[:=]\s*', ''), '\.$', '') AS one, regexp_replace(regexp_replace(two, '^\\boxed\{{(.*)\}}$', '\1'), '\\dfrac\{{(\d+)\}}\{{(\d+)\}}', '(\1)/(\2)') AS two FROM q)
+SELECT p_partkey, 'FINAL_ANSWERS:' || chr(10) || '\boxed{{' || one || ', ' || two || '}}' AS response FROM c""")
 def final_response(spark, d):
-    n = F.col("p_partkey").cast("string")
-    answers = F.when(F.col("p_partkey") % 2 == 0, F.array(F.concat(F.lit("Answer: "), n, F.lit(".")), F.concat(F.lit("\\boxed{\\sqrt{"), n, F.lit("}}")))).otherwise(F.array(F.concat(F.lit("\\dfrac{1}{"), n, F.lit("}"))))
-    return table(spark, d, "part").select("p_partkey", S.final_response(answers, F.lit("")).alias("response"))
+    return table(spark, d, "part").select("p_partkey", S.final_response(F.array(F.expr(_FIRST), F.expr(_SECOND)), F.lit("")).alias("response"))
+
 
+#: A chat row: what the user asks, and the answer, after reasoning of some length.
+_CHAT_USER = R.case("doc_id % 5", "'Find it'", "'Options: a, b'", "'Pick A. one B. two'", "'Find x'", "'What is ' || doc_id")
+_CHAT_ANSWER = R.case("doc_id % 9", "CAST(doc_id AS STRING)", "'C'", "'3,4'", "'five'", "' '", "'2/' || doc_id", "'12 cm'", "chr(92) || 'sqrt{' || doc_id || '}'", "'x=' || doc_id")
+_CHAT = f"'<think>' || CASE WHEN doc_id % 2 = 0 THEN text ELSE 'short' END || '</think>FINAL_ANSWERS: ' || {R.box(_CHAT_ANSWER)}"
 
-@query("usable_rows", "SELECT doc_id FROM documents WHERE doc_id % 6 = 0")
+
+@query("usable_rows", rf"""
+WITH q AS (SELECT doc_id, {_CHAT_USER} AS u, {_CHAT} AS a FROM documents), b AS (SELECT *, {R.last_box("split_part(a, 'FINAL_ANSWERS', 2)")} AS box, len(regexp_extract_all(split_part(split_part(a, '<think>', 2), '</think>', 1), '\S+')) AS words FROM q)
+SELECT doc_id FROM b WHERE NOT regexp_matches(u, '(?is)options:|(^|[^A-Za-z0-9])A[.)]\s.*[^A-Za-z0-9]B[.)]\s') AND box <> '' AND NOT regexp_matches(box, '(?i)^[A-J]$') AND words <= 700
+  AND NOT regexp_matches(box, '[,$:=%]') AND NOT regexp_matches(lower(box), '\b(cm|inch|inches|feet|meters?|hours?)\b') AND len(list_filter(regexp_extract_all(regexp_replace(box, '\\[A-Za-z]', '', 'g'), '[A-Za-z]{{2,}}'), lambda x: NOT list_contains(['sqrt', 'frac', 'sin', 'cos', 'tan', 'log', 'ln', 'pi', 'arcsin', 'arccos', 'arctan'], x))) = 0""")
 def usable_rows(spark, d):
-    k, n = F.col("doc_id") % 6, F.col("doc_id").cast("string")
-    user = F.when(k == 1, "Options: a, b").otherwise("Find it")
-    answer = F.when(k == 2, "C").when(k == 3, "3,4").when(k == 4, "five").when(k == 5, "").otherwise(n)
-    assistant = F.concat(F.lit("<think>short</think>FINAL_ANSWERS: \\boxed{"), answer, F.lit("}"))
-    return table(spark, d, "documents").filter(C.usable(P.chat(F.lit("s"), user, assistant))).select("doc_id")
+    return table(spark, d, "documents").filter(C.usable(P.chat(F.lit("s"), F.expr(_CHAT_USER), F.expr(_CHAT)))).select("doc_id")
+
+
+_LABELLED = {"question": "repeat('[ANS] ', CAST(doc_id % 3 AS INT)) || 'what'", "answers": R.case("doc_id % 6", "'1'", "'1|2'", "'B'", "''", "'b|'", "substring(text, 1, 300)"), "options": "CASE WHEN doc_id % 4 = 0 THEN 'x|y' ELSE '' END"}
 
 
-@query("high_confidence", "SELECT doc_id FROM documents WHERE doc_id % 5 IN (0, 1)")
+@query("high_confidence", rf"""
+WITH q AS (SELECT doc_id, {R.count(f"({_LABELLED['question']})", '[ANS]')} AS blanks, string_split({_LABELLED['answers']}, '|') AS a, {_LABELLED['options']} <> '' AS has FROM documents)
+SELECT doc_id FROM q WHERE NOT list_contains(a, '') AND CASE WHEN has THEN len(a) = 1 AND regexp_matches(a[1], '^[A-Z]+$') ELSE (blanks = 0 OR len(a) = blanks) AND len(list_filter(a, lambda x: length(x) > 240 OR contains(x, chr(10)))) = 0 END""")
 def high_confidence(spark, d):
-    k = F.col("doc_id") % 5
-    question = F.when(k == 2, "[ANS] [ANS]").otherwise("[ANS]")
-    answers = F.when(k == 3, F.array(F.lit(""))).when(k == 1, F.array(F.lit("B"))).when(k == 4, F.array(F.lit("b"))).otherwise(F.array(F.lit("1")))
-    options = F.when(k.isin(1, 4), F.array(F.lit("x"), F.lit("y"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, d, "documents").filter(C.high_confidence(question, answers, options)).select("doc_id")
+    parts = {k: F.split(F.expr(v), r"\|") if k == "answers" else F.expr(v) for k, v in _LABELLED.items()}
+    options = F.when(parts["options"] == "", F.array().cast("array<string>")).otherwise(F.split(parts["options"], r"\|"))
+    return table(spark, d, "documents").filter(C.high_confidence(parts["question"], parts["answers"], options)).select("doc_id")
+
+
+_SOLUTION = R.case("doc_id % 6", "'Add. Therefore, the sum of it is ' || doc_id", "'We see the answer is:' || chr(10) || ' $' || doc_id", "'nothing: here; at all!'", "text || ' So, x = ' || doc_id || ' cm'", "'Therefore this is good; so it is ' || doc_id", "'the answer is ' || repeat('9', 60 + CAST(doc_id % 40 AS INT))")
 
 
-@query("announced_final", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN CAST(doc_id AS VARCHAR) WHEN 1 THEN '$' || doc_id END AS final FROM documents")
+@query("announced_final", rf"""
+WITH q AS (SELECT doc_id, {_SOLUTION} AS s FROM documents),
+f AS (SELECT doc_id, [regexp_extract(s, '(?is)Therefore,?\s+.*?(?:is|=)\s*:?\s*([$\\\w.,/+() -]+)$', 1), regexp_extract(s, '(?is)So,?\s+.*?(?:is|=)\s*:?\s*([$\\\w.,/+() -]+)$', 1), regexp_extract(s, '(?is)answer is\s*:?\s*([$\\\w.,/+() -]+)$', 1)] AS found FROM q)
+SELECT doc_id, list_filter(list_transform(found, lambda x: trim(x)), lambda x: x <> '' AND length(x) <= 80)[1] AS final FROM f""")
 def announced_final(spark, d):
-    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 3
-    solution = F.when(k == 0, F.concat(F.lit("Add. Therefore, the sum is "), n)).when(k == 1, F.concat(F.lit("We see the answer is:\n $"), n)).otherwise("nothing: here; at all!")
-    return table(spark, d, "documents").select("doc_id", C.announced_final(solution).alias("final"))
+    return table(spark, d, "documents").select("doc_id", C.announced_final(F.expr(_SOLUTION)).alias("final"))
 
 
-@query("solution_reasoning", "SELECT doc_id, 'Add 1 and 2 to get x^{' || doc_id || '}.' AS reasoning FROM documents")
+_WORKED = f"'Add ' || doc_id || ' and' || chr(13) || chr(10) || '2 to get ' || {R.box("'x^{' || doc_id || '}'")} || '.' || CASE doc_id % 3 WHEN 0 THEN ' Therefore the total is (x) ' || doc_id || '.' WHEN 1 THEN ' It is nice.' ELSE '' END || chr(10) || '#### ' || doc_id"
+
+
+@query("solution_reasoning", rf"""
+WITH q AS (SELECT doc_id, {_WORKED} AS s FROM documents), l AS (SELECT doc_id, trim(regexp_replace(regexp_replace(split_part(s, '####', 1), '{R.BOX}', '\1', 'g'), '\s+', ' ', 'g')) AS s FROM q)
+SELECT doc_id, trim(regexp_replace(s, '(?i)(?:therefore|thus|so)[^.]*' || doc_id || '[^.]*\.?\s*$', '')) AS reasoning FROM l""")
 def solution_reasoning(spark, d):
-    n = F.col("doc_id").cast("string")
-    solution = F.concat(F.lit("Add 1 and\r\n2 to get \\boxed{x^{"), n, F.lit("}}. Therefore the total is (x) "), n, F.lit(".\n#### "), n)
-    return table(spark, d, "documents").select("doc_id", C.solution_reasoning(solution, n).alias("reasoning"))
+    return table(spark, d, "documents").select("doc_id", C.solution_reasoning(F.expr(_WORKED), F.col("doc_id").cast("string")).alias("reasoning"))
 
 
 @query("inline_options", r"""
@@ -72,34 +98,53 @@ def inline_options(spark, d):
     return q.select("doc_id", F.array_join(C.inline_options(F.col("q")), "|").alias("options"), C.stem(F.col("q")).alias("stem"))
 
 
-@query("wrong_answers", """
-SELECT CASE doc_id % 10 WHEN 0 THEN 'truncated' WHEN 1 THEN 'empty-extracted' WHEN 2 THEN 'mcq-letter-disagree' WHEN 3 THEN 'multi-blank-misaligned' WHEN 4 THEN 'rounding' WHEN 5 THEN 'notation' WHEN 6 THEN 'notation' WHEN 7 THEN 'symbolic-vs-decimal' WHEN 8 THEN 'notation' ELSE 'real-error' END AS kind, count(*) AS n FROM documents GROUP BY 1""")
+_WRONG = {"finish": "CASE WHEN doc_id % 17 = 0 THEN 'length' ELSE 'stop' END", "choice": "doc_id % 10 = 2", "gold": R.case("doc_id % 10", "'12'", "CAST(doc_id AS STRING)", "'A'", "'1|Cat'", "doc_id || '.1416'", "chr(92) || 'frac{' || doc_id || '}{2}'", "'Paert'", "chr(92) || 'pi'", "'2|3.1416'", "'12'"), "found": R.case("doc_id % 10", "'12.01'", "''", "'B'", "'1'", "doc_id || '.14'", "'frac{' || doc_id || '}{ 2 }'", "'paert '", "'3.14'", "'2|3.142'", "'99'")}
+
+
+@query("wrong_answers", rf"""
+WITH q AS (SELECT {_WRONG['finish']} AS finish, {_WRONG['choice']} AS choice, string_split({_WRONG['gold']}, '|') AS g, string_split({_WRONG['found']}, '|') AS p FROM documents),
+k AS (SELECT *, list_filter(list_transform(list_zip(g, p), lambda z: CASE WHEN trim(z[1]) = trim(z[2]) THEN 'same' WHEN TRY_CAST(z[1] AS DOUBLE) IS NOT NULL AND abs(TRY_CAST(z[1] AS DOUBLE) - TRY_CAST(z[2] AS DOUBLE)) < 5e-3 * greatest(abs(TRY_CAST(z[1] AS DOUBLE)), abs(TRY_CAST(z[2] AS DOUBLE))) THEN 'rounding'
+    WHEN replace(replace(lower(trim(z[1])), '\frac', 'frac'), ' ', '') = replace(replace(lower(trim(z[2])), '\frac', 'frac'), ' ', '') THEN 'notation' ELSE 'real' END), lambda x: x <> 'same') AS kinds FROM q),
+w AS (SELECT CASE WHEN finish = 'length' THEN 'truncated' WHEN array_to_string(p, '') = '' THEN 'empty-extracted' WHEN choice THEN CASE WHEN upper(g[1]) <> upper(p[1]) THEN 'mcq-letter-disagree' ELSE 'real-error' END
+    WHEN len(g) <> len(p) THEN 'multi-blank-misaligned' WHEN len(g) > 1 THEN CASE WHEN len(kinds) > 0 AND NOT list_has_any(kinds, ['notation', 'real']) THEN 'rounding' WHEN len(kinds) > 0 AND NOT list_contains(kinds, 'real') THEN 'notation' ELSE 'real-error' END
+    WHEN kinds = ['rounding'] THEN 'rounding' WHEN TRY_CAST(g[1] AS DOUBLE) IS NOT NULL AND TRY_CAST(p[1] AS DOUBLE) IS NOT NULL THEN 'real-error' WHEN kinds = ['notation'] THEN 'notation' WHEN TRY_CAST(p[1] AS DOUBLE) IS NOT NULL THEN 'symbolic-vs-decimal' ELSE 'real-error' END AS kind FROM k)
+SELECT kind, count(*) AS n FROM w GROUP BY 1""")
 def wrong_answers(spark, d):
-    k = F.col("doc_id") % 10
-    gold = F.when(k == 2, F.array(F.lit("A"))).when(k.isin(3, 8), F.array(F.lit("1"), F.lit("Cat"))).when(k == 4, F.array(F.lit("3.1416"))).when(k == 5, F.array(F.lit("\\frac{1}{2}"))).when(k == 6, F.array(F.lit("Pärt"))).when(k == 7, F.array(F.lit("\\pi"))).otherwise(F.array(F.lit("12")))
-    found = F.when(k == 1, F.array(F.lit(""))).when(k == 2, F.array(F.lit("B"))).when(k == 3, F.array(F.lit("1"))).when(k == 4, F.array(F.lit("3.14"))).when(k == 5, F.array(F.lit("frac{1}{ 2 }"))).when(k == 6, F.array(F.lit("pärt "))).when(k == 7, F.array(F.lit("3.14"))).when(k == 8, F.array(F.lit("1"), F.lit("cat"))).otherwise(F.array(F.lit("99")))
-    kind = D.wrong_answer(F.when(k == 0, "length").otherwise("stop"), k == 2, gold, found)
-    # The loose spelling is in lower case, so an answer that differs by case alone counts as notation.
+    kind = D.wrong_answer(F.expr(_WRONG["finish"]), F.expr(_WRONG["choice"]), F.split(F.expr(_WRONG["gold"]), r"\|"), F.split(F.expr(_WRONG["found"]), r"\|"))
     return table(spark, d, "documents").select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("run_dimensions", """
-SELECT o_orderpriority AS name, CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'lora' WHEN contains(o_orderpriority, 'HIGH') THEN 'base' ELSE 'other' END AS model, CASE WHEN contains(o_orderpriority, 'URGENT') THEN 'validation' WHEN contains(o_orderpriority, 'HIGH') THEN 'holdout' ELSE 'other' END AS split, count(*) AS n FROM orders GROUP BY ALL""")
+_RUN = "lower(replace(substring(o_orderpriority, 3), ' ', '_')) || CASE o_orderkey % 5 WHEN 0 THEN '_train' WHEN 1 THEN '_dev' WHEN 2 THEN '_validation_holdout' WHEN 3 THEN '_holdout' ELSE '' END"
+_RUN_NAME = f"CASE o_orderkey % 3 WHEN 0 THEN 'lora_' WHEN 1 THEN 'base-' ELSE 'x' END || {_RUN}"
+
+
+@query("run_dimensions", rf"""
+WITH q AS (SELECT o_orderpriority AS name, {_RUN_NAME} AS run FROM orders)
+SELECT name, regexp_extract(run, '^(lora|base)', 1) || CASE WHEN regexp_matches(run, '^(lora|base)') THEN '' ELSE 'other' END AS model, CASE regexp_extract(run, '(train|dev|validation)', 1) WHEN 'train' THEN 'train' WHEN 'dev' THEN 'validation' WHEN 'validation' THEN 'validation' ELSE CASE WHEN contains(run, 'holdout') THEN 'holdout' ELSE 'other' END END AS split, count(*) AS n FROM q GROUP BY ALL""")
 def run_dimensions(spark, d):
-    p = F.col("o_orderpriority")
-    name = F.when(p.contains("URGENT"), "lora_dev_run").when(p.contains("HIGH"), "base_holdout").otherwise("mixed")
-    return table(spark, d, "orders").select(p.alias("name"), D.run_model(name).alias("model"), D.run_split(name).alias("split")).groupBy("name", "model", "split").agg(F.count("*").alias("n"))
+    return table(spark, d, "orders").select(F.col("o_orderpriority").alias("name"), D.run_model(F.expr(_RUN_NAME)).alias("model"), D.run_split(F.expr(_RUN_NAME)).alias("split")).groupBy("name", "model", "split").agg(F.count("*").alias("n"))
+
+
+_TENSOR = f"'model.layers.' || vec_id || '.' || {R.case('(vec_id + label) % 9', *(f"'{m}'" for m in ('q_proj', 'k_proj', 'v_proj', 'o_proj', 'gate_proj', 'up_proj', 'down_proj', 'norm', 'embed')))} || '.lora_' || CASE vec_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END || '.weight'"
 
 
-@query("tensor_names", """
-SELECT CASE label % 3 WHEN 0 THEN 'attention' WHEN 1 THEN 'mlp' ELSE 'other' END AS family, CASE label % 2 WHEN 0 THEN 'A' ELSE 'B' END AS side, count(*) AS n FROM embeddings GROUP BY ALL""")
+@query("tensor_names", rf"""
+WITH q AS (SELECT {_TENSOR} AS k FROM embeddings)
+SELECT CASE WHEN regexp_matches(k, '\.[qkvo]_proj\.') THEN 'attention' WHEN regexp_matches(k, '\.(gate|up|down)_proj\.') THEN 'mlp' ELSE 'other' END AS family, regexp_extract(k, '\.lora_([AB])\.', 1) AS side, count(*) AS n FROM q GROUP BY ALL""")
 def tensor_names(spark, d):
-    k = F.col("label") % 3
-    key = F.concat(F.lit("model.layers.0."), F.when(k == 0, "q_proj").when(k == 1, "up_proj").otherwise("norm"), F.lit(".lora_"), F.when(F.col("label") % 2 == 0, "A").otherwise("B"), F.lit(".weight"))
+    key = F.expr(_TENSOR)
     return table(spark, d, "embeddings").select(D.tensor_family(D.tensor_module(key)).alias("family"), D.tensor_side(key).alias("side")).groupBy("family", "side").agg(F.count("*").alias("n"))
 
 
-@query("run_inspection", "SELECT count(*) FILTER (WHERE doc_id % 5 = 0) AS empty, count(*) FILTER (WHERE doc_id % 5 = 1) AS options_no_letter, count(*) FILTER (WHERE doc_id % 5 = 2) AS no_options_no_extract, count(*) FILTER (WHERE doc_id % 5 = 3) AS no_options_count_mismatch FROM documents")
+_MERGED = {"response": R.case("doc_id % 7", "' '", "'text'", R.box("'1, 2'"), R.box("doc_id"), "'none'", "chr(10)", R.box("'(1,2),3'")), "options": "CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 0 END", "letter": "CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'B' END", "expected": "1 + doc_id % 2"}
+
+
+@query("run_inspection", rf"""
+WITH q AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _MERGED.items())} FROM documents), b AS (SELECT *, {R.last_box('response')} AS box FROM q),
+i AS (SELECT CASE WHEN trim(response, {R.SPACES}) = '' THEN 'empty' WHEN options > 0 THEN CASE WHEN letter = '' THEN 'options_no_letter' END WHEN box = '' THEN 'no_options_no_extract' WHEN len({R.split('box')}) <> expected THEN 'no_options_count_mismatch' END AS issue FROM b)
+SELECT count(*) FILTER (issue = 'empty') AS empty, count(*) FILTER (issue = 'options_no_letter') AS options_no_letter, count(*) FILTER (issue = 'no_options_no_extract') AS no_options_no_extract, count(*) FILTER (issue = 'no_options_count_mismatch') AS no_options_count_mismatch FROM i""")
 def run_inspection(spark, d):
-    k = F.col("doc_id") % 5
-    return D.inspected(table(spark, d, "documents"), F.when(k == 0, " ").otherwise("text"), F.when(k == 1, 4).otherwise(0), F.lit(""), F.when(k == 2, 0).when(k == 3, 3).otherwise(1), F.lit(1))
+    v = {k: F.expr(e) for k, e in _MERGED.items()}
+    found = A.last_box(v["response"])
+    parts = F.when(found == "", 0).otherwise(F.size(A.top_level_split(found)))
+    return D.inspected(table(spark, d, "documents"), v["response"], v["options"], v["letter"], parts, v["expected"])

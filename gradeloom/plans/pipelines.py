@@ -9,39 +9,56 @@ from ..functions import prompts as P
 from ..functions import text as X
 from ..operators import grading as G
 from ..operators import judging, repairing, reporting
+from . import recipes as R
 from .registry import query, table
+from .texts import format_sql
 
 
-@query("stage_fallback", """
-SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '\\boxed{' || o_orderkey || '}' WHEN 1 THEN 'so \\boxed{' || (o_orderkey + 1) || '}' WHEN 2 THEN 'end \\boxed{7}' ELSE 'none' END AS response,
-  CASE o_orderkey % 4 WHEN 0 THEN 'repair' WHEN 1 THEN 'continuation' WHEN 2 THEN 'bounded' ELSE 'none' END AS stage, CAST(CASE o_orderkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS BIGINT) AS attempts FROM orders""")
+#: Candidates of each stage: response and how it ended.
+_CANDIDATES = {
+    "repair": (R.case("id % 4", R.box("id"), R.box("'wait, let''s see'"), "'nothing'", R.box("' '")), "CASE WHEN id % 4 = 1 THEN 'length' ELSE 'stop' END"),
+    "continuation": (f"CASE WHEN id % 4 <= 1 OR id % 5 = 0 THEN 'so ' || {R.box('id + 1')} ELSE 'nothing' END", "'stop'"),
+    "bounded": (f"CASE WHEN id % 3 <= 1 THEN 'end <think>' || {R.box("'0'")} || '</think>' || {R.box("'7, ' || id")} ELSE 'nothing' END", "'length'"),
+}
+
+
+@query("stage_fallback", f"""
+WITH o AS (SELECT o_orderkey AS id FROM orders), c AS ({' UNION ALL '.join(f"SELECT id, {i} AS n, '{k}' AS stage, {r} AS response, {f} AS finish FROM o" for i, (k, (r, f)) in enumerate(_CANDIDATES.items(), 1))}),
+g AS (SELECT *, array_to_string({R.last_group(R.after_think('response'))}, ', ') AS answer, len({R.last_group(R.after_think('response'))}) AS boxes FROM c),
+t AS (SELECT *, boxes > 0 AND NOT (finish = 'length' AND (length(answer) > 250 OR regexp_matches(lower(answer), 'let''s|wait|case|suppose|strategy|turn|therefore|because|we need|the problem'))) AS ok FROM g),
+f AS (SELECT id, min(n) FILTER (WHERE ok) AS first FROM t GROUP BY id)
+SELECT f.id, coalesce(t.response, 'none') AS response, coalesce(t.stage, 'none') AS stage, CAST(coalesce(first, 3) AS BIGINT) AS attempts FROM f LEFT JOIN t ON t.id = f.id AND t.n = first""")
 def stage_fallback(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    k, n = F.col("id") % 4, F.col("id").cast("string")
-    stage = lambda name, response, finish: orders.select("id", F.lit(name).alias("stage"), response.alias("response"), finish.alias("finish_reason"))
-    first = stage("repair", F.when(k == 0, F.concat(F.lit("\\boxed{"), n, F.lit("}"))).when(k == 1, "\\boxed{wait, let's see}").otherwise("nothing"), F.when(k == 1, "length").otherwise("stop"))
-    second = stage("continuation", F.when(k <= 1, F.concat(F.lit("so \\boxed{"), (F.col("id") + 1).cast("string"), F.lit("}"))).otherwise("nothing"), F.lit("stop"))
-    third = stage("bounded", F.when(k <= 2, "end \\boxed{7}").otherwise("nothing"), F.lit("length"))
-    candidates = first.unionByName(second).unionByName(third)
+    parts = [orders.select("id", F.lit(k).alias("stage"), F.expr(r).alias("response"), F.expr(f).alias("finish_reason")) for k, (r, f) in _CANDIDATES.items()]
+    candidates = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return repairing.staged(orders.withColumn("response", F.lit("none")), candidates, "id", repairing.STAGES, repairing.acceptable(F.col("response"), F.col("finish_reason")))
 
 
-@query("worker_validation", """
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'id changed' WHEN 2 THEN 'reasoning missing or empty|source must be worker_single' WHEN 3 THEN 'output changed|reasoning contains boxed final answer' ELSE 'reasoning contains FINAL_ANSWERS|warning is missing or not a string' END AS errors FROM documents""")
+#: A worker's record beside its task, which asks "do", with the id, for the output "1".
+_RECORD = {"id": "doc_id + CASE WHEN doc_id % 5 = 1 THEN 1 ELSE 0 END", "instruction": "CASE WHEN doc_id % 11 = 0 THEN 'undo' ELSE 'do' END", "reasoning": f"{R.case('doc_id % 6', "'because'", "' '", f"'so ' || {R.box('doc_id')}", "'final_answers: 1'", "'<think>' || doc_id || '</think>'", "text")}", "output": "CAST(1 + doc_id % 2 AS STRING)", "warning": "CASE WHEN doc_id % 7 = 4 THEN NULL ELSE '' END", "source": "CASE WHEN doc_id % 3 = 2 THEN 'other' ELSE 'worker_single' END"}
+
+
+@query("worker_validation", rf"""
+WITH r AS (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in _RECORD.items())} FROM documents), l AS (SELECT *, lower(reasoning) AS low FROM r)
+SELECT doc_id, array_to_string(list_filter([CASE WHEN id <> doc_id THEN 'id changed' END, CASE WHEN instruction <> 'do' THEN 'instruction changed' END, CASE WHEN output <> '1' THEN 'output changed' END, CASE WHEN trim(reasoning) = '' THEN 'reasoning missing or empty' END,
+  CASE WHEN len(regexp_extract_all(reasoning, '\S+')) > 320 THEN 'reasoning exceeds 320 words' END, CASE WHEN contains(low, 'final_answers') THEN 'reasoning contains FINAL_ANSWERS' END, CASE WHEN contains(reasoning, '\boxed') THEN 'reasoning contains boxed final answer' END, CASE WHEN contains(low, '<think') THEN 'reasoning contains think tags' END,
+  CASE WHEN warning IS NULL THEN 'warning is missing or not a string' END, CASE WHEN source <> 'worker_single' THEN 'source must be worker_single' END], lambda x: x IS NOT NULL), '|') AS errors FROM l""")
 def worker_validation(spark, d):
-    k = F.col("doc_id") % 5
-    record = F.struct((F.col("doc_id") + F.when(k == 1, 1).otherwise(0)).alias("id"), F.lit("do").alias("instruction"), F.when(k == 2, " ").when(k == 3, "so \\boxed{1}").when(k == 4, "final_answers: 1").otherwise("because").alias("reasoning"), F.when(k == 3, "2").otherwise("1").alias("output"), F.when(k == 4, F.lit(None)).otherwise("").alias("warning"), F.when(k == 2, "other").otherwise("worker_single").alias("source"))
+    record = F.struct(*(F.expr(v).alias(k) for k, v in _RECORD.items()))
     task = F.struct(F.col("doc_id").alias("id"), F.lit("do").alias("instruction"), F.lit("1").alias("output"))
     return table(spark, d, "documents").select("doc_id", record.alias("r"), task.alias("t")).select("doc_id", F.array_join(repairing.worker_errors("r", "t"), "|").alias("errors"))
 
 
-@query("worker_keys", """
-SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'missing keys: id, instruction, output, reasoning, source, warning|unexpected keys: k' ELSE '' END AS errors FROM events""")
+_JSON = """CASE event_id % 4 WHEN 0 THEN '```json' || chr(10) || props || '```' WHEN 1 THEN props WHEN 2 THEN '[' || props || ']' ELSE '{"id": ' || event_id || ', "instruction": "x", "reasoning": "x", "output": "x", "warning": "", "' || CASE WHEN event_id % 3 = 0 THEN 'origin' ELSE 'source' END || '": "x"}' END"""
+
+
+@query("worker_keys", f"""
+WITH q AS (SELECT event_id, {_JSON} AS j FROM events), k AS (SELECT event_id, CASE WHEN json_valid(j) AND json_type(j) = 'OBJECT' THEN json_keys(j) END AS keys FROM q),
+m AS (SELECT event_id, keys, list_sort(list_filter(['id', 'instruction', 'reasoning', 'output', 'warning', 'source'], lambda x: NOT list_contains(keys, x))) AS missing, list_sort(list_filter(keys, lambda x: NOT list_contains(['id', 'instruction', 'reasoning', 'output', 'warning', 'source'], x))) AS extra FROM k)
+SELECT event_id, CASE WHEN keys IS NULL THEN 'not a JSON object' ELSE array_to_string(list_filter([CASE WHEN len(missing) > 0 THEN 'missing keys: ' || array_to_string(missing, ', ') END, CASE WHEN len(extra) > 0 THEN 'unexpected keys: ' || array_to_string(extra, ', ') END], lambda x: x IS NOT NULL), '|') END AS errors FROM m""")
 def worker_keys(spark, d):
-    k = F.col("event_id") % 3
-    whole = F.to_json(F.struct(*(F.lit("x").alias(c) for c in repairing.WORKER_KEYS)))
-    text = F.when(k == 0, F.concat(F.lit("```json\n"), "props", F.lit("```"))).when(k == 1, F.col("props")).otherwise(whole)
-    return table(spark, d, "events").select("event_id", F.array_join(repairing.key_errors(text), "|").alias("errors"))
+    return table(spark, d, "events").select("event_id", F.array_join(repairing.key_errors(F.expr(_JSON)), "|").alias("errors"))
 
 
 @query("batch_collect", """
@@ -53,58 +70,100 @@ def batch_collect(spark, d):
     return repairing.collected(orders.select(F.col("o_orderkey").alias("task"), "custom_id"), results).select("task", "custom_id", "state", "content")
 
 
-@query("judge_equal", """
-SELECT p_partkey, p_partkey % 8 IN (0, 1, 2, 3, 5, 6) AS ok FROM part""")
+#: Pairs of kinds: a quotient and a decimal, a pair in another order, intervals, sums, a list that is too long, words, decimals. Some of each kind differ.
+_OFF = "(p_partkey % 3)"
+_SAID = {"boxed": R.case("p_partkey % 7", f"chr(92) || 'frac{{' || p_partkey || '}}{{4}}'", "'(' || p_partkey || ', ' || (p_partkey + 1) || ')'", "'[' || p_partkey || ',' || (p_partkey + 5) || ')'", "'2x+' || p_partkey", "p_partkey || ',' || (p_partkey + 1)", "'Paris ' || p_partkey", "p_partkey || '.50'")}
+_GOLD = R.case("p_partkey % 7", f"CAST((p_partkey + {_OFF}) / 4 AS STRING)", f"'(' || (p_partkey + 1) || ',' || (p_partkey + {_OFF}) || ')'", f"'[' || p_partkey || ',' || (p_partkey + 5 + {_OFF}) || ')'", f"(p_partkey + {_OFF}) || '+x+x'", "CAST(p_partkey AS STRING)", f"CASE WHEN {_OFF} = 0 THEN 'paris ' ELSE 'parma ' END || p_partkey", f"p_partkey || '.' || (5 + {_OFF})")
+
+
+@query("judge_equal", rf"""
+WITH q AS (SELECT p_partkey, 'so ' || {R.box(_SAID['boxed'])} AS response, {_GOLD} AS gold FROM part), b AS (SELECT *, {R.last_box('response')} AS said FROM q),
+n AS (SELECT *, list_transform(regexp_extract_all(said, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)) AS a, list_transform(regexp_extract_all(gold, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)) AS g FROM b)
+SELECT p_partkey, CASE WHEN contains(said, 'frac') THEN abs(a[1] / a[2] - g[1]) <= 1e-8 * abs(g[1]) WHEN starts_with(said, '(') THEN list_sort(a) = list_sort(g) WHEN starts_with(said, '[') THEN a = g AND right(said, 1) = right(gold, 1)
+  WHEN contains(said, 'x') THEN a[-1] = g[1] AND a[1] = len(string_split(gold, 'x')) - 1 WHEN regexp_matches(said, '^[A-Za-z]') THEN lower(said) = lower(gold) ELSE len(a) = len(g) AND a[1] = g[1] END AS ok FROM n""")
 def judge_equal(spark, d):
-    n, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 8
-    m = (F.col("p_partkey") + 1).cast("string")
-    box = lambda *c: F.concat(F.lit("so \\boxed{"), *c, F.lit("}"))
-    response = F.when(k == 0, box(F.lit("\\frac{"), n, F.lit("}{4}"))).when(k == 1, box(F.lit("("), n, F.lit(", "), m, F.lit(")"))).when(k == 2, box(F.lit("["), n, F.lit(","), m, F.lit(")"))).when(k == 3, box(F.lit("2x+"), n)).when(k == 4, box(n, F.lit(","), m)).when(k == 5, box(F.lit("["), n, F.lit(","), m, F.lit("]"))).when(k == 6, box(F.lit("Paris"))).otherwise(box(n, F.lit(".5")))
-    gold = F.when(k == 0, (F.col("p_partkey") / 4).cast("string")).when(k == 1, F.concat(F.lit("("), m, F.lit(","), n, F.lit(")"))).when(k == 2, F.concat(F.lit("["), n, F.lit(","), m, F.lit(")"))).when(k == 3, F.concat(n, F.lit("+x+x"))).when(k == 4, n).when(k == 5, F.concat(F.lit("["), n, F.lit(","), m, F.lit(")"))).when(k == 6, "paris").otherwise(n)
-    return table(spark, d, "part").select("p_partkey", judging.judged(response, F.array(gold)).alias("ok"))
+    return table(spark, d, "part").select("p_partkey", judging.judged(F.expr(f"'so ' || {R.box(_SAID['boxed'])}"), F.array(F.expr(_GOLD))).alias("ok"))
+
+
+_OWN = f"CASE o_orderkey % 3 WHEN 0 THEN '1, ' || o_orderkey WHEN 1 THEN '(1, ' || o_orderkey || ')' ELSE chr(92) || 'frac{{' || o_orderkey || '}}{{7}}' END"
 
 
-@query("self_consistency", "SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0")
+@query("self_consistency", f"SELECT o_orderkey FROM (SELECT o_orderkey, {_OWN} AS a FROM orders) WHERE len({R.split('a')}) = 1")
 def self_consistency(spark, d):
-    """Rows whose answer the judge accepts as equal to itself."""
-    answer = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("1, "), F.col("o_orderkey").cast("string"))).otherwise(F.concat(F.lit("\\frac{"), F.col("o_orderkey").cast("string"), F.lit("}{7}")))
+    """Rows whose gold answer the judge accepts as equal to itself: those that are one item."""
+    answer = F.expr(_OWN)
     return table(spark, d, "orders").filter(judging.judged(F.concat(F.lit("\\boxed{"), answer, F.lit("}")), F.array(answer))).select("o_orderkey")
 
 
-@query("boxes_deep", "SELECT n_nationkey, 'a{b{c{d{e{' || n_nationkey || '}}}}}' AS answers FROM nation")
+_DEEP = f"{R.box("'a{b{c{d{e{' || n_nationkey || '}}}}}'")} || CASE WHEN n_nationkey % 2 = 0 THEN ', ' ELSE ' or ' END || {R.box("'{{{{{' || n_nationkey || '}}}}}'")} || ' ' || chr(92) || 'boxed{{open'"
+
+
+@query("boxes_deep", f"SELECT n_nationkey, array_to_string({R.last_group('response')}, '|') AS answers FROM (SELECT n_nationkey, {_DEEP} AS response FROM nation)")
 def boxes_deep(spark, d):
-    response = F.concat(F.lit("\\boxed{a{b{c{d{e{"), F.col("n_nationkey").cast("string"), F.lit("}}}}}} \\boxed{open"))
-    return table(spark, d, "nation").select("n_nationkey", F.array_join(judging.boxes_of_any_depth(response), "|").alias("answers"))
+    rows = table(spark, d, "nation").select("n_nationkey", F.expr(_DEEP).alias("response"))
+    return rows.select("n_nationkey", F.array_join(A.last_box_group(F.col("response")), "|").alias("answers"))
+
 
+_REWARDED = f"'work FINAL_ANSWERS: ' || {R.box("doc_id || '.5'")} || CASE WHEN doc_id % 3 = 0 THEN ' so' ELSE '' END"
+_REWARD_GOLD = "doc_id || CASE WHEN doc_id % 2 = 0 THEN '.50' ELSE '.75' END"
 
-@query("full_reward", """
-SELECT doc_id, CAST(round(CASE WHEN doc_id % 2 = 0 THEN 2.0 ELSE 0 END + 0.4 * 1.0 + 0.2, 6) AS DOUBLE) AS reward FROM documents""")
+
+@query("full_reward", f"""
+WITH q AS (SELECT doc_id, {_REWARDED} AS response, {_REWARD_GOLD} AS gold FROM documents)
+SELECT doc_id, round(2.0::DOUBLE * CASE WHEN CAST({R.last_box('response')} AS DOUBLE) = CAST(gold AS DOUBLE) THEN 1 ELSE 0 END + 0.4::DOUBLE * {format_sql('response', 'true')} + 0.2::DOUBLE, 6) AS reward FROM q""")
 def full_reward(spark, d):
-    n = F.col("doc_id").cast("string")
-    response = F.concat(F.lit("work FINAL_ANSWERS: \\boxed{"), n, F.lit(".5}"))
-    gold = F.array(F.when(F.col("doc_id") % 2 == 0, F.concat(n, F.lit(".50"))).otherwise(F.concat(n, F.lit(".75"))))
-    rows = table(spark, d, "documents").select("doc_id", response.alias("r"), judging.judged(response, gold).cast("double").alias("ok"))
-    return rows.select("doc_id", F.round(G.full_reward(F.col("ok"), G.format_reward(F.col("r"), F.lit(True)), G.length_reward(F.col("r"))), 6).alias("reward"))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_REWARDED).alias("r"), F.expr(_REWARD_GOLD).alias("g"))
+    ok, shape = judging.judged(F.col("r"), F.array("g")).cast("double"), G.shape_ok(F.col("r"), F.lit(1), F.lit(False), F.lit(0))
+    return rows.select("doc_id", F.round(G.full_reward(ok, G.format_reward(F.col("r"), shape), G.length_reward(F.col("r"))), 6).alias("reward"))
+
 
+_WANTED = "1 + doc_id % 4"
+_HAVE = f"CASE WHEN doc_id % 3 = 0 THEN '1,' || doc_id ELSE '1|' || doc_id || CASE WHEN doc_id % 3 = 1 THEN '|x' ELSE '' END END"
 
-@query("expected_count", """
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '3' WHEN 1 THEN '1|2|3' WHEN 2 THEN '1|2' WHEN 3 THEN '2|3' ELSE '' END AS answers FROM documents""")
+
+@query("expected_count", f"""
+WITH q AS (SELECT doc_id, string_split({_HAVE}, '|') AS a, {_WANTED} AS n FROM documents)
+SELECT doc_id, array_to_string(CASE WHEN n <= 1 THEN a[-1:] WHEN len(a) = n THEN a WHEN len(a) = 1 AND len(string_split(a[1], ',')) = n THEN string_split(a[1], ',') WHEN len(a) > n THEN list_slice(a, len(a) - n + 1, len(a)) ELSE [] END, '|') AS answers FROM q""")
 def expected_count(spark, d):
-    k = F.col("doc_id") % 5
-    one = lambda *x: F.array(*map(F.lit, x))
-    answers = F.when(k == 2, one("1,2")).when(k == 4, one("1,2,3")).otherwise(one("1", "2", "3"))
-    expected = F.when(k == 0, 1).when(k == 1, 3).otherwise(2)
-    return table(spark, d, "documents").select("doc_id", F.array_join(A.match_count(answers, expected), "|").alias("answers"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(A.match_count(F.split(F.expr(_HAVE), r"\|"), F.expr(_WANTED)), "|").alias("answers"))
+
+
+_PROBLEM = R.case("doc_id % 8", "' Pick the mean of ' || doc_id", "'Write a Formula for [ANS] and [ANS], to the 90th percentile'", "'Find P_90 of the mean of ' || doc_id", "'Use software to find the p-value ' || doc_id", "'Select all of A. one B. two'", "'Count the apples [ANS] '", "'Which output list does the algorithm give?'", "'Find the standard deviation of ' || doc_id || ' [ANS]'")
+_CHOICES = "CASE WHEN doc_id % 3 = 0 THEN ' one|two ' || doc_id ELSE '' END"
+_ROUTED = rf"""
+WITH q AS (SELECT doc_id, {_PROBLEM} AS q, CASE WHEN {_CHOICES} = '' THEN [] ELSE string_split({_CHOICES}, '|') END AS o FROM documents),
+k AS (SELECT *, CASE WHEN len(o) > 0 THEN CASE WHEN regexp_matches(q, '(?i)\b(sequence|algorithm|output\s+list|oeis|recurrence|iteration|program)\b') THEN 'algorithm' ELSE 'none' END
+  WHEN regexp_matches(q, '(?i)\b(formula|model|equation|quotient|composite|expression)\b') THEN 'formula' WHEN regexp_matches(q, '(?i)\bpercentile\b|\bP_?\d+\b') THEN 'percentile' WHEN regexp_matches(q, '(?i)\b(software|chi-?squared?|regression|correlation|p-?value)\b') THEN 'stats'
+  WHEN regexp_matches(q, '(?i)\b(matching|match|select|which\s+of|choices?|options?)\b') THEN 'selection' ELSE 'none' END AS suffix, {R.count('q', '[ANS]')} AS blanks, array_to_string(list_transform(o, lambda x, i: chr(CAST(64 + i AS INTEGER)) || '. ' || trim(x)), chr(10)) AS lines FROM q),
+c AS (SELECT *, CASE WHEN blanks = 1 THEN 'This problem has 1 [ANS] blank. Return exactly 1 answer.' WHEN blanks > 1 THEN 'This problem has ' || blanks || ' [ANS] blanks. Return exactly ' || blanks || ' answers.' ELSE 'No [ANS] marker appears. Return exactly one final answer.' END AS line,
+  CASE suffix {' '.join(f"WHEN '{k}' THEN chr(10) || chr(10) || {R.text(v)}" for k, v in P.SUFFIXES.items())} ELSE '' END AS tail FROM k)
+"""
+
+
+def _routed(spark, d):
+    options = F.when(F.expr(_CHOICES) == "", F.array().cast("array<string>")).otherwise(F.split(F.expr(_CHOICES), r"\|"))
+    return table(spark, d, "documents").select("doc_id", F.expr(_PROBLEM).alias("q"), options.alias("o"))
 
 
-@query("prompt_routing", """
-SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'mcq' WHEN 1 THEN 'formula' WHEN 2 THEN 'percentile' WHEN 3 THEN 'stats' ELSE 'none' END AS suffix, CASE doc_id % 5 WHEN 0 THEN 'A. one' || chr(10) || 'B. two' ELSE '' END AS options, CASE doc_id % 5 WHEN 1 THEN CAST(2 AS BIGINT) ELSE CAST(1 AS BIGINT) END AS expected FROM documents""")
+@query("prompt_routing", _ROUTED + f"""
+SELECT doc_id, suffix, lines AS options, greatest(CAST(1 AS BIGINT), blanks) AS expected, md5(CASE WHEN len(o) > 0 THEN {R.text(P.BASE)} || chr(10) || chr(10) || {R.text(P.MCQ)} || tail ELSE {R.text(P.BASE)} || chr(10) || chr(10) || line || chr(10) || chr(10) || {R.text(P.FREE)} || tail END) AS system_md5,
+  CASE WHEN len(o) > 0 THEN trim(q) || chr(10) || chr(10) || 'Options:' || chr(10) || lines ELSE trim(q) END AS user_prompt FROM c""")
 def prompt_routing(spark, d):
-    k = F.col("doc_id") % 5
-    question = F.when(k == 0, "Pick the mean").when(k == 1, "Write a formula for [ANS] and [ANS], to the 90th percentile").when(k == 2, "Find the 90th percentile of the mean").when(k == 3, "Find the standard deviation").otherwise("Count the apples")
-    options = F.when(k == 0, F.array(F.lit(" one"), F.lit("two "))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, d, "documents").select("doc_id", question.alias("q"), options.alias("o"))
-    return rows.select("doc_id", P.suffix(F.col("q"), F.col("o")).alias("suffix"), X.option_lines(F.col("o")).alias("options"), A.expected_answers(F.col("q")).alias("expected"))
+    q, o = F.col("q"), F.col("o")
+    return _routed(spark, d).select("doc_id", P.suffix(q, o).alias("suffix"), X.option_lines(o).alias("options"), A.expected_answers(q).alias("expected"), F.md5(P.system(q, o).cast("binary")).alias("system_md5"), P.user(q, o).alias("user_prompt"))
+
+
+def _fallback_sql(kind: str) -> str:
+    mcq, free = (R.text(x) for x in P.FALLBACKS[kind])
+    after = {"format": "chr(10) || chr(10) || 'Previous response:' || chr(10) || 'said ' || doc_id", "continuation": "chr(10) || chr(10) || 'Previous response tail:' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'id ' || doc_id ELSE 'said ' || doc_id END"}.get(kind, "''")
+    return f"SELECT doc_id, '{kind}' AS kind, md5(CASE WHEN len(o) > 0 THEN {mcq} ELSE {free} {'' if kind == 'short' else '|| chr(10) || chr(10) || line'} END) AS system_md5, 'Problem:' || chr(10) || trim(q) || chr(10) || chr(10) || CASE WHEN len(o) > 0 THEN 'Options:' || chr(10) || lines ELSE 'Required number of answers: ' || greatest(1, blanks) END || {after} AS user_prompt FROM c"
+
+
+@query("fallback_prompts", _ROUTED + " UNION ALL ".join(map(_fallback_sql, P.FALLBACKS)))
+def fallback_prompts(spark, d):
+    said, tail = F.concat(F.lit("said "), F.col("doc_id").cast("string"), F.lit(" ")), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("id "), F.col("doc_id").cast("string"))).otherwise(" ")
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), P.fallback(k, F.col("q"), F.col("o"), said, tail).alias("p")) for k in P.FALLBACKS))
+    return _routed(spark, d).select("doc_id", F.explode(kinds).alias("k")).select("doc_id", "k.kind", F.md5(F.col("k.p.system").cast("binary")).alias("system_md5"), F.col("k.p.user").alias("user_prompt"))
 
 
 @query("chat_rows", """
@@ -114,10 +173,13 @@ def chat_rows(spark, d):
     return rows.select("doc_id", F.to_json(P.chat(F.lit("Answer."), F.concat(F.lit("q"), F.col("doc_id").cast("string")), F.col("n_chars").cast("string"))).alias("messages"))
 
 
-@query("chosen_finish", "SELECT event_id, CASE WHEN event_id % 4 = 3 THEN 'first' ELSE CASE event_id % 4 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END END AS finish FROM events")
+_REASONS = "event_type || ',' || user_id || CASE WHEN event_id % 2 = 0 THEN ',third' ELSE '' END"
+_CHOSEN = "event_id % 5 - 1"
+
+
+@query("chosen_finish", f"SELECT event_id, coalesce(CASE WHEN {_CHOSEN} >= 0 THEN list_extract(r, {_CHOSEN} + 1) END, r[1], '') AS finish FROM (SELECT event_id, string_split({_REASONS}, ',') AS r FROM events)")
 def chosen_finish(spark, d):
-    reasons = F.array(F.lit("first"), F.lit("second"), F.lit("third"))
-    return table(spark, d, "events").select("event_id", P.chosen_finish(reasons, (F.col("event_id") % 4).cast("int"), F.lit(None).cast("string")).alias("finish"))
+    return table(spark, d, "events").select("event_id", P.chosen_finish(F.split(F.expr(_REASONS), ","), F.expr(_CHOSEN).cast("int"), F.lit(None).cast("string")).alias("finish"))
 
 
 @query("report_md", """

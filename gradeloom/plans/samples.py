@@ -84,19 +84,9 @@ def embedding_stats(spark, d):
 @query("embedding_cosine_topk", """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, round(list_dot_product(q.v, c.v) / (q.n * c.n), 5) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id < 10)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, candidate_id) AS rank, candidate_id, cosine FROM s QUALIFY rank <= 3""")
-def embedding_cosine_topk(spark, d):
-    # Ten query rows, as a report asks for them; every row is a candidate.
-    return M.cosine_top_k(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") < 10, 3)
-
-
-@query("embedding_cosine_topk_hundredth", """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-u AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e),
 s AS (SELECT q.vec_id AS query_id, c.vec_id AS candidate_id, round(list_dot_product(q.v, c.v) / (q.n * c.n), 5) AS cosine FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, candidate_id) AS rank, candidate_id, cosine FROM s QUALIFY rank <= 3""")
-def embedding_cosine_topk_hundredth(spark, d):
+def embedding_cosine_topk(spark, d):
     # The query set of searches: rows with ids divisible by 100, which grows with the table.
     return M.cosine_top_k(table(spark, d, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0, 3)
 
@@ -111,8 +101,8 @@ def systematic_sample(spark, d):
 @query("percentiles", """
 SELECT lang, round(quantile_cont(n_chars, 0.01), 4) AS p1, round(quantile_cont(n_chars, 0.5), 4) AS p50, round(quantile_cont(n_chars, 0.99), 4) AS p99 FROM documents GROUP BY lang""")
 def percentiles(spark, d):
-    p = F.percentile("n_chars", F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99)))
-    return table(spark, d, "documents").groupBy("lang").agg(p.alias("p")).select("lang", *(F.round(F.col("p")[i], 4).alias(n) for i, n in enumerate(("p1", "p50", "p99"))))
+    found = P.quantiles(table(spark, d, "documents").select("lang", "n_chars"), ["lang"], "n_chars", [0.01, 0.5, 0.99])
+    return found.select("lang", *(F.round(F.get("quantiles", F.lit(i)), 4).alias(n) for i, n in enumerate(("p1", "p50", "p99"))))
 
 
 _GRAMS = """

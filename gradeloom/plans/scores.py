@@ -80,7 +80,7 @@ def decontam_exact(spark, d):
     docs = table(spark, d, "documents").select("doc_id", X.clean_text(F.col("text")).alias("t"))
     held = table(spark, d, "labels").filter("toxic = 1").select("doc_id")
     evaluation = table(spark, d, "benchmark").select(X.clean_text(F.col("text")).alias("t")).unionByName(docs.join(held, "doc_id", "left_semi").select("t"))
-    return docs.join(evaluation, "t", "left_anti").select("doc_id", F.length("t").cast("long").alias("n"))
+    return J.without(docs, "t", evaluation).select("doc_id", F.length("t").cast("long").alias("n"))
 
 
 @query("decontam_contains", """

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import answers as A
 from ..functions import text as X
 from ..operators import grading as G
+from ..operators import scoring as S
+from . import recipes as R
 from .registry import query, table
 
-_WS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_WS = R.SPACES
 
 
 @query("clean_text", f"""
@@ -38,45 +40,73 @@ def reasoning_words(spark, d):
     return table(spark, d, "documents").select("doc_id", X.reasoning_word_count(response).alias("words"))
 
 
-@query("boxed_last", "SELECT doc_id, 'x^{' || doc_id || '}' AS last FROM documents")
+def _made(spark, d, recipe, name="documents", key="doc_id"):
+    """key and response of each row."""
+    return table(spark, d, name).select(key, F.expr(recipe).alias("response"))
+
+
+_BOXED = f"'<think>' || {R.box("'0'")} || '</think> so ' || {R.box("'1'")} || ' then ' || {R.box("'x^{' || doc_id || '}'")} || " + R.case("doc_id % 4", "''", f"' and ' || {R.box("' '")}", "' open ' || chr(92) || 'boxed{9'", f"', ' || {R.box("'a{b{c{d{e{' || doc_id || '}}}}}'")}")
+
+
+@query("boxed_last", f"SELECT doc_id, {R.last_box('response')} AS last FROM (SELECT doc_id, {_BOXED} AS response FROM documents)")
 def boxed_last(spark, d):
-    response = F.concat(F.lit("<think>\\boxed{0}</think> so \\boxed{1} then \\boxed{x^{"), F.col("doc_id").cast("string"), F.lit("}}"))
-    return table(spark, d, "documents").select("doc_id", A.last_box(response).alias("last"))
+    return _made(spark, d, _BOXED).select("doc_id", A.last_box(F.col("response")).alias("last"))
 
 
-@query("boxed_group", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id || '|' || (doc_id + 1) || '|{z}' ELSE (doc_id + 1) || '|{z}' END AS answers FROM documents")
+_GROUPED = f"'first ' || {R.box("'q'")} || ' and so ' || {R.box('doc_id')} || {R.case('doc_id % 3', "', ; '", "' but '", "' & '")} || {R.box('doc_id + 1')} || ' $,' || chr(10) || {R.box("'{z}'")} || ' done'"
+
+
+@query("boxed_group", f"SELECT doc_id, array_to_string({R.last_group('response')}, '|') AS answers FROM (SELECT doc_id, {_GROUPED} AS response FROM documents)")
 def boxed_group(spark, d):
-    box = lambda c: F.concat(F.lit("\\boxed{"), c, F.lit("}"))
-    k = F.col("doc_id")
-    response = F.concat(F.lit("first "), box(F.lit("q")), F.lit(" and so "), box(k.cast("string")), F.when(k % 2 == 0, ", ; ").otherwise(" but "), box((k + 1).cast("string")), F.lit(" $,\n"), box(F.lit("{z}")), F.lit(" done"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(A.last_box_group(response), "|").alias("answers"))
+    return _made(spark, d, _GROUPED).select("doc_id", F.array_join(A.last_box_group(F.col("response")), "|").alias("answers"))
+
 
+_LISTED = "'(' || l_partkey || ',' || l_suppkey || '), $' || l_linenumber || '$' || CASE l_linenumber % 3 WHEN 0 THEN ',[1, 2,' || l_partkey || ']' WHEN 1 THEN ', x' ELSE '' END"
 
-@query("split_commas", "SELECT l_orderkey, l_linenumber, '(' || l_partkey || ',' || l_suppkey || ')' AS one, CAST(l_partkey AS VARCHAR) AS two, '[1,2]' AS three, CAST(3 AS BIGINT) AS n FROM lineitem")
+
+@query("split_commas", f"WITH t AS (SELECT l_orderkey, l_linenumber, {R.split('response')} AS i FROM (SELECT l_orderkey, l_linenumber, {_LISTED} AS response FROM lineitem)) SELECT l_orderkey, l_linenumber, i[1] AS one, i[2] AS two, i[3] AS three, CAST(len(i) AS BIGINT) AS n FROM t")
 def split_commas(spark, d):
-    text = F.concat(F.lit("("), F.col("l_partkey").cast("string"), F.lit(","), F.col("l_suppkey").cast("string"), F.lit("), $"), F.col("l_partkey").cast("string"), F.lit("$,[1,2]"))
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.top_level_split(text).alias("i"))
-    return items.select("l_orderkey", "l_linenumber", *(F.col("i")[k].alias(n) for k, n in enumerate(("one", "two", "three"))), F.size("i").cast("long").alias("n"))
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", A.top_level_split(F.expr(_LISTED)).alias("i"))
+    return items.select("l_orderkey", "l_linenumber", *(F.get("i", F.lit(k)).alias(n) for k, n in enumerate(("one", "two", "three"))), F.size("i").cast("long").alias("n"))
+
 
+_LETTER = "chr(CAST(65 + doc_id % 6 AS INT))"
+_LETTERED = R.case("doc_id % 6", f"'The correct option is ' || {_LETTER} || '.'", f"'<think>maybe ' || {R.box("'E'")} || '</think>' || {R.box(f"' ' || lower({_LETTER}) || ' '")}", f"'it is ' || {_LETTER} || ' I'", f"'so ' || {R.box("'two words'")}", f"'Answer is b; no, choice (' || {_LETTER} || ') it is'", "'nothing said'")
+_BROAD_SQL = r"(?i)(?:correct\s+option\s+is|correct\s+answer\s+is|answer\s+is|therefore|thus|hence|i\s+choose|choose|selected|option|choice)\s*[:\s]*\(?([A-Z])\)?\b"
 
-@query("extract_letter", "SELECT doc_id, CASE doc_id % 4 WHEN 3 THEN 'B' ELSE chr(CAST(65 + doc_id % 5 AS INTEGER)) END AS letter FROM documents")
+
+@query("extract_letter", rf"""
+WITH q AS (SELECT doc_id, {_LETTERED} AS response, ['one', 'two words', 'three', 'four', 'five'] AS options FROM documents),
+t AS (SELECT *, {R.after_think('response')} AS tail FROM q),
+f AS (SELECT *, upper(regexp_extract(tail, '\\boxed\{{\s*([A-Za-z])\s*\}}', 1)) AS boxed, list_position(options, trim({R.last(R.last_group('tail'))})) AS place, upper({R.last(f"regexp_extract_all(tail, '{_BROAD_SQL}', 1)")}) AS said,
+  {R.last(r"list_filter(regexp_extract_all(upper(tail), '\b([A-Z])\b', 1), lambda x: ord(x) - 65 < len(options))")} AS capital FROM t)
+SELECT doc_id, CASE WHEN boxed <> '' THEN boxed WHEN place > 0 THEN chr(CAST(64 + place AS INTEGER)) WHEN said <> '' THEN said ELSE capital END AS letter FROM f""")
 def extract_letter(spark, d):
-    letter, k = F.char(F.col("doc_id") % 5 + 65), F.col("doc_id") % 4
-    response = F.when(k == 0, F.concat(F.lit("The correct option is "), letter, F.lit("."))).when(k == 1, F.concat(F.lit("<think>maybe \\boxed{E}</think>\\boxed{ "), F.lower(letter), F.lit(" }"))).when(k == 2, F.concat(F.lit("it is "), letter)).otherwise("so \\boxed{two words}")
-    options = F.array(F.lit("one"), F.lit("two words"), F.lit("three"), F.lit("four"), F.lit("five"))
-    return table(spark, d, "documents").select("doc_id", A.letter(response, options).alias("letter"))
+    options = F.array(*map(F.lit, ("one", "two words", "three", "four", "five")))
+    return _made(spark, d, _LETTERED).select("doc_id", A.letter(F.col("response"), options).alias("letter"))
+
 
+_WORKED = "text || chr(10) || '#### ' || n_chars || CASE WHEN doc_id % 2 = 0 THEN ' apples ' ELSE '' END || chr(10)"
 
-@query("gsm_final", "SELECT doc_id, CAST(n_chars AS VARCHAR) AS final FROM documents")
+
+@query("gsm_final", rf"SELECT doc_id, regexp_extract(response, '(?s)####\s*(.+?)\s*$', 1) AS final FROM (SELECT doc_id, {_WORKED} AS response FROM documents)")
 def gsm_final(spark, d):
-    return table(spark, d, "documents").select("doc_id", X.marked_final(F.concat(F.col("text"), F.lit("\n#### "), F.col("n_chars").cast("string"), F.lit(" \n"))).alias("final"))
+    return _made(spark, d, _WORKED).select("doc_id", X.marked_final(F.col("response")).alias("final"))
+
+
+_ANNOUNCED = R.case("doc_id % 7", f"'Say ' || {R.box("'1'")} || '. Therefore ' || {R.box('doc_id')} || '.'", "'The answer is $' || doc_id || '$.'", "'we get 3 and ' || doc_id || '5 apples'", "'steps' || chr(10) || '#### answer: ' || doc_id", "'so ' || doc_id || ' is the ans'", "'we see $x+' || doc_id || '$ and so on'", "'1,' || doc_id || '00.5'")
 
 
-@query("explicit_answer", "SELECT doc_id, CASE doc_id % 4 WHEN 2 THEN doc_id || '5' ELSE CAST(doc_id AS VARCHAR) END AS answer FROM documents")
+@query("explicit_answer", rf"""
+WITH q AS (SELECT doc_id, {_ANNOUNCED} AS response FROM documents),
+t AS (SELECT *, trim({R.last("string_split(regexp_replace(response, '[\\s,.:;!?=\\\\]+$', ''), 'herefore')")}) AS late FROM q),
+m AS (SELECT *, trim({R.last("string_split(late, '#### ')")}) AS mine FROM t),
+f AS (SELECT *, CASE WHEN contains(mine, 'oxed{{') THEN array_to_string({R.last_group('mine')}, ', ')
+    WHEN contains(mine, 'is the ans') THEN trim(regexp_extract(split_part(mine, 'is the ans', 1), '([^,.]*)$', 1))
+    WHEN contains(mine, 'answer is') THEN trim({R.last("string_split(mine, 'answer is')")}, ' $') WHEN contains(mine, 'answer:') THEN trim({R.last("string_split(mine, 'answer:')")}, ' $') END AS said FROM m)
+SELECT doc_id, coalesce(said, nullif({R.last(r"regexp_extract_all(response, '\$([^$]+)\$', 1)")}, ''), {R.last(r"regexp_extract_all(replace(response, ',', ''), '-?\d*\.?\d+', 0)")}) AS answer FROM f""")
 def explicit_answer(spark, d):
-    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 4
-    response = F.when(k == 0, F.concat(F.lit("Say \\boxed{1}. Therefore \\boxed{"), n, F.lit("}."))).when(k == 1, F.concat(F.lit("The answer is $"), n, F.lit("$."))).when(k == 2, F.concat(F.lit("we get 3 and "), n, F.lit("5 apples"))).otherwise(F.concat(F.lit("steps\n#### answer: "), n))
-    return table(spark, d, "documents").select("doc_id", A.extracted_answer(response).alias("answer"))
+    return _made(spark, d, _ANNOUNCED).select("doc_id", A.extracted_answer(F.col("response")).alias("answer"))
 
 
 @query("length_reward", """
@@ -90,11 +120,19 @@ def length_reward(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(G.length_reward(response), 6).alias("reward"))
 
 
-@query("format_reward", "SELECT doc_id, CAST(CASE doc_id % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.65 WHEN 3 THEN 0.55 ELSE 0.2 END AS DOUBLE) AS reward FROM documents")
+_SHAPED = R.case("doc_id % 7", f"'work FINAL_ANSWERS: ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')} || ' so'", f"{R.box('doc_id')} || ' and ' || {R.box('doc_id + 1')}", f"{R.box('doc_id')} || ' final_answers : ' || {R.box("'1, ' || doc_id")}", f"'Final_Answers: ' || {R.box("'1'")} || {R.box("'2'")}", "'nothing ' || doc_id")
+
+
+def format_sql(response: str, shape: str) -> str:
+    end = rf"regexp_extract({response}, '(?is)^(?:.*FINAL_ANSWERS\s*:)?(.*)$', 1)"
+    marked, n, inside = rf"regexp_matches({response}, '(?i)FINAL_ANSWERS\s*:')", f"len({R.boxes(response)})", f"len({R.boxes(end)})"
+    return rf"(CASE WHEN {marked} THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN {inside} = 1 THEN 0.25::DOUBLE ELSE 0 END + CASE WHEN {n} > 0 AND {n} = {inside} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN ({marked} OR {inside} > 0) AND {n} = {inside} THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN regexp_matches({response}, '{R.BARE_BOX}\s*$') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN {shape} THEN 0.2::DOUBLE ELSE 0 END)"
+
+
+@query("format_reward", f"SELECT doc_id, round({format_sql('response', f"len({R.split(R.last_box('response'))}) = 1 AND {R.last_box('response')} <> ''")}, 6) AS reward FROM (SELECT doc_id, {_SHAPED} AS response FROM documents)")
 def format_reward(spark, d):
-    n, k = F.col("doc_id").cast("string"), F.col("doc_id") % 5
-    response = F.when(k == 0, F.concat(F.lit("work FINAL_ANSWERS: \\boxed{"), n, F.lit("}"))).when(k == 1, F.concat(F.lit("work \\boxed{"), n, F.lit("}"))).when(k == 2, F.concat(F.lit("work \\boxed{"), n, F.lit("} so"))).when(k == 3, F.concat(F.lit("\\boxed{"), n, F.lit("} and \\boxed{"), n, F.lit("}"))).otherwise("nothing")
-    return table(spark, d, "documents").select("doc_id", F.round(G.format_reward(response, F.lit(True)), 6).alias("reward"))
+    rows = _made(spark, d, _SHAPED)
+    return rows.select("doc_id", F.round(G.format_reward(F.col("response"), G.shape_ok(F.col("response"), F.lit(1), F.lit(False), F.lit(0))), 6).alias("reward"))
 
 
 _QUESTIONS = """WITH q AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Which? A. one B. two' WHEN 1 THEN 'Which? (A) one (B) two' WHEN 2 THEN 'Options: first, second' WHEN 3 THEN 'xA. one xB. two' WHEN 4 THEN 'Sum [ANS] and [ANS]' ELSE 'K. one L. two' END AS question, CASE doc_id % 6 WHEN 4 THEN '12' WHEN 3 THEN 'b' ELSE 'B' END AS gold FROM documents)
@@ -116,39 +154,63 @@ def mcq_route_variants(spark, d):
     return rows.select("doc_id", *(A.mcq_variant(v, F.col("q"), F.col("o"), F.col("g")).alias(f"{v}_") for v in A.MCQ_VARIANTS), A.expected_answers(F.col("q")).alias("expected"))
 
 
-@query("no_gold_diagnosis", """
-WITH c AS (SELECT CASE doc_id % 11 WHEN 0 THEN 'missing-boxed' WHEN 1 THEN 'truncated' WHEN 2 THEN 'mcq-not-letter' WHEN 3 THEN 'mcq-out-of-range' WHEN 4 THEN 'blank-count-mismatch' WHEN 5 THEN 'repaired' WHEN 6 THEN 'fallback' WHEN 7 THEN 'validation-error' WHEN 8 THEN 'info-think' WHEN 9 THEN 'info-no-marker' ELSE 'clean' END AS category FROM documents)
+_FOUND = f"{R.case('doc_id % 11', "'none ' || doc_id", R.box('doc_id'), R.box("'12'"), R.box("'F'"), R.box("'(1,' || doc_id || '),3'"), R.box("'B'"), R.box('doc_id'))} || CASE WHEN doc_id % 11 = 8 THEN ' <think>x</think>' ELSE '' END || CASE WHEN doc_id % 11 = 9 THEN '' ELSE ' FINAL_ANSWERS: done' END"
+#: Beside the response: finish, number of options, blanks, and whether the row was repaired, came from a fallback, is invalid.
+_STATE = {"finish": "CASE WHEN doc_id % 13 = 1 THEN 'Length' ELSE 'stop' END", "options": "CASE WHEN doc_id % 11 IN (2, 3, 5) THEN 4 ELSE 0 END", "blanks": "CASE WHEN doc_id % 11 = 4 THEN 2 + doc_id % 2 ELSE 1 END", "repaired": "doc_id % 5 = 0", "fallback": "doc_id % 7 = 0", "invalid": "doc_id % 3 = 0"}
+
+
+@query("no_gold_diagnosis", rf"""
+WITH q AS (SELECT doc_id, {_FOUND} AS response, {', '.join(f'{v} AS {k}' for k, v in _STATE.items())} FROM documents),
+b AS (SELECT *, {R.last_box('response')} AS box FROM q), l AS (SELECT *, upper(regexp_replace(box, '[^A-Za-z]', '', 'g')) AS letters FROM b),
+c AS (SELECT CASE WHEN box = '' THEN 'missing-boxed' WHEN lower(finish) = 'length' THEN 'truncated' WHEN options > 0 AND letters = '' THEN 'mcq-not-letter' WHEN options > 0 AND len(list_filter(string_split(letters, ''), lambda x: ord(x) - 65 >= options)) > 0 THEN 'mcq-out-of-range'
+  WHEN blanks >= 2 AND len({R.split('box')}) <> blanks THEN 'blank-count-mismatch' WHEN repaired THEN 'repaired' WHEN fallback THEN 'fallback' WHEN invalid THEN 'validation-error' WHEN regexp_matches(response, '(?i)</?\s*(think|scratchpad)\b') THEN 'info-think' WHEN NOT regexp_matches(response, '(?i)final[_ ]answers?\s*:') THEN 'info-no-marker' ELSE 'clean' END AS category FROM l)
 SELECT category, count(*) AS n, category IN ('clean', 'info-think', 'info-no-marker', 'repaired', 'fallback') AS soft FROM c GROUP BY category""")
 def no_gold_diagnosis(spark, d):
-    k = F.col("doc_id") % 11
-    box = F.when(k == 0, "none").when(k == 3, "\\boxed{F}").when(k == 4, "\\boxed{(1,2),3}").otherwise("\\boxed{12}")
-    response = F.concat(box, F.when(k == 8, " <think>x</think>").otherwise(""), F.when(k == 9, "").otherwise(" FINAL_ANSWERS: done"))
-    kind = G.finding(response, F.when(k == 1, "length").otherwise("stop"), F.lit(False), F.when(k.isin(2, 3), 4).otherwise(0), F.when(k == 4, 3).otherwise(1), k == 5, k == 6, k == 7)
+    state = {k: F.expr(v) for k, v in _STATE.items()}
+    kind = G.finding(F.expr(_FOUND), state["finish"], F.lit(False), *(state[k] for k in ("options", "blanks", "repaired", "fallback", "invalid")))
     found = table(spark, d, "documents").select(kind.alias("category")).groupBy("category").agg(F.count("*").alias("n"))
     return found.withColumn("soft", F.col("category").isin(*G.SOFT_FINDINGS))
 
 
-@query("error_taxonomy", """
-SELECT CASE WHEN doc_id % 7 = 0 THEN 'correct' WHEN doc_id % 7 = 1 THEN 'truncated' WHEN doc_id % 7 = 2 THEN 'no_answer' WHEN doc_id % 7 = 3 THEN 'out_of_range' WHEN doc_id % 7 = 4 THEN 'count_mismatch' ELSE 'wrong' END AS error_type, count(*) AS n FROM documents GROUP BY 1""")
+#: A scored answer: right or not, how the response ended, whether a choice, what was extracted, options, answers found and wanted.
+_SCORED = {"correct": "doc_id % 3 = 0", "finish": R.case("doc_id % 5", "'stop'", "'length'", "''", "'stop'", "'abort'"), "choice": "doc_id % 2 = 0", "extracted": R.case("doc_id % 4", "''", "chr(CAST(65 + doc_id % 7 AS INT))", "'x'", "CAST(doc_id AS STRING)"), "options": "doc_id % 6", "parts": "doc_id % 4", "expected": "1 + doc_id % 3"}
+
+
+@query("error_taxonomy", f"""
+WITH q AS (SELECT {', '.join(f'{v} AS {k}' for k, v in _SCORED.items())} FROM documents),
+e AS (SELECT CASE WHEN correct THEN 'correct' WHEN finish NOT IN ('stop', '') THEN 'truncated' WHEN extracted = '' THEN 'no_answer' WHEN choice AND options > 0 AND ascii(extracted) - 65 >= options THEN 'out_of_range' WHEN NOT choice AND expected > 1 AND parts <> expected THEN 'count_mismatch' ELSE 'wrong' END AS error_type FROM q)
+SELECT error_type, count(*) AS n FROM e GROUP BY 1""")
 def error_taxonomy(spark, d):
-    k = F.col("doc_id") % 7
-    kind = G.error_type(k == 0, F.when(k == 1, "length").otherwise("stop"), k == 3, F.when(k == 2, "").when(k == 3, "F").otherwise("1"), F.lit(4), F.lit(1), F.when(k == 4, 2).otherwise(1))
+    kind = G.error_type(*(F.expr(v) for v in _SCORED.values()))
     return table(spark, d, "documents").select(kind.alias("error_type")).groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-@query("audit_flags", """
-SELECT l_orderkey, l_linenumber, CASE l_linenumber % 7 WHEN 0 THEN 'rounding_conflict' WHEN 1 THEN 'exact_decimal_conflict' WHEN 2 THEN 'unit_in_answer' WHEN 3 THEN 'answer_count_mismatch' WHEN 4 THEN 'decimal_exact_conflict' WHEN 5 THEN 'answer_count_mismatch|empty_answer' ELSE '' END AS flags,
-  CASE WHEN l_linenumber % 7 IN (0, 1, 3, 4, 5) THEN 'DROP' WHEN l_linenumber % 7 = 2 THEN 'REVIEW' ELSE 'KEEP' END AS status FROM lineitem""")
+_ASKED = R.case("l_linenumber % 7", "'Round to two decimal places [ANS]'", "'Give the exact value [ANS]'", "'Find [ANS]'", "'Both [ANS] [ANS]'", "'Write as a decimal [ANS]'", "'Round your answer to ' || l_linenumber || ' decimal places: [ANS]'", "'To the nearest tenth, [ANS]'")
+_GIVEN = R.case("l_partkey % 6", "l_partkey || '.125'", "l_partkey || '.50'", "l_partkey || ' feet'", "l_partkey || '/7'", "''", "CAST(l_partkey AS STRING)")
+
+
+@query("audit_flags", rf"""
+WITH q AS (SELECT l_orderkey, l_linenumber, {_ASKED} AS question, {_GIVEN} AS a FROM lineitem),
+p AS (SELECT *, lower(question) AS low, regexp_matches(a, '^\d+(\.\d+)?$') AS number, regexp_extract(a, '\.(\d*)', 1) AS behind,
+  CASE WHEN contains(question, 'two decimal') THEN 2 WHEN contains(question, 'nearest tenth') THEN 1 ELSE TRY_CAST(regexp_extract(question, 'answer to (\d+) decimal', 1) AS INTEGER) END AS places FROM q),
+f AS (SELECT *, list_filter([
+  CASE WHEN {R.count('question', '[ANS]')} <> 1 THEN 'answer_count_mismatch' END, CASE WHEN contains(low, 'as a decimal') AND NOT number AND regexp_matches(a, '/|[a-z]') THEN 'decimal_exact_conflict' END, CASE WHEN a = '' THEN 'empty_answer' END,
+  CASE WHEN contains(low, 'exact value') AND number AND contains(a, '.') THEN 'exact_decimal_conflict' END, CASE WHEN number AND regexp_matches(substring(behind, places + 1), '[1-9]') THEN 'rounding_conflict' END,
+  CASE WHEN regexp_matches(a, '\d+(?:\.\d+)?\s*(?:feet|foot|ft|inch)') THEN 'unit_in_answer' END], lambda x: x IS NOT NULL) AS flags FROM p)
+SELECT l_orderkey, l_linenumber, array_to_string(list_sort(flags), '|') AS flags, CASE WHEN list_has_any(flags, ['answer_count_mismatch', 'rounding_conflict', 'exact_decimal_conflict', 'decimal_exact_conflict', 'empty_answer']) THEN 'DROP' WHEN len(flags) > 0 THEN 'REVIEW' ELSE 'KEEP' END AS status FROM f""")
 def audit_flags(spark, d):
-    k = F.col("l_linenumber") % 7
-    question = F.when(k == 0, "Round to two decimal places [ANS]").when(k == 1, "Give the exact value [ANS]").when(k == 3, "Both [ANS] [ANS]").when(k == 4, "Write as a decimal [ANS]").otherwise("Find [ANS]")
-    n = F.col("l_partkey").cast("string")
-    answers = F.when(k == 0, F.array(F.concat(n, F.lit(".125")))).when(k == 1, F.array(F.concat(n, F.lit(".5")))).when(k == 2, F.array(F.concat(n, F.lit(" feet")))).when(k == 4, F.array(F.concat(n, F.lit("/7")))).when(k == 5, F.array(n, F.lit(""))).otherwise(F.array(n))
-    flags = G.audit_flags(question, answers, F.lit(False), F.lit(0))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", flags.alias("f"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", G.audit_flags(F.expr(_ASKED), F.array(F.expr(_GIVEN)), F.lit(False), F.lit(0)).alias("f"))
     return rows.select("l_orderkey", "l_linenumber", F.array_join("f", "|").alias("flags"), G.audit_status(F.col("f")).alias("status"))
 
 
+@query("flag_counts", rf"""
+WITH q AS (SELECT {_GIVEN} AS a FROM lineitem),
+f AS (SELECT unnest(list_filter([CASE WHEN a = '' THEN 'empty_answer' END, CASE WHEN regexp_matches(a, '\d+(?:\.\d+)?\s*(?:feet|foot|ft|inch)') THEN 'unit_in_answer' END], lambda x: x IS NOT NULL)) AS flag FROM q)
+SELECT flag, count(*) AS n FROM f GROUP BY flag""")
+def flag_counts(spark, d):
+    return S.counted(table(spark, d, "lineitem").select(G.answer_flags(F.expr(_GIVEN)).alias("flags")), "flags", "flag")
+
+
 @query("rounding_violation", """
 WITH p AS (SELECT p_partkey, CAST(CAST(round(p_retailprice * 100) AS BIGINT) AS VARCHAR) AS c FROM part), t AS (SELECT p_partkey, left(c, length(c) - 2) || '.' || right(c, 2) AS a, right(c, 1) <> '0' AS second, right(c, 2) <> '00' AS frac FROM p)
 SELECT p_partkey, frac AS whole, second AS one, false AS two FROM t""")
@@ -159,11 +221,14 @@ def rounding_violation(spark, d):
     return rows.select("p_partkey", *(X.violates_rounding(F.col("a"), F.lit(i)).alias(n) for i, n in enumerate(("whole", "one", "two"))))
 
 
-@query("strata", """
-SELECT CASE n WHEN 0 THEN '0_blank' WHEN 1 THEN '1_blank' WHEN 6 THEN '6plus_table' WHEN 7 THEN '6plus_table' ELSE '2_5_blank' END AS bucket, CASE m WHEN 0 THEN 'stats_precision' WHEN 1 THEN 'formula' WHEN 2 THEN 'text_symbolic' ELSE 'numeric' END AS style, count(*) AS rows FROM (SELECT doc_id % 8 AS n, doc_id // 8 % 4 AS m FROM documents) GROUP BY ALL""")
+_STRATUM = f"repeat('[ANS] ', CAST(doc_id % 8 AS INT)) || {R.case('doc_id % 5', "'the probability'", "'the value'", "'to the nearest'", "'any'", "'a Percentage of'")}"
+_STYLED = R.case("doc_id % 7", "doc_id || '*3'", "'cat'", "CAST(doc_id AS STRING)", "'sqrt(' || doc_id || ')'", "doc_id || '.5'", "'x = 1'", "'12 a'")
+
+
+@query("strata", f"""
+WITH q AS (SELECT lower({_STRATUM}) AS question, {R.count(f'({_STRATUM})', '[ANS]')} AS n, lower({_STYLED}) AS a FROM documents)
+SELECT CASE WHEN n = 0 THEN '0_blank' WHEN n = 1 THEN '1_blank' WHEN n <= 5 THEN '2_5_blank' ELSE '6plus_table' END AS bucket,
+  CASE WHEN regexp_matches(question, 'probability|percent|round|nearest') THEN 'stats_precision' WHEN regexp_matches(a, '[=*^/]|sqrt|pi|ln|log|exp') THEN 'formula' WHEN regexp_matches(a, '[a-z]') THEN 'text_symbolic' ELSE 'numeric' END AS style, count(*) AS rows FROM q GROUP BY ALL""")
 def strata(spark, d):
-    m = F.floor(F.col("doc_id") / 8) % 4
-    question = F.concat(F.repeat(F.lit("[ANS] "), (F.col("doc_id") % 8).cast("int")), F.when(m == 0, "the probability").otherwise("the value"))
-    answers = F.array(F.when(m == 1, "2*3").when(m == 2, "cat").otherwise("12"))
-    rows = table(spark, d, "documents").select(G.blank_bucket(question).alias("bucket"), G.answer_style(question, answers).alias("style"))
+    rows = table(spark, d, "documents").select(G.blank_bucket(F.expr(_STRATUM)).alias("bucket"), G.answer_style(F.expr(_STRATUM), F.array(F.expr(_STYLED))).alias("style"))
     return rows.groupBy("bucket", "style").agg(F.count("*").alias("rows"))

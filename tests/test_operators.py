@@ -226,3 +226,40 @@ def test_benchmark_passages_in_documents_are_found(spark, tmp_path):
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "candidate_id", "similarity").collect()) == want
     best = catalogue.QUERIES["similarity_metrics_documents"](spark, str(tmp_path)).first()
     assert best.queries == 2 and best.at_least_50 == 2
+
+
+def test_running_sums_by_ranges_equal_those_of_a_window(spark, monkeypatch):
+    from gradeloom.operators import splitting
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else None if i % 2 else f"g{i % 4}") for i in range(400)], "id long, g string").repartition(5)
+    want = {r.id: r.position for r in splitting.numbered(rows, ["g"], "id", 7).collect()}
+    parts = {r.id: r.part for r in splitting.part_numbers(rows, "id", 30).collect()}
+    monkeypatch.setattr(splitting, "ONE_TASK", 10)
+    assert {r.id: r.position for r in splitting.numbered(rows, ["g"], "id", 7).collect()} == want
+    assert {r.id: r.part for r in splitting.part_numbers(rows, "id", 30).collect()} == parts == {i: i // 30 for i in range(400)}
+
+
+@pytest.mark.parametrize("one_task", [5, 500_000])
+def test_quantiles_equal_those_of_sorted_values(spark, monkeypatch, one_task):
+    import numpy as np
+
+    from gradeloom.operators import splitting
+
+    monkeypatch.setattr(splitting, "ONE_TASK", one_task)
+    values = [(g, float((i * 37) % 101) / 3) for g in ("a", None) for i in range(150)] + [("b", 2.5), ("b", None), ("c", 1.0), ("c", 4.0)]
+    rows = spark.createDataFrame(values, "g string, v double")
+    got = {r.g: r.quantiles for r in splitting.quantiles(rows, ["g"], "v", [0.0, 0.01, 0.5, 0.99, 1.0]).collect()}
+    for g in got:
+        assert got[g] == pytest.approx(np.quantile([v for h, v in values if h == g and v is not None], [0.0, 0.01, 0.5, 0.99, 1.0]).tolist())
+    assert len(got) == 4
+
+
+def test_phrases_of_many_lengths_and_hot_openings(spark):
+    from gradeloom.operators import joining
+
+    texts = [(i, "the same five words here " * 30 + f"and then number {i}") for i in range(20)] + [(20, ""), (21, "one"), (22, " two  words\n")]
+    items = [(0, "the same five words here the"), (1, "and then number 7"), (2, "one"), (3, "two words"), (4, ""), (5, "the same five words there"), (6, "words here and then number 11"), (7, "the same five words here " * 31)]
+    got = joining.phrases(spark.createDataFrame(texts, "id long, text string"), "id", "text", spark.createDataFrame(items, "item long, item_text string"), "item", "item_text")
+    plain = lambda t: f" {' '.join(t.split())} "
+    want = {(j, i) for i, t in texts for j, x in items if x.split() and plain(x) in plain(t)}
+    assert {(r.item, r.id) for r in got.collect()} == want and len(got.collect()) == len(want)
