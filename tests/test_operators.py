@@ -184,7 +184,7 @@ def test_cosine_queries_in_blocks(spark):
 def test_cosine_search_takes_every_hundredth_id(spark):
     folder = "/root/testdata/sf0.01"
     ids = {r[0] for r in spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id").collect()}
-    got = catalogue.QUERIES["embedding_cosine_topk_hundredth"](spark, folder).select("query_id").distinct().collect()
+    got = catalogue.QUERIES["embedding_cosine_topk"](spark, folder).select("query_id").distinct().collect()
     assert {r[0] for r in got} == {i for i in ids if i % 100 == 0}
 
 
