@@ -6,10 +6,12 @@ both have in the overlap, where the pre-tokeniser has resynchronised; the text's
 Why this is exact: the pre-token pattern looks ahead but never back, so what it matches from a position depends only on the text
 from there on. A boundary of the left chunk is a true one unless the match that made it came within ``_AHEAD`` characters of the
 chunk's end. From a true boundary that the right chunk also has, the right chunk goes on as the whole text would.
-Where an overlap holds no such boundary (a run of thousands of letters), the left chunk is grown until one is found or the text ends.
+Where an overlap holds no such boundary (a run of thousands of letters), the left chunk goes on over the text, twice as far each time, until it has a
+boundary that some later chunk has, or the text ends.
 
-Documents up to ``long_chars`` are encoded where they lie. Longer ones are cut into chunks that are dealt over all tasks,
-so that one huge text doesn't hold up one task; both ways run the same functions and give the same ids.
+Documents up to ``long_chars`` are encoded where they lie. Longer ones are cut into chunks that are dealt over all tasks for pre-tokenising,
+so that one huge text doesn't hold up one task; a document's chunks then meet in a task of its own, which holds no more than the row that was read.
+Both ways run the same functions and give the same ids.
 
 Defined cases: a null text counts as empty; empty texts have 0 tokens and the digest of no bytes. Repeated rows give repeated results.
 """
@@ -100,17 +102,18 @@ class Codec:
         if len(text) <= chunk:  # one chunk has all the pre-tokens
             return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         parts = [(a, text[a : a + chunk + overlap]) for a in range(0, len(text), chunk)]
-        cuts = stitched([(a, len(t), self.boundaries(t)) for a, t in parts], len(text), lambda a: self.boundaries(text[a:]))
+        cuts = stitched([(a, len(t), self.boundaries(t)) for a, t in parts], len(text), lambda a, z: self.boundaries(text[a:z]))
         return b"".join(self.ids([text[i:j] for i, j in zip(cut, cut[1:], strict=False)]) for cut in cuts)
 
 
-def stitched(parts: list[tuple[int, int, list[int]]], n: int, rest) -> list[list[int]]:
-    """True boundaries of a text of ``n`` characters, one list a chunk, each starting where the last one ended.
+def stitched(parts: list[tuple[int, int, list[int]]], n: int, more) -> list[list[int]]:
+    """True boundaries of a text of ``n`` characters, in lists, each starting where the last one ended.
 
-    parts: start, length and ends of matches of each chunk, in order. rest(a): the ends from position a of the text to its end.
+    parts: start, length and ends of matches of each chunk, in order. more(a, z): the ends of matches of the text from a to z, counted from a.
     """
     out: list[list[int]] = []
     at, k = 0, 0  # a true boundary; the chunk to read from
+    later: dict[int, int] = {}  # boundaries of later chunks, and the chunk; made where an overlap holds none
     while at < n:
         start, length, ends = parts[k]
         last = start + length >= n
@@ -122,13 +125,25 @@ def stitched(parts: list[tuple[int, int, list[int]]], n: int, rest) -> list[list
         theirs = {nxt_start, *(nxt_start + e for e in nxt_ends)}
         # A match that ends well before the chunk's end is what it would be in the whole text.
         meet = next((p for p in reversed(sure[:-1]) if p in theirs and p >= nxt_start), None)
-        if meet is None:  # no resynchronisation: go on from the last sure boundary over the text itself
-            tail = sure[-2] if len(sure) > 1 else at
-            ends_after = rest(tail)
-            out.append([at, *(p for p in sure if p <= tail), *(tail + e for e in ends_after)])
+        if meet is not None:
+            out.append([at, *(p for p in sure if p <= meet)])
+            at, k = meet, k + 1
+            continue
+        # No resynchronisation: go on over the text from the last sure boundary.
+        if not later:
+            later = {p: j for j, (s, _, e) in enumerate(parts) for p in (s, *(s + x for x in e)) if p < n}
+        tail, size = (sure[-2] if len(sure) > 1 else at), length
+        while True:
+            end = min(n, tail + size)
+            found = [tail + e for e in more(tail, end) if end == n or e <= end - tail - _AHEAD]
+            met = next((p for p in found if later.get(p, -1) > k), None)
+            if met is not None or end == n:
+                break
+            size *= 2
+        out.append([at, *(p for p in sure if p <= tail), *(p for p in found if met is None or p <= met)])
+        if met is None:
             break
-        out.append([at, *(p for p in sure if p <= meet)])
-        at, k = meet, k + 1
+        at, k = met, later[met]
     return out
 
 
@@ -165,13 +180,19 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
     long = kept.filter(F.length("__text") > long_chars)
 
     # Long texts: a row a chunk, dealt over tasks by document and chunk, pre-tokenised there.
-    starts = F.sequence(F.lit(0), F.length("__text") - 1, F.lit(chunk_chars))
-    chunks = (
-        long.withColumn("__row", F.monotonically_increasing_id())
-        .select(*names, "__row", "__text", F.explode(starts).alias("__at"))
-        .select(*names, "__row", "__at", F.length("__text").alias("__n"), F.substring("__text", F.col("__at") + 1, F.lit(chunk_chars + overlap_chars)).alias("__text"))
-        .repartition(F.col("__row"), F.col("__at"))
-    )
+    numbered = long.withColumn("__row", F.monotonically_increasing_id())
+    piece_kinds = T.StructType([*(f for f in numbered.schema.fields if f.name != "__text"), *schema(__at=LONG, __n=LONG, __text=STRING).fields])
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4 << 20):
+            for i, text in enumerate(texts(b.column("__text"))):
+                at = list(range(0, len(text), chunk_chars))
+                for j in range(0, len(at), 64):
+                    some = at[j : j + 64]
+                    same = pa.array([i] * len(some), pa.int64())
+                    yield batch_of(piece_kinds, {f.name: b.column(f.name).take(same) for f in piece_kinds.fields[:-3]} | {"__at": some, "__n": [len(text)] * len(some), "__text": [text[a : a + chunk_chars + overlap_chars] for a in some]})
+
+    chunks = numbered.select(*names, "__row", "__text").mapInArrow(pieces, piece_kinds).repartition(F.col("__row"), F.col("__at"))
     chunk_names = chunks.columns
     cut_kinds = T.StructType([*chunks.schema.fields, T.StructField("__ends", T.ArrayType(T.IntegerType()))])
 
@@ -185,7 +206,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str | None =
         rows_ = sorted(zip(group["__at"].to_pylist(), group["__text"].to_pylist(), group["__ends"].to_pylist(), strict=True))
         n = group["__n"][0].as_py()
         text = "".join(t[:chunk_chars] for _, t, _ in rows_)
-        cuts = stitched([(a, len(t), e) for a, t, e in rows_], n, lambda a: c.boundaries(text[a:]))
+        cuts = stitched([(a, len(t), e) for a, t, e in rows_], n, lambda a, z: c.boundaries(text[a:z]))
         ids = b"".join(c.ids([text[i:j] for i, j in zip(x, x[1:], strict=False)]) for x in cuts)
         made = {"n_tokens": [len(ids) // 4], "ids": [ids], "ids_sha256": [_sha(ids)], "decoded_sha256": [_sha(c.decode(ids))]}
         return pa.Table.from_batches([batch_of(kinds, {k: pa.array(group[k][:1].to_pylist(), group[k].type) for k in names} | made)])

@@ -70,6 +70,33 @@ def test_bpe_round_trip_by_any_chunks():
         assert c.decode(want) == text.encode()
 
 
+def test_bpe_grows_only_as_far_as_needed():
+    c = bpe.codec(bpe.default_ranks(), bpe.default_pattern())
+    words = "".join(f"word{i} and more, " for i in range(4_000))
+    text = words + "x" * 3_000 + " " + words
+    seen = []
+    plain = c.boundaries
+    c.boundaries = lambda t: seen.append(len(t)) or plain(t)
+    try:
+        got = c.encode(text, 1_000, 100)
+    finally:
+        c.boundaries = plain
+    assert got == np.array(c.encoding.encode_ordinary(text), "<u4").tobytes()
+    assert max(seen) <= 10_000 < len(text)
+
+
+def test_registered_bpe_equals_the_library(spark, sf):
+    import hashlib
+
+    from gradeloom.llm import queries
+
+    c = bpe.codec(bpe.default_ranks(), bpe.default_pattern())
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.QUERIES["op9_bpe"](spark, sf).collect():
+        ids = np.array(c.encoding.encode_ordinary(texts[r.doc_id]), "<u4").tobytes()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
 def test_bpe_dealt_chunks_equal_whole_texts(edge_docs):
     near = {(r.doc_id, r.ids_sha256, r.decoded_sha256, r.n_tokens) for r in bpe.encode(edge_docs, long_chars=10**9).collect()}
     far = bpe.encode(edge_docs, long_chars=20, chunk_chars=1000, overlap_chars=40).collect()
@@ -89,6 +116,44 @@ def test_language_is_held_out_accurate(spark, sf):
     assert got and np.mean([r.lang == r.lang_pred for r in got]) > 0.95
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"the and with of it {i}", "en", "a") for i in range(600)] + [(1000 + i, f"der und mit von es {i}", "de", "a") for i in range(6)]
+    docs = documents(spark, rows)
+    model = langid.train(docs, F.lit(True), sample=60, least=6)
+    assert model.languages == ["de", "en"] and model.predict("und der mit es")[0] == "de"
+
+
+def test_optimiser_equals_plain_loops():
+    """The same updates, one coordinate at a time."""
+    rng = random.Random(4)
+    rows = [(lang, *langid.features(" ".join(rng.choice(words) for _ in range(4)), 64)) for _ in range(6) for lang, words in (("en", ["the", "and"]), ("de", ["der", "und"]), ("fr", ["le", "et"]))]
+    model = langid.fit(rows, 64, epochs=2)
+    names, alpha, beta, l1, l2 = ["de", "en", "fr"], 0.5, 1.0, 0.02, 0.02
+    z, n = ({(k, j): 0.0 for k in [*range(64), "b"] for j in range(3)} for _ in range(2))
+    weight = lambda k, j: 0.0 if abs(z[k, j]) <= (0.0 if k == "b" else l1) else (np.sign(z[k, j]) * (0.0 if k == "b" else l1) - z[k, j]) / ((beta + n[k, j] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for i in order.permutation(len(rows)):
+            lang, where, counts = rows[i]
+            x = [*zip(where.tolist(), model.vector(where, counts).tolist(), strict=True), ("b", 1.0)]
+            w = {(k, j): weight(k, j) for k, _ in x for j in range(3)}
+            logits = [sum(v * w[k, j] for k, v in x) for j in range(3)]
+            p = np.exp(np.array(logits) - max(logits))
+            p /= p.sum()
+            for k, v in x:
+                for j in range(3):
+                    g = (p[j] - (names[j] == lang)) * v
+                    sigma = ((n[k, j] + g * g) ** 0.5 - n[k, j] ** 0.5) / alpha
+                    z[k, j] += g - sigma * w[k, j]
+                    n[k, j] += g * g
+    assert np.allclose(model.weights, [[weight(k, j) for j in range(3)] for k in range(64)]) and np.allclose(model.bias, [weight("b", j) for j in range(3)])
+
+
+def test_ties_go_to_the_first_language():
+    model = langid.Model(["de", "en"], np.ones(64), np.zeros((64, 2)), np.zeros(2), 1.0)
+    assert model.predict("anything") == ("de", 0.5)
+
+
 def test_language_edges(spark, edge_docs, no_docs):
     model = langid.train(edge_docs, F.lit(True))
     got = langid.predict(edge_docs, model).collect()
