@@ -170,6 +170,22 @@ def letter(c: Column, options: Column | None = None, phrases: str = BROAD) -> Co
     return F.coalesce(boxed, by_value, said, F.get(capitals, F.size(capitals) - 1), none)
 
 
+def letters(c: Column, options: Column) -> Column:
+    """The chosen letters, one or several, all among the options (any, if there are none): a box of letters, a boxed option's text, the last phrase; "" if none."""
+    n = F.coalesce(F.size(options), F.lit(0))
+    within = lambda x: (x != "") & F.forall(F.filter(F.split(x, ""), lambda ch: ch != ""), lambda ch: (ch >= "A") & (ch <= "Z") & ((n <= 0) | (F.ascii(ch) - 65 < n)))
+
+    def chosen(tail: Column) -> Column:
+        inner = F.coalesce(F.nullif(last_box(tail), F.lit("")), last_box(c))
+        compact = F.upper(F.regexp_replace(inner, r"\s+", ""))
+        at = F.coalesce(F.array_position(F.transform(options, lambda x: F.trim(x)), F.trim(inner)), F.lit(0))
+        said = F.regexp_extract_all(tail, F.lit(BROAD.replace("([A-Z])", "([A-Z]+)")), F.lit(1))
+        said = F.upper(F.coalesce(F.get(said, F.size(said) - 1), F.lit("")))
+        return F.when(compact.rlike("^[A-Z]+$") & within(compact), compact).when((inner != "") & (at > 0), F.char(at + 64)).when(within(said), said).otherwise("")
+
+    return once(after_think(c), chosen)
+
+
 def expected_answers(question: Column) -> Column:
     return F.greatest(F.lit(1).cast("long"), occurrences(question, "[ANS]"))
 
@@ -182,15 +198,15 @@ def mcq_variant(name: str, question: Column, options: Column, gold: Column) -> C
     """Named tests of whether a question is multiple choice; they differ on purpose and aren't to be merged.
 
     substring: options, or A and B markers anywhere. gold_az: options, or gold of capitals and inline markers A and B.
-    gold_aj: the same with letters to J, gold in any case. layout: an options list or an A. ... B. layout.
+    gold_aj: the same with letters to J, gold in any case. gold_any: letters to Z, gold in any case. layout: an options list or an A. ... B. layout.
     words: markers A and B as words with space after them. single: options, or a gold of one capital. bare: markers without "(A)".
     """
     has = F.coalesce(F.size(options), F.lit(0)) > 0
     if name == "substring":
         both = [question.contains(f"{x}.") | question.contains(f"{x})") | question.contains(f"({x})") for x in "AB"]
         return has | (both[0] & both[1])
-    if name in ("gold_az", "gold_aj"):
-        last, upper = ("Z", lambda x: x) if name == "gold_az" else ("J", F.upper)
+    if name in ("gold_az", "gold_aj", "gold_any"):
+        last, upper = "J" if name == "gold_aj" else "Z", (lambda x: x) if name == "gold_az" else F.upper
         marks = _inline(question, f"A-{last}")
         capitals = (F.size(gold) > 0) & F.forall(gold, lambda x: upper(x).rlike(rf"^[A-{last}]+$"))
         return has | (capitals & F.array_contains(marks, "A") & F.array_contains(marks, "B"))
@@ -205,7 +221,13 @@ def mcq_variant(name: str, question: Column, options: Column, gold: Column) -> C
     raise ValueError(f"no such test: {name}")
 
 
-MCQ_VARIANTS = ("substring", "gold_az", "gold_aj", "layout", "words", "single", "bare")
+def row_format(question: Column, options: Column, gold: Column) -> Column:
+    """mcq_options, mcq_inline or free: what a question looks like."""
+    has = F.coalesce(F.size(options), F.lit(0)) > 0
+    return F.when(has, "mcq_options").when(mcq_variant("gold_aj", question, options, gold), "mcq_inline").otherwise("free")
+
+
+MCQ_VARIANTS = ("substring", "gold_az", "gold_aj", "gold_any", "layout", "words", "single", "bare")
 #: Words that show an answer is still reasoning.
 REASONING_WORDS = ("let's", "wait", "case", "suppose", "strategy", "turn", "therefore", "because", "we need", "the problem")
 

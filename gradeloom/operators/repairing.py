@@ -25,6 +25,19 @@ def staged(rows: DataFrame, candidates: DataFrame, key: str, stages: tuple[str,
     return joined.select(*(c for c in rows.columns if c != "response"), F.coalesce(first["response"], F.col("response")).alias("response"), F.coalesce(first["stage"], F.lit("none")).alias("stage"), used.cast("long").alias("attempts"))
 
 
+#: Errors of format, after which a response is asked for once more.
+FORMAT_FAILURES = ("truncated", "no_answer", "out_of_range", "count_mismatch")
+
+
+def retried_once(rows: DataFrame, replies: DataFrame, key: str, columns: list[str], error: str = "error_type", failures: tuple[str, ...] = FORMAT_FAILURES) -> DataFrame:
+    """``rows`` whose error is one of format with the reply's ``columns`` and error instead, if the reply's error isn't one; ``fallback_used`` says where."""
+    other = replies.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in [*columns, error]))
+    fails = F.col(error).isin(*failures)
+    joined = rows.join(other, (F.col(key) == F.col("__k")) & fails, "left")
+    used = F.col("__k").isNotNull() & ~F.col(f"__{error}").isin(*failures)
+    return joined.select(*(F.when(used, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in (*columns, error) else F.col(c) for c in rows.columns), used.alias("fallback_used"))
+
+
 def acceptable(response: Column, finish: Column) -> Column:
     """A response with an answer that isn't cut-off reasoning."""
     group = A.last_box_group(A.after_think(response))

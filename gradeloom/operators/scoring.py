@@ -58,3 +58,19 @@ def majority(votes: DataFrame, key: str, choice: str, position: str) -> DataFram
     real = F.coalesce(F.col(choice), F.lit("")) != ""
     best = F.max(F.when(real, F.struct(F.col("votes"), -F.col("first_position"), F.col(choice))))
     return counted.groupBy(key).agg(best.alias("b"), F.sum("votes").alias("samples"), F.min("first_position").alias("f")).select(key, F.coalesce(F.col(f"b.{choice}"), F.lit("")).alias(choice), F.coalesce("b.votes", F.lit(0)).cast("long").alias("votes"), F.coalesce(-F.col("b.col2"), F.col("f")).alias("first_position"), F.col("samples").cast("long").alias("samples"))
+
+
+def best_combination(runs: DataFrame, kind: str, order: list[str]) -> DataFrame:
+    """The best run of each kind by accuracy (correct of n; the first in ``order`` of equal ones), and all of the best together, whose kind is null."""
+    accuracy_ = F.coalesce(F.try_divide(F.col("correct"), F.col("n")), F.lit(0.0))
+    best = F.min(F.struct((-accuracy_).alias("__a"), *order, "n", "correct")).alias("b")
+    each = runs.groupBy(kind).agg(best).select(kind, *(F.col(f"b.{c}").alias(c) for c in [*order, "n", "correct"]))
+    whole = each.agg(F.lit(None).cast(runs.schema[kind].dataType).alias(kind), *(F.lit(None).cast(runs.schema[c].dataType).alias(c) for c in order), F.sum("n").alias("n"), F.sum("correct").alias("correct"))
+    return each.unionByName(whole).withColumn("accuracy", ratio(F.col("correct"), F.col("n")))
+
+
+def planned(experiments: DataFrame, key: str, splits: list[str], once: tuple[str, ...] = ("train", "merge"), each: tuple[str, ...] = ("eval", "score")) -> DataFrame:
+    """The stages of each experiment in order: those that run once, then for each split those that run on it."""
+    stages = [*once, *(f"{stage}_{split}" for split in splits for stage in each)]
+    listed = F.array(*(F.struct(F.lit(i).alias("position"), F.lit(s).alias("stage")) for i, s in enumerate(stages)))
+    return experiments.select(key, F.explode(listed).alias("s")).select(key, "s.position", "s.stage")

@@ -143,6 +143,7 @@ _QUESTIONS = """WITH q AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Which? A.
 SELECT doc_id, (contains(question, 'A.') OR contains(question, 'A)') OR contains(question, '(A)')) AND (contains(question, 'B.') OR contains(question, 'B)') OR contains(question, '(B)')) AS substring_,
   regexp_matches(gold, '^[A-Z]+$') AND regexp_matches(question, '(^|[^A-Za-z0-9])A[.)]\\s') AND regexp_matches(question, '(^|[^A-Za-z0-9])B[.)]\\s') AS gold_az_,
   regexp_matches(upper(gold), '^[A-J]+$') AND regexp_matches(question, '(^|[^A-Za-z0-9])A[.)]\\s') AND regexp_matches(question, '(^|[^A-Za-z0-9])B[.)]\\s') AS gold_aj_,
+  regexp_matches(upper(gold), '^[A-Z]+$') AND regexp_matches(question, '(^|[^A-Za-z0-9])A[.)]\\s') AND regexp_matches(question, '(^|[^A-Za-z0-9])B[.)]\\s') AS gold_any_,
   regexp_matches(question, '(?is)options:|(^|[^A-Za-z0-9])A[.)]\\s.*[^A-Za-z0-9]B[.)]\\s|\\( \\)\\s*A:') AS layout_,
   regexp_matches(question, '\\bA[.)]\\s+') AND regexp_matches(question, '\\bB[.)]\\s+') AS words_, regexp_matches(gold, '^[A-Z]$') AS single_,
   (contains(question, 'A.') OR contains(question, 'A)')) AND (contains(question, 'B.') OR contains(question, 'B)')) AS bare_, greatest(CAST(1 AS BIGINT), CAST((length(question) - length(replace(question, '[ANS]', ''))) // 5 AS BIGINT)) AS expected FROM q""")
