@@ -169,7 +169,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 def taken(docs: DataFrame, shards: int = SHARDS, **parameters) -> DataFrame:
     """doc_id, size, source_size, target and taken of each document, and shard_words: the words of it that each output shard takes."""
     pieces, slots = mix(docs.select(F.monotonically_increasing_id().alias("__row"), "doc_id", "source", "text"), shards=shards, **parameters)
-    joined = pieces.join(slots, ["__source", "__block"], "left")
+    joined = pieces.join(slots.hint("merge"), ["__source", "__block"], "left")
     share = [F.coalesce(F.sum(F.when(F.col("out_shard") == k, F.col("words"))), F.lit(0)).cast(LONG) for k in range(shards)]
     whole = joined.groupBy("__row", "doc_id", "size", "source_size", "target").agg(F.array(*share).alias("shard_words"))
     return whole.select("doc_id", "size", "source_size", "target", F.aggregate("shard_words", F.lit(0).cast(LONG), lambda a, x: a + x).alias("taken"), "shard_words")
@@ -187,7 +187,7 @@ def mixed(docs: DataFrame, **parameters) -> DataFrame:
     own = {c: f"c{i}" for i, c in enumerate(names)}
     keyed = durable(docs.select(*(F.col(f"`{c}`").alias(own[c]) for c in names), F.monotonically_increasing_id().alias("__row")))
     pieces, slots = mix(keyed.select("__row", *(F.col(own[c]).alias(c) for c in ("doc_id", "source", "text"))), **parameters)
-    runs = pieces.join(slots, ["__source", "__block"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("out_shard", "first", "words"))).alias("__runs"))  # a row a block of one document
+    runs = pieces.join(slots.hint("merge"), ["__source", "__block"]).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("out_shard", "first", "words"))).alias("__runs"))  # a row a block of one document
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 8 << 20):
