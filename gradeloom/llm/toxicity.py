@@ -71,6 +71,19 @@ def term_counts(text: str) -> Counter:
 Vector = tuple[np.ndarray, np.ndarray]
 
 
+class Places(dict):
+    """Words to the places of the word and of its beginning in a vocabulary, in one number; made when a word is first asked for."""
+
+    def __init__(self, vocabulary: dict[str, int]) -> None:
+        self.vocabulary, self.none = vocabulary, len(vocabulary)
+
+    def __missing__(self, word: str) -> int:
+        own = self.vocabulary.get(word, self.none)
+        stem = self.vocabulary.get(stem_of(word), self.none) if len(word) >= STEM else self.none
+        self[word] = both = own * (self.none + 1) + stem
+        return both
+
+
 @dataclass
 class Index:
     """Terms (places in the vocabulary) with their weights, and examples (ids, labels) with their postings by term."""
@@ -118,7 +131,7 @@ class Index:
         self._blocks, self._maxima = np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(2)
         self._ids = np.concatenate([self.ids, np.full(n * self.block - len(self.ids), np.iinfo(np.int64).max)])
         self._known: dict[bytes, tuple[float, list[int]]] = {}
-        self._words: dict[str, int] = {}
+        self._words = Places(self.vocabulary)
         self._marks = [np.full(len(self.vocabulary), -1) for _ in OFTEN]
         for t, i in self.vocabulary.items():
             for m, marks in zip(OFTEN, self._marks, strict=True):
@@ -133,12 +146,10 @@ class Index:
             return np.zeros(0, np.int64), np.zeros(0)
         if len(self._words) > KEEP_WORDS:
             self._words.clear()
-        known, none = self._words, len(self.vocabulary)
-        for word in [w for w in counts if w not in known]:
-            known[word] = self.vocabulary.get(stem_of(word), none) if len(word) >= STEM else none
+        none = len(self.vocabulary)
+        both = np.fromiter(map(self._words.__getitem__, counts), np.int64, len(counts))
         times = np.fromiter(counts.values(), np.int64, len(counts))
-        place = np.fromiter(map(self.vocabulary.get, counts, itertools.repeat(none)), np.int64, len(counts))
-        stems = np.fromiter(map(known.__getitem__, counts), np.int64, len(counts))
+        place, stems = both // (none + 1), both % (none + 1)
         order = np.argsort(stems, kind="stable")
         stems = stems[order]
         first = np.flatnonzero(np.diff(stems, prepend=-1))
