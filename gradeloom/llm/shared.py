@@ -140,7 +140,8 @@ _places = np.zeros(0, np.uint64)
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _multipliers(n: int) -> np.ndarray:
+def place_numbers(n: int) -> np.ndarray:
+    """The first n of the multipliers by place."""
     global _places
     if len(_places) >= n:
         return _places[:n]
@@ -182,7 +183,7 @@ def word_hashes(text: str | bytes) -> np.ndarray:
     bounds = np.append(starts, len(raw))
     place = np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(bounds))
     with np.errstate(over="ignore"):
-        h = np.add.reduceat(_HASHED[raw[starts[0] :]] * _multipliers(int(place.max()) + 1)[place], starts - starts[0])
+        h = np.add.reduceat(_HASHED[raw[starts[0] :]] * place_numbers(int(place.max()) + 1)[place], starts - starts[0])
         return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 

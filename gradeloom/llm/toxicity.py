@@ -20,14 +20,12 @@ size is bounded by the sample's texts; scoring is one pass over the texts where
 
 Defined cases: null and empty texts have no neighbour. A label that is null doesn't count; of repeated labels of an id the largest counts;
 of repeated documents with one id the sample takes the smallest text. Without labelled rows every score is 0.0. Equal cosines: the smaller id is nearer.
+Terms are 64-bit hashes; that any two of a million share one has a chance near 1e-8.
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,58 +35,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import BOOL, DOUBLE, INT, LONG, STRING, batch_of, crc_fold, durable, few_rows_a_batch, schema, small_batches, texts
+from .shared import BOOL, DOUBLE, INT, LONG, batch_of, crc_fold, durable, few_rows_a_batch, mix64, place_numbers, schema, small_batches, texts
 
-SAMPLE, NEIGHBOURS, BLOCK, BATCH = 2_000, 15, 64, 64
+SAMPLE, NEIGHBOURS, BLOCK, BATCH = 1_200, 15, 64, 64
 #: The least share of a label in the sample, and the share of examples over which a term is frequent.
 LEAST_SHARE, FREQUENT = 0.125, 0.125
 #: A full neighbourhood at this cosine counts as much as what is known of texts without any neighbour.
 FAR = 0.3
-_LETTERS = re.compile(r"[^\W\d_]+")
 #: A term that stands so often in a text counts as another term as well.
 OFTEN = (2, 4)
 #: Letters of a word's beginning that are a term too.
 STEM = 5
-#: Words and texts that a worker remembers.
-KEEP_WORDS, KEEP_TEXTS = 200_000, 20_000
-
-
-def stem_of(word: str) -> str:
-    return word[:STEM] + "*"
-
-
-def term_counts(text: str) -> Counter:
-    """A text's terms and their counts; the marks of frequent terms count 1."""
-    out: Counter = Counter()
-    for word, n in Counter(_LETTERS.findall(text.lower())).items():
-        out[word] += n
-        if len(word) >= STEM:
-            out[stem_of(word)] += n
-    out.update({f"{t}#{m}": 1 for t, n in out.items() for m in OFTEN if n >= m})
-    return out
+#: Texts that a worker remembers.
+KEEP_TEXTS = 20_000
+_letter = np.zeros(0, bool)
+
+
+def letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    global _letter
+    if not len(_letter):
+        _letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _letter
+
+
+def terms_in(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's words and of the beginnings of longer ones, ascending, and their counts; all words of the text at once."""
+    code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
+    is_letter = letters()[code]
+    edge = np.diff(is_letter.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(starts):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    code = code[starts[0] : ends[-1]]
+    place = np.arange(starts[0], ends[-1]) - np.repeat(starts, np.diff(np.append(starts, ends[-1])))
+    with np.errstate(over="ignore"):
+        x = mix64(code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) * place_numbers(int(place.max()) + 1)[place]
+        x[~is_letter[starts[0] : ends[-1]]] = 0
+        words = mix64(np.add.reduceat(x, starts - starts[0]) ^ (ends - starts).astype(np.uint64))
+        long = ends - starts >= STEM
+        begin = x[(starts[long] - starts[0])[:, None] + np.arange(STEM)].sum(1, dtype=np.uint64)
+        stems = mix64(begin ^ np.uint64(0xBF58476D1CE4E5B9))
+    return np.unique(np.concatenate([words, stems]), return_counts=True)
+
+
+def mark(terms: np.ndarray, times: int) -> np.ndarray:
+    """Hashes of the terms' marks."""
+    with np.errstate(over="ignore"):
+        return mix64(terms * np.uint64(0xD6E8FEB86659FD93) + np.uint64(times))
+
+
+def term_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's terms and their counts; the marks of frequent terms count 1."""
+    terms, n = terms_in(text)
+    marks = [mark(terms[n >= m], m) for m in OFTEN]
+    return np.concatenate([terms, *marks]), np.concatenate([n, *(np.ones(len(x), np.int64) for x in marks)])
 
 
 Vector = tuple[np.ndarray, np.ndarray]
 
 
-class Places(dict):
-    """Words to the places of the word and of its beginning in a vocabulary, in one number; made when a word is first asked for."""
-
-    def __init__(self, vocabulary: dict[str, int]) -> None:
-        self.vocabulary, self.none = vocabulary, len(vocabulary)
-
-    def __missing__(self, word: str) -> int:
-        own = self.vocabulary.get(word, self.none)
-        stem = self.vocabulary.get(stem_of(word), self.none) if len(word) >= STEM else self.none
-        self[word] = both = own * (self.none + 1) + stem
-        return both
-
-
 @dataclass
 class Index:
-    """Terms (places in the vocabulary) with their weights, and examples (ids, labels) with their postings by term."""
+    """Terms (hashes, ascending) with their weights, and examples (ids, labels) with their postings by term."""
 
-    vocabulary: dict[str, int]
+    vocabulary: np.ndarray
     weight: np.ndarray
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -131,33 +142,23 @@ class Index:
         self._blocks, self._maxima = np.ascontiguousarray(cut.transpose(1, 0, 2)), cut.max(2)
         self._ids = np.concatenate([self.ids, np.full(n * self.block - len(self.ids), np.iinfo(np.int64).max)])
         self._known: dict[bytes, tuple[float, list[int]]] = {}
-        self._words = Places(self.vocabulary)
-        self._marks = [np.full(len(self.vocabulary), -1) for _ in OFTEN]
-        for t, i in self.vocabulary.items():
-            for m, marks in zip(OFTEN, self._marks, strict=True):
-                if t.endswith(f"#{m}"):
-                    marks[self.vocabulary[t.rpartition("#")[0]]] = i
+        # Of each term the places of its marks; -1: it has none here.
+        self._marks = []
+        for m in OFTEN:
+            hashes = mark(self.vocabulary, m)
+            at = np.minimum(np.searchsorted(self.vocabulary, hashes), max(0, len(self.vocabulary) - 1))
+            self._marks.append(np.where(self.vocabulary[at] == hashes, at, -1) if len(self.vocabulary) else at)
 
     def vector(self, text: str) -> Vector:
         """Places of a text's terms in the vocabulary, and their weights, scaled."""
         self.prepared()
-        counts = Counter(_LETTERS.findall(text.lower()))
-        if not counts or not self.vocabulary:
+        terms, n = terms_in(text)
+        if not len(terms) or not len(self.vocabulary):
             return np.zeros(0, np.int64), np.zeros(0)
-        if len(self._words) > KEEP_WORDS:
-            self._words.clear()
-        none = len(self.vocabulary)
-        both = np.fromiter(map(self._words.__getitem__, counts), np.int64, len(counts))
-        times = np.fromiter(counts.values(), np.int64, len(counts))
-        place, stems = both // (none + 1), both % (none + 1)
-        order = np.argsort(stems, kind="stable")
-        stems = stems[order]
-        first = np.flatnonzero(np.diff(stems, prepend=-1))
-        place, n = np.concatenate([place, stems[first]]), np.concatenate([times, np.add.reduceat(times[order], first)])
-        there = place < none
+        place = np.minimum(np.searchsorted(self.vocabulary, terms), len(self.vocabulary) - 1)
+        there = self.vocabulary[place] == terms
         place, n = place[there], n[there]
-        often = [m[place[n >= least]] for least, m in zip(OFTEN, self._marks, strict=True)]
-        often = np.concatenate(often)
+        often = np.concatenate([m[place[n >= least]] for least, m in zip(OFTEN, self._marks, strict=True)])
         often = often[often >= 0]
         return self.scaled(np.concatenate([place, often]), np.concatenate([n, np.ones(len(often), np.int64)]))
 
@@ -296,30 +297,31 @@ def train(docs: DataFrame, labels: DataFrame, keep, sample: int = SAMPLE) -> Ind
     chosen = parts[0].unionAll(parts[1]).drop("__h")
     pairs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows are broadcast
     pairs = durable(pairs.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "__toxic"))
-    kinds = schema(term=STRING, toxic=LONG, clean=LONG)
+    kinds = schema(term=LONG, toxic=LONG, clean=LONG)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            both: tuple[Counter, Counter] = (Counter(), Counter())
-            for t, y in zip(texts(b.column("text")), b.column("__toxic").to_pylist(), strict=True):
-                both[y].update(term_counts(t).keys())
-            names = list(both[0].keys() | both[1].keys())
-            yield batch_of(kinds, {"term": names, "toxic": [both[1][t] for t in names], "clean": [both[0][t] for t in names]})
+            y = np.array(b.column("__toxic").to_pylist(), np.int64)
+            found = [term_counts(t)[0] for t in texts(b.column("text"))]
+            terms, at = np.unique(np.concatenate(found), return_inverse=True) if found else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            toxic_ = np.bincount(at, np.repeat(y, [len(f) for f in found]), len(terms)).astype(np.int64)
+            yield batch_of(kinds, {"term": pa.array(terms.view(np.int64)), "toxic": pa.array(toxic_), "clean": pa.array(np.bincount(at, minlength=len(terms)) - toxic_)})
 
-    seen = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow().sort_by("term")  # the sample's terms
+    seen = pairs.mapInArrow(count, kinds).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()  # the sample's terms
     size = {r[0]: r[1] for r in pairs.groupBy("__toxic").count().collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 + n0:
-        return Index({}, np.zeros(0))
-    vocabulary = {t: i for i, t in enumerate(seen["term"].to_pylist())}
-    index = Index(vocabulary, weights_of(seen["toxic"].to_numpy().astype(float), seen["clean"].to_numpy().astype(float), n1, n0))
+        return Index(np.zeros(0, np.uint64), np.zeros(0))
+    hashes = seen["term"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    vocabulary = hashes[order]
+    index = Index(vocabulary, weights_of(*(seen[c].to_numpy()[order].astype(float) for c in ("toxic", "clean")), n1, n0))
     vector_kinds = schema(doc_id=LONG, toxic=INT, t=T.BinaryType(), n=T.BinaryType())
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             rows = [term_counts(x) for x in texts(b.column("text"))]
-            places = [np.array([vocabulary[t] for t in r], np.int32) for r in rows]
-            yield batch_of(vector_kinds, {"doc_id": b.column("doc_id"), "toxic": b.column("__toxic"), "t": [p.tobytes() for p in places], "n": [np.array(list(r.values()), np.int32).tobytes() for r in rows]})
+            yield batch_of(vector_kinds, {"doc_id": b.column("doc_id"), "toxic": b.column("__toxic"), "t": [np.searchsorted(vocabulary, t).astype(np.int32).tobytes() for t, _ in rows], "n": [n.astype(np.int32).tobytes() for _, n in rows]})
 
     got = pairs.mapInArrow(counts, vector_kinds).toArrow().sort_by("doc_id")  # at most ``sample`` rows
     counted = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(n, np.int32)) for t, n in zip(got["t"].to_pylist(), got["n"].to_pylist(), strict=True)]

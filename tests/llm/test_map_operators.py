@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -210,7 +211,7 @@ def test_toxic_neighbours_are_those_of_a_full_scan(index, block):
 
 def test_vocabulary_has_every_term_and_votes_are_weighted(index):
     model, texts = index
-    assert set().union(*(toxicity.term_counts(t) for t in texts.values())) == model.vocabulary.keys()
+    assert set().union(*(toxicity.term_counts(t)[0].tolist() for t in texts.values())) == set(model.vocabulary.tolist())
     near = model.nearest([model.vector("vile road")])[0]
     w = [(1.05 - c) ** -2 for c, _ in near]
     rest = model.k * (1.05 - toxicity.FAR) ** -2
@@ -248,10 +249,29 @@ def test_toxicity_scores(spark, index, edge_docs):
     assert toxicity.accepted(edge_docs, model).columns == edge_docs.columns
 
 
+def test_terms_are_words_beginnings_and_marks():
+    from collections import Counter
+
+    texts = ["The cat the CAT sat, Straße ÉCOLE écoles! x1y", "no-one's here: Bücherei Bücher", "", "123 ... !", "中文字 mixed中文 letters", "a" * 5000]
+    names: dict = {}
+    for text in texts:
+        want: Counter = Counter()
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            want[w] += 1
+            if len(w) >= 5:
+                want[w[:5] + "*"] += 1
+        terms, counts = toxicity.terms_in(text)
+        assert sorted(counts.tolist()) == sorted(want.values())
+        for w, n in want.items():
+            one = set(toxicity.terms_in(w.rstrip("*"))[0].tolist()) if not w.endswith("*") else set(toxicity.terms_in(w[:-1] + "zz")[0].tolist()) - set(toxicity.terms_in("zz")[0].tolist())
+            assert any(t in one and c == n for t, c in zip(terms.tolist(), counts.tolist(), strict=True)), w
+        names[text] = len(terms)
+
+
 def test_toxic_words_of_few_examples_count(spark):
     rows = [(i, f"plain words{i % 4} here " + ("zork" if i < 5 else "calm"), "en", "a") for i in range(20)]
     model = toxicity.train(documents(spark, rows), spark.createDataFrame([(i, int(i < 5)) for i in range(20)], "doc_id long, toxic int"), F.lit(True))
-    assert {"zork", "calm"} <= model.vocabulary.keys()
+    assert set(toxicity.term_counts("zork calm")[0].tolist()) <= set(model.vocabulary.tolist())
     assert model.score("such a zork")[0] > 0.5 > model.score("such a calm")[0]
 
 
