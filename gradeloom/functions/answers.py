@@ -186,8 +186,13 @@ def letters(c: Column, options: Column) -> Column:
     return once(after_think(c), chosen)
 
 
-def expected_answers(question: Column) -> Column:
-    return F.greatest(F.lit(1).cast("long"), occurrences(question, "[ANS]"))
+def expected_answers(question: Column, gold: Column | None = None) -> Column:
+    """Answers that a question asks for: its blanks; without any, as many as the gold answers that aren't empty, if they are given; 1 at least."""
+    blanks = occurrences(question, "[ANS]")
+    if gold is None:
+        return F.greatest(F.lit(1).cast("long"), blanks)
+    there = F.coalesce(F.size(F.filter(gold, lambda g: F.trim(g) != "")), F.lit(0)).cast("long")
+    return F.when(blanks > 0, blanks).otherwise(F.greatest(F.lit(1).cast("long"), there))
 
 
 def _inline(question: Column, letters: str) -> Column:

@@ -71,10 +71,15 @@ def priced(rows: DataFrame, days: DataFrame, credit: bool = False) -> DataFrame:
 
 def breakdown(rows: DataFrame, *keys: str) -> DataFrame:
     """Energy and cost by key, season and period."""
-    return rows.groupBy(*keys, "season", "period").agg(F.count("*").alias("intervals"), F.round(F.sum("joules"), 1).alias("joules"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.max("rate").alias("rate"))
+    return rows.groupBy(*keys, "season", "period").agg(F.count("*").alias("intervals"), F.round(F.sum("joules"), 1).alias("joules"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.min_by("rate", "middle").alias("rate"))
 
 
 def summary(rows: DataFrame, *keys: str) -> DataFrame:
     """Seconds, kWh, cost and average watts (by time) of each series."""
     joules, seconds = F.sum("joules"), F.sum("seconds")
     return rows.groupBy(*keys).agg(F.round(seconds, 3).alias("seconds"), F.round(F.sum("kwh"), 6).alias("kwh"), F.round(F.sum("cost"), 6).alias("cost_usd"), F.round(F.coalesce(F.try_divide(joules, seconds), F.lit(0.0)), 3).alias("average_watts"))
+
+
+def components(samples: DataFrame, key: str, kind: str, value: str, names: list[str]) -> DataFrame:
+    """Average watts of each series, over all and by component."""
+    return samples.groupBy(key).agg(F.round(F.avg(value), 4).alias("watts"), *(F.round(F.avg(F.when(F.col(kind) == n, F.col(value))), 4).alias(f"watts_{n}") for n in names))

@@ -12,12 +12,12 @@ import math
 import random
 import re
 
-TOKEN = re.compile(r"\s*(?:(\d+\.\d*|\.\d+|\d+)|\\?(arcsin|arccos|arctan|arccot|arcsec|arccsc|sinh|cosh|tanh|coth|sech|csch|sin|cos|tan|cot|sec|csc|log|ln|exp|sqrt|frac|cdot|times|div|pi|infty|left|right|alpha|beta|gamma|delta|theta|lambda|mu|sigma|phi|omega)(?![a-z])|\\([,;!: ])|(\*\*|[-+*/^(){}\[\]|_!])|([A-Za-z]))")
+TOKEN = re.compile(r"\s*(?:(\d+\.\d*|\.\d+|\d+)|\\?(abs|arcsin|arccos|arctan|arccot|arcsec|arccsc|sinh|cosh|tanh|coth|sech|csch|sin|cos|tan|cot|sec|csc|log|ln|exp|sqrt|frac|cdot|times|div|pi|infty|left|right|alpha|beta|gamma|delta|theta|lambda|mu|sigma|phi|omega)(?![a-z])|\\([,;!: ])|(\*\*|[-+*/^(){}\[\]|_!])|([A-Za-z]))")
 _UNARY = {
     "sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "cot": lambda x: 1 / cmath.tan(x), "sec": lambda x: 1 / cmath.cos(x), "csc": lambda x: 1 / cmath.sin(x),
     "sinh": cmath.sinh, "cosh": cmath.cosh, "tanh": cmath.tanh, "coth": lambda x: 1 / cmath.tanh(x), "sech": lambda x: 1 / cmath.cosh(x), "csch": lambda x: 1 / cmath.sinh(x),
     "arcsin": cmath.asin, "arccos": cmath.acos, "arctan": cmath.atan, "arccot": lambda x: cmath.atan(1 / x), "arcsec": lambda x: cmath.acos(1 / x), "arccsc": lambda x: cmath.asin(1 / x),
-    "ln": cmath.log, "log": cmath.log, "exp": cmath.exp,
+    "ln": cmath.log, "log": cmath.log, "exp": cmath.exp, "abs": lambda x: complex(abs(x)),
 }
 
 
@@ -209,19 +209,24 @@ def close(a: complex, b: complex, relative: float = 1e-8) -> bool:
     return abs(a - b) <= relative * 1.01 * max(abs(b), 1e-12) or (abs(b) < 1e-12 and abs(a) < 1e-9)
 
 
-def same(a: str, b: str, relative: float = 1e-8) -> bool:
-    """Whether two expressions agree wherever both are defined, at one sample point or more."""
-    points = points_for(a, b)
+def together(a: str, b: str) -> list[tuple[complex, complex]]:
+    """Values of two expressions at sample points where both are defined; if both are real at some, those points alone, which are in both domains."""
+    points = points_for(a, b, count=24)
     pairs = [(x, y) for x, y in zip(values(a, points), values(b, points), strict=True) if x is not None and y is not None]
+    real = [(x, y) for x, y in pairs if abs(x.imag) <= 1e-12 * max(1.0, abs(x)) and abs(y.imag) <= 1e-12 * max(1.0, abs(y))]
+    return real or pairs
+
+
+def same(a: str, b: str, relative: float = 1e-8) -> bool:
+    """Whether two expressions agree wherever both are defined, and real if they can be, at one sample point or more."""
+    pairs = together(a, b)
     return bool(pairs) and all(close(x, y, relative) for x, y in pairs)
 
 
 def same_equation(a: str, b: str) -> bool:
     """Whether two equations are the same up to a whole factor."""
     (la, ra), (lb, rb) = a.split("="), b.split("=")
-    left, right = f"({la})-({ra})", f"({lb})-({rb})"
-    points = points_for(left, right)
-    pairs = [(x, y) for x, y in zip(values(left, points), values(right, points), strict=True) if x is not None and y is not None]
+    pairs = together(f"({la})-({ra})", f"({lb})-({rb})")
     if not pairs:
         return False
     if all(close(x, y) for x, y in pairs):

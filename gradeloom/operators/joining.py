@@ -43,6 +43,15 @@ def routed(base: DataFrame, other: DataFrame, key: str, to_other: Column, value:
     return joined.select(*(c for c in base.columns if c != value), F.when(use, F.col("__v")).otherwise(F.col(value)).alias(value), F.when(use, names[1]).otherwise(names[0]).alias("source"))
 
 
+def merged(order: DataFrame, key: str, **sources: DataFrame) -> DataFrame:
+    """Rows of several tables, ``source`` naming each one's, in the places of ``order`` (key, position); of a key in several the first named counts."""
+    ranked = None
+    for i, (name, rows) in enumerate(sources.items()):
+        one = rows.withColumns({"source": F.lit(name), "__p": F.lit(i)})
+        ranked = one if ranked is None else ranked.unionByName(one, allowMissingColumns=True)
+    return latest(ranked, [key], F.asc("__p")).drop("__p").join(order, key)
+
+
 def latest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row a key: the first in ``order``. Each task keeps its first row of a key before rows move, so a hot key is a row a task."""
     rest = [c for c in rows.columns if c not in keys]

@@ -138,3 +138,16 @@ def by_source(rows: DataFrame, source: str, key: str, quota: dict[str, int], see
 def part_numbers(rows: DataFrame, key: str, size: int) -> DataFrame:
     """``part``: consecutive parts of ``size`` rows in the order of a unique key, however its values lie."""
     return running(rows, [], [key], name="part").withColumn("part", F.floor(F.col("part") / size).cast("long"))
+
+
+def first_rows(rows: DataFrame, order: list[str], key: str, count: int, seed: int) -> DataFrame:
+    """The first ``count`` rows in an order without ties, with their ``position``, from 1, in a shuffled one. Errors if there are fewer."""
+    out = rows.orderBy(*order).limit(count)
+    if (n := out.count()) < count:
+        raise ValueError(f"{count} rows wanted, {n} there")
+    return numbered(out, [], key, seed)
+
+
+def systematic(values: Column, step: Column, count: int) -> Column:
+    """Every ``step``-th element of an array from the first on, at most ``count``."""
+    return F.slice(F.filter(values, lambda x, i: i % step == 0), F.lit(1), F.lit(count))

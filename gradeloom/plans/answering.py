@@ -8,8 +8,11 @@ from ..functions import answers as A
 from ..functions import corpus as C
 from ..functions import prompts as P
 from ..operators import grading as G
+from ..operators import energy as E
+from ..operators import joining as J
 from ..operators import judging, repairing
 from ..operators import scoring as S
+from ..operators import splitting as P_
 from . import recipes as R
 from .registry import query, table
 
@@ -157,3 +160,59 @@ def correctness_reward(spark, d):
     question = F.when(F.col("p_partkey") % 5 == 1, "Pick A. one B. two").otherwise("Find it")
     rows = table(spark, d, "part").select("p_partkey", G.correctness(F.expr(_REWARDED["response"]), question, F.array().cast("array<string>"), F.array(F.expr(_REWARDED["gold"]))).alias("reward"))
     return rows
+
+
+_CHOICE = {"response": R.case("doc_id % 4", "'The answer is b.'", R.box("'c'"), R.box("doc_id"), "'no idea'"), "gold": R.case("doc_id % 3", "'B'", "'C'", "CAST(doc_id AS STRING)")}
+
+
+@query("scored_rows", rf"""
+WITH q AS (SELECT doc_id, {_CHOICE['response']} AS r, {_CHOICE['gold']} AS g FROM documents),
+l AS (SELECT *, {R.last_box('r')} AS box, CASE WHEN regexp_matches({R.last_box('r')}, '^[a-z]$') THEN upper({R.last_box('r')}) WHEN regexp_matches(r, 'is b') THEN 'B' ELSE '' END AS letter FROM q)
+SELECT doc_id, CASE WHEN regexp_matches(g, '^[A-Z]$') AND letter <> '' THEN letter = g WHEN contains(r, 'is b') THEN lower(g) = 'b' ELSE box = g AND g NOT IN ('0', '1') OR (box = g AND g IN ('0', '1')) END AS ok FROM l""")
+def scored_rows(spark, d):
+    options = F.array(*map(F.lit, ("p", "q", "r")))
+    rows = table(spark, d, "documents").select("doc_id", F.expr(_CHOICE["response"]).alias("r"), F.array(F.expr(_CHOICE["gold"])).alias("g"))
+    return rows.select("doc_id", judging.scored(F.col("r"), F.col("g"), options, A.letters(F.col("r"), options)).alias("ok"))
+
+
+@query("ordered_runs", """
+WITH r AS (SELECT lang AS type, source AS config, count(*) AS n, avg(CAST(quality AS DOUBLE)) AS acc FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+SELECT type, config, n, round(acc, 6) AS accuracy, row_number() OVER (ORDER BY type, acc DESC, config) AS place FROM r""")
+def ordered_runs(spark, d):
+    from pyspark.sql import Window
+
+    joined = table(spark, d, "documents").select("doc_id", F.col("lang").alias("type"), F.col("source").alias("config")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+    runs = joined.groupBy("type", "config").agg(F.count("*").alias("n"), F.avg("quality").alias("acc"))
+    place = F.row_number().over(Window.orderBy("type", F.desc("acc"), "config")).cast("long")  # one row a run
+    return runs.select("type", "config", "n", F.round("acc", 6).alias("accuracy"), place.alias("place"))
+
+
+@query("expected_with_gold", f"""
+WITH q AS (SELECT doc_id, {R.count(f"({_ITEM['question']})", '[ANS]')} AS blanks, string_split(CASE WHEN doc_id % 2 = 0 THEN '1|2|' ELSE '' END, '|') AS g FROM documents)
+SELECT doc_id, CASE WHEN blanks > 0 THEN blanks ELSE greatest(CAST(1 AS BIGINT), CAST(len(list_filter(g, lambda x: x <> '')) AS BIGINT)) END AS expected FROM q""")
+def expected_with_gold(spark, d):
+    gold = F.split(F.when(F.col("doc_id") % 2 == 0, "1|2|").otherwise(""), r"\|")
+    return table(spark, d, "documents").select("doc_id", A.expected_answers(F.expr(_ITEM["question"]), gold).alias("expected"))
+
+
+@query("merged_sources", """
+WITH u AS (SELECT o_orderkey AS id, o_orderstatus AS response, 'base' AS source, 0 AS p FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_orderpriority, 'other', 1 FROM orders WHERE o_orderkey % 2 = 0)
+SELECT id, response, source, -id AS position FROM u QUALIFY row_number() OVER (PARTITION BY id ORDER BY p) = 1""")
+def merged_sources(spark, d):
+    orders = table(spark, d, "orders").withColumn("id", F.col("o_orderkey"))
+    base = orders.filter("id % 3 <> 0").select("id", F.col("o_orderstatus").alias("response"))
+    other = orders.filter("id % 2 = 0").select("id", F.col("o_orderpriority").alias("response"))
+    return J.merged(orders.select("id", (-F.col("id")).alias("position")), "id", base=base, other=other)
+
+
+@query("first_shuffled", """
+WITH f AS (SELECT doc_id, lang FROM documents WHERE lang = 'en' ORDER BY doc_id LIMIT 50)
+SELECT doc_id, lang, row_number() OVER (ORDER BY md5('5:' || doc_id), doc_id) AS position FROM f""")
+def first_shuffled(spark, d):
+    # The first fifty rows in file order are the operator's own limit.
+    return P_.first_rows(table(spark, d, "documents").filter("lang = 'en'").select("doc_id", "lang"), ["doc_id"], "doc_id", 50, 5)
+
+
+@query("component_watts", "SELECT user_id, round(avg(value), 4) AS watts, round(avg(value) FILTER (WHERE event_type = 'click'), 4) AS watts_click, round(avg(value) FILTER (WHERE event_type = 'view'), 4) AS watts_view FROM events GROUP BY user_id")
+def component_watts(spark, d):
+    return E.components(table(spark, d, "events"), "user_id", "event_type", "value", ["click", "view"])

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+import warnings
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.splitting import ranges
+
 
 class BadRows(ValueError):
     """Rows that a strict reader refuses."""
@@ -122,3 +131,75 @@ def by_precedence(key: str, *tables: DataFrame) -> DataFrame:
     """A row a key, from the first table that has it."""
     ranked = union_of(*(t.withColumn("__p", F.lit(i)) for i, t in enumerate(tables)))
     return ranked.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("__p"))).filter("__n = 1").drop("__p", "__n")
+
+
+def fan_in(spark: SparkSession, paths: list[str], schema: T.StructType, most: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
+    """Rows of files of several formats, with ``source_file``, up to ``most`` of them; and why some files are left out, of which a warning tells too."""
+    tables, skipped = [], {}
+    for path in paths:
+        try:
+            rows = any_table(spark, path, schema)
+            if not exists(spark, path):
+                raise FileNotFoundError(path)
+            tables.append(rows.withColumn("source_file", F.lit(path)))
+        except (PySparkException, ValueError, OSError) as error:
+            skipped[path] = type(error).__name__
+            warnings.warn(f"left out {path}: {type(error).__name__}", stacklevel=2)
+    if not tables:
+        return None, skipped
+    out = union_of(*tables)
+    return (out.limit(most) if most is not None else out), skipped
+
+
+def train_and_eval(train: DataFrame, held: DataFrame | None = None, size: int = 0, key: str = "id", seed: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Rows to train and to evaluate on: a table of its own if there is one, else ``size`` rows of the training table by their shuffled order, else none."""
+    if held is not None or size <= 0:
+        return train, held
+    if train.limit(size + 1).count() <= size:
+        raise ValueError(f"{size} rows for evaluation must be fewer than there are")
+    parts = ranges(train, key, seed, eval=size)
+    return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'eval'").drop("split")
+
+
+#: Number formats of tensor files.
+NUMBERS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "<i1", "U8": "<u1", "BF16": "<u2"}
+TENSOR = "path string, key string, kind string, shape array<bigint>, part bigint, numbers array<double>"
+
+
+def tensors(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
+    """Tensors of files with a JSON header behind its length: a row for each ``block`` numbers of a tensor. Numbers of a format not known are left out: null."""
+    files_ = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for name, content in zip(part["path"], part["content"], strict=True):
+                size = int.from_bytes(content[:8], "little")
+                for key, t in json.loads(content[8 : 8 + size]).items():
+                    if key == "__metadata__":
+                        continue
+                    start, end = (8 + size + x for x in t["data_offsets"])
+                    values = None
+                    if t["dtype"] in NUMBERS:
+                        values = np.frombuffer(content[start:end], NUMBERS[t["dtype"]])
+                        values = (values.astype(np.uint32) << 16).view(np.float32) if t["dtype"] == "BF16" else values
+                    for at in range(0, 1 if values is None else max(1, len(values)), block):
+                        yield pd.DataFrame({"path": [name], "key": [key], "kind": [t["dtype"]], "shape": [t["shape"]], "part": [at // block], "numbers": [None if values is None else values[at : at + block].astype(float)]})
+
+    return files_.mapInPandas(rows, TENSOR)
+
+
+#: What a sensor reports: at a time, a component's watts, or the state of its energy counter in millionths of a joule.
+SENSORS = "at timestamp, component string, watts double, microjoules double"
+
+
+def sensors(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """Readings of sensors from CSV files with a header, as a table or as they come."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(SENSORS).option("header", True).csv(folder)
+
+
+def as_column(value: object) -> Column:
+    """A column as it is, or one value for every row: arguments that are given once or row by row."""
+    if isinstance(value, Column):
+        return value
+    return F.array(*map(F.lit, value)) if isinstance(value, (list, tuple)) else F.lit(value)

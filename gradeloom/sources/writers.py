@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joining import require
+from . import readers
 
 
 def jsonl(rows: DataFrame, path: str) -> None:
@@ -19,8 +20,14 @@ def submission(rows: DataFrame, order: DataFrame, path: str, key: str = "id", po
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """A ledger: rows added to what is there."""
-    rows.write.mode("append").option("header", True).csv(path)
+    """A ledger: rows added to what is there, as one file each time; only the first has a header, so that the files one after another are one CSV."""
+    first = not readers.exists(rows.sparkSession, f"{path}/*.csv")
+    rows.coalesce(1).write.mode("append").option("header", first).csv(path)
+
+
+def copied(spark: SparkSession, source: str, target: str) -> None:
+    """A Parquet table written again, unchanged."""
+    spark.read.parquet(source).write.mode("overwrite").parquet(target)
 
 
 def parts(rows: DataFrame, path: str, part: str = "part") -> None:

@@ -263,3 +263,16 @@ def test_phrases_of_many_lengths_and_hot_openings(spark):
     plain = lambda t: f" {' '.join(t.split())} "
     want = {(j, i) for i, t in texts for j, x in items if x.split() and plain(x) in plain(t)}
     assert {(r.item, r.id) for r in got.collect()} == want and len(got.collect()) == len(want)
+
+
+@pytest.mark.parametrize(
+    "box, gold, ok",
+    [
+        ("3", ["3"], True), ("yes", ["1"], True), ("(1,2)", ["(2,1)"], True), ("BC", ["CB"], True), ("abc", [""], True), ("1,2", ["1"], False), ("[2,3)", ["[2,4)"], False),
+        ("0.333333333", ["1/3"], True), ("Paris", ["paris"], True), ("\\ln(x^2)", ["2\\ln(x)"], True), ("abs(x)", ["\\sqrt{x^2}"], True), ("abs(x)", ["x+1"], False), ("[2,3]", ["[2,3)"], True), ("x+1", ["1+x"], True), ("\\sqrt{x^2}", ["x"], False), ("2y+1=4x", ["y+0.5=2x"], True),
+    ],
+)
+def test_judge_pairs(box, gold, ok):
+    from gradeloom.operators import judging
+
+    assert judging.judge(f"so \\boxed{{{box}}}", gold) is ok

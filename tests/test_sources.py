@@ -107,3 +107,60 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     got = spark.read.schema(closed.schema).parquet(str(tmp_path / "out2")).collect()
     assert got and all(batch[r.window_start, r.event_type] >= r.n for r in got)
+
+
+def test_fan_in_leaves_out_what_can_t_be_read(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from gradeloom.sources import readers
+
+    kinds = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], kinds)
+    rows.write.json(str(tmp_path / "a.jsonl"))
+    rows.write.parquet(str(tmp_path / "b.parquet"))
+    with pytest.warns(UserWarning):
+        got, skipped = readers.fan_in(spark, [str(tmp_path / n) for n in ("a.jsonl", "b.parquet", "c.parquet", "d.txt")], kinds)
+    assert got.count() == 4 and {p.rsplit("/", 1)[-1] for p in skipped} == {"c.parquet", "d.txt"}
+    assert readers.fan_in(spark, [str(tmp_path / "a.jsonl")], kinds, 1)[0].count() == 1
+
+
+def test_train_and_eval(spark):
+    from gradeloom.sources import readers
+
+    rows = spark.range(50)
+    train, held = readers.train_and_eval(rows, size=10, seed=3)
+    assert (train.count(), held.count(), train.join(held, "id").count()) == (40, 10, 0)
+    assert readers.train_and_eval(rows)[1] is None and readers.train_and_eval(rows, rows)[1] is rows
+    with pytest.raises(ValueError):
+        readers.train_and_eval(rows, size=50)
+
+
+def test_tensors(spark, tmp_path):
+    import json
+
+    import numpy as np
+
+    from gradeloom.sources import readers
+
+    a, b = np.arange(6, dtype="<f4"), np.array([1.5, -2.0], "<f4")
+    bf = (b.view(np.uint32) >> 16).astype("<u2")
+    head = json.dumps({"__metadata__": {}, "a": {"dtype": "F32", "shape": [2, 3], "data_offsets": [0, 24]}, "b": {"dtype": "BF16", "shape": [2], "data_offsets": [24, 28]}, "c": {"dtype": "F8", "shape": [0], "data_offsets": [28, 28]}}).encode()
+    (tmp_path / "t.safetensors").write_bytes(len(head).to_bytes(8, "little") + head + a.tobytes() + bf.tobytes())
+    got = {(r.key, r.part): (r.numbers, r.shape) for r in readers.tensors(spark, str(tmp_path), 4).collect()}
+    assert got == {("a", 0): ([0.0, 1.0, 2.0, 3.0], [2, 3]), ("a", 1): ([4.0, 5.0], [2, 3]), ("b", 0): ([1.5, -2.0], [2]), ("c", 0): (None, [0])}
+
+
+def test_ledgers_are_one_table(spark, tmp_path):
+    from gradeloom.sources import readers, writers
+
+    path = str(tmp_path / "ledger")
+    for i in range(3):
+        writers.append(spark.createDataFrame([(i, f"run {i}")], "n long, name string"), path)
+    lines = sorted(r.value for r in spark.read.text(path).collect())
+    assert lines == ["0,run 0", "1,run 1", "2,run 2", "n,name"]
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "x.csv").write_text("at,component,watts,microjoules\n2024-01-01 00:00:00,gpu,5.5,\n")
+    assert readers.sensors(spark, str(tmp_path / "s")).first().watts == 5.5 and readers.sensors(spark, str(tmp_path / "s"), stream=True).isStreaming
+    assert spark.range(1).select(readers.as_column(3).alias("a"), readers.as_column([1, 2]).alias("b"), readers.as_column(F.col("id")).alias("c")).first() == (3, [1, 2], 0)
+    writers.copied(spark, "/root/testdata/sf0.001/nation.parquet", str(tmp_path / "copy"))
+    assert spark.read.parquet(str(tmp_path / "copy")).count() == 25
