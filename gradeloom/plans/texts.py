@@ -27,6 +27,12 @@ def word_count(spark, d):
     return table(spark, d, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"))
 
 
+@query("token_estimates", "SELECT doc_id, md5(right(text, 40)) AS tail_md5, greatest(CAST(1 AS BIGINT), CAST(length(text) // 4 AS BIGINT)) AS tokens FROM documents")
+def token_estimates(spark, d):
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", F.md5(X.tail_chars(text, 10).cast("binary")).alias("tail_md5"), X.token_estimate(text).alias("tokens"))
+
+
 @query("length_stats", "SELECT lang, count(*) AS n, round(avg(length(text)), 4) AS avg_chars, CAST(max(length(text)) AS BIGINT) AS max_chars, round(avg(len(regexp_extract_all(text, '\\S+'))), 4) AS avg_words FROM documents GROUP BY lang")
 def length_stats(spark, d):
     n = F.length("text")
