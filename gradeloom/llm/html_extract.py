@@ -6,8 +6,9 @@ with the largest sum: the content region. What lies outside it is dropped for no
 
 A word's features are the kind of element it stands in (paragraph, heading, item, cell, link in one of these, bare text, and whether an element that
 holds main text is around it) and, if an element around it is marked as boilerplate by its name, class, id or role, that mark, whose log-odds
-are added. Names of classes only shift weights: a class counts as a mark if all of its parts are words of boilerplate or of layout, at least one
-of boilerplate, so "form-factor" and "has-sidebar" are none.
+are added. Names of classes only shift weights: a class counts as a mark if its last part is a word of boilerplate, or if all of its parts are words of
+boilerplate or of layout and one of boilerplate is among them; not if it begins with "has", "no" or the like. So "user-comments" is one, and
+"form-factor" and "has-sidebar" are none. An element with a class of content isn't marked by its other classes.
 
 Gaps: an element so marked whose own sum is below 0 and that stands within an element that holds main text (an article, a main part, a class of
 content, or the element with the most words in paragraphs of its own) is an island in the run: its tokens count 0 in the scan, so that the
@@ -52,9 +53,11 @@ KINDS = {"p": "flow", "pre": "flow", "blockquote": "flow", "figcaption": "flow",
 MARKED = frozenset("head title nav footer aside form button input label option menu dialog canvas audio video".split())
 #: Words of a class, id or role that mark boilerplate, and words of layout that may stand beside them.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent cookie cookies copyright disqus footer form login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion promos reaction reactions reader recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo alert".split())
-LAYOUT = frozenset("area bar block body bottom box button buttons center col column container content fixed global group header holder inner item items label left line link links list main module outer page panel post posts primary right row secondary section site slot text title top unit wrap wrapper".split())
+LAYOUT = frozenset("area bar block body bottom box button buttons center col column container content count cta feed fixed global group header holder inner item items label left line link links list main module outer page panel post posts primary right row secondary section site slot text this thread title top unit us wrap wrapper".split())
+#: First parts with which a class says what an element has or lacks, not what it is.
+SAYS = frozenset("has hide is no show with without".split())
 #: Words in class, id, role or itemprop of elements that hold the main text, as article and main do.
-CONTENT_WORDS = frozenset("article articlebody content entry entry-content main post post-content story".split())
+CONTENT_WORDS = frozenset("article article-body article-content articlebody content entry entry-content main main-content page-content post post-body post-content story story-body".split())
 #: Elements that an opening tag of a block closes, if the nearest open block is one of them.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
@@ -65,18 +68,21 @@ def names(attributes: str) -> list[str]:
 
 
 def marks(name: str) -> bool:
-    """Whether a class is one of boilerplate: all its parts are words of boilerplate or layout (or numbers), at least one of boilerplate."""
+    """Whether a class is one of boilerplate, see above; numbers among its parts don't count."""
     parts = [p for p in re.split(r"[-_]+", name) if p and not p.isdigit()]
-    return any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT for p in parts)
+    if not parts or (len(parts) > 1 and parts[0] in SAYS):
+        return False
+    return parts[-1] in MARKS or (any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT for p in parts))
 
 
 def marked(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element's name or attributes mark it as boilerplate; a header is one outside an article or a main part."""
+    """Whether an element's name or attributes mark it as boilerplate; a header is one outside elements that hold main text."""
     if tag in MARKED or (tag == "header" and not in_main):
         return True
     if not attributes or tag in ("html", "body", "main"):
         return False
-    return bool(_HIDDEN.search(attributes)) or any(marks(n) for n in names(attributes))
+    own = names(attributes)
+    return bool(_HIDDEN.search(attributes)) or (any(map(marks, own)) and CONTENT_WORDS.isdisjoint(own))
 
 
 def holds_content(tag: str, attributes: str) -> bool:
@@ -173,7 +179,7 @@ class Page:
                 if stack[top][0] in shut:
                     close(top)
             item = len(self.text)
-            mark = marked(tag, attributes, mains > 0)
+            mark = marked(tag, attributes, mains > 0 or holders > 0)
             # A page inside one large form, as some servers write them: an article or main part of its own ends the mark.
             if tag in ("article", "main") and out and not mark and all(e[0] == "form" for e in stack if e[4]):
                 out, island = 0, None

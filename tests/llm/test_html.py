@@ -54,6 +54,9 @@ WORDS = "these are the words of a paragraph that is long enough"
         (f'<article class="has-sidebar"><p>{WORDS}</p><p class="notice">we note</p><p>last</p></article>', f"{WORDS}\nlast"),
         (f'<body><div class="menu"><a>a</a> <a>b</a></div><h1>Heading one</h1><p>{WORDS}</p><div class="ad">' + "buy " * 60 + f"</div><p>{WORDS}</p><div class='footer'>all rights</div></body>", f"Heading one\n{WORDS}\n{WORDS}"),
         (f"<body><div><a>m</a></div><div><div><h1>Heading</h1><p>{WORDS}</p><p>{WORDS}</p></div><div><p>{WORDS}</p></div></div><div><a>m</a></div></body>", f"Heading\n{WORDS}\n{WORDS}\n{WORDS}"),
+        (f'<div class="gdpr-notice"><p>{WORDS}</p></div><article><p>{WORDS}</p></article><div class="user-comments"><p>{WORDS}</p></div><div class="blog-sidebar"><p>{WORDS}</p></div>', WORDS),
+        (f'<nav><a>m</a></nav><div class="main-content sidebar-right"><h1>Title</h1><p>{WORDS}</p></div>', f"Title\n{WORDS}"),
+        (f'<header>site</header><div class="content"><header><h1>Big title</h1></header><p>{WORDS}</p></div>', f"Big title\n{WORDS}"),
         (f"<form id=aspnet><nav><a>m</a></nav><main><h1>T</h1><p>{WORDS}</p></main></form>", f"T\n{WORDS}"),
         (f"<article><p>{WORDS}</p></article><section class=comments><article class=comment><p>{WORDS}</p></article></section>", WORDS),
         (f"<article><p>{WORDS} <a href=x>see this</a></p><p><a href=y>only a link</a></p><p>end</p></article>", f"{WORDS} see this\nonly a link\nend"),
