@@ -83,6 +83,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def matched(rows: DataFrame, values: DataFrame, key: str, parts: int = 1_000) -> DataFrame:
+    """``rows`` with the other columns of ``values`` (at most a row a key), null where it has none.
+
+    A key that holds at least a ``parts``-th of all rows is joined by broadcast: there are at most ``parts`` such keys, whatever the input. The other
+    keys are too small to fill a task and are shuffled; rows with a null key, however many, match nothing and stay where they are. ``rows`` is read several times.
+    """
+    there = rows.filter(F.col(key).isNotNull())
+    sizes = there.groupBy(key).agg(F.count("*").alias("__n")).filter("__n > 1")
+    total = rows.agg(F.count("*").alias("__all"))
+    hot = sizes.filter(F.col("__n") * parts >= total.first()[0]).select(key)  # at most ``parts`` rows
+    new = [c for c in values.columns if c != key]
+    cold = there.join(F.broadcast(hot), key, "left_anti").join(values, key, "left")
+    few = F.broadcast(values.join(F.broadcast(hot), key, "left_semi"))
+    warm = there.join(F.broadcast(hot), key, "left_semi").join(few, key, "left")
+    none = rows.filter(F.col(key).isNull()).select("*", *(F.lit(None).cast(values.schema[c].dataType).alias(c) for c in new))
+    return cold.unionByName(warm).unionByName(none)
+
+
 def crc_fold(doc_id: str | Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id, F.lit("")).cast("binary")) % folds
