@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, brown_lm, conversation_repair, filter_audit, fingerprints, html_extract, jaccard, langid, mixing, sharding, topk, toxicity
+from . import bpe, brown_lm, conversation_repair, filter_audit, fingerprints, html_extract, jaccard, langid, mixing, quality_gam, sharding, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": sharding.op8,
     "op9_bpe": bpe.op9,
     "op10_mixing": mixing.op10,
+    "op11_quality_gam": quality_gam.op11,
     "op12_conversation_repair": conversation_repair.op12,
     "op13_filter_audit": filter_audit.op13,
 }
