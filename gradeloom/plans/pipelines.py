@@ -85,6 +85,31 @@ def judge_equal(spark, d):
     return table(spark, d, "part").select("p_partkey", judging.judged(F.expr(f"'so ' || {R.box(_SAID['boxed'])}"), F.array(F.expr(_GOLD))).alias("ok"))
 
 
+#: Pairs of expressions in one or two symbols; what is added on the right is a whole number, a thousand-millionth or nothing.
+_A, _B, _D = "(1 + l_partkey % 17)", "(2 + l_suppkey % 11)", "CASE l_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '+' || (1 + l_linenumber) ELSE '+0.000000001' END"
+_PAIRS = (
+    (f"'(x+' || {_A} || ')(x-' || {_B} || ')'", f"'x^2+' || {_A} || 'x-' || {_B} || 'x-' || ({_A} * {_B})"),
+    (f"chr(92) || 'frac{{{{x^2-' || ({_A} * {_A}) || '}}}}{{{{x-' || {_A} || '}}}}'", f"'x+' || {_A}"),
+    (f"'(x+' || {_A} || 'y)^3'", f"'x^3+' || (3 * {_A}) || 'x^2y+' || (3 * {_A} * {_A}) || 'xy^2+' || ({_A} * {_A} * {_A}) || 'y^3'"),
+    (f"chr(92) || 'frac{{{{1}}}}{{{{x+' || {_A} || '}}}}+' || chr(92) || 'frac{{{{1}}}}{{{{x-' || {_A} || '}}}}'", f"chr(92) || 'frac{{{{2x}}}}{{{{x^2-' || ({_A} * {_A}) || '}}}}'"),
+    (f"'10^{{{{12}}}}x+' || {_A}", f"'1000000000000x+' || {_A}"),
+)
+_LEFT, _RIGHT = (R.case("l_linenumber % 5", *(p[i].replace("{{{{", "{").replace("}}}}", "}") for p in _PAIRS)) for i in (0, 1))
+
+
+@query("expression_identity", rf"""
+WITH q AS (SELECT l_orderkey, l_linenumber, l_linenumber % 5 AS family, {_LEFT} AS a, ({_RIGHT}) || {_D} AS b FROM lineitem),
+-- Whole numbers of both sides; the last of the right, if it is more than the family has, is what was added.
+n AS (SELECT *, list_transform(regexp_extract_all(a, '\d+'), lambda x: CAST(x AS BIGINT)) AS p, list_transform(regexp_extract_all(regexp_replace(b, '\+0\.0+1$', ''), '\d+'), lambda x: CAST(x AS BIGINT)) AS g, regexp_matches(b, '\+0\.0+1$') AS tiny FROM q),
+-- Coefficients that each side has when it is multiplied out, by family.
+c AS (SELECT *, CASE family WHEN 0 THEN g[1] = 2 AND g[2] - g[3] = p[1] - p[2] AND coalesce(g[5], 0) - g[4] = -p[1] * p[2] WHEN 1 THEN g[1] + coalesce(g[2], 0) = p[3] AND p[2] = p[3] * p[3] WHEN 2 THEN g[2] = 3 * p[1] AND g[4] = 3 * p[1] * p[1] AND g[6] = p[1] ** 3 AND len(g) = 7
+  WHEN 3 THEN g[1] = 2 AND g[3] = p[2] * p[4] AND len(g) = 3 ELSE g[1] = 10 ** p[2] AND g[2] + coalesce(g[3], 0) = p[3] END AS whole FROM n)
+SELECT l_orderkey, l_linenumber, CASE WHEN NOT whole THEN 'different' WHEN tiny THEN 'near' ELSE 'identical' END AS sameness FROM c""")
+def expression_identity(spark, d):
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(_LEFT).alias("a"), F.expr(f"({_RIGHT}) || {_D}").alias("b"))
+    return rows.select("l_orderkey", "l_linenumber", judging.compared("a", "b").alias("sameness"))
+
+
 _OWN = f"CASE o_orderkey % 3 WHEN 0 THEN '1, ' || o_orderkey WHEN 1 THEN '(1, ' || o_orderkey || ')' ELSE chr(92) || 'frac{{' || o_orderkey || '}}{{7}}' END"
 
 
