@@ -7,6 +7,7 @@ whatever their names, never meet an operator's own columns.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import re
@@ -54,27 +55,31 @@ def shared_folder(spark: SparkSession) -> str:
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written once, compressed, to the shared folder and read back: lineage ends there and lost executors cost nothing.
 
-    Rows and values are kept; their partitioning isn't.
+    Rows and values are kept; their partitioning isn't. Within ``passing`` the table goes when that block ends, else it stays.
     """
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    _written.append(path)
+    if (own := _own.get()) is not None:
+        own.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-_written: list[str] = []
+#: Tables of the innermost block of this thread.
+_own: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables of a block", default=None)
 
 
-def release(spark: SparkSession, since: int = 0) -> None:
-    """Deletes what ``durable`` has written in this process, from the ``since``-th table on; for callers whose results are safely written elsewhere."""
-    while len(_written) > since:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def written() -> int:
-    """How many tables ``durable`` has written that aren't deleted yet."""
-    return len(_written)
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """A block whose results are safely written elsewhere before it ends: what ``durable`` writes in it, in this thread, is deleted then; nothing of anyone else's is."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

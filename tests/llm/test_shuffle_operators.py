@@ -557,16 +557,28 @@ def test_hot_source_by_join_and_by_broadcast(spark, monkeypatch, few):
     assert len(got) == 300 and total == pytest.approx(next(r.target for r in got if r.source_size > 6), abs=8)
 
 
-def test_release_deletes_what_was_written(spark):
+def test_a_block_deletes_what_was_written_in_it_and_nothing_else(spark):
     import os
+    import threading
 
     from gradeloom.llm import shared
 
-    kept = shared.durable(spark.range(3))
-    assert kept.count() == 3
-    paths = list(shared._written)
-    shared.release(spark)
-    assert paths and not any(os.path.exists(p.removeprefix("file:")) for p in paths)
+    before = shared.durable(spark.range(2))
+    other = []
+    with shared.passing(spark) as own:
+        kept = shared.durable(spark.range(3))
+        assert kept.count() == 3
+        with shared.passing(spark) as inner:
+            shared.durable(spark.range(5))
+        thread = threading.Thread(target=lambda: other.append(shared.durable(spark.range(4))))
+        thread.start()
+        thread.join()
+    assert len(own) == len(inner) == 1 and not any(os.path.exists(p.removeprefix("file:")) for p in own + inner)
+    assert before.count() == 2 and other[0].count() == 4
+    with pytest.raises(RuntimeError), shared.passing(spark) as own:
+        shared.durable(spark.range(1))
+        raise RuntimeError
+    assert not os.path.exists(own[0].removeprefix("file:"))
 
 
 def test_hot_copies_are_one_row_of_a_sample(spark):
