@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import bpe, jaccard, langid, mixing, toxicity
-from gradeloom.llm.shared import crc_fold, release, shared_folder, written
+from gradeloom.llm.shared import crc_fold, passing, shared_folder
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,14 +65,14 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for i, (name, stage) in enumerate(STAGES):
-        mark = written()
-        result = stage(spark, docs, sf_dir)
         if i == len(STAGES) - 1:
+            result = stage(spark, docs, sf_dir)
             return result.select("doc_id", "lang", "source", "n_tokens", "ids_sha256", "decoded_sha256", F.length("ids").alias("n_bytes"))
         path = f"{folder}/{i}-{name}"
-        result.write.option("compression", "zstd").parquet(path)
+        with passing(spark):
+            result = stage(spark, docs, sf_dir)
+            result.write.option("compression", "zstd").parquet(path)
         docs = spark.read.schema(result.schema).parquet(path)
-        release(spark, mark)
         if before:
             _delete(spark, before)
         before = path

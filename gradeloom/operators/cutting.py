@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +29,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-_written: list[str] = []
+#: Tables of the innermost block of this thread.
+_own: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("tables of a block", default=None)
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` as Parquet in the shared folder. Lost executors cost nothing that was written."""
+    """``rows`` as Parquet in the shared folder. Lost executors cost nothing that was written. Within ``passing`` the table goes when that block ends."""
     path = f"{shared_folder(rows.sparkSession)}/{uuid.uuid4().hex}"
-    _written.append(path)
+    if (own := _own.get()) is not None:
+        own.append(path)
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what ``cut`` has written in this process; for callers whose results are safely written elsewhere."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """A block whose results are safely written elsewhere before it ends: what ``cut`` writes in it, in this thread, is deleted then; nothing of anyone else's is."""
+    own: list[str] = []
+    token = _own.set(own)
+    try:
+        yield own
+    finally:
+        _own.reset(token)
+        for name in own:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
