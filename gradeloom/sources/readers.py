@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.splitting import ranges
+from . import ledgers
 
 
 class BadRows(ValueError):
@@ -45,7 +46,9 @@ def json_documents(spark: SparkSession, path: str, schema: T.StructType, keys: t
 
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header; quoted line breaks and doubled quotes are kept. A file that isn't there has no rows."""
+    """CSV with a header in every file, or a ledger; quoted line breaks and doubled quotes are kept. A file that isn't there has no rows."""
+    if ledgers.is_ledger(spark, path):
+        return ledgers.read(spark, path, schema)
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joining import require
-from . import readers
+from . import ledgers
 
 
 def jsonl(rows: DataFrame, path: str) -> None:
@@ -19,10 +19,9 @@ def submission(rows: DataFrame, order: DataFrame, path: str, key: str = "id", po
     whole.orderBy(position).select(key, "response").coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def append(rows: DataFrame, path: str) -> None:
-    """A ledger: rows added to what is there, as one file each time; only the first has a header, so that the files one after another are one CSV."""
-    first = not readers.exists(rows.sparkSession, f"{path}/*.csv")
-    rows.coalesce(1).write.mode("append").option("header", first).csv(path)
+def append(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Adds rows to a ledger as one file; see ``ledgers``. ``readers.csv`` reads it."""
+    return ledgers.append(rows, path, batch, files=1)
 
 
 def copied(spark: SparkSession, source: str, target: str) -> None:

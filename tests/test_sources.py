@@ -150,14 +150,9 @@ def test_tensors(spark, tmp_path):
     assert got == {("a", 0): ([0.0, 1.0, 2.0, 3.0], [2, 3]), ("a", 1): ([4.0, 5.0], [2, 3]), ("b", 0): ([1.5, -2.0], [2]), ("c", 0): (None, [0])}
 
 
-def test_ledgers_are_one_table(spark, tmp_path):
+def test_sensors_columns_and_copies(spark, tmp_path):
     from gradeloom.sources import readers, writers
 
-    path = str(tmp_path / "ledger")
-    for i in range(3):
-        writers.append(spark.createDataFrame([(i, f"run {i}")], "n long, name string"), path)
-    lines = sorted(r.value for r in spark.read.text(path).collect())
-    assert lines == ["0,run 0", "1,run 1", "2,run 2", "n,name"]
     (tmp_path / "s").mkdir()
     (tmp_path / "s" / "x.csv").write_text("at,component,watts,microjoules\n2024-01-01 00:00:00,gpu,5.5,\n")
     assert readers.sensors(spark, str(tmp_path / "s")).first().watts == 5.5 and readers.sensors(spark, str(tmp_path / "s"), stream=True).isStreaming
