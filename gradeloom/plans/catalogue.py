@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, corpora, pipelines, samples, scores, series, texts  # noqa: F401
+from . import answering, corpora, pipelines, samples, scores, series, stores, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "score_summary"

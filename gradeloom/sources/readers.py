@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import warnings
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..operators.splitting import ranges
 from . import ledgers
+from .tensors import tensors  # noqa: F401
 
 
 class BadRows(ValueError):
@@ -164,33 +161,6 @@ def train_and_eval(train: DataFrame, held: DataFrame | None = None, size: int =
     return parts.filter("split = 'train'").drop("split"), parts.filter("split = 'eval'").drop("split")
 
 
-#: Number formats of tensor files.
-NUMBERS = {"F64": "<f8", "F32": "<f4", "F16": "<f2", "I64": "<i8", "I32": "<i4", "I16": "<i2", "I8": "<i1", "U8": "<u1", "BF16": "<u2"}
-TENSOR = "path string, key string, kind string, shape array<bigint>, part bigint, numbers array<double>"
-
-
-def tensors(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
-    """Tensors of files with a JSON header behind its length: a row for each ``block`` numbers of a tensor. Numbers of a format not known are left out: null."""
-    files_ = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part["path"], part["content"], strict=True):
-                size = int.from_bytes(content[:8], "little")
-                for key, t in json.loads(content[8 : 8 + size]).items():
-                    if key == "__metadata__":
-                        continue
-                    start, end = (8 + size + x for x in t["data_offsets"])
-                    values = None
-                    if t["dtype"] in NUMBERS:
-                        values = np.frombuffer(content[start:end], NUMBERS[t["dtype"]])
-                        values = (values.astype(np.uint32) << 16).view(np.float32) if t["dtype"] == "BF16" else values
-                    for at in range(0, 1 if values is None else max(1, len(values)), block):
-                        yield pd.DataFrame({"path": [name], "key": [key], "kind": [t["dtype"]], "shape": [t["shape"]], "part": [at // block], "numbers": [None if values is None else values[at : at + block].astype(float)]})
-
-    return files_.mapInPandas(rows, TENSOR)
-
-
 #: What a sensor reports: at a time, a component's watts, or the state of its energy counter in millionths of a joule.
 SENSORS = "at timestamp, component string, watts double, microjoules double"
 
