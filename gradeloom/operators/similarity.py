@@ -1,10 +1,11 @@
-"""TF-IDF similarity of texts by character n-grams inside words, and vectors' cosine: equi-joins on features, never a product of rows."""
+"""TF-IDF similarity of texts by character n-grams inside words, from posting lists or by equi-joins on grams, and vectors' cosine."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import postings
 from .cutting import cut
 from .splitting import quantiles
 
@@ -38,17 +39,29 @@ def tfidf(texts: DataFrame, key: str, text: str, sizes: tuple[int, ...] = (3, 4,
     return raw.join(norm, key).select(key, "gram", (F.col("raw") / F.col("norm")).alias("w"))
 
 
-def most_similar(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int, ...] = (3, 4, 5), digits: int = 6) -> DataFrame:
+def most_similar(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int, ...] = (3, 4, 5), digits: int = 6, most_grams: int = postings.MOST_GRAMS) -> DataFrame:
     """query_id, rank, candidate_id, similarity: the k nearest candidates of each query; the vocabulary is that of both (id, text).
 
-    Similarities are rounded before they are ranked; ties go to the smaller candidate id.
+    Similarities are rounded before they are ranked; ties go to the smaller candidate id; rows without an id are texts of the vocabulary only. Up to ``most_grams`` different grams the queries'
+    posting lists go to the candidates (``postings``), else both sides are joined by gram.
     """
+    both = queries.select("text").unionAll(candidates.select("text"))
+    df = cut(postings.frequencies(both, sizes))
+    if df.count() <= most_grams:
+        asked, there = (t.filter("id IS NOT NULL") for t in (queries, candidates))
+        score = postings.nearest(asked, there, k, sizes, digits, df, both.count()).groupBy("query_id", "candidate_id").agg(F.max("similarity").alias("similarity"))
+    else:
+        score = _joined(queries, candidates, sizes, digits)
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
+    return score.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "similarity")
+
+
+def _joined(queries: DataFrame, candidates: DataFrame, sizes: tuple[int, ...], digits: int) -> DataFrame:
+    """query_id, candidate_id, similarity of all pairs that share a gram."""
     both = queries.select(F.concat(F.lit("q"), F.col("id").cast("string")).alias("doc"), "text").unionByName(candidates.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("doc"), "text"))
     w = cut(tfidf(both, "doc", "text", sizes))
     side = lambda p, name: w.filter(F.col("doc").startswith(p)).select(F.substring("doc", 2, 20).cast("long").alias(name), "gram", F.col("w").alias(f"w_{name}"))
-    score = side("q", "query_id").join(side("c", "candidate_id"), "gram").groupBy("query_id", "candidate_id").agg(F.round(F.sum(F.col("w_query_id") * F.col("w_candidate_id")), digits).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate_id")
-    return score.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "similarity")
+    return side("q", "query_id").join(side("c", "candidate_id"), "gram").groupBy("query_id", "candidate_id").agg(F.round(F.sum(F.col("w_query_id") * F.col("w_candidate_id")), digits).alias("similarity"))
 
 
 def best_metrics(queries: DataFrame, nearest: DataFrame, thresholds: tuple[float, ...] = (0.3, 0.5)) -> DataFrame:
