@@ -4,15 +4,18 @@ A page is a sequence of tokens: words, and tags. Each has a score: the log-odds
 positive where main text stands and negative where boilerplate does; tags score negative. One linear scan finds the contiguous run of tokens
 with the largest sum: the content region. What lies outside it is dropped for no other reason than that.
 
-A word's features are the kind of element it stands in (paragraph, heading, item, cell, link in one of these, bare text, and whether an element that
-holds main text is around it) and, if an element around it is marked as boilerplate by its name, class, id or role, that mark, whose log-odds
-are added. Names of classes only shift weights: a class counts as a mark if its last part is a word of boilerplate, or if all of its parts are words of
+A word's features are the kind of element it stands in (paragraph, heading, item, cell, link in one of these, bare text), where it stands, or, if an element around
+it is marked as boilerplate by its name, class, id or role, that mark alone. Where: in an element that holds main text (an article, a
+main part, a class of content; on a page without any, the element with the most words in paragraphs of its own, and all that is in it unless it is the
+page's body), off it on a page that has one, or apart on a page that has none; words of paragraphs there count by their block's length: short, middling, long. Names of classes only
+shift weights: a class counts as a mark if its last part is a word of boilerplate, or if all of its parts are words of
 boilerplate or of layout and one of boilerplate is among them; not if it begins with "has", "no" or the like. So "user-comments" is one, and
-"form-factor" and "has-sidebar" are none. An element with a class of content isn't marked by its other classes.
+"form-factor" and "has-sidebar" are none. An element with a class of content isn't marked by its other classes, and within main text one whose class is a word of navigation
+isn't marked if it has hardly any links.
 
-Gaps: an element so marked whose own sum is below 0 and that stands within an element that holds main text (an article, a main part, a class of
-content, or the element with the most words in paragraphs of its own) is an island in the run: its tokens count 0 in the scan, so that the
-run can span it, and its words are left out of the region. Blocks that the region cuts are taken whole if most of their words lie in it.
+Gaps: an element so marked whose own sum is below 0, with unmarked words that score positive both before and after it, is an island: its tokens count 0 in the scan,
+so that the run can go on behind it, and its words are left out of the region. So an article in several parts with adverts, forms or menus between them is one run, if its parts score for themselves. Blocks
+that the region cuts are taken whole if most of their words lie in it.
 
 ``labelled_pages`` writes labelled pages from layouts by rule; other pages can be given to ``fit``. Blocks are joined by one line feed; white space
 inside a block becomes one space; character references are decoded. Whole pages are read, in one pass where they lie, in time linear in their
@@ -48,11 +51,15 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that start and end a block of text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Kinds of the blocks that hold words of their own.
+#: Words from which a block isn't short, and is long.
+SHORT_BLOCK, LONG_BLOCK = 10, 25
 KINDS = {"p": "flow", "pre": "flow", "blockquote": "flow", "figcaption": "flow", "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "li": "item", "dt": "item", "dd": "item", "td": "cell", "th": "cell", "caption": "cell"}
 #: Elements whose names mark boilerplate.
 MARKED = frozenset("head title nav footer aside form button input label option menu dialog canvas audio video".split())
 #: Words of a class, id or role that mark boilerplate, and words of layout that may stand beside them.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist complementary consent cookie cookies copyright disqus footer form login masthead menu menubar modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion promos reaction reactions reader recommended related replies reply responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget widgets contentinfo alert".split())
+#: Those that mark links only.
+LINKS = frozenset("breadcrumb breadcrumbs menu menubar nav navbar navigation pager pagination tags toolbar topbar".split())
 LAYOUT = frozenset("area bar block body bottom box button buttons center col column container content count cta feed fixed global group header holder inner item items label left line link links list main module outer page panel post posts primary right row secondary section site slot text this thread title top unit us wrap wrapper".split())
 #: First parts with which a class says what an element has or lacks, not what it is.
 SAYS = frozenset("has hide is no show with without".split())
@@ -75,6 +82,12 @@ def marks(name: str) -> bool:
     return parts[-1] in MARKS or (any(p in MARKS for p in parts) and all(p in MARKS or p in LAYOUT for p in parts))
 
 
+def only_links(tag: str, attributes: str) -> bool:
+    """Whether what marks an element are classes of navigation alone, so that it has to have links."""
+    own = [x for x in names(attributes) if marks(x)]
+    return tag not in MARKED and not _HIDDEN.search(attributes) and bool(own) and all(MARKS.isdisjoint(set(re.split(r"[-_]+", x)) - LINKS) for x in own)
+
+
 def marked(tag: str, attributes: str, in_main: bool) -> bool:
     """Whether an element's name or attributes mark it as boilerplate; a header is one outside elements that hold main text."""
     if tag in MARKED or (tag == "header" and not in_main):
@@ -99,19 +112,51 @@ class Page:
         self.block: list[int] = []
         self.words: list[int] = []
         self.text: list[str] = []
-        #: Marked elements that stand in no other: first item, end, whether in an element that holds main text, and the element around it.
-        self.islands: list[tuple[int, int, bool, int]] = []
+        #: Marked elements that stand in no other: first item, end, and whether in main text and marked by words of navigation only.
+        self.islands: list[tuple[int, int, bool]] = []
+        #: Whether an element says that it holds main text; of each element the first item, and where it ends; the page's body.
+        self.explicit = False
+        self.span: dict[int, tuple[int, int]] = {}
+        self.body = 0
         #: Words in paragraphs and headings, and bare words, by the element around them.
         self.flow: Counter[int] = Counter()
         self.bare: Counter[int] = Counter()
         self.around: list[int] = []
         self.read(page)
+        self.unmark()
         most = self.flow or self.bare
         #: The element with the most words in paragraphs of its own; on a page without paragraphs, with the most bare words.
-        self.holder = max(most, key=lambda e: (most[e], -e)) if most else None
+        self.holder = max(most, key=lambda e: (most[e], -e)) if most and not self.explicit else None
+        self.place()
+
+    def unmark(self) -> None:
+        """Takes marks of navigation off elements of main text without links to speak of."""
+        kept = []
+        for start, end, doubtful in self.islands:
+            links = sum(n for f, n, t in zip(self.feature[start:end], self.words[start:end], self.is_text[start:end]) if t and f.startswith("link-"))
+            every = sum(n for n, t in zip(self.words[start:end], self.is_text[start:end]) if t)
+            if doubtful and 4 * links <= every:
+                self.out[start:end] = [False] * (end - start)
+            else:
+                kept.append((start, end, doubtful))
+        self.islands = kept
+
+    def place(self) -> None:
+        """Says of each word where it stands."""
+        start, end = self.span.get(self.holder, (0, -1)) if self.holder is not None and self.holder != self.body else (0, -1)
+        size: Counter[int] = Counter()
+        for block, n, t in zip(self.block, self.words, self.is_text, strict=True):
+            size[block] += n * t
         for i, f in enumerate(self.feature):
-            if self.is_text[i] and self.around[i] == self.holder and not f.endswith("-in"):
+            if not self.is_text[i] or f.endswith("-in"):
+                continue
+            if not self.explicit and (start <= i < end or (self.holder is not None and self.around[i] == self.holder)):
                 self.feature[i] = f + "-in"
+                continue
+            if f == "flow" and not self.explicit:
+                n = size[self.block[i]]
+                f += "-short" if n < SHORT_BLOCK else "-long" if n >= LONG_BLOCK else ""
+            self.feature[i] = f + "-off" * self.explicit
 
     def add(self, is_text: bool, feature: str, out: bool, block: int, text: str = "", around: int = -1) -> None:
         self.around.append(around)
@@ -128,6 +173,7 @@ class Page:
         places: dict[str, list[int]] = {}
         blocks: list[int] = [0]
         number = itertools.count(1)
+        begun = {}
         out = holders = links = mains = block = at = 0
         island = None
         n = len(page)
@@ -143,7 +189,8 @@ class Page:
         def close(to: int) -> None:
             nonlocal out, holders, links, mains, island
             while len(stack) > to:
-                tag, _, _, _, marks_, holds, link = stack.pop()
+                tag, me, _, _, marks_, holds, link = stack.pop()
+                self.span[me] = (begun[me], len(self.text))
                 places[tag].pop()
                 if blocks[-1] == len(stack):
                     blocks.pop()
@@ -153,7 +200,7 @@ class Page:
                 if marks_:
                     out -= 1
                     if not out and island is not None:
-                        self.islands.append((island[0], len(self.text), island[1], island[2]))
+                        self.islands.append((island[0], len(self.text), island[1]))
                         island = None
 
         while at < n:
@@ -195,12 +242,15 @@ class Page:
                 continue
             if tag in VOID:
                 if mark and not out:
-                    self.islands.append((item, len(self.text), holders > 0, stack[-1][1]))
+                    self.islands.append((item, len(self.text), False))
                 continue
             if mark and not out:
-                island = (item, holders > 0, stack[-1][1])
+                island = (item, holders > 0 and only_links(tag, attributes))
             holds = not out and not mark and holds_content(tag, attributes)
             me = next(number)
+            begun[me] = item
+            self.explicit = self.explicit or holds
+            self.body = me if tag == "body" else self.body
             kind, around = (KINDS[tag], stack[-1][1]) if tag in KINDS else ("bare", me) if tag in BLOCKS else stack[-1][2:4]
             if tag in BLOCKS:
                 blocks.append(len(stack))
@@ -214,16 +264,16 @@ class Page:
 
 
 def features(page: Page) -> Iterator[tuple[list[str], int]]:
-    """Features of each item, and how often they count: a word's kind and mark, a tag's name."""
+    """Features of each item, and how often they count: an unmarked word's kind and place, a word's mark, a tag's name."""
     for is_text, feature, out, n in zip(page.is_text, page.feature, page.out, page.words, strict=True):
-        yield ([f"w:{feature}", "w:out" if out else "w:clear"] if is_text else [f"t:{feature}"]), n
+        yield [f"t:{feature}"] if not is_text else ["w:out"] if out else [f"w:{feature}", "w:clear"], n
 
 
 def fit(pages: Iterable[tuple[str, str, str]]) -> dict[str, float]:
     """Weights from labelled pages: the markup before the main part, the main part's, and what comes after it.
 
     Smoothed log-odds of words' kinds, of words' marks and of tags, each among its own. Tags score negative, as the method has it: -0.02 at least.
-    A kind of word that no page has scores as its like outside elements that hold main text, or 0.
+    A kind of word that no page has in its place scores 0.
     """
     inside, outside = Counter(), Counter()
     for before, main, after in pages:
@@ -260,19 +310,27 @@ def labelled_pages() -> list[tuple[str, str, str]]:
             parts.append("<table>" + "".join(f"<tr><td>{say(1, i)}</td><td>{say(2, k + i)}</td></tr>" for i in range(5 + k % 9)) + f"</table><p>{say(12, k)}</p>")
         if k % 7 == 3:
             parts.append(f"<p>{say(5, k)} <math><mi>{say(1, k)}</mi><mo>=</mo><mn>{k}</mn></math> {say(4, k)}</p>")
+        if k % 5 == 3:  # lists of links, of one or many, between paragraphs
+            parts.insert(1 + k % 2, "<ul>" + "".join(f'<li><a href="/{i}">{say(1 + (i + k) % 5, k + i)}</a></li>' for i in range(2 + k % 19)) + "</ul>")
+            parts.append(f"<p>{say(20, k)}</p>")
+        if k % 6 == 4:
+            parts.append("<ol>" + "".join(f'<li>{say(3, k + i)} <a href="/{i}">{say(2, i)}</a></li>' for i in range(3)) + f"</ol><h3>{say(3, k)}</h3><p>{say(40, k)}</p>")
         return "".join(parts)
 
     out = []
-    for k in range(60):
+    for k in range(120):
         marked_ = k % 4 != 3
         ad = f'<div class="ad">{say(8 + k % 9, k)}</div>' if marked_ else f"<div>{say(8 + k % 9, k)}</div>"
         top = f"<!DOCTYPE html><html><head><title>{say(6, k)}</title></head><body>" + (f"<nav>{menu(k)}</nav>" if marked_ else f"<div>{menu(k)}</div>")
         top += f'<div><a href="/a">{say(1, k)}</a> | <a href="/b">{say(2, k)}</a></div>' if k % 6 == 1 else ""
         top += (f"<header>{say(5, k)}</header>" if k % 3 else "") + (ad if k % 2 else "") + (f'<div class="cookie-notice"><p>{say(11, k)}</p><button>{say(1, k)}</button></div>' if k % 5 == 2 else "")
         end = (f'<section class="comments"><h3>{say(2, k)}</h3><p>{say(12, k)}</p><p>{say(9, k)}</p></section>' if k % 3 == 0 else f"<aside>{menu(k + 1)}</aside>" if marked_ else f"<div>{menu(k + 2)}</div>")
+        if k % 10 in (4, 9):  # readers' words in elements without names
+            end = f"<div><h3>{say(1, k)}</h3>" + "".join(f"<div><p>{say(1 + i % 2, k + i)}</p><p>{say(3 + (5 * i + k) % 7, k + i)}</p></div>" for i in range(3 + k % 5)) + "</div>" + end
         end += (f'<form><label>{say(2, k)}</label><input name="q"><button>{say(1, k)}</button></form>' if k % 4 == 1 else "") + (f"<footer>&copy; {say(9, k)}</footer>" if k % 5 else f"<div>&copy; {say(9, k)}</div>") + "</body></html>"
         shell = (("<article>", "</article>"), ('<div class="content">', "</div>"), ("<main>", "</main>"), ("<div>", "</div>"))[k % 4 if k % 8 else 3]
-        main = "".join(f"<div>{body(k + j)}</div>" for j in range(2)) if k % 8 == 0 else body(k)  # some articles stand in sections without names
+        between = (ad if marked_ else "") if k % 16 else f"<aside>{say(9, k)}</aside>"
+        main = between.join(f"<div>{body(k + j)}</div>" for j in range(2)) if k % 8 == 0 else body(k)  # some articles stand in sections without names
         out.append((top, shell[0] + main + shell[1], end))
     return out
 
@@ -300,9 +358,10 @@ def region(scores: list[float]) -> tuple[int, int]:
 
 def score(page: Page, weights: dict[str, float]) -> list[float]:
     """The score of each item: the sum of its features' weights times its words."""
-    of = lambda f: weights.get(f, weights.get(f.removesuffix("-in"), 0.0 if f[0] == "w" else -0.02))
+    # A kind that no labelled page has in its place counts nothing there; a tag that none has counts as the least of tags.
+    of = lambda f: weights.get(f, 0.0 if f[0] == "w" else -0.02)
     known = {f: of(f) for f in {"w:out", "w:clear", *(("w:" if t else "t:") + f for t, f in zip(page.is_text, page.feature, strict=True))}}
-    return [(known["w:" + f] + known["w:out" if out else "w:clear"]) * n if is_text else known["t:" + f] for is_text, f, out, n in zip(page.is_text, page.feature, page.out, page.words, strict=True)]
+    return [(known["w:out"] if out else known["w:" + f] + known["w:clear"]) * n if is_text else known["t:" + f] for is_text, f, out, n in zip(page.is_text, page.feature, page.out, page.words, strict=True)]
 
 
 def extract(page: str | None, weights: dict[str, float] | None = None, choose=region) -> str:
@@ -313,8 +372,9 @@ def extract(page: str | None, weights: dict[str, float] | None = None, choose=re
     items = Page(page)
     scores = score(items, weights)
     gap = [False] * len(scores)
-    for start, end, held, around in items.islands:
-        if (held or around == items.holder) and sum(scores[start:end]) < 0:
+    told = [i for i, (s, t, out) in enumerate(zip(scores, items.is_text, items.out, strict=True)) if s > 0 and t and not out]
+    for start, end, _ in items.islands:
+        if told and told[0] < start and end <= told[-1] and sum(scores[start:end]) < 0:
             gap[start:end] = [True] * (end - start)
             scores[start:end] = [0.0] * (end - start)
     a, z = choose(scores)

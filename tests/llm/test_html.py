@@ -66,6 +66,57 @@ def test_markup(page, text):
     assert H.extract(page) == text
 
 
+def site(main):
+    return f'<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></nav>{main}<footer>end of the page</footer></body></html>'
+
+
+def links(n, word="link"):
+    return "<ul>" + "".join(f'<li><a href="/{i}">{word} {i}</a></li>' for i in range(n)) + "</ul>"
+
+
+LIST, LATER = "\n".join(f"link {i}" for i in range(60)), "and this is the end of what is told in the last paragraph"
+
+
+@pytest.mark.parametrize("open_, close", [("<article>", "</article>"), ('<div class="content">', "</div>"), ("<main>", "</main>"), ("<div>", "</div>")])
+@pytest.mark.parametrize(
+    "main, text",
+    [
+        (f"<h1>Heading</h1>{links(10)}<p>{WORDS}</p>", "Heading\n" + "\n".join(LIST.split("\n")[:10]) + f"\n{WORDS}"),
+        (f"<p>{WORDS}</p>{links(60)}<p>{LATER}</p>", f"{WORDS}\n{LIST}\n{LATER}"),
+        (f"<p>{WORDS}</p><p>{LATER}</p><h3>More</h3><ol><li>one <a href=x>x</a></li><li>two</li></ol>", f"{WORDS}\n{LATER}\nMore\none x\ntwo"),
+    ],
+)
+def test_lists_of_links_in_an_article_stay(open_, close, main, text):
+    assert H.extract(site(open_ + main + close)) == text
+
+
+LONGER = " ".join(f"word{i}" for i in range(40))
+
+
+@pytest.mark.parametrize("between", ["<aside>advert words</aside>", "<form><label>advert</label><input name=q></form>", f"<nav>{links(4, 'advert')}</nav>", '<div class="ads">advert, buy it</div>', '<div class="cookie-notice"><p>advert of cookies</p></div>'])
+@pytest.mark.parametrize("shell", ["article", "div", "section", "div class=content"])
+def test_an_article_in_several_parts_is_one_without_what_stands_between(between, shell):
+    parts = [f"<{shell}><p>{t}</p></{shell.split()[0]}>" for t in (LONGER, LONGER + " last")]
+    assert H.extract(site(between.join(parts))) == f"{LONGER}\n{LONGER} last"
+
+
+@pytest.mark.parametrize("shell", ["article", "main", "div class=content"])
+def test_readers_words_in_elements_without_names_go(shell):
+    said = "".join(f"<div><p>reader {i}</p><p>so true, thanks a lot for this {i}</p></div>" for i in range(5))
+    page = site(f"<{shell}><p>{WORDS}</p><p>{LATER}</p></{shell.split()[0]}><div><h3>What readers say</h3>{said}</div>")
+    assert H.extract(page) == f"{WORDS}\n{LATER}"
+    at_length = "".join(f"<div><p>reader {i}</p><p>{WORDS} {LATER} {LONGER}</p></div>" for i in range(3))
+    assert H.extract(page.replace(said, at_length)) == f"{WORDS}\n{LATER}"
+    assert H.extract(site(f"<div><p>{LONGER}</p><p>{LONGER} x</p></div><div>{said}</div>")) == f"{LONGER}\n{LONGER} x"
+
+
+def test_a_menu_is_one_if_it_has_links():
+    dishes = '<ul class="menu"><li>soup of the day</li><li>fish and bread</li></ul>'
+    assert H.extract(site(f"<article><p>{WORDS}</p>{dishes}<p>{LATER}</p></article>")) == f"{WORDS}\nsoup of the day\nfish and bread\n{LATER}"
+    pages = links(5, "advert").replace("<ul>", '<ul class="menu">')
+    assert H.extract(site(f"<article><p>{WORDS}</p>{pages}<p>{LATER}</p></article>")) == f"{WORDS}\n{LATER}"
+
+
 @pytest.mark.parametrize("page", ["<div>" * 100_000 + "<p>some text</p>", "<b>" * 50_000 + "<p>some text</p>" * 20_000, "<i></b>" * 100_000 + "<p>some text</p>", "<table><tr><td>" * 50_000 + "some text", "<p " * 100_000 + ">some text"])
 def test_hard_pages_take_linear_time(page):
     began = time.time()
