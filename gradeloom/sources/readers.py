@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.cutting import cut
 from ..operators.splitting import ranges
-from . import ledgers
+from . import ledgers, probing
 from .tensors import tensors  # noqa: F401
 
 
@@ -134,18 +134,27 @@ def by_precedence(key: str, *tables: DataFrame) -> DataFrame:
 
 
 def fan_in(spark: SparkSession, paths: list[str], schema: T.StructType, most: int | None = None) -> tuple[DataFrame | None, dict[str, str]]:
-    """Rows of files of several formats, with ``source_file``, up to ``most`` of them; and why some files are left out, of which a warning tells too."""
-    tables, skipped = [], {}
-    for path in paths:
-        try:
-            rows = any_table(spark, path, schema)
-            if not exists(spark, path):
-                raise FileNotFoundError(path)
-            tables.append(rows.withColumn("source_file", F.lit(path)))
-        except (PySparkException, ValueError, OSError) as error:
-            skipped[path] = type(error).__name__
-            warnings.warn(f"left out {path}: {type(error).__name__}", stacklevel=2)
-    if not tables:
+    """Rows of files, or of folders of files, of several formats, with ``source_file``, up to ``most`` of them; and why some files are left out, of which a warning tells too.
+
+    Every file is probed first, by tasks, so that a cut-off or broken one is left out with its reason and no action fails by it.
+    """
+    within = {p: [f for f in files(spark, p) if f.rsplit("/", 1)[-1][:1] not in "._"] or [p] for p in paths}
+    known = {p for p in paths if p.rsplit(".", 1)[-1] in ("jsonl", "json", "csv", "parquet")}
+    found = cut(probing.probe(spark, [f for p in paths if p in known for f in within[p]])) if known else None
+    bad = {r.path: r.reason for r in found.filter("reason IS NOT NULL").select("path", "reason").collect()} if known else {}
+    skipped = {p: "no reader for it" for p in paths if p not in known}
+    # An empty file of a folder is a part without rows.
+    skipped |= {(p if within[p] == [f] else f): bad[f] for p in known for f in within[p] if f in bad and not (bad[f] == "empty" and within[p] != [p] and f != p)}
+    for path, reason in skipped.items():
+        warnings.warn(f"left out {path}: {reason}", stacklevel=2)
+    sound = {kind: [f for p in paths if p in known for f in within[p] if f not in bad and p.endswith(kind)] for kind in (".parquet", ".csv")}
+    tables = [probing.objects(spark, found.filter(F.col("kind").isin("array", "object", "lines")), schema)] if known else []
+    file = F.col("_metadata.file_path").alias("source_file")
+    if sound[".parquet"]:
+        tables.append(spark.read.schema(schema).parquet(*sound[".parquet"]).select("*", file))
+    if sound[".csv"]:
+        tables.append(spark.read.schema(schema).csv(sound[".csv"], header=True, multiLine=True, escape='"').select("*", file))
+    if not tables or len(bad) == sum(len(within[p]) for p in known):
         return None, skipped
     out = union_of(*tables)
     return (out.limit(most) if most is not None else out), skipped
