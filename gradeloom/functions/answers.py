@@ -86,6 +86,22 @@ def open_box(c: Column) -> Column:
     return F.when(occurrences(once(closed(c), lambda t: F.regexp_replace(t, BOX, "")), "\\boxed{") > 0, F.trim(opened(rest))).otherwise("")
 
 
+#: A framed box as well as a plain one.
+FRAMED = r"\\(?:boxed|fbox)\s*\{"
+
+
+def last_framed(c: Column) -> Column:
+    """The content of the last closed box, of a plain or a framed one; without any, what stands behind the last one that is never closed, to the end; "" if there is none."""
+    plain = once(c, lambda t: F.regexp_replace(t, FRAMED, r"\\boxed{"))
+    return once(plain, lambda t: F.coalesce(F.nullif(last_box(t), F.lit("")), open_box(t)))
+
+
+def answer_box(c: Column) -> Column:
+    """The last closed box behind the last FINAL_ANSWERS; null if that isn't there or no box behind it is closed."""
+    behind = F.substring_index(c, "FINAL_ANSWERS", -1)
+    return F.when(c.contains("FINAL_ANSWERS"), F.nullif(once(behind, last_box), F.lit("")))
+
+
 def top_level_split(c: Column) -> Column:
     """Items between commas that stand in no bracket; brackets are ( [ <, and \\{ \\} count as ( )."""
     text = c

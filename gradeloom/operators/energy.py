@@ -61,12 +61,17 @@ def rate(season_: Column, period_: Column, credit: bool = False) -> Column:
     return out
 
 
-def priced(rows: DataFrame, days: DataFrame, credit: bool = False) -> DataFrame:
-    """Intervals with season, period, rate, kWh and cost; ``days``: holidays, a few rows a year."""
+def priced(rows: DataFrame, days: DataFrame, credit: bool = False, flat: float | None = None) -> DataFrame:
+    """Intervals with season, period, rate, kWh and cost; ``days``: holidays, a few rows a year. ``credit``: the first tier's; ``flat``: one rate at all times, in the season
+    "all" and the period "flat"."""
     day = F.to_date("middle")
-    marked = rows.join(F.broadcast(days.select(F.col("day").alias("__day"))), day == F.col("__day"), "left")
-    out = marked.withColumns({"season": season(day), "period": period(F.col("middle"), (F.weekday(day) >= 5) | F.col("__day").isNotNull())}).drop("__day")
-    return out.withColumn("rate", rate(F.col("season"), F.col("period"), credit)).withColumn("kwh", F.col("joules") / F.lit(3.6e6)).withColumn("cost", F.col("kwh") * F.col("rate"))
+    if flat is not None:
+        out = rows.withColumns({"season": F.lit("all"), "period": F.lit("flat"), "rate": F.lit(float(flat))})
+    else:
+        marked = rows.join(F.broadcast(days.select(F.col("day").alias("__day"))), day == F.col("__day"), "left")
+        out = marked.withColumns({"season": season(day), "period": period(F.col("middle"), (F.weekday(day) >= 5) | F.col("__day").isNotNull())}).drop("__day")
+        out = out.withColumn("rate", rate(F.col("season"), F.col("period"), credit))
+    return out.withColumn("kwh", F.col("joules") / F.lit(3.6e6)).withColumn("cost", F.col("kwh") * F.col("rate"))
 
 
 def breakdown(rows: DataFrame, *keys: str) -> DataFrame:

@@ -31,6 +31,29 @@ def pivoted(rows: DataFrame, key: str, kind: str, kinds: list[str]) -> DataFrame
     return rows.groupBy(key).agg(F.count("*").alias("n"), *(F.count_if(F.col(kind) == k).alias(f"n_{k}") for k in kinds))
 
 
+def summary(rows: DataFrame, by: list[str], correct: Column, error: str, errors: list[str]) -> DataFrame:
+    """n, correct, acc (0 for none) and a count of each error named, by type, prompt, configuration or what else ``by`` says, in one aggregation."""
+    ok = F.count_if(F.coalesce(correct, F.lit(False)))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), ok.alias("correct"), F.coalesce(F.try_divide(ok, F.count("*")), F.lit(0.0)).alias("acc"), *(F.count_if(F.col(error) == e).alias(f"err_{e}") for e in errors))
+
+
+def format_measures(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Counts and means of how responses are formed, in one pass; by group or over all.
+
+    rows: finish ("" or null: not known), is_mcq, letter, items (how many answers were extracted; 0: none) and gold (how many there are), response, raw, and the flags
+    fallback_used, stage0_repair_used and postprocess_used (null: no). A cut-off row is one whose finish is known and not "stop".
+    """
+    finish, letter = F.lower(F.coalesce("finish", F.lit(""))), F.coalesce("letter", F.lit(""))
+    free, none = ~F.col("is_mcq"), F.coalesce("items", F.lit(0)) == 0
+    tests = {
+        "truncation_count": (finish != "") & (finish != "stop"), "no_extraction_count": free & none, "count_mismatch_count": free & ~none & (F.col("items") != F.col("gold")), "mcq_format_error_count": F.col("is_mcq") & (letter == ""),
+        "fallback_used": F.col("fallback_used"), "stage0_repair_used": F.col("stage0_repair_used"), "postprocess_used": F.col("postprocess_used"), "free_total": free, "mcq_total": F.col("is_mcq"),
+    }
+    length = lambda c: F.coalesce(F.avg(F.length(F.coalesce(c, F.lit("")))), F.lit(0.0))
+    out = rows.groupBy(*by).agg(*(F.count_if(F.coalesce(t, F.lit(False))).alias(k) for k, t in tests.items()), length("response").alias("avg_response_chars"), length("raw").alias("avg_raw_response_chars"))
+    return out.withColumn("format_error_count", F.col("no_extraction_count") + F.col("count_mismatch_count") + F.col("mcq_format_error_count"))
+
+
 def transitions(rows: DataFrame, before: Column, after: Column) -> DataFrame:
     """Counts of the four outcomes of a change, zeros included."""
     names = {(True, True): "both_correct", (True, False): "lost", (False, True): "gained", (False, False): "both_wrong"}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import answering, corpora, loops, pipelines, prompting, samples, scores, series, stores, texts  # noqa: F401
+from . import accounts, answering, corpora, loops, pipelines, prompting, samples, scores, series, stores, texts  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "score_summary"
