@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 #: White space of Unicode.
 _GAPS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 MOST_GRAMS, BLOCK, HELD = 4_000_000, 2_000, 2_000_000
+#: Candidates after which bounds are made anew, and queries up to which each is completed by itself.
+ANEW, FEW = 64, 12
 SCORED = "query_id long, candidate_id long, similarity double, touched long"
 
 
@@ -155,27 +157,35 @@ class QueryIndex:
         who, x = self.postings(lists[:cut], w[:cut])
         self.touched += len(who)
         score = np.bincount(who, x, len(self.ids))
-        met = np.unique(who)
-        met = met[score[met] + rest[cut] * self.least[met] >= self.least[met]] if cut < len(lists) else met
-        tail = np.argsort(lists[cut:])
-        later, later_w = lists[cut:][tail], w[cut:][tail]
+        met = np.flatnonzero(score)
+        if cut < len(lists):
+            met = met[score[met] + rest[cut] * self.least[met] >= self.least[met]]
+            self.complete(score, met, lists[cut:], w[cut:])
+        s = np.round(score[met], self.digits)
+        last, last_id = self.best[met, -1], self.best_ids[met, -1]
+        for q, x in zip(met[better := (s > last) | ((s == last) & (candidate < last_id))], s[better], strict=True):
+            other = (self.best_ids[q] != candidate) | (self.best[q] < 0)  # of rows with one id the best counts
+            if x <= self.best[q][~other].max(initial=-1.0):
+                continue
+            scores, ids = np.append(np.where(other, self.best[q], -1.0), x), np.append(self.best_ids[q], candidate)
+            ranked = np.lexsort((ids, -scores))[: self.k]
+            self.best[q], self.best_ids[q] = scores[ranked], ids[ranked]
+
+    def complete(self, score: np.ndarray, met: np.ndarray, lists: np.ndarray, w: np.ndarray) -> None:
+        """Adds to the scores of the queries ``met`` what the remaining grams give: from the queries' own vectors if they are few, else from the lists."""
+        if len(met) > FEW:
+            who, x = self.postings(lists, w)
+            self.touched += len(who)
+            score += np.bincount(who, x, len(self.ids))
+            return
+        order = np.argsort(lists)
+        lists, w = lists[order], w[order]
         for q in met:
-            s = score[q]
-            if len(later):
-                own, own_w = self.own[q]
-                at = np.searchsorted(own, later)
-                same = own[np.minimum(at, len(own) - 1)] == later
-                s += float(own_w[np.minimum(at, len(own) - 1)][same] @ later_w[same])
-                self.touched += int(same.sum())
-            s = round(float(s), self.digits)
-            last = self.best[q, -1]
-            if s > last or (s == last and candidate < self.best_ids[q, -1]):
-                other = (self.best_ids[q] != candidate) | (self.best[q] < 0)  # of rows with one id the best counts
-                if s <= self.best[q][~other].max(initial=-1.0):
-                    continue
-                scores, ids = np.append(np.where(other, self.best[q], -1.0), s), np.append(self.best_ids[q], candidate)
-                ranked = np.lexsort((ids, -scores))[: self.k]
-                self.best[q], self.best_ids[q] = scores[ranked], ids[ranked]
+            own, own_w = self.own[q]
+            at = np.minimum(np.searchsorted(own, lists), len(own) - 1)
+            same = own[at] == lists
+            score[q] += float(own_w[at[same]] @ w[same])
+            self.touched += int(same.sum())
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int, ...], digits: int, df: DataFrame, total: int, block: int = BLOCK) -> DataFrame:
@@ -197,12 +207,15 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int,
             known, idf = shipped.value
             q = index.value
             q.reset()
+            n = 0
             for b in batches:
                 for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                     own = grams(t, sizes)
                     if len(own):
                         q.add(i, *vectors(own, known, idf))
-                q.bound()
+                        n += 1
+                        if not n % ANEW:
+                            q.bound()
             row, at = np.nonzero(q.best >= 0)
             columns = [pa.array(q.ids[row]), pa.array(q.best_ids[row, at]), pa.array(q.best[row, at]), pa.array(np.full(len(row), q.touched))]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "candidate_id", "similarity", "touched"])
