@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import windows
 from .cutting import cut
 
 
@@ -86,34 +87,11 @@ def without(rows: DataFrame, text: str, other: DataFrame) -> DataFrame:
     return rows.withColumns({"__a": a, "__b": b}).join(known, (F.col("__a") == F.col("__x")) & (F.col("__b") == F.col("__y")), "left_anti").drop("__a", "__b")
 
 
-def phrases(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, anchor: int = 5) -> DataFrame:
-    """Pairs of a text and an item whose words stand in it one after another, by an equi-join on each item's first words, then a full check.
+def phrases(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, anchor: int = 5, block: int = windows.BLOCK) -> DataFrame:
+    """Pairs of a text and an item whose words stand in it one after another; see ``windows``. Items with fewer words than the anchor are looked up by all of their words.
 
-    A text is split once; its windows of ``anchor`` words carry their place and the hash of as many words from there as the item has, so texts
-    themselves don't move. Windows that no item begins with go before anything is shuffled if the items' openings are few enough to be broadcast. Items with
-    fewer words than the anchor are joined on windows of their own length. A window's words are compared by 128 bits of hash.
+    Items go to the texts in blocks of about ``block``; texts don't move, and their cost is linear in their length. Items without words stand in no text.
     """
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    wide = lambda c: F.concat(F.hex(F.xxhash64(F.lit(1), c)), F.hex(F.xxhash64(F.lit(2), c)))
-    want = items.select(F.col(item_key), words(F.col(item_text)).alias("__iw")).filter(F.size("__iw") > 0)
-    want = want.select(item_key, F.size("__iw").alias("__len"), F.array_join("__iw", " ").alias("__all"), F.least(F.lit(anchor), F.size("__iw")).alias("__n"), "__iw")
-    want = cut(want.select(item_key, "__len", "__n", F.xxhash64(F.array_join(F.slice("__iw", F.lit(1), F.col("__n")), " ")).alias("__a"), wide(F.col("__all")).alias("__h")))
-    sizes = sorted(tuple(r) for r in want.select("__n", "__len").distinct().collect())  # lengths of items, in words
-    if not sizes:
-        return texts.select(F.lit(None).cast(items.schema[item_key].dataType).alias(item_key), key).limit(0)
-    openings = want.select("__a", "__n").distinct()
-    few = openings.count() <= 100_000
-    have = texts.select(F.col(key), words(F.col(text)).alias("__w"))
-
-    def openings_of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.struct(F.lit(n).alias("n"), i.alias("i"), F.xxhash64(F.array_join(F.slice("__w", i, F.lit(n)), " ")).alias("a")))
-
-    anchors = sorted({n for n, _ in sizes})
-    none = F.array().cast("array<struct<n:int,i:int,a:bigint>>")
-    every = F.concat(*(F.when(F.size("__w") >= n, openings_of(n)).otherwise(none) for n in anchors))
-    at = have.select(key, "__w", F.explode(every).alias("__s")).select(key, "__w", F.col("__s.n").alias("__n"), F.col("__s.i").alias("__i"), F.col("__s.a").alias("__a"))
-    at = at.join(F.broadcast(openings) if few else openings, ["__a", "__n"], "left_semi")
-    lengths = F.array(*(F.lit(k) for k in sorted({k for _, k in sizes})))
-    long = at.select(key, "__a", "__n", F.explode(F.transform(F.filter(lengths, lambda k: (k >= F.col("__n")) & (F.col("__i") + k - 1 <= F.size("__w"))), lambda k: F.struct(k.alias("k"), wide(F.array_join(F.slice("__w", F.col("__i"), k), " ")).alias("h")))).alias("__l"))
-    hits = long.select(key, "__a", "__n", F.col("__l.k").alias("__len"), F.col("__l.h").alias("__h")).distinct()
-    return hits.join(want, ["__a", "__n", "__len", "__h"]).select(item_key, key).distinct()
+    known = cut(windows.hashed(items, item_key, item_text, anchor))
+    return windows.standing(texts, key, text, known, item_key, block).distinct()
+
