@@ -53,7 +53,7 @@ class Phrases:
     first: np.ndarray
     second: np.ndarray
     length: np.ndarray
-    items: np.ndarray
+    items: pa.Array
 
     @classmethod
     def of(cls, table: pa.Table) -> Phrases:
@@ -64,10 +64,10 @@ class Phrases:
             pairs = np.unique(np.stack([opening[n == k], length[n == k].astype(np.uint64)], 1), axis=0)
             anchors.append((int(k), pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)))
         order = np.lexsort((second, length, first))
-        return cls(anchors, first[order], second[order], length[order], table["item"].take(pa.array(order)).to_numpy(zero_copy_only=False))
+        return cls(anchors, first[order], second[order], length[order], table["item"].combine_chunks().take(pa.array(order)))
 
     def found(self, text: str | None) -> np.ndarray:
-        """The items that stand in a text."""
+        """Places in ``items`` of those that stand in a text."""
         sums, hits = Sums(text), []
         for n, openings, lengths in self.anchors:
             if sums.n < n:
@@ -90,7 +90,7 @@ class Phrases:
             for x, i, j in zip(windows, low, high, strict=True):
                 if i < j:
                     hits.append(i + np.flatnonzero((self.second[i:j] == x[1]) & (self.length[i:j] == int(x[2]))))
-        return self.items[np.unique(np.concatenate(hits))] if hits else self.items[:0]
+        return np.unique(np.concatenate(hits)) if hits else np.empty(0, np.int64)
 
 
 def hashed(items: DataFrame, key: str, text: str, anchor: int) -> DataFrame:
@@ -125,7 +125,7 @@ def standing(texts: DataFrame, key: str, text: str, phrases: DataFrame, item_key
             for b in batches:
                 found = [own.found(t) for t in b.column(1).to_pylist()]
                 whose = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                item = pa.array(np.concatenate(found) if found else [], shipped.value.schema.field("item").type)
+                item = own.items.take(pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([item, b.column(0).take(pa.array(whose))], [item_key, key])
 
         if mine.num_rows:

@@ -44,7 +44,7 @@ def test_cost_is_linear_in_a_text():
 
     def seconds(n):
         text = " ".join(rng.choice("abcdefgh") + str(rng.randint(0, 50)) for _ in range(n))
-        phrases = windows.Phrases([(2, np.sort(windows.Sums(text).windows(np.arange(50), 2, 0)), np.full(50, 6))], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        phrases = windows.Phrases([(2, np.sort(windows.Sums(text).windows(np.arange(50), 2, 0)), np.full(50, 6))], np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), None)
         began = time.process_time()
         phrases.found(text)
         return time.process_time() - began
