@@ -280,3 +280,47 @@ def test_toxicity_without_labels(spark, edge_docs, no_docs):
     model = toxicity.train(edge_docs, none, F.lit(True))
     assert {r.score for r in toxicity.score(edge_docs, model).collect()} == {0.0}
     assert toxicity.score(no_docs, model).count() == 0
+
+
+def plain_grams(text, buckets):
+    """Buckets of a text's character 1- to 3-grams, one gram at a time, in whole numbers of 64 bits."""
+    out, codes, top = {}, [ord(c) for c in text.lower()], 64 - (buckets - 1).bit_length()
+    for i in range(len(codes)):
+        h = codes[i] * 0x9E3779B97F4A7C15 % 2**64
+        for n in (1, 2, 3):
+            if n > 1:
+                if i + n > len(codes):
+                    break
+                h = ((h ^ n) * 0xBF58476D1CE4E5B9 + codes[i + n - 1] * 0x94D049BB133111EB) % 2**64
+            out[h >> top] = out.get(h >> top, 0) + 1
+    return out
+
+
+def test_language_query_equals_loops(spark, sf):
+    """Features, weights of rarity, prediction, score and temperature of every row of the query, from the trained weights alone."""
+    import math
+    import zlib
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    learned = {(i, t): lang for i, t, lang in docs if zlib.crc32(str(i).encode()) % 4 != 2 and t is not None and lang is not None and any(c.isalpha() for c in t)}
+    df = {}
+    for _, t in learned:
+        for b in plain_grams(t, langid.BUCKETS):
+            df[b] = df.get(b, 0) + 1
+    idf = lambda b: math.log((1 + len(learned)) / (1 + df.get(b, 0))) + 1
+    frame = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(frame.select("doc_id", "text", "lang"), langid.crc_fold("doc_id", 4) != 2)
+    assert model.languages == sorted(set(learned.values()))
+    got = {r.doc_id: r for r in langid.op7(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs[:60]:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 1.0)
+            continue
+        x = {b: math.log1p(n) * idf(b) for b, n in plain_grams(t, langid.BUCKETS).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        z = [(sum(v / norm * model.weights[b][k] for b, v in x.items()) + model.bias[k]) / model.temperature for k in range(len(model.languages))]
+        p = [math.exp(v - max(z)) for v in z]
+        best = max(range(len(z)), key=lambda k: (p[k], -k))
+        assert got[i].lang_pred == model.languages[best] and got[i].score == pytest.approx(p[best] / sum(p), abs=1e-6)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)

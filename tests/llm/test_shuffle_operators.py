@@ -2,6 +2,7 @@
 
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -587,3 +588,37 @@ def test_hot_copies_are_one_row_of_a_sample(spark):
     rows = [(1, "der und mit", "de", "s")] * 400 + [(i, f"the and with {i}", "en", "s") for i in range(2, 30)]
     model = langid.train(documents(spark, rows), F.lit(True), sample=20)
     assert "en" in model.languages
+
+
+def plain_shards(rows, count, share):
+    """Law ``bytes`` by one loop: rows are (doc_id, text, hash of the text); doc_id, size, crc, shard and slot of each."""
+    line = sorted(((h, (i is not None, i or 0), t or "") for i, t, h in rows), key=lambda r: r[:2])
+    sizes = [len(t.encode()) + 1 for _, _, t in line]
+    starts = [sum(sizes[:k]) for k in range(len(sizes))]
+    total, cuts = sum(sizes), []
+    for k in range(1, count):
+        cut = total * k / count
+        for h in {r[0] for r in line}:
+            own = [j for j, r in enumerate(line) if r[0] == h]
+            a, z = starts[own[0]], starts[own[-1]] + sizes[own[-1]]
+            if a < cut < z and z - a <= share * total / count:
+                cut = a if cut - a <= z - cut else z
+        cuts.append(cut)
+    out, filled = [], collections.Counter()
+    for (_, (there, i), t), start, size in zip(line, starts, sizes):
+        shard = sum(c <= start + size / 2 for c in cuts)
+        out.append((i if there else None, size, zlib.crc32(t.encode()), shard, filled[shard]))
+        filled[shard] += 1
+    return out
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_shards_equal_one_loop(spark, share):
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["aä " * rng.randint(0, 40), "copy " * 20, "other copy", None, ""]), "en", "s") for i in range(120)] + [(None, "copy " * 20, "en", "s"), (None, None, "en", "s"), (7, "copy " * 20, "en", "s"), (500, "long " * 3_000, "en", "s")]
+    docs = documents(spark, rows).repartition(7)
+    hashes = [(r.doc_id, r.text, r.h) for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()]
+    got = sorted((tuple(r) for r in sharding.shards(docs, 8, share).collect()), key=str)
+    want = sorted(plain_shards(hashes, 8, share), key=str)
+    # Rows of one id and text stand in any order among themselves.
+    assert got == want
