@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources import ledgers
+from .cutting import kept
 
 #: Statuses in the order of a batch's life; the last four are terminal. "prepared" is before any report.
 STATES = ("prepared", "submitted", "validating", "in_progress", "finalizing", "cancelling", "completed", "failed", "expired", "cancelled")
@@ -130,7 +131,7 @@ def run(tasks: DataFrame, client: Client, path: str, size: int, valid: Column, r
     known = lambda: {e["batch"] for e in ledgers.entries(spark, log)}
     left, done, errors = tasks, [], None
     for attempt in range(1 + retries):
-        requests = _kept(lambda left=left: left.withColumn("batch", F.pmod(F.xxhash64("custom_id"), F.lit(max(1, -(-left.count() // size))))), f"{path}/requests/attempt={attempt}", spark)
+        requests = kept(lambda left=left: left.withColumn("batch", F.pmod(F.xxhash64("custom_id"), F.lit(max(1, -(-left.count() // size))))), f"{path}/requests/attempt={attempt}", spark)
         names = {r[0]: f"a{attempt}-b{r[0]}" for r in requests.select("batch").distinct().collect()}  # a batch has ``size`` requests, so these are few
         if not names:
             break
@@ -163,7 +164,7 @@ def run(tasks: DataFrame, client: Client, path: str, size: int, valid: Column, r
             error = F.when(F.col("r").isNull(), "missing from the batch's results").when(~F.col("r.ok"), F.coalesce("r.error", F.lit("invalid")))
             return joined.withColumns({"content": F.col("r.content"), "error": error}).drop("r")
 
-        results = _kept(collected, f"{path}/results/attempt={attempt}", spark)
+        results = kept(collected, f"{path}/results/attempt={attempt}", spark)
         done.append(results.filter("error IS NULL").drop("error").withColumn("attempts", F.lit(attempt + 1)))
         failed = results.filter("error IS NOT NULL")
         left, errors = failed.drop("content", "error"), failed.select("custom_id", "error")
@@ -174,11 +175,3 @@ def run(tasks: DataFrame, client: Client, path: str, size: int, valid: Column, r
     for d in done:
         whole = whole.unionByName(d)
     return whole, errors if errors is not None else none.select("custom_id", F.lit("").alias("error"))
-
-
-def _kept(make, path: str, spark) -> DataFrame:
-    """A table of a run: read if it is there whole, else made and written."""
-    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)

@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +42,16 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def kept(make: Callable[[], DataFrame], path: str | None, spark: SparkSession) -> DataFrame:
+    """A table that outlives its run: read if it is at ``path`` whole, else made and written there, so that what makes it isn't asked twice. Without a path it is ``cut``."""
+    if path is None:
+        return cut(make())
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[list[str]]:
     """A block whose results are safely written elsewhere before it ends: what ``cut`` writes in it, in this thread, is deleted then; nothing of anyone else's is."""

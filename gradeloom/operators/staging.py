@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cutting import cut
+from .cutting import cut, kept
 from .repairing import budgets
 
 #: From the rows to work on and a budget of tokens to key, response and finish_reason, at most a row a key; a key that it leaves out has no response.
@@ -39,18 +39,6 @@ class Outcome:
     counts: DataFrame
 
 
-def _written(call: Callable[[], DataFrame], folder: str | None, name: str, like: DataFrame) -> DataFrame:
-    """The rows of an attempt, from its folder if they are there whole, else called for and written."""
-    spark = like.sparkSession
-    if folder is None:
-        return cut(call())
-    path = f"{folder}/{name}"
-    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-        call().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def run(rows: DataFrame, stages: list[Stage], accept: Column, key: str = "id", folder: str | None = None) -> Outcome:
     """Runs the stages over ``rows`` (key, response, finish_reason and what effects need), whose own responses ``accept`` has turned down.
 
@@ -79,7 +67,7 @@ def run(rows: DataFrame, stages: list[Stage], accept: Column, key: str = "id", f
                 got = stage.effect(asked, budget).select(key, "response", "finish_reason")
                 return got.select(key, F.lit(step).alias("step"), F.lit(stage.name).alias("stage"), F.lit(budget).alias("budget"), "response", "finish_reason", F.coalesce(accept, F.lit(False)).alias("accepted"))
 
-            got = _written(call, folder, f"step={step:03d}-{stage.name}-{budget}", rows)
+            got = kept(call, folder and f"{folder}/step={step:03d}-{stage.name}-{budget}", spark)
             logs.append(got.select(key, "step", "stage", "budget", "response", "finish_reason", "accepted"))
             last = got.select(key, "accepted", F.coalesce("finish_reason", F.lit("")).alias("now_finish"))
             left = cut(left.join(last, key, "left").filter(~F.coalesce("accepted", F.lit(False))).select(key, F.coalesce("now_finish", "last_finish").alias("last_finish")))

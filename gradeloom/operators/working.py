@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .cutting import kept
+
 #: Seconds before the second and later attempts.
 PAUSES = (2, 5, 10)
 
@@ -21,20 +23,19 @@ def replayed(replies: DataFrame, key: str = "id") -> Effect:
 def attempted(tasks: DataFrame, done: DataFrame, effect: Effect, valid, key: str = "id", retries: int = 3, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Results of tasks that aren't done yet, and the keys that failed every attempt.
 
-    Each attempt runs the effect on what is left. Its results are written to ``folder`` before they are used, so an effect never runs twice
-    for one attempt, whatever is lost; without a folder they are checkpointed.
+    Each attempt runs the effect on what is left. Its results are written to ``folder`` before they are used, and a run over the same folder reads what is there, so
+    an effect never runs twice for one attempt, whatever is lost; without a folder they are written for this run alone.
     """
     spark = tasks.sparkSession
     left, out = tasks.join(done, key, "left_anti"), None
     for attempt in range(1 + retries):
         if left.isEmpty():
             break
-        got = effect(left, attempt).filter(valid).withColumn("attempts", F.lit(attempt + 1))
-        if folder:
-            got.write.mode("overwrite").parquet(f"{folder}/attempt={attempt}")
-            got = spark.read.schema(got.schema).parquet(f"{folder}/attempt={attempt}")
-        else:
-            got = got.checkpoint()
+
+        def call(left=left, attempt=attempt) -> DataFrame:
+            return effect(left, attempt).filter(valid).withColumn("attempts", F.lit(attempt + 1))
+
+        got = kept(call, folder and f"{folder}/attempt={attempt}", spark)
         out = got if out is None else out.unionByName(got)
         left = left.join(got, key, "left_anti")
     if out is None:

@@ -51,3 +51,17 @@ def test_wrong_answers(spark):
     rows = spark.createDataFrame([(["3"], ["3.001"]), (["3"], ["4"]), (["a", "b"], ["A", "b"]), ([""], [])], "g array<string>, f array<string>")
     got = [r[0] for r in rows.select(D.wrong_answer(F.lit("stop"), F.lit(False), F.col("g"), F.col("f"))).collect()]
     assert got == ["rounding", "real-error", "notation", "empty-extracted"]
+
+
+def test_attempts_that_are_written_are_not_made_again(spark, tmp_path):
+    calls = []
+
+    def effect(tasks, attempt):
+        calls.append((attempt, tasks.count()))
+        return tasks.withColumn("answer", F.col("id") % 3 == attempt)
+
+    tasks, none = spark.range(9), spark.range(0)
+    first = working.attempted(tasks, none, effect, F.col("answer"), folder=str(tmp_path / "a"), retries=1)
+    again = working.attempted(tasks, none, effect, F.col("answer"), folder=str(tmp_path / "a"), retries=2)
+    assert calls == [(0, 9), (1, 6), (2, 3)]  # the second run made only what the first hadn't
+    assert (first[0].count(), first[1].count(), again[0].count(), again[1].count()) == (6, 3, 9, 0)
