@@ -16,7 +16,7 @@ from ..operators import splitting as P_
 from . import recipes as R
 from .registry import query, table
 
-_SEVERAL = R.case("doc_id % 7", R.box("' b c '"), R.box("'AG'"), "'Selected: ACE, done'", R.box("'two words'"), "'thus (d) it is'", f"'<think>' || {R.box("'A'")} || '</think> none here'", R.box("doc_id"))
+_SEVERAL = f"{R.OWN} || " + R.case("doc_id % 7", R.box("' b c '"), R.box("'AG'"), "'Selected: ACE, done'", R.box("'two words'"), "'thus (d) it is'", f"'<think>' || {R.box("'A'")} || '</think> none here'", R.box("doc_id"))
 
 
 @query("multi_letters", rf"""

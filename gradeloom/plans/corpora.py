@@ -75,7 +75,7 @@ def announced_final(spark, d):
     return table(spark, d, "documents").select("doc_id", C.announced_final(F.expr(_SOLUTION)).alias("final"))
 
 
-_WORKED = f"'Add ' || doc_id || ' and' || chr(13) || chr(10) || '2 to get ' || {R.box("'x^{' || doc_id || '}'")} || '.' || CASE doc_id % 3 WHEN 0 THEN ' Therefore the total is (x) ' || doc_id || '.' WHEN 1 THEN ' It is nice.' ELSE '' END || chr(10) || '#### ' || doc_id"
+_WORKED = f"{R.OWN} || 'Add ' || doc_id || ' and' || chr(13) || chr(10) || '2 to get ' || {R.box("'x^{' || doc_id || '}'")} || '.' || CASE doc_id % 3 WHEN 0 THEN ' Therefore the total is (x) ' || doc_id || '.' WHEN 1 THEN ' It is nice.' ELSE '' END || chr(10) || '#### ' || doc_id"
 
 
 @query("solution_reasoning", rf"""

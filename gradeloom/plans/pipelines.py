@@ -129,7 +129,7 @@ def boxes_deep(spark, d):
     return rows.select("n_nationkey", F.array_join(A.last_box_group(F.col("response")), "|").alias("answers"))
 
 
-_REWARDED = f"'work FINAL_ANSWERS: ' || {R.box("doc_id || '.5'")} || CASE WHEN doc_id % 3 = 0 THEN ' so' ELSE '' END"
+_REWARDED = f"{R.OWN} || 'work FINAL_ANSWERS: ' || {R.box("doc_id || '.5'")} || CASE WHEN doc_id % 3 = 0 THEN ' so' ELSE '' END"
 _REWARD_GOLD = "doc_id || CASE WHEN doc_id % 2 = 0 THEN '.50' ELSE '.75' END"
 
 

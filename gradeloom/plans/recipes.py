@@ -6,6 +6,8 @@ operator finds in it is then found once more by the other engine's own regular e
 
 from __future__ import annotations
 
+#: The beginning of a row's own text, on one line, before what a recipe adds.
+OWN = "replace(left(text, 60), chr(10), ' ') || ' '"
 _INNER = r"[^{}]"
 for _ in range(7):
     _INNER = rf"(?:[^{{}}]|\{{{_INNER}*\}})"

@@ -51,7 +51,7 @@ def _made(spark, d, recipe, name="documents", key="doc_id"):
     return table(spark, d, name).select(key, F.expr(recipe).alias("response"))
 
 
-_BOXED = f"'<think>' || {R.box("'0'")} || '</think> so ' || {R.box("'1'")} || ' then ' || {R.box("'x^{' || doc_id || '}'")} || " + R.case("doc_id % 4", "''", f"' and ' || {R.box("' '")}", "' open ' || chr(92) || 'boxed{9'", f"', ' || {R.box("'a{b{c{d{e{' || doc_id || '}}}}}'")}")
+_BOXED = f"{R.OWN} || '<think>' || {R.box("'0'")} || '</think> so ' || {R.box("'1'")} || ' then ' || {R.box("'x^{' || doc_id || '}'")} || " + R.case("doc_id % 4", "''", f"' and ' || {R.box("' '")}", "' open ' || chr(92) || 'boxed{9'", f"', ' || {R.box("'a{b{c{d{e{' || doc_id || '}}}}}'")}")
 
 
 @query("boxed_last", f"SELECT doc_id, {R.last_box('response')} AS last FROM (SELECT doc_id, {_BOXED} AS response FROM documents)")
@@ -59,7 +59,7 @@ def boxed_last(spark, d):
     return _made(spark, d, _BOXED).select("doc_id", A.last_box(F.col("response")).alias("last"))
 
 
-_GROUPED = f"'first ' || {R.box("'q'")} || ' and so ' || {R.box('doc_id')} || {R.case('doc_id % 3', "', ; '", "' but '", "' & '")} || {R.box('doc_id + 1')} || ' $,' || chr(10) || {R.box("'{z}'")} || ' done'"
+_GROUPED = f"{R.OWN} || 'first ' || {R.box("'q'")} || ' and so ' || {R.box('doc_id')} || {R.case('doc_id % 3', "', ; '", "' but '", "' & '")} || {R.box('doc_id + 1')} || ' $,' || chr(10) || {R.box("'{z}'")} || ' done'"
 
 
 @query("boxed_group", f"SELECT doc_id, array_to_string({R.last_group('response')}, '|') AS answers FROM (SELECT doc_id, {_GROUPED} AS response FROM documents)")
@@ -77,7 +77,7 @@ def split_commas(spark, d):
 
 
 _LETTER = "chr(CAST(65 + doc_id % 6 AS INT))"
-_LETTERED = R.case("doc_id % 6", f"'The correct option is ' || {_LETTER} || '.'", f"'<think>maybe ' || {R.box("'E'")} || '</think>' || {R.box(f"' ' || lower({_LETTER}) || ' '")}", f"'it is ' || {_LETTER} || ' I'", f"'so ' || {R.box("'two words'")}", f"'Answer is b; no, choice (' || {_LETTER} || ') it is'", "'nothing said'")
+_LETTERED = f"{R.OWN} || " + R.case("doc_id % 6", f"'The correct option is ' || {_LETTER} || '.'", f"'<think>maybe ' || {R.box("'E'")} || '</think>' || {R.box(f"' ' || lower({_LETTER}) || ' '")}", f"'it is ' || {_LETTER} || ' I'", f"'so ' || {R.box("'two words'")}", f"'Answer is b; no, choice (' || {_LETTER} || ') it is'", "'nothing said'")
 _BROAD_SQL = r"(?i)(?:correct\s+option\s+is|correct\s+answer\s+is|answer\s+is|therefore|thus|hence|i\s+choose|choose|selected|option|choice)\s*[:\s]*\(?([A-Z])\)?\b"
 
 
@@ -100,7 +100,7 @@ def gsm_final(spark, d):
     return _made(spark, d, _WORKED).select("doc_id", X.marked_final(F.col("response")).alias("final"))
 
 
-_ANNOUNCED = R.case("doc_id % 7", f"'Say ' || {R.box("'1'")} || '. Therefore ' || {R.box('doc_id')} || '.'", "'The answer is $' || doc_id || '$.'", "'we get 3 and ' || doc_id || '5 apples'", "'steps' || chr(10) || '#### answer: ' || doc_id", "'so ' || doc_id || ' is the ans'", "'we see $x+' || doc_id || '$ and so on'", "'1,' || doc_id || '00.5'")
+_ANNOUNCED = f"{R.OWN} || " + R.case("doc_id % 7", f"'Say ' || {R.box("'1'")} || '. Therefore ' || {R.box('doc_id')} || '.'", "'The answer is $' || doc_id || '$.'", "'we get 3 and ' || doc_id || '5 apples'", "'steps' || chr(10) || '#### answer: ' || doc_id", "'so ' || doc_id || ' is the ans'", "'we see $x+' || doc_id || '$ and so on'", "'1,' || doc_id || '00.5'")
 
 
 @query("explicit_answer", rf"""
@@ -126,7 +126,7 @@ def length_reward(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(G.length_reward(response), 6).alias("reward"))
 
 
-_SHAPED = R.case("doc_id % 7", f"'work FINAL_ANSWERS: ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')} || ' so'", f"{R.box('doc_id')} || ' and ' || {R.box('doc_id + 1')}", f"{R.box('doc_id')} || ' final_answers : ' || {R.box("'1, ' || doc_id")}", f"'Final_Answers: ' || {R.box("'1'")} || {R.box("'2'")}", "'nothing ' || doc_id")
+_SHAPED = f"{R.OWN} || " + R.case("doc_id % 7", f"'work FINAL_ANSWERS: ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')}", f"'work ' || {R.box('doc_id')} || ' so'", f"{R.box('doc_id')} || ' and ' || {R.box('doc_id + 1')}", f"{R.box('doc_id')} || ' final_answers : ' || {R.box("'1, ' || doc_id")}", f"'Final_Answers: ' || {R.box("'1'")} || {R.box("'2'")}", "'nothing ' || doc_id")
 
 
 def format_sql(response: str, shape: str) -> str:
@@ -161,7 +161,7 @@ def mcq_route_variants(spark, d):
     return rows.select("doc_id", *(A.mcq_variant(v, F.col("q"), F.col("o"), F.col("g")).alias(f"{v}_") for v in A.MCQ_VARIANTS), A.expected_answers(F.col("q")).alias("expected"))
 
 
-_FOUND = f"{R.case('doc_id % 11', "'none ' || doc_id", R.box('doc_id'), R.box("'12'"), R.box("'F'"), R.box("'(1,' || doc_id || '),3'"), R.box("'B'"), R.box('doc_id'))} || CASE WHEN doc_id % 11 = 8 THEN ' <think>x</think>' ELSE '' END || CASE WHEN doc_id % 11 = 9 THEN '' ELSE ' FINAL_ANSWERS: done' END"
+_FOUND = f"{R.OWN} || {R.case('doc_id % 11', "'none ' || doc_id", R.box('doc_id'), R.box("'12'"), R.box("'F'"), R.box("'(1,' || doc_id || '),3'"), R.box("'B'"), R.box('doc_id'))} || CASE WHEN doc_id % 11 = 8 THEN ' <think>x</think>' ELSE '' END || CASE WHEN doc_id % 11 = 9 THEN '' ELSE ' FINAL_ANSWERS: done' END"
 #: Beside the response: finish, number of options, blanks, and whether the row was repaired, came from a fallback, is invalid.
 _STATE = {"finish": "CASE WHEN doc_id % 13 = 1 THEN 'Length' ELSE 'stop' END", "options": "CASE WHEN doc_id % 11 IN (2, 3, 5) THEN 4 ELSE 0 END", "blanks": "CASE WHEN doc_id % 11 = 4 THEN 2 + doc_id % 2 ELSE 1 END", "repaired": "doc_id % 5 = 0", "fallback": "doc_id % 7 = 0", "invalid": "doc_id % 3 = 0"}
 
@@ -228,7 +228,7 @@ def rounding_violation(spark, d):
     return rows.select("p_partkey", *(X.violates_rounding(F.col("a"), F.lit(i)).alias(n) for i, n in enumerate(("whole", "one", "two"))))
 
 
-_STRATUM = f"repeat('[ANS] ', CAST(doc_id % 8 AS INT)) || {R.case('doc_id % 5', "'the probability'", "'the value'", "'to the nearest'", "'any'", "'a Percentage of'")}"
+_STRATUM = f"{R.OWN} || repeat('[ANS] ', CAST(doc_id % 8 AS INT)) || {R.case('doc_id % 5', "'the probability'", "'the value'", "'to the nearest'", "'any'", "'a Percentage of'")}"
 _STYLED = R.case("doc_id % 7", "doc_id || '*3'", "'cat'", "CAST(doc_id AS STRING)", "'sqrt(' || doc_id || ')'", "doc_id || '.5'", "'x = 1'", "'12 a'")
 
 
