@@ -42,6 +42,11 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame, least: int = 32) -> DataFrame:
+    """Rows dealt over four tasks a core, ``least`` at least, before work that costs much a row: a file of few row groups is read by as few tasks, however many rows it has."""
+    return rows.repartition(max(least, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def kept(make: Callable[[], DataFrame], path: str | None, spark: SparkSession) -> DataFrame:
     """A table that outlives its run: read if it is at ``path`` whole, else made and written there, so that what makes it isn't asked twice. Without a path it is ``cut``."""
     if path is None:

@@ -13,6 +13,7 @@ from ..operators import joining as J
 from ..operators import judging, repairing
 from ..operators import scoring as S
 from ..operators import splitting as P_
+from ..operators.cutting import spread
 from . import recipes as R
 from .registry import query, table
 
@@ -61,7 +62,7 @@ _TYPED = "'{' || l_partkey || ', [1, 2' || ')' || ']}, ' || chr(92) || '(x, ' ||
 WITH q AS (SELECT l_orderkey, l_linenumber, {_TYPED} AS t FROM lineitem), h AS (SELECT *, regexp_extract(t, '^(\{{.*\}})', 1) AS first, regexp_replace(t, '^\{{.*\}},', '') AS rest FROM q)
 SELECT l_orderkey, l_linenumber, array_to_string(list_filter(list_concat([first], list_transform(string_split(rest, ','), lambda x: trim(x))), lambda x: x <> ''), '|') AS items FROM h""")
 def typed_split(spark, d):
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(judging.typed_split(F.expr(_TYPED)), "|").alias("items"))
+    return spread(table(spark, d, "lineitem")).select("l_orderkey", "l_linenumber", F.array_join(judging.typed_split(F.expr(_TYPED)), "|").alias("items"))
 
 
 _LISTED = R.box("p_partkey || ', -4'")
@@ -70,7 +71,7 @@ _LIST_GOLD = "'(' || (p_partkey + p_partkey % 2) || ', -4)'"
 
 @query("free_score", rf"SELECT p_partkey, list_transform(string_split({R.last_box(_LISTED)}, ','), lambda x: trim(x)) = list_transform(string_split(trim({_LIST_GOLD}, '()'), ','), lambda x: trim(x)) AS ok FROM part")
 def free_score(spark, d):
-    return table(spark, d, "part").select("p_partkey", judging.free_scored(F.expr(_LISTED), F.array(F.expr(_LIST_GOLD))).alias("ok"))
+    return spread(table(spark, d, "part")).select("p_partkey", judging.free_scored(F.expr(_LISTED), F.array(F.expr(_LIST_GOLD))).alias("ok"))
 
 
 _PAIR = {"boxed": R.case("p_partkey % 4", "p_partkey || '.0'", "'Paris'", "'AB' || chr(67)", "CAST(p_partkey AS STRING)"), "gold": R.case("p_partkey % 4", "CAST(p_partkey + p_partkey % 3 AS STRING)", "'PARIS'", "'CBA'", "CAST(p_partkey AS STRING)"), "type": R.case("p_partkey % 4", "'NV'", "'TXT'", "'MCM'", "CASE WHEN p_partkey % 8 = 3 THEN 'XX' ELSE 'NV' END")}
@@ -81,7 +82,7 @@ WITH q AS (SELECT p_partkey, {R.last_box(R.box(_PAIR['boxed']))} AS a, {_PAIR['g
 SELECT p_partkey, CASE t WHEN 'NV' THEN g <> '0' AND CAST(a AS DOUBLE) = CAST(g AS DOUBLE) WHEN 'TXT' THEN lower(a) = lower(g) WHEN 'MCM' THEN list_sort(string_split(a, '')) = list_sort(string_split(g, '')) ELSE false END AS ok FROM q""")
 def typed_judge(spark, d):
     # A gold answer of "0" reads as False, as scores depend on, so no number matches it.
-    return table(spark, d, "part").select("p_partkey", judging.typed_judged(F.expr(R.box(_PAIR["boxed"])), F.array(F.expr(_PAIR["gold"])), F.array(F.expr(_PAIR["type"]))).alias("ok"))
+    return spread(table(spark, d, "part")).select("p_partkey", judging.typed_judged(F.expr(R.box(_PAIR["boxed"])), F.array(F.expr(_PAIR["gold"])), F.array(F.expr(_PAIR["type"]))).alias("ok"))
 
 
 _CANDIDATE = R.case("p_partkey % 3", "p_partkey || '/4'", "' ' || p_partkey || ' '", "'none of them'")
@@ -93,7 +94,7 @@ WITH q AS (SELECT p_partkey, trim({_CANDIDATE}) AS c, list_transform(string_spli
 n AS (SELECT *, TRY_CAST(split_part(c, '/', 1) AS DOUBLE) / CASE WHEN contains(c, '/') THEN 4 ELSE 1 END AS x FROM q)
 SELECT p_partkey, CAST(coalesce(list_position(list_transform(v, lambda y: abs(y - x) <= 1e-8 * abs(y)), true), 0) AS INTEGER) AS number FROM n""")
 def option_by_value(spark, d):
-    return table(spark, d, "part").select("p_partkey", judging.option_of(F.expr(_CANDIDATE), F.split(F.expr(_VALUES), r"\|")).alias("number"))
+    return spread(table(spark, d, "part")).select("p_partkey", judging.option_of(F.expr(_CANDIDATE), F.split(F.expr(_VALUES), r"\|")).alias("number"))
 
 
 _OWN_GOLD = R.case("o_orderkey % 4", "CAST(o_orderkey AS STRING)", "'1, ' || o_orderkey", "'(1, ' || o_orderkey || ')'", "'x+' || o_orderkey")
@@ -101,7 +102,7 @@ _OWN_GOLD = R.case("o_orderkey % 4", "CAST(o_orderkey AS STRING)", "'1, ' || o_o
 
 @query("self_check", f"SELECT o_orderkey, CASE WHEN len({R.split(_OWN_GOLD)}) <> 1 THEN 'judge_count_mismatch' ELSE '' END AS flags FROM orders")
 def self_check(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.array_join(judging.self_check(F.array(F.expr(_OWN_GOLD)), F.lit("")), "|").alias("flags"))
+    return spread(table(spark, d, "orders")).select("o_orderkey", F.array_join(judging.self_check(F.array(F.expr(_OWN_GOLD)), F.lit("")), "|").alias("flags"))
 
 
 _REPLY = {"error": R.case("o_orderkey % 5", "'correct'", "'truncated'", "'no_answer'", "'wrong'", "'count_mismatch'"), "reply_error": R.case("o_orderkey % 3", "'correct'", "'truncated'", "'wrong'")}

@@ -73,3 +73,24 @@ def test_equations(a, b, ok):
 def test_equal_parts_are_one_node():
     f, _ = E.parsed("(x+1)^2+(x+1)^3")
     assert f[1][1] is f[2][1]
+
+
+def test_differences_end_at_the_first_point(monkeypatch):
+    """Words against numbers were evaluated at all 24 points, for each option and reading."""
+    met = []
+    monkeypatch.setattr(E, "_value", lambda node, point, value=E._value: met.append(point) or value(node, point))
+    assert not E.same("sin x + 7113", "7114")
+    assert len(met) == 2
+
+
+@pytest.mark.parametrize("a, b", [("sqrt(-x)", "x"), ("ln(x)", "ln(x)+i"), ("sqrt(x)^2", "x"), ("i", "e"), ("1/(x-x)", "sin x"), ("sqrt(-x)sqrt(-x)", "-x"), ("abs(x)", "x")])
+def test_points_one_at_a_time_agree_with_all(a, b):
+    pairs = E.together(a, b)
+    assert E.agree(a, b, 1e-8) == (bool(pairs) and all(E.close(x, y) for x, y in pairs))
+
+
+@pytest.mark.parametrize("a, b", [("3", "4"), ("0.000001", "0.0000014"), ("0", "0.0000001"), ("-0", "0"), ("5", "5.00000001"), ("100", "100.0002"), ("1e3", "1000")])
+def test_plain_numbers_that_are_far(a, b):
+    kinds = [judging.numeric, E.same]
+    assert not judging.far(a, b) or not any(k(a, b) for k in kinds)
+    assert judging.far("3", "4") and not judging.far("0.000001", "0.0000014")
