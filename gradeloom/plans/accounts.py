@@ -10,6 +10,7 @@ from ..operators import grading as G
 from ..operators import judging
 from ..operators import reconciling
 from ..operators import scoring as S
+from ..operators.cutting import spread
 from . import recipes as R
 from .registry import query, table
 from .series import _PRICES, _STEPS, _intervals
@@ -118,4 +119,4 @@ SELECT p_partkey, CASE WHEN regexp_matches(upper(box), '^[A-E]+$') THEN upper(bo
 def letters_by_value(spark, d):
     """Letters of responses whose boxes hold an option's value, not its text."""
     options = F.array(*(F.lit(x) for x in ("\\frac{1}{2}", "\\frac{3}{2}", "5/2", "3.5", "4.5")))
-    return table(spark, d, "part").select("p_partkey", judging.letters_by_value(F.expr(_CHOSEN), options).alias("letters"))
+    return spread(table(spark, d, "part")).select("p_partkey", judging.letters_by_value(F.expr(_CHOSEN), options).alias("letters"))
