@@ -42,6 +42,11 @@ def cut(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def many(rows: DataFrame) -> DataFrame:
+    """Rows that a join must shuffle, as they may be many: a cut table's files say little of its size, as keys and flags are a byte a row or less there, and Spark would broadcast millions."""
+    return rows.hint("shuffle_merge")
+
+
 def spread(rows: DataFrame, least: int = 32) -> DataFrame:
     """Rows dealt over four tasks a core, ``least`` at least, before work that costs much a row: a file of few row groups is read by as few tasks, however many rows it has."""
     return rows.repartition(max(least, 4 * rows.sparkSession.sparkContext.defaultParallelism))

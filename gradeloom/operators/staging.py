@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .cutting import cut, kept
+from .cutting import cut, kept, many
 from .repairing import budgets
 
 #: From the rows to work on and a budget of tokens to key, response and finish_reason, at most a row a key; a key that it leaves out has no response.
@@ -52,7 +52,7 @@ def run(rows: DataFrame, stages: list[Stage], accept: Column, key: str = "id", f
     for stage in stages:
         for budget in budgets(stage.budget, stage.cap) if stage.cap else [stage.budget]:
             step += 1
-            asked = rows.join(left, key)
+            asked = rows.join(many(left), key)
             if stage.only is not None:
                 asked = asked.filter(stage.only)
             if stage.cap:
@@ -70,7 +70,7 @@ def run(rows: DataFrame, stages: list[Stage], accept: Column, key: str = "id", f
             got = kept(call, folder and f"{folder}/step={step:03d}-{stage.name}-{budget}", spark)
             logs.append(got.select(key, "step", "stage", "budget", "response", "finish_reason", "accepted"))
             last = got.select(key, "accepted", F.coalesce("finish_reason", F.lit("")).alias("now_finish"))
-            left = cut(left.join(last, key, "left").filter(~F.coalesce("accepted", F.lit(False))).select(key, F.coalesce("now_finish", "last_finish").alias("last_finish")))
+            left = cut(many(left).join(many(last), key, "left").filter(~F.coalesce("accepted", F.lit(False))).select(key, F.coalesce("now_finish", "last_finish").alias("last_finish")))
             answered, taken, short = last.agg(F.count("*"), F.count_if("accepted"), F.count_if(~F.col("accepted") & (F.lower("now_finish") == CUT_OFF))).first()
             now = left.count()
             counts.append((step, stage.name, budget, n, answered, taken, short, now))
@@ -83,7 +83,7 @@ def run(rows: DataFrame, stages: list[Stage], accept: Column, key: str = "id", f
         for more in logs[1:]:
             attempts = attempts.unionByName(more)
     won = attempts.groupBy(key).agg(F.max_by(F.struct("response", "stage", "budget"), F.when(F.col("accepted"), F.col("step"))).alias("__won"), F.count("*").alias("__n"))
-    joined = rows.join(won, key, "left")
+    joined = rows.join(many(won), key, "left")
     whole = joined.select(
         *(c for c in rows.columns if c not in ("response", "finish_reason")), F.when(F.col("__won").isNotNull(), F.col("__won.response")).otherwise(F.col("response")).alias("response"),
         F.coalesce("__won.stage", F.lit("none")).alias("stage"), F.col("__won.budget").alias("budget"), F.coalesce("__n", F.lit(0)).alias("attempts"),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .cutting import kept
+from .cutting import kept, many
 
 #: Seconds before the second and later attempts.
 PAUSES = (2, 5, 10)
@@ -37,7 +37,7 @@ def attempted(tasks: DataFrame, done: DataFrame, effect: Effect, valid, key: str
 
         got = kept(call, folder and f"{folder}/attempt={attempt}", spark)
         out = got if out is None else out.unionByName(got)
-        left = left.join(got, key, "left_anti")
+        left = left.join(many(got), key, "left_anti")
     if out is None:
         out = effect(left, 0).filter("false").withColumn("attempts", F.lit(0))
     return out, left.select(key)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import batches, staging
+from gradeloom.operators import batches, cutting, staging
 
 def accept():
     return F.col("response").startswith("ok")
@@ -176,3 +176,16 @@ def test_a_batch_run_that_stops_goes_on(spark, tmp_path):
     assert {r.custom_id: r.attempts for r in done.collect()} == {f"r{n}": settled(n) + 1 for n in range(60) if settled(n) is not None}
     with pytest.raises(batches.TimedOut):
         batches.run(tasks_of(spark), Fake(), str(tmp_path / "other"), 25, valid, polls=1)
+
+
+def test_what_is_left_is_shuffled(spark, monkeypatch):
+    """Keys and flags are a byte a row in a cut table's files; by their size Spark broadcast millions of rows through the driver."""
+    plans = []
+    seen = lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or cutting.cut(rows)
+    monkeypatch.setattr(staging, "cut", seen)
+    rows = spark.range(1_000).select("id", F.lit("cut").alias("response"), F.lit("length").alias("finish_reason"))
+    effect = lambda asked, budget: asked.filter(f"id % 4 < {budget}").select("id", F.lit("ok").alias("response"), F.lit("length").alias("finish_reason"))
+    out = staging.run(rows, [staging.Stage("one", effect, 1), staging.Stage("two", effect, 2)], F.col("response") == "ok")
+    plans.append(out.rows._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) >= 5 and not any("Broadcast" in p for p in plans)
+    assert [r["left"] for r in out.counts.orderBy("step").collect()] == [750, 500]
