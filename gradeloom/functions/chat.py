@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,6 +54,8 @@ SPAN = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Stru
 def character_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First character of each token and the one behind its last, from tokens' lengths in bytes."""
     raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    if not len(raw) and not len(lengths):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     ends = np.cumsum(lengths)
     if (len(ends) and ends[-1] != len(raw)) or (np.asarray(lengths) < 1).any():
         raise ValueError(f"tokens of {int(ends[-1]) if len(ends) else 0} bytes for a text of {len(raw)}")
@@ -60,12 +63,27 @@ def character_spans(text: str, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return character[ends - lengths], character[ends - 1] + 1
 
 
-@F.pandas_udf(SPAN)
-def token_spans(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Column function: ``character_spans`` of texts and arrays of lengths; null texts and arrays are empty."""
+#: Tokens whose spans leave a task at a time, or those of one text.
+TOKENS = 1_000_000
+
+
+def spans_of(texts: pa.Array, lengths: pa.Array) -> pa.Array:
+    """``character_spans`` of texts and arrays of lengths, null ones empty, as an array of arrays; tokens stay numbers in columns and are never objects."""
+    none = np.empty(0, np.int64)
+    sizes, tokens = pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False), [n.values for n in lengths]
+    found = [character_spans(t.as_py() or "", none if n is None else n.to_numpy(zero_copy_only=False).astype(np.int64)) for t, n in zip(texts, tokens, strict=True)]
+    edges = (pa.array(np.concatenate([none, *(f[side] for f in found)]).astype(np.int32)) for side in (0, 1))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.StructArray.from_arrays(list(edges), ["start", "end"]))
+
+
+@F.arrow_udf(SPAN)
+def token_spans(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Column function: ``character_spans`` of texts and arrays of lengths; null texts and arrays are empty. Spans leave by ``TOKENS`` at most, however many a batch of rows has."""
     for text, lengths in parts:
-        found = (character_spans(t or "", np.asarray(n if n is not None else [], np.int64)) if t or (n is not None and len(n)) else ((), ()) for t, n in zip(text, lengths, strict=True))
-        yield pd.Series([[{"start": int(a), "end": int(z)} for a, z in zip(*f, strict=True)] for f in found])
+        block = np.cumsum(pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False)) // TOKENS
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(text)]
+        for a, z in zip(cuts, cuts[1:], strict=False):
+            yield spans_of(text.slice(a, z - a), lengths.slice(a, z - a))
 
 
 def labels(ids: Column, token_spans_: Column, start: Column, most: int | None = None) -> Column:

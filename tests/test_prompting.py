@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -96,3 +97,14 @@ def test_rows_and_masks(spark, last):
             want.append(i if owner[at] >= r.start else C.IGNORED)
             at += n
         assert r.labels == want and r.n == sum(x != C.IGNORED for x in want)
+
+
+def test_spans_stay_columns(spark, monkeypatch):
+    """Spans of a batch of rows were a dict a token (some gigabytes for 10,000 documents) and left all at once."""
+    monkeypatch.setattr(C, "TOKENS", 10)
+    texts = ["abc", None, "", "öä" * 6, "x" * 25, "y"]
+    lengths = [[1, 2], None, [], [1] * 24, [1] * 25, [1]]
+    out = list(C.token_spans.func(iter([(pa.array(texts, pa.string()), pa.array(lengths, pa.list_(pa.int32())))])))
+    assert all(isinstance(o, pa.ListArray) for o in out) and len(out) > 2
+    got = [x for o in out for x in o.to_pylist()]
+    assert got == [[{"start": 0, "end": 1}, {"start": 1, "end": 3}], [], [], [{"start": i // 2, "end": i // 2 + 1} for i in range(24)], [{"start": i, "end": i + 1} for i in range(25)], [{"start": 0, "end": 1}]]
