@@ -126,19 +126,22 @@ def top_level_split(c: Column) -> Column:
 AHEAD, BEHIND = ("answer is", "answer:", "answer :"), ("is the ans", "is our ans")
 
 
-def explicit_answer(c: Column) -> Column:
-    """The answer that a text announces: after "herefore", after a marker, then a box, what stands before "is the ans", or after a phrase; null if none."""
+def explicit_answer(c: Column, behind: tuple[str, ...] = BEHIND, first: bool = False) -> Column:
+    """The answer that a text announces: after "herefore", after a marker, then a box, what stands before a phrase of ``behind``, or after another phrase; null if none.
+
+    Where a phrase of ``behind`` stands several times, the answer is before the last one, or, with ``first``, before the first.
+    """
     text = F.substring_index(F.regexp_replace(c, r"[\s,.:;!?=\\]+$", ""), "herefore", -1)
     text = F.substring_index(F.substring_index(text, "#### ", -1), "# Answer\n\n", -1)
-    return once(F.trim(text), _explicit_answer)
+    return once(F.trim(text), lambda t: _explicit_answer(t, behind, first))
 
 
-def _explicit_answer(text: Column) -> Column:
+def _explicit_answer(text: Column, behind: tuple[str, ...], first: bool) -> Column:
     group = last_box_group(after_think(text))
     boxed = F.when(F.size(group) > 0, F.array_join(group, ", ")).otherwise(F.coalesce(F.nullif(last_box(text), F.lit("")), text))
     out = F.when(text.contains("oxed{"), boxed)
-    for phrase in BEHIND:
-        before = F.trim(F.element_at(F.split(text, phrase, -1), -2))
+    for phrase in behind:
+        before = F.trim(F.substring_index(text, phrase, 1) if first else F.element_at(F.split(text, phrase, -1), -2))
         out = out.when(text.contains(phrase), F.trim(F.regexp_extract(before, r"([^,.]*)$", 1)))
     for phrase in AHEAD:
         out = out.when(text.contains(phrase), F.regexp_replace(F.trim(F.substring_index(text, phrase, -1)), r"^\$(.*)\$$", "$1"))
@@ -157,9 +160,9 @@ def last_number(c: Column) -> Column:
     return F.coalesce(F.get(found, F.size(found) - 1), F.lit(""))
 
 
-def extracted_answer(c: Column) -> Column:
+def extracted_answer(c: Column, behind: tuple[str, ...] = BEHIND, first: bool = False) -> Column:
     """The announced answer, else the last formula, else the last number."""
-    return F.coalesce(explicit_answer(c), F.nullif(last_formula(c), F.lit("")), last_number(c))
+    return F.coalesce(explicit_answer(c, behind, first), F.nullif(last_formula(c), F.lit("")), last_number(c))
 
 
 #: What announces a letter, broadly and narrowly.

@@ -276,3 +276,18 @@ def test_judge_pairs(box, gold, ok):
     from gradeloom.operators import judging
 
     assert judging.judge(f"so \\boxed{{{box}}}", gold) is ok
+
+
+def test_documents_that_hold_a_phrase_equal_the_sql(spark, tmp_path):
+    """A document's own words, made of syllables, can hold "is the ans"; the query took what stands between two of these, its SQL what stands before the first."""
+    import duckdb
+
+    own = ["ateror this the ansttionea erbleo", "3, is the ans. is the answ", "this our anst 5", "plain $x$ words", ""]
+    rows = [(7 * n + k, t, len(t)) for n, t in enumerate(own) for k in range(7)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars int").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.answer for r in catalogue.QUERIES["explicit_answer"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == dict(db.execute(catalogue.ORACLES["explicit_answer"]).fetchall())
+    text = spark.range(1).select(A.explicit_answer(F.lit("this the anst so 4 is the ans")).alias("a"))
+    assert text.first().a == "t so 4"
