@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import postings
-from .cutting import cut
+from .cutting import cut, spread
 from .splitting import quantiles
 
 
@@ -75,30 +79,83 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors that are broadcast at a time.
-BLOCK = 1_000
+#: Query vectors that go to the tasks at a time, and rows that are compared with them at once.
+BLOCK, ROWS = 1_000, 2_000
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, added up from the first component on, as ``dot`` does."""
+    out = np.zeros(len(a))
+    for i in range(a.shape[1]):
+        out += a[:, i] * b[:, i]
+    return out
+
+
+def best_of(rows: tuple[np.ndarray, np.ndarray, np.ndarray], asked: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, ids of rows and cosines (each: ids, vectors, norms) that hold each query's k best by rounded cosine, smaller ids first.
+
+    Products of matrices, whose last bits depend on the order of sums, only say which pairs can be among them; those are computed in order. Of equal cosines, as copies have, the k smallest ids stay.
+    """
+    (ids, x, n), (own, q, qn) = rows, asked
+    margin = 2.0 * 10.0**-digits  # twice what rounding and the order of sums can move
+    with np.errstate(all="ignore"):
+        rough = (q @ x.T) / (qn[:, None] * n[None, :])
+    rough[np.isnan(rough)] = np.inf  # what isn't a number ranks first
+    rough[own[:, None] == ids[None, :]] = -np.inf
+    least = np.partition(rough, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(own), -np.inf)
+    at, row = np.nonzero((rough >= (least - margin)[:, None]) & (rough > -np.inf))
+    cosine = np.concatenate([np.empty(0), *(_in_order(x[r], q[a]) / (n[r] * qn[a]) for a, r in ((at[z : z + ROWS], row[z : z + ROWS]) for z in range(0, len(at), ROWS)))])
+    order = np.lexsort((ids[row], -cosine, at))
+    at, row, cosine = at[order], row[order], cosine[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | ((cosine[1:] != cosine[:-1]) & ~(np.isnan(cosine[1:]) & np.isnan(cosine[:-1])))
+    first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    keep = np.arange(len(at)) - first < k
+    return at[keep], ids[row[keep]], cosine[keep]
 
 
 def cosine_top_k(vectors: DataFrame, is_query: Column, k: int, digits: int = 5, block: int = BLOCK) -> DataFrame:
     """The k nearest rows (vec_id, embedding) of each query by cosine, the query itself left out.
 
-    Queries are counted first and dealt by a hash of their ids into broadcast blocks of about ``block``; beyond one, each block's result is cut before the next.
-    For exact search over many queries use an index; this compares each query with each row.
+    Queries are counted first and dealt by a hash of their ids into broadcast blocks of about ``block``; beyond one, each block's result is cut before the next. Tasks multiply blocks of rows with
+    the queries and give a few rows a query and block, which a window ranks. For exact search over many queries use an index; this compares each query with each row.
     """
-    unit = vectors.select("vec_id", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).filter("norm > 0")
-    asked = unit.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("norm").alias("qn"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    unit = vectors.select("vec_id", x.alias("x"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).filter("norm > 0")
+    asked = unit.filter(is_query)
     blocks = max(1, -(-asked.count() // block))
     order = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "candidate_id")
+    context = vectors.sparkSession.sparkContext
+    there = spread(vectors).select("vec_id", x.alias("x"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("norm")).filter("norm > 0")
+    there = cut(there) if blocks > 1 else there
     done = None
     for i in range(blocks):
-        pairs = unit.join(F.broadcast(asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)), F.col("vec_id") != F.col("query_id"))
-        scored = pairs.select("query_id", F.col("vec_id").alias("candidate_id"), F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("qn")), digits).alias("cosine"))
+        mine = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).toArrow()  # a block of queries
+        shipped = context.broadcast(_matrix(mine.combine_chunks().to_batches()[0]) if mine.num_rows else None)
+
+        def search(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            if shipped.value is None:
+                return
+            own = shipped.value
+            for b in batches:
+                for z in range(0, b.num_rows, ROWS):
+                    at, ids, cosine = best_of(_matrix(b.slice(z, ROWS)), own, k, digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[0][at]), pa.array(ids), pa.array(cosine)], ["query_id", "candidate_id", "cosine"])
+
+        scored = there.mapInArrow(search, "query_id long, candidate_id long, cosine double").withColumn("cosine", F.round("cosine", digits))
         found = scored.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "candidate_id", "cosine")
         found = cut(found) if blocks > 1 else found
         done = found if done is None else done.unionAll(found)
     return done
 
 
+def _matrix(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, vectors and norms of a batch that has rows; its vectors are of one length."""
+    if len(b.column(1).value_lengths().unique()) > 1:
+        raise ValueError("vectors of several lengths")
+    return b.column(0).to_numpy().astype(np.int64), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1), b.column(2).to_numpy()
+
+
 def array_stats(rows: DataFrame, by: str, values: str, digits: int = 5) -> DataFrame:
     """Mean, spread, extremes, mean size, length and share of zeros of all numbers in arrays, and each group's share of all squares."""
     x = F.col("x").cast("double")

@@ -312,3 +312,23 @@ def test_self_check_makes_a_response_once(monkeypatch):
     got = [x.tolist() if hasattr(x, "tolist") else x for x in next(judging.self_check.func(iter([(answers, pd.Series(["", None, "q", "", ""]))])))]
     assert got == [[], ["judge_count_mismatch"], ["judge_self_check_failed"], [], ["judge_self_check_failed"]]
     assert len(made) == 4 and len(read) <= 8
+
+
+def test_cosines_of_blocks_equal_all_pairs(spark):
+    """Each pair was an interpreted loop over components; copies and negative cosines among the rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(2, 8)), 60, axis=0), -np.ones((3, 8)), np.zeros((1, 8))]).astype(np.float32)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for block in (1_000, 7):
+        got = {(r.query_id, r["rank"]): (r.candidate_id, r.cosine) for r in similarity.cosine_top_k(rows, F.col("vec_id") % 20 == 0, 4, block=block).collect()}
+        want = {}
+        y = x.astype(float)
+        n = np.sqrt((y * y).sum(1))
+        for q in range(0, len(x), 20):
+            ranked = sorted((-round(sum(a * b for a, b in zip(y[q], y[c])) / (n[q] * n[c]), 5), c) for c in range(len(x)) if c != q and n[c] and n[q])
+            want |= {(q, i): (c, -s) for i, (s, c) in enumerate(ranked[:4], 1)}
+        assert got == want
+    plan = similarity.cosine_top_k(rows, F.col("vec_id") % 20 == 0, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
