@@ -49,7 +49,7 @@ class Series(StatefulProcessor):
         if new:
             self.open.appendList(new)
             self.wake(min(t for t, *_ in new))
-        yield pd.DataFrame(columns=INTERVAL.names)
+        return iter(())  # intervals come by timers; an empty frame a series and batch would cost more than its samples
 
     def wake(self, earliest: int) -> None:
         """A timer for the first millisecond that is over once the watermark is past the earliest open sample."""
@@ -60,19 +60,21 @@ class Series(StatefulProcessor):
         held = sorted(((int(r[0]), int(r[1]), r[2], r[3]) for r in self.open.get()), key=lambda r: r[:2])
         settled = [r for r in held if r[0] // 1000 < mark]
         left = held[len(settled) :]
-        before, out = (self.last.get() if self.last.exists() else None), []
+        before, out = self.last.get(), []  # None for a series' first; each call of a state is a round trip
         for now in settled:
             if before is not None:
                 out.append((key[0], now[0], now[1], *interval(before, now, self.limit)))
             before = now
         if settled:
             self.last.update(before)
-            self.open.clear()
             if left:
-                self.open.appendList(left)
+                self.open.put(left)
+            else:
+                self.open.clear()
         if left:
             self.wake(left[0][0])
-        yield pd.DataFrame(out, columns=INTERVAL.names).astype({"seconds": float, "joules": float, "counted": float})
+        if out:
+            yield pd.DataFrame(out, columns=INTERVAL.names).astype({"seconds": float, "joules": float, "counted": float})
 
     def close(self) -> None:
         pass
