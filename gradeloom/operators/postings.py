@@ -6,13 +6,15 @@ largest such share of a list, times the candidate's own weight, bounds what the
 bound until the rest together can't bring a query from nothing to its kth score: the lists of frequent grams, whose weights are small everywhere, are not read as soon as
 scores have risen. Queries that were met, and that the rest could still bring there, are completed from their own vectors.
 
+Documents share most words, so a task makes and looks up the grams of a word once (``Texts``), for document frequencies and for scores alike; a text's are put together
+from its words' by place, without sorting.
+
 What is left out can't be among the top k, so results are those of a full product. Candidates' norms need every gram's document frequency: these are counted
 over all texts, by tasks first, and shipped to tasks if they are ``MOST_GRAMS`` at most (64 MB); the caller has another way beyond that.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,9 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: White space of Unicode.
-_GAPS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-MOST_GRAMS, BLOCK, HELD = 4_000_000, 2_000, 2_000_000
+#: Which code points are white space of Unicode.
+_BLANK = np.zeros(0x110000, bool)
+_BLANK[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+#: A step of hashes, and its inverse.
+_STEP, _BACK = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
+#: Grams that tasks are sent at most, queries a block, grams of words that a task keeps, and letters whose texts are taken together.
+MOST_GRAMS, BLOCK, HELD, LETTERS = 4_000_000, 2_000, 8_000_000, 500_000
 #: Candidates after which bounds are made anew, and queries up to which each is completed by itself.
 ANEW, FEW = 64, 12
 SCORED = "query_id long, candidate_id long, similarity double, touched long"
@@ -36,61 +42,183 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+class Places:
+    """Numbers of 64-bit hashes: their places in ``known``, which is sorted; without it they are given as hashes come, and ``met`` holds the hashes by number.
+
+    Even bins by a hash's first bits say where among the sorted ones to look, and a step or two does the rest."""
+
+    def __init__(self, known: np.ndarray | None = None) -> None:
+        self.number = np.empty(0, np.int32) if known is None else None
+        self.met = np.empty(0, np.uint64) if known is None else known
+        self._sort(self.met)
+
+    def _sort(self, known: np.ndarray) -> None:
+        bits = max(1, (2 * len(known)).bit_length())
+        self.known, self.shift = np.append(known, np.uint64(2**64 - 1)), np.uint64(64 - bits)
+        self.lead = np.append(0, np.cumsum(np.bincount((known >> self.shift).astype(np.int64), minlength=2**bits))).astype(np.int32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        at = self.lead[(hashes >> self.shift).astype(np.int64)]
+        low = np.flatnonzero(self.known[at] < hashes)
+        while len(low):
+            at[low] += 1
+            low = low[self.known[at[low]] < hashes[low]]
+        return at
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        at = self._find(hashes)
+        if self.number is None:
+            return at
+        none = (at == len(self.met)) | (self.known[at] != hashes)
+        if none.any():
+            new = np.unique(hashes[none])
+            between = np.searchsorted(self.known[:-1], new)
+            self.number = np.insert(self.number, between, np.arange(len(self.met), len(self.met) + len(new), dtype=np.int32))
+            self.met = np.concatenate([self.met, new])
+            self._sort(np.insert(self.known[:-1], between, new))
+            at = self._find(hashes)
+        return self.number[at]
+
+
+def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Letters of texts as random numbers, white space as one space; where each word begins with the space before it, how many letters it has with both spaces, and at which word each text begins and the last ends."""
+    lower = [(t or "").lower() for t in texts]
+    code = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+    blank = _BLANK[code]
+    with np.errstate(over="ignore"):
+        letter = mixed((np.where(blank, 32, code).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    start = np.flatnonzero(blank[:-1] & ~blank[1:])
+    end = np.flatnonzero(~blank[:-1] & blank[1:]) + 2
+    first = np.cumsum([0, *(len(t) + 1 for t in lower)])
+    return letter, start, end - start, np.searchsorted(start, first)
+
+
+def word_hashes(letter: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    with np.errstate(over="ignore"):
+        steps = np.full(len(letter), _STEP)
+        steps[0] = 1
+        back = np.full(len(letter), _BACK)
+        back[0] = 1
+        total = np.append(np.uint64(0), np.cumsum(letter * np.multiply.accumulate(steps)))
+        return mixed((total[start + length] - total[start]) * np.multiply.accumulate(back)[start])
+
+
+def word_grams(letter: np.ndarray, start: np.ndarray, length: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the character n-grams of words with a space at both ends, word by word, and how many each has; a word that is then shorter than the first size counts once, whole."""
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    ends = np.cumsum(length)
+    owner = np.repeat(np.arange(len(start)), length)
+    left = ends[owner] - np.arange(ends[-1])  # letters from each on, to its word's end
+    letter = letter[np.arange(ends[-1]) + np.repeat(start - (ends - length), length)]
+    some, whose, h = [], [], np.zeros(len(letter) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for n in range(1, min(sizes[-1], len(letter)) + 1):
+            h = h[:-1] * _STEP + letter[n - 1 :]
+            there, mine = left[: len(h)], owner[: len(h)]
+            take = there >= n if n in sizes else (there == n) & (length[mine] == n) & (n < sizes[0])
+            some.append(mixed(h[take] + np.uint64(n)))
+            whose.append(mine[take])
+    mine = np.concatenate(whose)
+    return np.concatenate(some)[np.argsort(mine, kind="stable")], np.bincount(mine, minlength=len(start))
+
+
 def grams(text: str | None, sizes: tuple[int, ...]) -> np.ndarray:
     """64-bit hashes of the character n-grams of each word between single spaces, lower case; a padded word shorter than the first size counts once, whole."""
-    words = [w for w in _GAPS.split((text or "").lower()) if w]
-    if not words:
-        return np.empty(0, np.uint64)
-    code = np.frombuffer((" " + "  ".join(words) + " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    length = np.array([len(w) + 2 for w in words])
-    ends = np.repeat(np.cumsum(length), length)  # where the word of each character ends
-    at, out = np.arange(len(code)), []
-    with np.errstate(over="ignore"):
-        letter = mixed((code + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        for n in sizes:
-            if len(code) >= n:
-                h = np.full(len(code) - n + 1, n, np.uint64)
-                for i in range(n):
-                    h = h * np.uint64(0xD1342543DE82EF95) + letter[i : len(code) - n + 1 + i]
-                out.append(mixed(h[at[: len(h)] + n <= ends[: len(h)]]))
-        short = np.flatnonzero(length < sizes[0])
-        starts = np.cumsum(length) - length
-        for i in short:  # only where the first size is over 3
-            h = np.uint64(length[i])
-            for x in letter[starts[i] : starts[i] + length[i]]:
-                h = h * np.uint64(0xD1342543DE82EF95) + x
-            out.append(mixed(np.array([h])))
-    return np.concatenate(out)
+    return word_grams(*words([text])[:3], sizes)[0]
+
+
+def _put(room: np.ndarray, n: int, new: np.ndarray) -> np.ndarray:
+    """``room`` with ``new`` from place n on; it grows by doubling."""
+    if n + len(new) > len(room):
+        room = np.concatenate([room[:n], np.zeros(n + 2 * len(new), room.dtype)])
+    room[n : n + len(new)] = new
+    return room
+
+
+def portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Texts in order, of about ``LETTERS`` together or one by itself."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t or "")
+        if size > LETTERS:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+class Texts:
+    """Texts as places and counts of their grams. A word's grams are made and looked up once, whatever texts it stands in; ``size`` of them are kept until ``clear``."""
+
+    def __init__(self, sizes: tuple[int, ...], known: np.ndarray | None = None) -> None:
+        self.sizes, self.places = sizes, Places(known)
+        self.slot = np.zeros(len(self.places.met), np.int32)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers, self.made, self.size, self.start, self.flat = Places(), 0, 0, np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of each text's grams, and how often each stands there."""
+        letter, start, length, first = words(texts)
+        number = self.numbers.of(word_hashes(letter, start, length))
+        fresh = np.flatnonzero(number >= self.made)
+        new = fresh[np.unique(number[fresh], return_index=True)[1]]  # one place of each new word, by number
+        raw, n = word_grams(letter, start[new], length[new], self.sizes)
+        self.start = _put(self.start, self.made + 1, self.size + np.cumsum(n))
+        self.flat = _put(self.flat, self.size, self.places.of(raw))
+        self.made, self.size = self.made + len(new), self.size + len(raw)
+        if len(self.slot) < len(self.places.met):
+            self.slot = np.zeros(2 * len(self.places.met), np.int32)
+        for a, b in zip(first[:-1], first[1:]):
+            own = number[a:b]
+            begin = self.start[own]
+            n = self.start[own + 1] - begin
+            ends = np.cumsum(n)
+            every = np.arange(ends[-1] if len(ends) else 0)
+            place = self.flat[every + np.repeat(begin - (ends - n), n)].astype(np.int64)
+            self.slot[place] = every  # one of equal ones stays
+            who = self.slot[place]
+            once = np.flatnonzero(who == every)
+            yield place[once], np.bincount(who, minlength=len(every))[once]
+
+
+def weights(place: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Weights of a text's grams by place and count, scaled to length 1."""
+    w = (1 + np.log(np.arange(1, tf.max(initial=0) + 1)))[tf - 1] * idf[place]
+    return w / max(1e-300, float(np.sqrt(w @ w)))
 
 
 def vectors(raw: np.ndarray, known: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``known`` of a text's grams, and their weights, scaled to length 1."""
+    """Places in ``known`` of a text's grams, and their weights."""
     some, tf = np.unique(raw, return_counts=True)
     place = np.searchsorted(known, some)
-    w = (1 + np.log(tf)) * idf[place]
-    return place, w / max(1e-300, float(np.sqrt(w @ w)))
+    return place, weights(place, tf, idf)
 
 
 def frequencies(texts: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """gram and df: in how many rows of ``texts`` (text) each gram stands; tasks add up what they see, ``HELD`` grams at a time."""
+    """gram and df: in how many rows of ``texts`` (text) each gram stands; tasks add up what they see, until they keep ``HELD`` grams of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        seen, df = Texts(sizes), np.zeros(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            some, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(n.astype(np.int64))], ["gram", "df"])
+            met = seen.places.met
+            return pa.RecordBatch.from_arrays([pa.array(met.view(np.int64)), pa.array(df[: len(met)])], ["gram", "df"])
 
-        size = 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                own = np.unique(grams(t, sizes))
-                held.append(own)
-                size += len(own)
-                if size > HELD:
+            for some in portions(b.column(0).to_pylist()):
+                for place, _ in seen.of(some):
+                    if len(df) < len(seen.slot):
+                        df = np.append(df, np.zeros(len(seen.slot) - len(df), np.int64))
+                    df[place] += 1
+                if seen.size > HELD:
                     yield out()
-                    held, size = [], 0
-        if size:
+                    seen, df = Texts(sizes), np.zeros(0, np.int64)
+        if seen.size:
             yield out()
 
     return texts.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df"))
@@ -135,7 +263,8 @@ class QueryIndex:
         self.most = np.maximum.reduceat(share, self.start[:-1]) if len(self.who) else np.empty(0)
 
     def postings(self, lists: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first, n = self.start[lists], np.diff(self.start)[lists]
+        first = self.start[lists]
+        n = self.start[lists + 1] - first
         ends = np.cumsum(n)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
         return self.who[at], self.weight[at] * np.repeat(w, n)
@@ -207,15 +336,19 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int,
             known, idf = shipped.value
             q = index.value
             q.reset()
-            n = 0
+            n, seen = 0, Texts(sizes, known)
             for b in batches:
-                for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    own = grams(t, sizes)
-                    if len(own):
-                        q.add(i, *vectors(own, known, idf))
-                        n += 1
-                        if not n % ANEW:
-                            q.bound()
+                ids = iter(b.column(0).to_pylist())
+                for some in portions(b.column(1).to_pylist()):
+                    for place, tf in seen.of(some):
+                        i = next(ids)
+                        if len(place):
+                            q.add(i, place, weights(place, tf, idf))
+                            n += 1
+                            if not n % ANEW:
+                                q.bound()
+                    if seen.size > HELD:
+                        seen.clear()
             row, at = np.nonzero(q.best >= 0)
             columns = [pa.array(q.ids[row]), pa.array(q.best_ids[row, at]), pa.array(q.best[row, at]), pa.array(np.full(len(row), q.touched))]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "candidate_id", "similarity", "touched"])

@@ -120,3 +120,37 @@ def test_best_of_a_query_stays_whole():
         dense[p] = w
         want = sorted((-round(float(dense[p2] @ w2), 6), i) for i, p2, w2 in rows)[:4]
         assert list(zip((-q.best[j]).tolist(), q.best_ids[j].tolist())) == want
+
+
+@pytest.mark.parametrize("letters", [1, 200, 500_000])
+def test_words_grams_are_made_once_whatever_texts_they_stand_in(letters, monkeypatch):
+    made, make = [], postings.word_grams
+    monkeypatch.setattr(postings, "LETTERS", letters)
+    monkeypatch.setattr(postings, "word_grams", lambda letter, start, length, sizes: made.append(len(start)) or make(letter, start, length, sizes))
+    rng = random.Random(2)
+    few = ["aaaa", "b", "Wörter", "x\x1cy", "\ud800z", "日本語", *(f"{rng.choice('klmn')}{i}o" for i in range(60))]
+    rows = [None, "", " 　\n", *("\t".join(rng.choice(few) for _ in range(rng.randint(1, 30))) + " " for _ in range(400))]
+    every = [Counter(plain_grams((t or "").replace("\x1c", "\x02"), (3, 4, 5))) for t in rows]
+    seen = postings.Texts((3, 4, 5))
+    got = [(place, tf) for some in postings.portions(rows) for place, tf in seen.of(some)]
+    assert sum(made) == len({w for t in rows for w in (t or "").replace("\x1c", "\x02").lower().split()}) <= len(few)
+    hashes = {}  # of grams, one each
+    for t, c, (place, tf) in zip(rows, every, got, strict=True):
+        assert len(place) == len(set(place.tolist())) == len(c) and sorted(tf.tolist()) == sorted(c.values())
+        assert dict(zip(seen.places.met[place].tolist(), tf.tolist())) == Counter(postings.grams(t, (3, 4, 5)).tolist())
+        hashes |= dict.fromkeys(seen.places.met[place].tolist())
+    assert len(hashes) == len({g for c in every for g in c})
+    known = np.sort(seen.places.met)
+    again = postings.Texts((3, 4, 5), known)
+    for (place, tf), (place2, tf2) in zip(got, (x for some in postings.portions(rows) for x in again.of(some)), strict=True):
+        assert dict(zip(seen.places.met[place].tolist(), tf.tolist())) == dict(zip(known[place2].tolist(), tf2.tolist()))
+
+
+def test_a_task_that_forgets_words_counts_the_same(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = spark.createDataFrame([(" ".join(f"w{rng.randint(0, 99)}" for _ in range(20)),) for _ in range(300)], "text string").coalesce(2)
+    want = Counter(g for r in rows.collect() for g in set(plain_grams(r.text, (3, 4))))
+    monkeypatch.setattr(postings, "LETTERS", 100)
+    for held in (8_000_000, 60):
+        monkeypatch.setattr(postings, "HELD", held)
+        assert sorted(r.df for r in postings.frequencies(rows, (3, 4)).collect()) == sorted(want.values())
