@@ -5,6 +5,8 @@ query leaves a task. A task knows each query's kth score so far. A posting's wei
 largest such share of a list, times the candidate's own weight, bounds what the gram can do for any query. A candidate's grams are taken by falling
 bound until the rest together can't bring a query from nothing to its kth score: the lists of frequent grams, whose weights are small everywhere, are not read as soon as
 scores have risen. Queries that were met, and that the rest could still bring there, are completed from their own vectors.
+Candidates wait until there are ``ANEW``; grams that many queries hold then go by one product of matrices, the others by their lists. Where the bounds are far from the kth
+scores, as among random texts, nothing is left out, and nothing is sorted either.
 
 Documents share most words, so a task makes and looks up the grams of a word once (``Texts``), for document frequencies and for scores alike; a text's are put together
 from its words' by place, without sorting.
@@ -30,8 +32,9 @@ _BLANK[[*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0
 _STEP, _BACK = np.uint64(0xD1342543DE82EF95), np.uint64(pow(0xD1342543DE82EF95, -1, 2**64))
 #: Grams that tasks are sent at most, queries a block, grams of words that a task keeps, and letters whose texts are taken together.
 MOST_GRAMS, BLOCK, HELD, LETTERS = 4_000_000, 2_000, 8_000_000, 500_000
-#: Candidates after which bounds are made anew, and queries up to which each is completed by itself.
-ANEW, FEW = 64, 12
+#: Candidates after which bounds are made anew, queries up to which each is completed by itself and a list is short, the share of queries (one in ...) that hold a common gram, numbers that a matrix of those has at most, and what
+#: a candidate's grams can be worth together, in kth scores, from which on leaving some out saves too little.
+ANEW, FEW, OFTEN, CELLS, LOOSE = 64, 12, 16, 4_000_000, 4.0
 SCORED = "query_id long, candidate_id long, similarity double, touched long"
 
 
@@ -42,6 +45,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+#: A random number of each code point; white space has that of a space.
+with np.errstate(over="ignore"):
+    _LETTER = mixed(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_LETTER[_BLANK] = _LETTER[32]
+
+
 class Places:
     """Numbers of 64-bit hashes: their places in ``known``, which is sorted; without it they are given as hashes come, and ``met`` holds the hashes by number.
 
@@ -85,12 +94,10 @@ def words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     lower = [(t or "").lower() for t in texts]
     code = np.frombuffer((" " + " ".join(lower) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     blank = _BLANK[code]
-    with np.errstate(over="ignore"):
-        letter = mixed((np.where(blank, 32, code).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     start = np.flatnonzero(blank[:-1] & ~blank[1:])
     end = np.flatnonzero(~blank[:-1] & blank[1:]) + 2
     first = np.cumsum([0, *(len(t) + 1 for t in lower)])
-    return letter, start, end - start, np.searchsorted(start, first)
+    return _LETTER[code], start, end - start, np.searchsorted(start, first)
 
 
 def word_hashes(letter: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -101,7 +108,7 @@ def word_hashes(letter: np.ndarray, start: np.ndarray, length: np.ndarray) -> np
         back = np.full(len(letter), _BACK)
         back[0] = 1
         total = np.append(np.uint64(0), np.cumsum(letter * np.multiply.accumulate(steps)))
-        return mixed((total[start + length] - total[start]) * np.multiply.accumulate(back)[start])
+        return (total[start + length] - total[start]) * np.multiply.accumulate(back)[start]
 
 
 def word_grams(letter: np.ndarray, start: np.ndarray, length: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +125,7 @@ def word_grams(letter: np.ndarray, start: np.ndarray, length: np.ndarray, sizes:
             h = h[:-1] * _STEP + letter[n - 1 :]
             there, mine = left[: len(h)], owner[: len(h)]
             take = there >= n if n in sizes else (there == n) & (length[mine] == n) & (n < sizes[0])
-            some.append(mixed(h[take] + np.uint64(n)))
+            some.append(h[take])
             whose.append(mine[take])
     mine = np.concatenate(whose)
     return np.concatenate(some)[np.argsort(mine, kind="stable")], np.bincount(mine, minlength=len(start))
@@ -252,11 +259,19 @@ class QueryIndex:
 
     def reset(self) -> None:
         n = len(self.ids)
-        self.best, self.best_ids, self.touched = np.full((n, self.k), -1.0), np.zeros((n, self.k), np.int64), 0
+        self.best, self.best_ids, self.touched, self.waiting = np.full((n, self.k), -1.0), np.zeros((n, self.k), np.int64), 0, []
+        size = np.diff(self.start)
+        common = np.flatnonzero((size * OFTEN >= n) & (size >= FEW))
+        common = common[np.argsort(-size[common], kind="stable")][: CELLS // max(n, 1)]
+        self.column, self.matrix = np.full(len(size), -1), np.zeros((len(common), n))
+        self.column[common] = np.arange(len(common))
+        lists = np.repeat(self.column, size)
+        self.matrix[lists[lists >= 0], self.who[lists >= 0]] = self.weight[lists >= 0]
         self.bound()
 
     def bound(self) -> None:
         """What each list can be worth at most, as a share of the kth scores so far."""
+        self.settle()
         self.least = np.maximum(self.best[:, -1] - 2 * 10.0**-self.digits, 0.0)  # scores are rounded, and equal ones count
         with np.errstate(divide="ignore"):
             share = np.where(self.least[self.who] > 0, self.weight / self.least[self.who], np.inf)
@@ -270,42 +285,72 @@ class QueryIndex:
         return self.who[at], self.weight[at] * np.repeat(w, n)
 
     def add(self, candidate: int, places: np.ndarray, w: np.ndarray) -> None:
-        """One candidate's vector against all queries."""
+        """One candidate's vector, which waits for others until ``bound``."""
         lists = self.place[places]
         has = lists >= 0
-        lists, w = lists[has], w[has]
-        if not len(lists):
-            return
-        bounds = w * self.most[lists]
-        order = np.argsort(-bounds)
-        lists, w, bounds = lists[order], w[order], bounds[order]
-        rest = np.append(np.cumsum(bounds[::-1])[::-1], 0.0)  # what grams from each on are worth together
-        cut = int(np.argmax(rest < 1.0))
-        if not cut:
+        if has.any():
+            self.waiting.append((candidate, lists[has], w[has]))
+
+    def settle(self) -> None:
+        """The candidates that wait, against all queries: common grams by a product of matrices, others by their lists."""
+        if not self.waiting:
             return
-        who, x = self.postings(lists[:cut], w[:cut])
-        self.touched += len(who)
-        score = np.bincount(who, x, len(self.ids))
-        met = np.flatnonzero(score)
-        if cut < len(lists):
-            met = met[score[met] + rest[cut] * self.least[met] >= self.least[met]]
-            self.complete(score, met, lists[cut:], w[cut:])
-        s = np.round(score[met], self.digits)
-        last, last_id = self.best[met, -1], self.best_ids[met, -1]
-        for q, x in zip(met[better := (s > last) | ((s == last) & (candidate < last_id))], s[better], strict=True):
+        waiting, self.waiting = self.waiting, []
+        score, common, tails = np.zeros((len(waiting), len(self.ids))), np.zeros((len(waiting), len(self.matrix))), []
+        for row, (_, lists, w) in enumerate(waiting):
+            bounds = w * self.most[lists]
+            worth = float(bounds.sum())
+            if worth < 1.0:
+                continue
+            column = self.column[lists]
+            often = column >= 0
+            seldom = ~often
+            if worth < LOOSE:
+                order = np.argsort(bounds)
+                left = order[np.cumsum(bounds[order]) < 1.0]  # the grams that are worth least, and together too little
+                read = np.ones(len(lists), bool)
+                read[left] = False
+                if (read & often).any():
+                    read |= often
+                else:
+                    often = read & often
+                seldom &= read
+                if not read.all():
+                    tails.append((row, lists[~read], w[~read], float(bounds[~read].sum())))
+            at = column[often]
+            if len(at):
+                common[row, at] = w[often]
+                self.touched += len(at) * len(self.ids)
+            who, x = self.postings(lists[seldom], w[seldom])
+            self.touched += len(who)
+            score[row] = np.bincount(who, x, len(self.ids))
+        score += common @ self.matrix
+        for row, lists, w, rest in tails:
+            own = score[row]
+            near = (own > 0) & (own + rest * self.least >= self.least)
+            self.complete(own, np.flatnonzero(near), lists, w)
+            own[~near] = 0.0
+        ids, s = np.array([c for c, _, _ in waiting], np.int64), np.round(score, self.digits)
+        last, last_id = self.best[:, -1], self.best_ids[:, -1]
+        for row, q in zip(*np.nonzero((score > 0) & ((s > last) | ((s == last) & (ids[:, None] < last_id)))), strict=True):
+            candidate, x = ids[row], s[row, q]
+            if x < self.best[q, -1]:  # others that waited are better
+                continue
             other = (self.best_ids[q] != candidate) | (self.best[q] < 0)  # of rows with one id the best counts
             if x <= self.best[q][~other].max(initial=-1.0):
                 continue
-            scores, ids = np.append(np.where(other, self.best[q], -1.0), x), np.append(self.best_ids[q], candidate)
-            ranked = np.lexsort((ids, -scores))[: self.k]
-            self.best[q], self.best_ids[q] = scores[ranked], ids[ranked]
+            scores, found = np.append(np.where(other, self.best[q], -1.0), x), np.append(self.best_ids[q], candidate)
+            ranked = np.lexsort((found, -scores))[: self.k]
+            self.best[q], self.best_ids[q] = scores[ranked], found[ranked]
 
     def complete(self, score: np.ndarray, met: np.ndarray, lists: np.ndarray, w: np.ndarray) -> None:
-        """Adds to the scores of the queries ``met`` what the remaining grams give: from the queries' own vectors if they are few, else from the lists."""
+        """Adds to the scores of the queries ``met`` what the remaining grams give: from the queries' own vectors if they are few, else from the matrix and the lists."""
         if len(met) > FEW:
-            who, x = self.postings(lists, w)
-            self.touched += len(who)
-            score += np.bincount(who, x, len(self.ids))
+            column = self.column[lists]
+            often = column >= 0
+            who, x = self.postings(lists[~often], w[~often])
+            self.touched += len(who) + int(often.sum()) * len(self.ids)
+            score += w[often] @ self.matrix[column[often]] + np.bincount(who, x, len(self.ids))
             return
         order = np.argsort(lists)
         lists, w = lists[order], w[order]
@@ -349,6 +394,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, sizes: tuple[int,
                                 q.bound()
                     if seen.size > HELD:
                         seen.clear()
+            q.settle()
             row, at = np.nonzero(q.best >= 0)
             columns = [pa.array(q.ids[row]), pa.array(q.best_ids[row, at]), pa.array(q.best[row, at]), pa.array(np.full(len(row), q.touched))]
             yield pa.RecordBatch.from_arrays(columns, ["query_id", "candidate_id", "similarity", "touched"])

@@ -154,3 +154,34 @@ def test_a_task_that_forgets_words_counts_the_same(spark, monkeypatch):
     for held in (8_000_000, 60):
         monkeypatch.setattr(postings, "HELD", held)
         assert sorted(r.df for r in postings.frequencies(rows, (3, 4)).collect()) == sorted(want.values())
+
+
+@pytest.mark.parametrize("often, cells, loose", [(16, 4_000_000, 4.0), (16, 4_000_000, 1e9), (16, 64 * 9, 0.0), (10**9, 4_000_000, 1.5), (0, 0, 4.0)])
+def test_common_grams_go_by_matrix_and_change_nothing(often, cells, loose, monkeypatch):
+    for name, value in (("OFTEN", often), ("CELLS", cells), ("LOOSE", loose)):
+        monkeypatch.setattr(postings, name, value)
+    read, lists = [], postings.QueryIndex.postings
+    monkeypatch.setattr(postings.QueryIndex, "postings", lambda self, at, w: read.append(int((self.start[at + 1] - self.start[at]).sum())) or lists(self, at, w))
+    rng = np.random.default_rng(1)
+
+    def vector(x=None):  # of 40 common grams of 600, and some others
+        some = np.sort(np.concatenate([np.arange(40), 40 + rng.choice(560, 20, replace=False)]))
+        w = np.where(some < 40, 0.5, 2.0) * rng.random(60)
+        return some, w / np.sqrt(w @ w)
+
+    own, rows = [vector() for _ in range(64)], [(i, *vector()) for i in range(500)]
+    rows += [(1_000 + i, *own[i]) for i in range(20)] + [(2_000 + i, *own[i % 20]) for i in range(70)] + [(3_000, np.arange(600, 620), np.full(20, 0.2))]
+    q = postings.QueryIndex.of(list(range(64)), own, 620, 3, 6)
+    q.reset()
+    for n, (i, p, w) in enumerate(rows):
+        q.add(i, p, w)
+        if n % 64 == 63:
+            q.bound()
+    q.settle()
+    for j, (p, w) in enumerate(own):
+        dense = np.zeros(620)
+        dense[p] = w
+        want = sorted((-round(float(dense[p2] @ w2), 6), i) for i, p2, w2 in rows if np.isin(p2, p).any())[:3]
+        assert q.best_ids[j].tolist() == [i for _, i in want] and q.best[j].tolist() == pytest.approx([-s for s, _ in want], abs=1.1e-6)
+    if often == 16 and cells > 10_000:
+        assert sum(read) < 0.2 * 64 * 40 * len(rows)  # by lists alone, the common grams are 64 postings each
